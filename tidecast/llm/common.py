@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: `[^\x20\x09-\x0D]+` splits exactly where bytes.split() does.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -51,6 +52,14 @@ def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plus(df: DataFrame, **kinds: str) -> T.StructType:
+    """The columns of df and further ones."""
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        schema.add(name, kind)
+    return schema
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

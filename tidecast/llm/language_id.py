@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import letters, remainder, slices, table
+from tidecast.llm.common import letters, plus, remainder, slices, table
 
 BUCKETS = 1 << 14
 #: Labelled texts that the machines are fitted on: about so many a language, and
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = held.value.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, docs.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, plus(docs.select("doc_id", "held_out"), lang_pred="string", score="double"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, slices, table
+from tidecast.llm.common import cut, plus, slices, table
 
 WIDTH = 2048
 END_ID = 0
@@ -230,7 +230,7 @@ def assign(found: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     names = found.columns
-    return ranked.mapInArrow(run, found.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, plus(found, sequence_id="long", offset="long"))
 
 
 def pack(docs: DataFrame, path: str, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
