@@ -56,7 +56,7 @@ def plus(df: DataFrame, **kinds: str) -> T.StructType:
     """The columns of df and further ones."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in kinds.items():
-        schema.add(name, kind)
+        schema.add(name, T._parse_datatype_string(kind))
     return schema
 
 
