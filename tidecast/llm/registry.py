@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import decontaminate, language_id, pack, quality_classifier, quality_rules, secret_scan, token_rollup
+from tidecast.llm import context_tree, decontaminate, html_text, language_id, pack, parity_join, quality_classifier, quality_rules, secret_scan, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secret_scan.op2_secret_scan,
         pack.op3_best_fit_packing,
         token_rollup.op4_token_counts,
+        html_text.op5_html_extraction,
         quality_rules.op6_quality_rules,
         quality_classifier.op7_quality_classifier,
+        parity_join.op8_ngram_jaccard_join,
         decontaminate.op9_decontamination,
+        context_tree.op10_lm_scoring,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.OP2_SQL, "op4_token_counts": token_rollup.OP4_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op2_secret_scan": secret_scan.OP2_SQL, "op4_token_counts": token_rollup.OP4_SQL, "op8_ngram_jaccard_join": parity_join.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
