@@ -43,13 +43,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Lets Spark delete a write's shuffle files when it ends, as nothing runs it again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: what follows depends on files
     that survive the loss of an executor, and is planned from their real size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidecast/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what cut() wrote, once all that reads it has been written too."""
+    for df in written:
+        delete(df.sparkSession, df.cut_path)
 
 
 def plus(df: DataFrame, **kinds: str) -> T.StructType:

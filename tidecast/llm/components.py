@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut
+from tidecast.llm.common import cut, discard
 
 
 def _near(edges: DataFrame, smaller_only: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def connected(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        edges = cut(_near(_near(edges, False), True), "edges")
+        last, edges = edges, cut(_near(_near(edges, False), True), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

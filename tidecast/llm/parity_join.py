@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, slices, table
+from tidecast.llm.common import cut, discard, slices, table
 from tidecast.llm.components import connected
 from tidecast.llm.quality_rules import spread
 
@@ -156,22 +156,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    links = cut(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs."""
     narrow = [f"w{i}" for i in range(NARROW // 64)]
-    every = cut(sketches(docs, width, percent), "sketches")
+    sketched = cut(sketches(docs, width, percent), "sketches")
+    every = cut(sketched.select("doc_id", "n", "set_a", "set_b"), "members")
     held = [F.first(c).alias(c) for c in [*narrow, "keys"]]  # equal in equal sets
-    grouped = every.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), *held)
-    classes = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    brief = classes.select("cls", "n", *narrow)
+    grouped = sketched.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), *held)
+    keyed = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "keyed")
+    discard(sketched)
 
     # blocks that several classes share, with the class at their head
-    blocks = classes.select("cls", F.explode("keys").alias("key"))
+    blocks = keyed.select("cls", F.explode("keys").alias("key"))
     in_block = "OVER (PARTITION BY key)"
     shared = cut(blocks.selectExpr("key", "cls", f"min(cls) {in_block} AS head", f"max(cls) {in_block} AS last").where("head <> last").select("key", "cls", "head"), "blocks")
+    classes = cut(keyed.drop("keys"), "classes")
+    discard(keyed)
+    brief = classes.select("cls", "n", *narrow)
 
     # first each class with the class that heads most of its blocks
     counted = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("n"))
@@ -188,6 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
     second = verified(cut(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "across"), classes, docs, width, percent)
 
+    discard(shared, rich)
     final = connected(first.unionByName(second))
     named = classes.select("cls", "doc_id", "n", "set_a", "set_b").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
