@@ -9,8 +9,9 @@ floor(n (1 - t) / t) + 1 blocks that aren't empty, each as the XOR of its tokens
 hashes. That loses no pair: among the first L blocks, L the lesser of the two sets'
 counts, the equal ones outnumber those that are empty in both. The least band has
 a block for each bit. Sets near a band's lower end also emit blocks of the band
-below. A second, narrow sketch of 512 bits goes with each set, and its Hamming
-distance, a lower bound too, discards most false candidates.
+below. A second sketch of two bits or more a token goes with each set; the Hamming
+distances of it and of its fold to 512 bits, lower bounds too, discard most false
+candidates before their sets are read.
 
 Candidates are not paired within a block. Equal sets are one class; each class is
 first verified with the class at the head of most of its blocks, and what links is
@@ -83,48 +84,56 @@ def block_keys(tokens: np.ndarray, band: int, end: int, wanted: int, percent: in
     return spread(value ^ spread(block[begin] + np.uint64(band << 48)))[:wanted]
 
 
-def sketch(tokens: np.ndarray, percent: int = PERCENT) -> tuple[bytes, np.ndarray]:
-    """The narrow sketch, and the keys of the pigeonhole blocks."""
+def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The bit sketch of a power of two of bits, as 64-bit words."""
+    count = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(count.astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def sketch(tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch of two bits or more a token, and the keys of the pigeonhole blocks."""
     n = len(tokens)
-    narrow = np.packbits(np.bincount((tokens & np.uint64(NARROW - 1)).astype(np.int64), minlength=NARROW).astype(np.uint8) & 1).tobytes()
+    own = parity(tokens, max(2 * NARROW, 1 << (2 * n - 1).bit_length()))
     ends = band_ends(n)
     band = len(ends) - 1
     keys = [block_keys(tokens, band, ends[band], n * (100 - percent) // percent + 1, percent)]
     if band and n * percent <= 100 * ends[band - 1]:  # a partner may lie in the band below
         most = (100 - percent) * (n + ends[band - 1]) // (100 + percent)
         keys.append(block_keys(tokens, band - 1, ends[band - 1], most + 1, percent))
-    return narrow, np.unique(np.concatenate(keys))
+    return own, np.unique(np.concatenate(keys))
 
 
-def _signed(x: np.ndarray) -> list[int]:
-    return x.astype(np.int64).tolist()
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int64)))
 
 
 def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, set_a, set_b, narrow, keys): equal sets have equal (n, set_a, set_b)."""
+    """(doc_id, n, set_a, set_b, w0.., sketch, keys): equal sets have equal (n, set_a, set_b);
+    w0.. are the sketch folded to NARROW bits."""
     kind = dict(docs.dtypes)["doc_id"]
     narrow = [f"w{i}" for i in range(NARROW // 64)]
 
     def run(batches):
         for batch, texts in slices(batches):
-            n, a, b, words, keys = [], [], [], [], []
+            n, a, b, words, wide, keys = [], [], [], [], [], []
             for t in texts:
                 own = shingles(t, width)
                 n.append(len(own))
-                bits, blocks = sketch(own, percent) if len(own) else (bytes(NARROW // 8), own)
+                bits, blocks = sketch(own, percent) if len(own) else (np.zeros(NARROW // 32, "<i8"), own)
                 both = np.array([np.bitwise_xor.reduce(own) if len(own) else 0, spread(own ^ np.uint64(77)).sum()], np.uint64)
                 a.append(both[:1].astype(np.int64)[0])
                 b.append(both[1:].astype(np.int64)[0])
-                words.append(np.frombuffer(bits, "<i8"))
+                wide.append(bits)
+                words.append(np.bitwise_xor.reduce(bits.reshape(-1, NARROW // 64), axis=0))
                 keys.append(blocks.astype(np.int64))
-            wide = np.stack(words)
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            folded = np.stack(words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(wide[:, i]) for i in range(len(narrow))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))],
-                ["doc_id", "n", "set_a", "set_b", *narrow, "keys"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(folded[:, i]) for i in range(len(narrow))), _lists(wide), _lists(keys)],
+                ["doc_id", "n", "set_a", "set_b", *narrow, "sketch", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, set_a long, set_b long, {', '.join(f'{w} long' for w in narrow)}, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, set_a long, set_b long, {', '.join(f'{w} long' for w in narrow)}, sketch array<long>, keys array<long>")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFrame:
@@ -134,9 +143,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFr
         for batch, texts in slices(batches):
             own = [shingles(t, width) for t in texts]
             right = [(np.bitwise_xor.reduce(x) if len(x) else np.uint64(0)).astype(np.int64) == a for x, a in zip(own, batch.column(1).to_pylist(), strict=True)]
-            offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), tokens], ["cls", "tokens"]).filter(pa.array(right))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["cls", "tokens"]).filter(pa.array(right))
 
     picked = wanted.select("cls", "set_a", F.col("doc_id").alias("id_"))
     joined = docs.select("doc_id", "text").join(picked, F.col("doc_id").eqNullSafe(F.col("id_"))).select("cls", "set_a", "text")
@@ -149,6 +156,24 @@ def may_link(x: str, y: str, percent: int = PERCENT) -> Column:
     return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
 
+def folded(words: Column) -> Column:
+    """A sketch of half the bits."""
+    half = (F.size(words) / 2).cast("int")
+    return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the Hamming bound on the longer sketches leaves, written."""
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    other = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    both = pairs.join(one, "a").join(other, "b")
+    x, y = F.col("x"), F.col("y")
+    longer, shorter = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    longer = F.when(F.size(longer) > F.size(shorter), folded(longer)).otherwise(longer)
+    differ = F.aggregate(F.zip_with(longer, shorter, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return cut(both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "pairs")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose token sets are similar enough, written."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "set_a"), "cls")
@@ -166,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     narrow = [f"w{i}" for i in range(NARROW // 64)]
     sketched = cut(sketches(docs, width, percent), "sketches")
     every = cut(sketched.select("doc_id", "n", "set_a", "set_b"), "members")
-    held = [F.first(c).alias(c) for c in [*narrow, "keys"]]  # equal in equal sets
+    held = [F.first(c).alias(c) for c in [*narrow, "sketch", "keys"]]  # equal in equal sets
     grouped = sketched.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), *held)
     keyed = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "keyed")
     discard(sketched)
@@ -183,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     counted = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("n"))
     stars = counted.groupBy("cls").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("top")).select((-F.col("top.head")).alias("a"), F.col("cls").alias("b"))
     bounded = stars.join(brief.alias("x"), F.col("a") == F.col("x.cls")).join(brief.alias("y"), F.col("b") == F.col("y.cls")).where(may_link("x", "y", percent)).select("a", "b")
-    first = verified(cut(bounded, "stars"), classes, docs, width, percent)
+    first = verified(near_enough(bounded, classes, percent), classes, docs, width, percent)
     roots = connected(first)
 
     # then classes of different components in one block
@@ -192,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     rich = cut(open_blocks.join(brief, "cls"), "open_blocks")
     x, y = rich.alias("x"), rich.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
-    second = verified(cut(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "across"), classes, docs, width, percent)
+    second = verified(near_enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, percent), classes, docs, width, percent)
 
     discard(shared, rich)
     final = connected(first.unionByName(second))
