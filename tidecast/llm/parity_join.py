@@ -10,13 +10,14 @@ hashes. That loses no pair: among the first L blocks, L the lesser of the two se
 counts, the equal ones outnumber those that are empty in both. The least band has
 a block for each bit. Sets near a band's lower end also emit blocks of the band
 below. A second sketch of two bits or more a token goes with each set; the Hamming
-distances of it and of its fold to 512 bits, lower bounds too, discard most false
+distances of it and of its fold to a fixed number of bits, lower bounds too, discard most false
 candidates before their sets are read.
 
 Candidates are not paired within a block. Equal sets are one class; each class is
 first verified with the class at the head of most of its blocks, and what links is
-contracted to components. Only in blocks that hold several components are classes
-of different components then paired, under size and Hamming bounds. So copies in
+contracted to components. Blocks that still hold several components get a random
+head each, twice. Only in blocks that stay open are classes of different components
+then paired, under size and Hamming bounds. So copies in
 thousands make links in proportion to their number, and no link between
 components is missed.
 
@@ -38,7 +39,9 @@ from tidecast.llm.components import connected
 from tidecast.llm.quality_rules import spread
 
 WORDS, PERCENT = 5, 80
-NARROW = 512
+NARROW = 2048
+#: Rounds in which open blocks are tried with one random head each, before classes are paired.
+HEAD_ROUNDS = 2
 #: Sizes at which bands end: the least, and the ratio from one to the next (over 100 / PERCENT).
 FIRST_BAND, BAND_RATIO = 32, 1.5
 _MIX = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -93,7 +96,7 @@ def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
 def sketch(tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The sketch of two bits or more a token, and the keys of the pigeonhole blocks."""
     n = len(tokens)
-    own = parity(tokens, max(2 * NARROW, 1 << (2 * n - 1).bit_length()))
+    own = parity(tokens, max(NARROW, 1 << (2 * n - 1).bit_length()))
     ends = band_ends(n)
     band = len(ends) - 1
     keys = [block_keys(tokens, band, ends[band], n * (100 - percent) // percent + 1, percent)]
@@ -120,7 +123,7 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
             for t in texts:
                 own = shingles(t, width)
                 n.append(len(own))
-                bits, blocks = sketch(own, percent) if len(own) else (np.zeros(NARROW // 32, "<i8"), own)
+                bits, blocks = sketch(own, percent) if len(own) else (np.zeros(NARROW // 64, "<i8"), own)
                 both = np.array([np.bitwise_xor.reduce(own) if len(own) else 0, spread(own ^ np.uint64(77)).sum()], np.uint64)
                 a.append(both[:1].astype(np.int64)[0])
                 b.append(both[1:].astype(np.int64)[0])
@@ -207,20 +210,27 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     # first each class with the class that heads most of its blocks
     counted = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("n"))
     stars = counted.groupBy("cls").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("top")).select((-F.col("top.head")).alias("a"), F.col("cls").alias("b"))
-    bounded = stars.join(brief.alias("x"), F.col("a") == F.col("x.cls")).join(brief.alias("y"), F.col("b") == F.col("y.cls")).where(may_link("x", "y", percent)).select("a", "b")
-    first = verified(near_enough(bounded, classes, percent), classes, docs, width, percent)
-    roots = connected(first)
-
-    # then classes of different components in one block
-    told = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    open_blocks = told.selectExpr("key", "cls", "root", f"min(root) {in_block} AS low", f"max(root) {in_block} AS high").where("low <> high").select("key", "cls", "root")
-    rich = cut(open_blocks.join(brief, "cls"), "open_blocks")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        bounded = pairs.join(brief.alias("x"), F.col("a") == F.col("x.cls")).join(brief.alias("y"), F.col("b") == F.col("y.cls")).where(may_link("x", "y", percent)).select("a", "b")
+        return verified(near_enough(bounded, classes, percent), classes, docs, width, percent)
+
+    links = checked(stars)
+    for turn in range(HEAD_ROUNDS + 1):
+        # blocks that hold several components
+        told = shared.select("key", "cls").join(connected(links).withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        lead = f"min(struct(xxhash64(cls, {turn}) AS h, cls, root)) {in_block} AS lead"
+        last, shared = shared, cut(told.selectExpr("key", "cls", "root", lead, f"min(root) {in_block} AS low", f"max(root) {in_block} AS high").where("low <> high").select("key", "cls", "root", "lead"), "blocks")
+        discard(last)
+        if turn < HEAD_ROUNDS:
+            links = links.unionByName(checked(shared.where("root <> lead.root").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()))
+    rich = cut(shared.select("key", "cls", "root").join(brief, "cls"), "open_blocks")
     x, y = rich.alias("x"), rich.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
-    second = verified(near_enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, percent), classes, docs, width, percent)
+    rest = verified(near_enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, percent), classes, docs, width, percent)
 
     discard(shared, rich)
-    final = connected(first.unionByName(second))
+    final = connected(links.unionByName(rest))
     named = classes.select("cls", "doc_id", "n", "set_a", "set_b").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = named.join(least, "root").select("n", "set_a", "set_b", "component_id")
