@@ -5,15 +5,243 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidecast.functions import expressions as X
+from tidecast.operators import coldstart, fit, series, simulate, stats, validate
+from tidecast.plans import sql as S
+from tidecast.sources.adaptors import features
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+SIMS, RESAMPLES = 300, 40
+SEG = series.SEGMENT
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["coldstart_rollup"](spark, sf_dir)
+    return coldstart_rollup(spark, sf_dir)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.daily(features(spark, sf_dir))
+
+
+NORMAL = "channel, campaign_id, campaign_name, campaign_type, conversions, revenue_is_imputed, funnel_stage, round(spend, 4) AS spend, round(revenue, 4) AS revenue"
+
+
+@query(S.with_() + f"SELECT date, {NORMAL} FROM features")
+def features_normalized(spark, sf_dir):
+    return features(spark, sf_dir).withColumn("spend", F.round("spend", 4)).withColumn("revenue", F.round("revenue", 4))
+
+
+@query(S.with_() + "SELECT channel, funnel_stage, count(*) AS n, count(DISTINCT campaign_name) AS n_names FROM features GROUP BY ALL")
+def funnel_stage(spark, sf_dir):
+    return features(spark, sf_dir).groupBy("channel", "funnel_stage").agg(F.count("*").alias("n"), F.count_distinct("campaign_name").alias("n_names"))
+
+
+@query("SELECT regexp_replace(p_name || '_Campaign_' || p_partkey, '_Campaign_[0-9]+$', '') AS campaign_type, count(*) AS n FROM part GROUP BY 1")
+def campaign_type_suffix(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    named = F.concat("p_name", F.lit("_Campaign_"), F.col("p_partkey").cast("string"))
+    return parts.select(X.type_of_name(named).alias("campaign_type")).groupBy("campaign_type").agg(F.count("*").alias("n"))
+
+
+@query(S.with_() + "SELECT channel, count(*) AS n, round(sum(spend), 4) AS spend, round(sum(revenue), 4) AS revenue FROM features GROUP BY ALL")
+def channel_union(spark, sf_dir):
+    rows = features(spark, sf_dir)
+    parts = [rows.where(F.col("channel") == c) for c in ("bing", "google", "meta")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum("spend"), 4).alias("spend"), F.round(F.sum("revenue"), 4).alias("revenue"))
+
+
+@query(S.with_(S.DAILY) + "SELECT channel, campaign_type, date, round(revenue, 4) AS revenue, round(spend, 4) AS spend FROM seg")
+def daily_segment_series(spark, sf_dir):
+    return _segments(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("revenue", "spend")})
+
+
+@query(S.with_(S.daily("camp", "channel, campaign_id")) + "SELECT channel, campaign_id, count(*) AS n_days, round(sum(revenue), 4) AS revenue, round(sum(spend), 4) AS spend, count(*) FILTER (revenue = 0) AS n_zero FROM camp GROUP BY ALL")
+def daily_campaign_series(spark, sf_dir):
+    rows = series.daily(features(spark, sf_dir), series.CAMPAIGN)
+    return rows.groupBy(*series.CAMPAIGN).agg(F.count("*").alias("n_days"), F.round(F.sum("revenue"), 4).alias("revenue"), F.round(F.sum("spend"), 4).alias("spend"), F.count_if(F.col("revenue") == 0).alias("n_zero"))
+
+
+@query(S.cold(False, "campaign_id = ''"))
+def coldstart_segment(spark, sf_dir):
+    return coldstart.forecast(features(spark, sf_dir), rollup=False).where("campaign_id = ''")
+
+
+@query(S.cold(False, "campaign_id <> ''"))
+def coldstart_campaign(spark, sf_dir):
+    return coldstart.forecast(features(spark, sf_dir), rollup=False).where("campaign_id <> ''")
+
+
+@query(S.cold(True))
+def coldstart_rollup(spark, sf_dir):
+    return coldstart.forecast(features(spark, sf_dir))
+
+
+@query(S.with_(S.LEVELS) + """, models AS (SELECT channel, campaign_type, campaign_id, CASE WHEN campaign_type < 'M' THEN 'holt_winters' ELSE 'empirical' END AS method, 2.0 AS slope, 7.0 AS level FROM lev WHERE campaign_id = '' UNION ALL SELECT 'other', 'gone', '', 'empirical', 1.0, 5.0)
+SELECT coalesce(m.channel, l.channel) AS channel, coalesce(m.campaign_type, l.campaign_type) AS campaign_type, coalesce(m.campaign_id, l.campaign_id) AS campaign_id, coalesce(method, 'empirical') AS method, CAST(coalesce(slope, 0) AS DOUBLE) AS slope,
+ round(CAST(CASE WHEN method = 'holt_winters' OR l.channel IS NULL THEN level ELSE l.revenue END AS DOUBLE) + 1e-7, 4) AS level FROM models m FULL JOIN lev l ON m.channel = l.channel AND m.campaign_type = l.campaign_type AND m.campaign_id = l.campaign_id""")
+def runrate_upsert(spark, sf_dir):
+    rows = features(spark, sf_dir)
+    known = coldstart.levels(rows).where("campaign_id = ''").select(*SEG, "campaign_id", F.when(F.col("campaign_type") < "M", "holt_winters").otherwise("empirical").alias("method"), F.lit(2.0).alias("slope"), F.lit(7.0).alias("level"))
+    gone = spark.sql("SELECT 'other' AS channel, 'gone' AS campaign_type, '' AS campaign_id, 'empirical' AS method, 1.0D AS slope, 5.0D AS level")
+    return coldstart.upsert(known.unionByName(gone), rows).withColumn("level", F.round(F.col("level") + coldstart.TIE, 4))
+
+
+@query(S.with_(S.DAILY, S.WINDOW, S.TREND) + "SELECT channel, campaign_type, round(slope, 6) AS slope, round(start + slope * (n - 1), 4) AS level_at_end, n, last_train_date FROM trend")
+def trend_fit(spark, sf_dir):
+    return fit.trend(_segments(spark, sf_dir)).select(*SEG, F.round("slope", 6).alias("slope"), F.round("level_at_end", 4).alias("level_at_end"), "n", "last_train_date")
+
+
+@query(S.with_(S.DAILY, S.WINDOW) + "SELECT channel, campaign_type, round(max(top), 4) AS top, count(*) FILTER (y < revenue) AS n_clipped FROM win JOIN clip USING (channel, campaign_type) GROUP BY ALL")
+def clip_percentile(spark, sf_dir):
+    return fit.window_of(_segments(spark, sf_dir), SEG).groupBy(*SEG).agg(F.round(F.max("top"), 4).alias("top"), F.count_if(F.col("y") < F.col("revenue")).alias("n_clipped"))
+
+
+@query(S.with_(S.DAILY, S.DOW) + "SELECT channel, campaign_type, dow, round(factor, 6) AS factor FROM dows")
+def dow_factors(spark, sf_dir):
+    return fit.weekday_factors(_segments(spark, sf_dir)).withColumn("factor", F.round("factor", 6))
+
+
+@query(S.with_(S.DAILY, S.HOLIDAY) + "SELECT channel, campaign_type, round(holiday_factor, 6) AS holiday_factor FROM holiday")
+def holiday_factor(spark, sf_dir):
+    return fit.holiday_factor(_segments(spark, sf_dir)).withColumn("holiday_factor", F.round("holiday_factor", 6))
+
+
+@query(S.with_(S.DAILY, S.WINDOW, S.TREND, S.DOW, S.HOLIDAY, S.RESIDUAL) + "SELECT channel, campaign_type, date, round(residual, 4) AS residual FROM resid")
+def residual_pool(spark, sf_dir):
+    return fit.residuals(_segments(spark, sf_dir)).select(*SEG, "date", F.round("residual", 4).alias("residual"))
+
+
+@query(S.with_(S.DAILY, S.ELASTIC) + "SELECT channel, campaign_type, n_obs, round(beta, 6) AS beta, round(alpha, 6) AS alpha FROM elastic")
+def elasticity_point(spark, sf_dir):
+    return fit.elasticity(_segments(spark, sf_dir)).select(*SEG, "n_obs", F.round("beta", 6).alias("beta"), F.round("alpha", 6).alias("alpha"))
+
+
+@query("""SELECT l_quantity / 10 AS multiple, l_discount * 10 AS beta, round(CASE WHEN m <= 0 THEN 0 WHEN m = 1 THEN 1 WHEN m < 1 THEN pow(m, b) ELSE 1 + (pow(m, b) - 1) / (1 + 0.5 * (pow(m, b) - 1)) END, 6) AS scale
+FROM (SELECT DISTINCT l_quantity, l_discount, CAST(l_quantity AS DOUBLE) / 10 AS m, CAST(l_discount AS DOUBLE) * 10 AS b FROM lineitem)""")
+def elasticity_scale(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") / 10).alias("multiple"), (F.col("l_discount") * 10).alias("beta")).distinct()
+    return rows.withColumn("scale", F.round(X.response(F.col("multiple"), F.col("beta")), 6))
+
+
+BOOT = S.with_(S.DAILY, S.ELASTIC) + f""", num AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY date) - 1 AS spot FROM pair),
+picks AS (SELECT n.channel, n.campaign_type, sample, {S.draw('n_obs', 'n.channel', 'n.campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS pick FROM num n JOIN est e ON e.channel = n.channel AND e.campaign_type = n.campaign_type, (SELECT unnest(range(0, {RESAMPLES})) AS sample) WHERE n_obs >= 10 AND b IS NOT NULL),
+slopes AS (SELECT p.channel, p.campaign_type, sample, regr_slope(r, s) AS b FROM picks p JOIN num n ON n.channel = p.channel AND n.campaign_type = p.campaign_type AND n.spot = p.pick GROUP BY ALL),
+ci AS (SELECT channel, campaign_type, quantile_cont(least(greatest(b, 0), 2), 0.1) AS lo, quantile_cont(least(greatest(b, 0), 2), 0.9) AS hi FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
+boot AS (SELECT e.channel, e.campaign_type, n_obs, beta, coalesce(lo, 1) AS ci_low, coalesce(hi, 1) AS ci_high, n_obs < 10 OR coalesce(hi, 1) - coalesce(lo, 1) > 1 AS low_confidence FROM elastic e LEFT JOIN ci ON ci.channel = e.channel AND ci.campaign_type = e.campaign_type)"""
+
+
+@query(BOOT + "\nSELECT channel, campaign_type, n_obs, round(beta, 6) AS beta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, low_confidence FROM boot")
+def elasticity_bootstrap_ci(spark, sf_dir):
+    found = fit.elasticity(_segments(spark, sf_dir), resamples=RESAMPLES)
+    return found.select(*SEG, "n_obs", *[F.round(c, 6).alias(c) for c in ("beta", "ci_low", "ci_high")], "low_confidence")
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _segments(spark, sf_dir)
+    return fit.models(rows).join(fit.elasticity(rows), list(SEG))
+
+
+def _forecast(spark: SparkSession, sf_dir: str, **multiples) -> DataFrame:
+    models = _models(spark, sf_dir)
+    return simulate.forecast(models, simulate.simulate(models, SEG, n_sims=SIMS), simulate.multiples(models, **multiples))
+
+
+@query(S.with_(S.DAILY, S.WINDOW, S.TREND, S.DOW, S.HOLIDAY, S.RESIDUAL, S.paths(20)) + "SELECT channel, campaign_type, CAST(sim AS INTEGER) AS sim, CAST(k AS INTEGER) AS k, round(residual, 4) AS residual FROM drawn")
+def block_bootstrap_draws(spark, sf_dir):
+    return simulate.draws(_models(spark, sf_dir), SEG, 90, 20).withColumn("residual", F.round("residual", 4))
+
+
+@query(S.forecast(SIMS, where="campaign_type <> ''"))
+def forecast_segment(spark, sf_dir):
+    return _forecast(spark, sf_dir).where("campaign_type <> ''")
+
+
+@query(S.forecast(SIMS, where="campaign_type = ''"))
+def forecast_rollup(spark, sf_dir):
+    return _forecast(spark, sf_dir).where("campaign_type = ''")
+
+
+@query(S.forecast(SIMS, "CASE r.channel WHEN 'meta' THEN 2.0 WHEN 'google' THEN 1.2 ELSE 1 END"))
+def forecast_scenario_channel(spark, sf_dir):
+    return _forecast(spark, sf_dir, channel={"meta": 2.0, "google": 1.2})
+
+
+@query(S.forecast(SIMS, "CASE WHEN r.channel = 'meta' AND r.campaign_type = 'ECONOMY' THEN 0.5 WHEN r.channel = 'meta' THEN 1.5 ELSE 1 END"))
+def forecast_scenario_segment(spark, sf_dir):
+    return _forecast(spark, sf_dir, channel={"meta": 1.5}, segment={("meta", "ECONOMY"): 0.5})
+
+
+@query(S.with_() + """SELECT o.channel, o.campaign_type, o.campaign_id, CAST(n_days AS INTEGER) AS n_days, CASE WHEN n_days < 3 THEN 'skip' WHEN n_days < 30 THEN 'shrinkage' ELSE 'own' END AS tier
+FROM (SELECT DISTINCT channel, campaign_type, campaign_id FROM features) o JOIN (SELECT channel, campaign_id, max(date) - min(date) + 1 AS n_days FROM features GROUP BY ALL) s ON s.channel = o.channel AND s.campaign_id = o.campaign_id""")
+def campaign_tiers(spark, sf_dir):
+    return fit.campaign_tiers(features(spark, sf_dir))
+
+
+def _issue(name: str, check: Callable[[DataFrame], DataFrame], where: str) -> None:
+    def run(spark, sf_dir):
+        return check(features(spark, sf_dir, extra=True)).select("channel", "campaign_id", "issue", "amount")
+
+    run.__name__ = name
+    query(S.with_(S.ISSUES) + f"SELECT channel, campaign_id, issue, amount FROM iss WHERE {where}")(run)
+
+
+_issue("val_name_stability", lambda r: validate.unstable(r, "campaign_name"), "issue = 'unstable_campaign_name'")
+_issue("val_date_gaps", validate.date_gaps, "issue = 'date_coverage_gap'")
+_issue("val_budget_exceeded", validate.over_budget, "issue = 'spend_exceeds_daily_budget'")
+_issue("val_conv_gt_clicks", validate.conversions_over_clicks, "issue = 'conversions_exceed_clicks'")
+_issue("val_negative", validate.negative, "issue LIKE 'negative%'")
+_issue("val_zero_revenue", validate.zero_revenue, "issue = 'zero_revenue_with_spend'")
+
+
+@query(S.with_(S.ISSUES) + f"SELECT k.issue, count(iss.issue) AS n_issues FROM (SELECT unnest({list(validate.CHECKS)}) AS issue) k LEFT JOIN iss ON iss.issue = k.issue GROUP BY ALL")
+def val_summary(spark, sf_dir):
+    return validate.summary(features(spark, sf_dir, extra=True))
+
+
+@query(S.with_(S.ISSUES) + "SELECT channel, campaign_id, issue, amount, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY channel, issue ORDER BY campaign_id, amount) AS place FROM iss) WHERE place <= 5")
+def issue_examples(spark, sf_dir):
+    return validate.examples(features(spark, sf_dir, extra=True))
+
+
+@query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features),
+s AS (SELECT channel, coalesce(sum(revenue) FILTER (date > origin - 30), 0) AS a, coalesce(sum(revenue) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS b, coalesce(sum(spend) FILTER (date > origin - 30), 0) AS c, coalesce(sum(spend) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS d FROM features, o GROUP BY channel)
+SELECT channel, round(a, 4) AS now_revenue, round(b, 4) AS then_revenue, round(c, 4) AS now_spend, round(d, 4) AS then_spend, round(CASE WHEN b > 0 THEN (a - b) / b * 100 END, 4) AS revenue_change_pct FROM s""")
+def period_deltas(spark, sf_dir):
+    return stats.period_deltas(features(spark, sf_dir))
+
+
+@query(S.with_() + """, s AS (SELECT channel, campaign_id, campaign_name, sum(spend) AS spend, coalesce(sum(revenue), 0) AS revenue FROM features GROUP BY ALL),
+t AS (SELECT channel, count(*) AS n, count(*) FILTER (spend > 0 AND revenue = 0) AS z, coalesce(sum(spend) FILTER (spend > 0 AND revenue = 0), 0) AS w FROM s GROUP BY ALL)
+SELECT channel, n AS n_campaigns, z AS n_zero, round(w, 4) AS wasted_spend, round(z / n, 6) AS zero_share FROM t WHERE z / n >= 0.0""")
+def structural_risk(spark, sf_dir):
+    return stats.structural_risk(features(spark, sf_dir), least=0.0)
+
+
+@query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features), s AS (SELECT channel, campaign_id, sum(revenue) / sum(spend) AS roas FROM features, o WHERE date > origin - 60 GROUP BY ALL HAVING sum(spend) > 0),
+z AS (SELECT *, (roas - avg(roas) OVER w) / nullif(stddev_samp(roas) OVER w, 0) AS z, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY channel))
+SELECT channel, campaign_id, round(roas, 4) AS roas, round(z, 4) AS z_score FROM z WHERE n >= 3 AND abs(z) >= 2 ORDER BY abs(z) DESC, campaign_id LIMIT 10""")
+def roas_anomalies(spark, sf_dir):
+    return stats.roas_anomalies(features(spark, sf_dir))
