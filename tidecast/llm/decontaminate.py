@@ -30,11 +30,11 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(window, phrase, item_ids): distinct windows, by the words they have."""
+    """(item_id, phrase): the distinct windows of each item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.lit(width - 1)))
-    each = items.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.slice("words", F.col("at"), F.lit(width)).alias("phrase"))
-    return each.distinct().withColumn("window", F.xxhash64(F.array_join("phrase", " ")))
+    each = items.select("item_id", "words", F.explode(starts).alias("at"))
+    return each.select("item_id", F.slice("words", F.col("at"), F.lit(width)).alias("phrase")).distinct()
 
 
 def index(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -43,26 +43,30 @@ def index(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def lookups(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """(window, phrase, term, offset, lists): each window's two rarest terms (one, if it
-    has no second), by how often they stand in the documents."""
-    every = phrases.select("window", "phrase", F.posexplode("phrase").alias("offset", "term"))
-    own = every.select("term").distinct()
+    """(window, term, rarity, offset, lists): each window's two rarest terms (one, if it
+    has no second), by how often they stand in the documents. Terms are written
+    first, so that the join with all words is planned from their real size."""
+    every = phrases.select("window", F.posexplode("phrase").alias("offset", "term"))
+    own = cut(every.select("term").distinct(), "terms")
     counts = texts.select(F.explode("words").alias("term")).join(own, "term").groupBy("term").count()
-    first = every.groupBy("window", "phrase", "term").agg(F.min("offset").alias("offset"))
-    rarity = Window.partitionBy("window", "phrase").orderBy(F.coalesce("count", F.lit(0)), "term")
+    first = every.groupBy("window", "term").agg(F.min("offset").alias("offset"))
+    rarity = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "term")
     ranked = first.join(counts, "term", "left").withColumn("rarity", F.row_number().over(rarity)).where("rarity <= 2")
-    return ranked.withColumn("lists", F.count("*").over(Window.partitionBy("window", "phrase"))).select("window", "phrase", "term", "offset", "lists")
+    return ranked.withColumn("lists", F.count("*").over(Window.partitionBy("window"))).select("window", "term", "rarity", "offset", "lists")
 
 
 def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(row, at, window, phrase): every place where a phrase stands word by word.
-    texts: (row, words), phrases: distinct (window, phrase)."""
+    """(row, at, window, size): every place where a phrase stands word by word.
+    texts: (row, words), phrases: (window, phrase)."""
     wanted = cut(lookups(phrases, texts), "lookups")
-    found = index(texts, wanted.select("term").distinct())
-    starts = found.join(wanted, "term").select("row", "window", "phrase", "lists", (F.col("at") - F.col("offset")).alias("at"), "term").where("at >= 0")
-    met = starts.groupBy("row", "at", "window", "phrase", "lists").agg(F.size(F.collect_set("term")).alias("n")).where("n = lists").select("row", "at", "window", "phrase")
-    # copies of a text have one row here. Windows longer than their two terms: compared where the lists meet
-    return met.join(texts.dropDuplicates(["row"]), "row").where(F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase")).select("row", "at", "window", "phrase")
+    found = index(texts, cut(wanted.select("term").distinct(), "terms"))
+    starts = found.join(wanted, "term").select("row", "window", "lists", (F.col("at") - F.col("offset")).alias("at"), "rarity").where("at >= 0")
+    # copies of a text have one row here
+    met = cut(starts.groupBy("row", "at", "window", "lists").agg(F.size(F.collect_set("rarity")).alias("n")).where("n = lists").select("row", "at", "window"), "met")
+    # windows have more words than their two terms: compared where the lists meet
+    held = cut(met.select("row").distinct(), "rows")
+    compared = met.join(phrases, "window").join(texts.join(held, "row", "left_semi").dropDuplicates(["row"]), "row")
+    return compared.where(F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase")).select("row", "at", "window", F.size("phrase").alias("size"))
 
 
 def near(texts: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
@@ -83,12 +87,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     keyed = docs.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = keyed.select("row", words(F.col("text")).alias("words"))
     every = cut(windows(benchmark, width), "windows")
-    found = cut(occurrences(texts, every.select("window", "phrase").distinct()), "occurrences")
-    covered = found.select("row", F.explode(F.sequence("at", F.col("at") + F.size("phrase") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = found.select("row", "window", "phrase").distinct().join(every, ["window", "phrase"]).select("row", F.col("item_id").cast("string").alias("item")).distinct()
+    phrases = cut(every.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
+    found = cut(occurrences(texts, phrases), "occurrences")
+    covered = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    items = found.select("row", "window").distinct().join(phrases, "window").join(every, "phrase").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     # at most the benchmark's items for a text
     named = items.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    sums = covered.join(named, "row")
+    sums = cut(covered.join(named, "row"), "sums")
     joined = keyed.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(sums, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(*names, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

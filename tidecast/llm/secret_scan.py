@@ -22,7 +22,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import lower_ascii, table
+from tidecast.llm.common import cut, lower_ascii, table
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # rows that have the same text share their candidates
     rows = docs.withColumn("text_", F.coalesce(F.col("text"), F.lit(""))).withColumn("row", F.xxhash64("text_"))
     index = postings(rows.select("row", F.col("text_").alias("text")), trigrams)
-    found = candidates(index, queries, trigrams)
+    found = cut(candidates(index, queries, trigrams), "candidates")  # joined by its real size
     known = rows.join(found, "row", "left")
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
     per_rule = []
