@@ -39,7 +39,10 @@ def points(models: DataFrame, keys: tuple[str, ...], days: int) -> DataFrame:
     """(keys, k, point): trend, not below 0, times weekday and holiday factors."""
     each = models.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn("date", F.expr("date_add(last_train_date, k)"))
     season = F.get("dow", F.weekday("date")) * F.when(is_holiday(F.col("date")), F.col("holiday_factor")).otherwise(1.0)
-    return each.select(*keys, "k", (F.greatest(F.lit(0.0), F.col("level_at_end") + F.col("slope") * F.col("k")) * season).alias("point"))
+    point = F.greatest(F.lit(0.0), F.col("level_at_end") + F.col("slope") * F.col("k")) * season
+    if "path" in models.columns:  # a fitted path goes before the trend
+        point = F.coalesce(F.greatest(F.lit(0.0), F.get("path", F.least(F.col("k"), F.size("path")) - 1)), point)
+    return each.select(*keys, "k", point.alias("point"))
 
 
 def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import expressions as X
-from tidecast.operators import coldstart, fit, series, simulate, stats, validate
+from tidecast.operators import backtest, coldstart, fit, holt_winters, recommend, series, simulate, stats, validate
 from tidecast.plans import sql as S
 from tidecast.sources.adaptors import features
 
@@ -245,3 +245,130 @@ z AS (SELECT *, (roas - avg(roas) OVER w) / nullif(stddev_samp(roas) OVER w, 0)
 SELECT channel, campaign_id, round(roas, 4) AS roas, round(z, 4) AS z_score FROM z WHERE n >= 3 AND abs(z) >= 2 ORDER BY abs(z) DESC, campaign_id LIMIT 10""")
 def roas_anomalies(spark, sf_dir):
     return stats.roas_anomalies(features(spark, sf_dir))
+
+
+@query(S.with_(S.DAILY) + """SELECT channel, campaign_type, CAST(b - CAST(i * 30 AS INTEGER) AS DATE) AS cutoff FROM (SELECT channel, campaign_type, min(date) AS a, max(date) AS b FROM seg GROUP BY ALL), (SELECT unnest(range(1, 4)) AS i)
+WHERE (b - CAST(i * 30 AS INTEGER)) - a + 1 >= 45""")
+def cutoffs_valid(spark, sf_dir):
+    return backtest.cutoffs(_segments(spark, sf_dir))
+
+
+@query("SELECT l_quantity, l_tax, round(greatest(0.1 * (l_quantity - l_tax * 500), (0.1 - 1) * (l_quantity - l_tax * 500)), 4) AS p10, round(greatest(0.9 * (l_quantity - l_tax * 500), (0.9 - 1) * (l_quantity - l_tax * 500)), 4) AS p90 FROM (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem)")
+def pinball(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).distinct()
+    return rows.withColumns({n: F.round(X.pinball(F.col("l_quantity"), F.col("l_tax") * 500, t), 4) for n, t in (("p10", 0.1), ("p90", 0.9))})
+
+
+@query()
+def backtest_empirical(spark, sf_dir):
+    rows = _segments(spark, sf_dir)
+    return backtest.fold_scores(rows, backtest.cutoffs(rows), "empirical", SIMS)
+
+
+@query()
+def backtest_summary(spark, sf_dir):
+    return backtest.portfolio(backtest_empirical(spark, sf_dir))
+
+
+@query()
+def method_selection(spark, sf_dir):
+    return backtest.select_method(_segments(spark, sf_dir), SIMS)
+
+
+@query()
+def calibration_scale(spark, sf_dir):
+    return backtest.calibrate(_segments(spark, sf_dir), SIMS)
+
+
+@query()
+def holt_winters_fixed(spark, sf_dir):
+    return holt_winters.fit(_segments(spark, sf_dir), optimise=False)
+
+
+@query()
+def holt_winters_optimised(spark, sf_dir):
+    return holt_winters.fit(_segments(spark, sf_dir))
+
+
+@query()
+def shrinkage_models(spark, sf_dir):
+    return fit.shrinkage(features(spark, sf_dir))
+
+
+def _confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _segments(spark, sf_dir)
+    return fit.models(rows).join(fit.elasticity(rows, resamples=RESAMPLES), list(SEG))
+
+
+ELIGIBLE = BOOT + ",\n" + S.RECENT + ",\nelig AS (SELECT b.channel, b.campaign_type, avg_spend, beta FROM boot b JOIN recent r ON r.channel = b.channel AND r.campaign_type = b.campaign_type WHERE NOT low_confidence AND avg_spend >= 5)"
+
+
+@query(ELIGIBLE + "\nSELECT channel, campaign_type, round(avg_spend, 4) AS avg_spend, round(beta, 6) AS beta FROM elig")
+def reco_eligible(spark, sf_dir):
+    return recommend.eligible(_confident(spark, sf_dir)).select(*SEG, F.round("avg_spend", 4).alias("avg_spend"), F.round("beta", 6).alias("beta"))
+
+
+@query(ELIGIBLE + """, lo AS (SELECT * FROM elig ORDER BY beta, channel, campaign_type LIMIT 3), hi AS (SELECT * FROM elig ORDER BY beta DESC, channel, campaign_type LIMIT 3)
+SELECT lo.channel AS donor_channel, lo.campaign_type AS donor_type, hi.channel AS receiver_channel, hi.campaign_type AS receiver_type, round(lo.avg_spend * 0.2, 4) AS shift,
+ round(CASE WHEN hi.avg_spend > 0 THEN least((hi.avg_spend + lo.avg_spend * 0.2) / hi.avg_spend, 2.5) ELSE 1 END, 6) AS receiver_multiple FROM lo, hi WHERE lo.channel <> hi.channel OR lo.campaign_type <> hi.campaign_type""")
+def reco_pairs(spark, sf_dir):
+    found = recommend.pairs(_confident(spark, sf_dir))
+    return found.select("donor_channel", "donor_type", "receiver_channel", "receiver_type", F.round("shift", 4).alias("shift"), F.round("receiver_multiple", 6).alias("receiver_multiple"))
+
+
+@query()
+def reco_priced(spark, sf_dir):
+    models = _confident(spark, sf_dir)
+    return recommend.priced(models, recommend.pairs(models), simulate.simulate(models, SEG, n_sims=SIMS))
+
+
+@query()
+def reco_top(spark, sf_dir):
+    return recommend.top(reco_priced(spark, sf_dir))
+
+
+@query()
+def retro_pairs(spark, sf_dir):
+    return recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES)
+
+
+@query()
+def retro_summary(spark, sf_dir):
+    return retro_pairs(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"), F.avg(F.col("confirmed").cast("int")).alias("rate"))
+
+
+@query(S.with_(S.LEVELS) + ", t AS (SELECT channel, campaign_type, campaign_id, round(day * 90 + 1e-7, 4) AS p50 FROM lev WHERE campaign_id <> '') SELECT * FROM t ORDER BY p50 DESC, channel, campaign_type, campaign_id LIMIT 15")
+def top_campaigns(spark, sf_dir):
+    rows = coldstart.forecast(features(spark, sf_dir), rollup=False, horizons=(90,)).where("campaign_id <> '' and metric = 'revenue'")
+    return rows.select(*SEG, "campaign_id", "p50").orderBy(F.desc("p50"), *SEG, "campaign_id").limit(15)
+
+
+@query(S.with_(S.LEVELS) + "SELECT channel, campaign_type, round(day * 30 + 1e-7, 4) AS p50_30, round(day * 60 + 1e-7, 4) AS p50_60, round(day * 90 + 1e-7, 4) AS p50_90 FROM lev WHERE campaign_id = ''")
+def segment_pivot(spark, sf_dir):
+    rows = coldstart_segment(spark, sf_dir).where("metric = 'revenue'").groupBy(*SEG).pivot("horizon_days", [30, 60, 90]).agg(F.first("p50"))
+    return rows.select(*SEG, *[F.col(str(h)).alias(f"p50_{h}") for h in (30, 60, 90)])
+
+
+@query(BOOT + "\nSELECT channel, campaign_type, round(beta, 2) AS beta, round(ci_low, 2) AS ci_low, round(ci_high, 2) AS ci_high, n_obs, low_confidence FROM boot")
+def elasticity_summary(spark, sf_dir):
+    found = fit.elasticity(_segments(spark, sf_dir), resamples=RESAMPLES)
+    return found.select(*SEG, *[F.round(c, 2).alias(c) for c in ("beta", "ci_low", "ci_high")], "n_obs", "low_confidence").orderBy("beta", *SEG)
+
+
+@query()
+def scenario_deltas(spark, sf_dir):
+    base, moved = forecast_rollup(spark, sf_dir), forecast_scenario_channel(spark, sf_dir)
+    blended = lambda df, n: df.where("channel = 'blended'").select("horizon_days", "metric", F.col("p50").alias(n))
+    both = blended(base, "baseline").join(blended(moved, "scenario"), ["horizon_days", "metric"])
+    return both.withColumn("change_pct", F.when(F.col("baseline") > 0, F.round((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))
+
+
+@query()
+def reliability(spark, sf_dir):
+    scored = backtest.summary(backtest_empirical(spark, sf_dir))
+    return scored.select(*SEG, "method", "ape", "coverage", ((F.col("coverage") < 40) | (F.col("ape") > 150)).alias("low_reliability")).orderBy(F.coalesce("coverage", F.lit(999.0)))
+
+
+@query()
+def coverage_mean(spark, sf_dir):
+    return reliability(spark, sf_dir).agg(F.avg("coverage").alias("coverage"))
