@@ -15,35 +15,36 @@ from tidecast.llm import decontaminate, pack, parity_join, quality_classifier, s
 from tidecast.llm.common import cut, table
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _carried(docs: DataFrame) -> DataFrame:
+    """Documents as one column beside what operators read, so that no names clash."""
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(F.struct("*").alias("doc_"), "doc_id", "text", n_chars.cast("long").alias("n_chars"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    whole = quality_classifier.with_n_chars(docs)
-    machine = quality_classifier.trained(spark, sf_dir, whole)
-    scored = quality_classifier.score(whole, machine)
-    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select(*_columns(docs))
+    machine = quality_classifier.trained(spark, sf_dir, quality_classifier.with_n_chars(docs))
+    scored = quality_classifier.score(_carried(docs), machine)
+    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select("doc_.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of least id."""
     found = parity_join.near_duplicates(docs)
-    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least")).distinct()
-    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*_columns(docs))
+    least = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least_")).distinct(), "least")
+    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col("least_")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(*_columns(docs))
+    found = decontaminate.contamination(_carried(docs), table(spark, sf_dir, "benchmark"))
+    return found.where("not contaminated").select("doc_.*")
 
 
 def free_of_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no secret stands."""
-    return secret_scan.scan(docs).where("spans = ''").select(*_columns(docs))
+    return secret_scan.scan(_carried(docs)).where("spans = ''").select("doc_.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,20 +83,21 @@ def near(texts: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add n_words, n_hit, n_items, items_sha256 and contaminated to docs with a text."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.select("row", words(F.col("text")).alias("words"))
+    added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")  # take the place of columns of these names
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    keyed = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_"))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), words(F.col("text")).alias("words"))
     every = cut(windows(benchmark, width), "windows")
     phrases = cut(every.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
     found = cut(occurrences(texts, phrases), "occurrences")
-    covered = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    covered = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("hits_"))
     items = found.select("row", "window").distinct().join(phrases, "window").join(every, "phrase").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     # at most the benchmark's items for a text
-    named = items.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    sums = cut(covered.join(named, "row"), "sums")
-    joined = keyed.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(sums, "row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(*names, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    named = items.groupBy("row").agg(F.count("*").alias("found_"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items_"))
+    sums = cut(covered.join(named, "row").withColumnRenamed("row", "row_"), "sums")
+    joined = keyed.withColumn("words_", F.size(words(F.col("text"))).cast("long")).join(sums, "row_", "left")
+    n_hit = F.coalesce("hits_", F.lit(0)).cast("long")
+    return joined.select(*names, F.col("words_").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("found_", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items_", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ class Machine:
         self.v = rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32)
         x = np.hstack([words, self.standard(stats)]).astype(np.float32)
         gw, gv = np.full(size, 1e-2, np.float32), np.full((size, FACTORS), 1e-2, np.float32)
-        for _ in range(epochs):
+        for _ in range(max(epochs, min(400, 400 * 256 // len(y)))):  # small samples have few batches
             order = rng.permutation(len(y))
             for at in range(0, len(y), 256):
                 r = order[at : at + 256]

@@ -161,27 +161,29 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Add n_assign, n_access, n_hex, base_sha256 and spans to docs with a text."""
-    names = docs.columns
+    added = {f"n_{r.kind}" for r in RULES if r.base} | {"base_sha256", "spans"}  # take the place of columns of these names
+    names = [c for c in docs.columns if c not in added]
     queries = {i: q for i, r in enumerate(RULES) if (q := required(r.pattern)) != [frozenset()]}
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
     # rows that have the same text share their candidates
-    rows = docs.withColumn("text_", F.coalesce(F.col("text"), F.lit(""))).withColumn("row", F.xxhash64("text_"))
-    index = postings(rows.select("row", F.col("text_").alias("text")), trigrams)
-    found = cut(candidates(index, queries, trigrams), "candidates")  # joined by its real size
-    known = rows.join(found, "row", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("text_"), F.xxhash64(text).alias("row_"))
+    index = postings(docs.select(F.xxhash64(text).alias("row"), text.alias("text")), trigrams)
+    found = cut(candidates(index, queries, trigrams).select(F.col("row").alias("row_"), F.col("rules").alias("rules_")), "candidates")  # joined by its real size
+    known = rows.join(found, "row_", "left")
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
     per_rule = []
     for i, rule in enumerate(RULES):
         hits = spans_of(F.col("text_"), rule)
         if i in queries:
-            hits = F.when(F.array_contains("rules", i), hits).otherwise(none)
+            hits = F.when(F.array_contains("rules_", i), hits).otherwise(none)
         else:
             hits = F.when(F.col("text_").rlike(rule.pattern), hits).otherwise(none)
-        per_rule.append(hits.alias(f"spans_{i}"))
+        per_rule.append(hits.alias(f"spans_{i}_"))
     searched = known.select(*[F.col(f"`{c}`") for c in names], *per_rule)
-    base = F.array_sort(F.concat(*[F.col(f"spans_{i}") for i, r in enumerate(RULES) if r.base]))
-    every = F.array_sort(F.concat(*[F.col(f"spans_{i}") for i in range(len(RULES))]))
-    counts = [F.size(f"spans_{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES) if r.base]
+    base = F.array_sort(F.concat(*[F.col(f"spans_{i}_") for i, r in enumerate(RULES) if r.base]))
+    every = F.array_sort(F.concat(*[F.col(f"spans_{i}_") for i in range(len(RULES))]))
+    counts = [F.size(f"spans_{i}_").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES) if r.base]
     return searched.select(*[F.col(f"`{c}`") for c in names], *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
