@@ -185,13 +185,15 @@ class Forest:
 
     def decode(self, chance: np.ndarray) -> list[np.ndarray]:
         """For each page, the likeliest choice of nodes in which all above a kept node are kept."""
-        drop = self.add_up(np.log(np.maximum(1 - chance, 1e-6)))
-        keep = np.log(np.maximum(chance, 1e-6))
+        # words within a block go with the block
+        inline = np.array([t in INLINE for p in self.pages for t in p.tag]) & ~self.root[self.parent]
+        drop = self.add_up(np.where(inline, 0, np.log(np.maximum(1 - chance, 1e-6))))
+        keep = np.where(inline, 0, np.log(np.maximum(chance, 1e-6)))
         for level in reversed(self.levels):
-            np.add.at(keep, self.parent[level], np.maximum(drop[level], keep[level]))
+            np.add.at(keep, self.parent[level], np.where(inline[level], keep[level], np.maximum(drop[level], keep[level])))
         kept = self.root.copy()
         for level in self.levels:
-            kept[level] = kept[self.parent[level]] & (keep[level] >= drop[level])
+            kept[level] = kept[self.parent[level]] & (inline[level] | (keep[level] >= drop[level]))
         return np.split(kept, self.first[1:])
 
 
