@@ -60,8 +60,7 @@ def gram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 1e-3) -> np.ndarray:
     """Weights and, last, bias of a linear machine with squared hinge loss, by
-    accelerated gradient. Classes weigh the same. y: -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    accelerated gradient. Classes weigh the same. x has a last column of ones; y: -1 or 1."""
     weigh = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v, rate = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32), 1.0
     for _ in range(8):  # largest curvature, by power iteration
@@ -77,7 +76,8 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float =
 
 
 class Model:
-    """machines: (level, positive, negative, column); columns: weights of all machines."""
+    """machines: (level, positive, negative, column); columns: weights of all machines.
+    x, with a last column of ones, is scaled in place."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray) -> None:
         self.langs = sorted(set(langs))
@@ -86,14 +86,17 @@ class Model:
         self.members = [[i for i, k in enumerate(self.langs) if family[k] == f] for f in self.families]
         own = np.array([self.families.index(family[k]) for k in self.langs], int)
         self.machines, columns = [], []
-        scale = np.float32(1) / (x.std(axis=0) + np.float32(1e-4)) if len(x) else np.ones(BUCKETS, np.float32)
-        scale = scale / np.sqrt(BUCKETS)
-        x = x * scale
+        scale = np.ones(BUCKETS, np.float32)
+        if len(x):
+            square = np.einsum("ij,ij->j", x, x)[:-1] / len(x)
+            scale = np.float32(1) / (np.sqrt(np.maximum(0, square - x.mean(axis=0)[:-1] ** 2)) + np.float32(1e-4))
+        scale = (scale / np.sqrt(BUCKETS)).astype(np.float32)
+        x[:, :-1] *= scale
         pairs = [(0, a, b, own[y]) for a, b in combinations(range(len(self.families)), 2)]
         pairs += [(1, a, b, y) for m in self.members for a, b in combinations(m, 2)]
         for level, a, b, of in pairs:
             rows = np.flatnonzero((of == a) | (of == b))
-            w = fit_machine(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))
+            w = fit_machine(x if len(rows) == len(x) else x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))
             self.machines.append((level, a, b))
             columns.append(np.append(w[:-1] * scale, w[-1]))
         self.weights = np.array(columns, np.float32).reshape(len(columns), BUCKETS + 1).T.copy() if columns else np.zeros((BUCKETS + 1, 0), np.float32)
@@ -137,13 +140,14 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int))
+        return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0, int))
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1_000_000, 1_000_000 * per_language // r["count"] + 1))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < rate[F.col("lang")])
     got = picked.select("lang", "text").mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["shares"])))
     langs = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), BUCKETS), np.float32)
+    x = np.zeros((len(got), BUCKETS + 1), np.float32)
+    x[:, -1] = 1
     for i, r in enumerate(got):
         u, c = np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")
         x[i, u[u < BUCKETS]] = c[u < BUCKETS]
