@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,6 +209,20 @@ def test_token_rollup(spark, tmp_path):
         store.commit("../x", change())
 
 
+def test_token_counts_against_patterns(docs, empty):
+    patterns = [re.compile(p) for p in token_rollup.TOKENIZERS.values()]
+
+    def plain(text):
+        clean = re.sub(token_rollup.NOISE, " ", text)
+        return [len(p.findall(x)) for x in (text, clean) for p in patterns]
+
+    got = token_rollup.token_counts(docs.withColumn("n_0", F.lit("clash"))).collect()
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r["doc_id"], [r["n_0"], r["n_1"], r["r_0"], r["r_1"]]) for r in got), key=key) == sorted(((i, plain(t)) for i, t in texts), key=key)
+    assert token_rollup.token_counts(empty).count() == 0
+
+
 def test_html():
     model = html_text.fitted()
     page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a> <a>News</a></nav><article><h1>A &amp; B</h1><p>First   one, with\nwords. <b>Bold</b> too.<p>Second one has several words, and ends.</article><div class='cookie-notice'>We use cookies.</div><footer>&copy; Us</footer></body></html>"

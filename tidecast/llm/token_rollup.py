@@ -19,22 +19,65 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, exists, shared_dir, table
+from tidecast.llm.common import cut, exists, plus, shared_dir, slices, table
 
 KEYS = ("source", "lang", "tokenizer")
 
-# What each tokenizer version counts, as patterns valid for Java and RE2.
+# What each tokenizer version counts, as classes of characters.
 WORD = r"[^\x20\x09-\x0D]+"
 RUN_OR_MARK = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
 NOISE = r"[#*$%&|<>]"
 TOKENIZERS = {"words-1": WORD, "marks-2": RUN_OR_MARK}
 
 
-def count_tokens(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+def _bytes_of(pattern: str) -> np.ndarray:
+    """Which of the 256 bytes one character of the class `pattern` may begin or go on with."""
+    wanted = re.compile(pattern.removesuffix("+"))
+    return np.array([wanted.fullmatch(chr(b)) is not None if b < 128 else bool(wanted.fullmatch("\u00e9")) for b in range(256)])
+
+
+def _counter(pattern: str, blank: np.ndarray | None = None):
+    """Counts matches in bytes of UTF-8 texts that are joined, each closed by a space;
+    `blank` bytes count as spaces. Patterns are alternatives of classes: those with a
+    `+` count once a run, the others once a byte."""
+    runs, marks = np.zeros(256, bool), np.zeros(256, bool)
+    for part in pattern.split("|"):
+        (runs if part.endswith("+") else marks)[_bytes_of(part)] = True
+    if blank is not None:
+        for kinds in (runs, marks):
+            kinds[blank] = kinds[0x20]
+
+    def count(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        inside = runs[raw]
+        found = inside.copy()
+        found[1:] &= ~inside[:-1]
+        if marks.any():
+            found |= marks[raw]
+        return np.add.reduceat(found, begin, dtype=np.int64)
+
+    return count
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """source, lang and doc_id of docs with n_i, the tokens of the i-th tokenizer in
+    the whole text, and r_i, those that are left when noise signs become spaces."""
+    noise = _bytes_of(NOISE)
+    counters = [_counter(p) for p in TOKENIZERS.values()] + [_counter(p, noise) for p in TOKENIZERS.values()]
+    names = [f"{x}_{i}" for x in "nr" for i in range(len(TOKENIZERS))]
+    kept = docs.select("doc_id", "source", "lang", "text")
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(count(raw, begin)) for count in counters)], ["doc_id", "source", "lang", *names])
+
+    return kept.mapInArrow(run, plus(kept.drop("text"), **dict.fromkeys(names, "long")))
 
 
 class Rollup:
@@ -84,11 +127,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     low quality counted anew without noise signs; those that labels call toxic
     deleted, with their revised counts. The last is committed twice."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    clean = F.regexp_replace("text", NOISE, " ")
-    counts = [count_tokens(F.col("text"), p).alias(f"n_{i}") for i, p in enumerate(TOKENIZERS.values())]
-    counts += [count_tokens(clean, p).alias(f"r_{i}") for i, p in enumerate(TOKENIZERS.values())]
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    counted = cut(docs.select("doc_id", "source", "lang", *counts).join(marked, "doc_id", "left"), "counts")
+    counted = cut(token_counts(docs).join(marked, "doc_id", "left"), "counts")
     counted = counted.withColumns({f"now_{i}": F.expr(f"if(quality = 0, r_{i}, n_{i})") for i in range(len(TOKENIZERS))})
     revised = counted.where("quality = 0").withColumns({f"diff_{i}": F.expr(f"r_{i} - n_{i}") for i in range(len(TOKENIZERS))})
     store = Rollup(spark, f"{shared_dir(spark)}/tidecast/rollup-{uuid.uuid4().hex}")
