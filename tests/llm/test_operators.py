@@ -292,3 +292,23 @@ def test_context_tree(spark, docs, empty):
     assert all(few[i]["base_score"] == pytest.approx(many[i]["base_score"]) and few[i]["n_known"] == many[i]["n_known"] for i in few)
     assert context_tree.score(empty.select("doc_id", "text"), rows).count() == 0
     assert context_tree.score(docs.select("doc_id", "text"), empty.select("text")).where("n_known > 0").count() == 0
+
+
+def test_context_tree_holds_every_gram(spark):
+    train = ["Abracadabra banana", "the banana band", "the banana band", "a cab ran over the land"]
+    rows = spark.createDataFrame([(t,) for t in train], "text string")
+    asked = spark.createDataFrame([(0, "the banana ran over a zebra"), (1, "xyz")], "doc_id long, text string")
+    plain = [plain_tree([t.lower().encode() for t in train], t.encode()) for t in ("the banana ran over a zebra", "xyz")]
+    for most in (0, 5):  # what is broadcast doesn't change the result
+        got = by_id(context_tree.score(asked, rows, most_grams=most))
+        assert [got[i]["score"] for i in (0, 1)] == pytest.approx(plain, abs=1e-4)
+
+
+def test_context_tree_tells_rare_grams():
+    """Of 300000 grams, more than were ever kept, those that were seen are told from others."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 300_000, dtype=np.uint64) << np.uint64(8) | np.uint64(97))
+    other = keys[:1000] ^ np.uint64(7)
+    top = context_tree.Top(*np.unique(keys & np.uint64(0xFFFFFF), return_counts=True), *context_tree.below_top(keys, np.full(len(keys), 4.0)))
+    values = context_tree.log10_of(np.append(keys, other), np.append(np.full(len(keys), 4.0), np.zeros(1000)), top)
+    assert values[: len(keys)].min() > values[len(keys) :].max()

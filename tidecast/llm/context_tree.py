@@ -8,9 +8,11 @@ how well they code the training data. The score is the log10 probability of the
 lower-cased text and its end; `code_length` is the same in bits a byte.
 
 Counts come from all training rows: byte n-grams and tokens are counted in tasks
-and added up by a shuffle. The tree that is sent to the executors holds, at each
-depth, the n-grams of at least a count that is chosen so that no more than
-MOST_GRAMS remain; rarer ones are pooled in one child of their parent. Token counts
+and added up by a shuffle. The tree holds every counted n-gram. Its subtrees below
+TOP bytes of context are computed in tasks, each from the grams of whole contexts
+of TOP bytes; the tree above them, whose size the alphabet bounds, on the driver.
+The log10 probabilities of the MOST_GRAMS most frequent grams are broadcast; a text's
+other grams, seen in training or not, are looked up by a join. Token counts
 are looked up among the MOST_TOKENS most frequent of at most LONGEST_TOKEN bytes,
 which are broadcast; the rest are joined.
 
@@ -21,17 +23,21 @@ every decision is even. Repeated rows repeat their result; extra columns are ign
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm.common import cut, plus, remainder, slices, table
 
 DEPTH = 5
-#: The broadcast tree's size: n-grams of 1, 2, ... DEPTH + 1 bytes.
-MOST_GRAMS = (256, 1 << 15, 1 << 16, 1 << 17, 1 << 18, 1 << 18)
+#: Bytes of context by which grams are dealt to tasks.
+TOP = 3
+#: Frequent grams whose log10 probability is broadcast; results don't depend on it.
+MOST_GRAMS = 1 << 19
 MOST_TOKENS = 1 << 17
 #: Longer tokens, in bytes, are never broadcast but joined.
 LONGEST_TOKEN = 64
@@ -40,6 +46,8 @@ END = b""
 SLICE = 1_000_000
 #: Distinct grams, and tokens, that a task adds up before it hands them on.
 HELD_GRAMS, HELD_TOKENS = 400_000, 100_000
+#: Grams whose subtrees a task computes at a time, if contexts of TOP bytes have no more.
+SUBTREE_GRAMS = 100_000
 #: Rows that go to a Python worker at a time; results don't depend on it.
 BATCH_ROWS = 500
 
@@ -106,86 +114,155 @@ class Lookup:
         return out
 
 
-class Tree:
-    """counts: for each n-gram size from 1, sorted distinct n-grams and how often they occur."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        def summed(at: np.ndarray, x: np.ndarray, key: np.ndarray) -> np.ndarray:
-            return np.bincount(at, x, len(key)).astype(float)
-
-        nodes = []
-        for keys, n in counts:
-            parts = []
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << 8 * size) - 1)
+
+
+class Level:
+    """The grams of one size: sorted, how often each occurs, and where each one's
+    gram without its earliest byte is in the level above."""
+
+    def __init__(self, size: int, keys: np.ndarray, n: np.ndarray, above: Level | None) -> None:
+        self.keys, self.n = keys, n
+        self.up = None if above is None else np.searchsorted(above.keys, keys & _mask(size - 1))
+
+    def nodes(self, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the decisions on bit j: where each one's grams begin, each gram's decision, zeros and ones."""
+        prefix = self.keys >> np.uint64(8 - j)
+        new = np.append(True, prefix[1:] != prefix[:-1])
+        begin = np.flatnonzero(new)
+        ones = np.add.reduceat(self.n * ((self.keys >> np.uint64(7 - j)) & np.uint64(1)).astype(float), begin)
+        return begin, np.cumsum(new) - 1, np.add.reduceat(self.n, begin) - ones, ones
+
+
+def levels(keys: np.ndarray, n: np.ndarray, sizes: range) -> list[Level]:
+    """Levels of grams of `sizes` bytes, from grams that are at least as long."""
+    out: list[Level] = []
+    for size in sizes:
+        own, at = np.unique(keys & _mask(size), return_inverse=True)
+        out.append(Level(size, own, np.bincount(at, n, len(own)), out[-1] if out else None))
+    return out
+
+
+def weights(tree: list[Level], j: int, below: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
+    """For the decisions on bit j: at each level where grams begin, each gram's decision, its decision's parent,
+    chance of a one, weight of its own estimate, and whether it was ever taken; and ln of the first level's
+    weighted probabilities. below: sums of these over the children of the last level's nodes, if it has any."""
+    out, total, lower = [], np.zeros(0), None
+    nodes = [level.nodes(j) for level in tree]
+    for d in range(len(tree) - 1, -1, -1):
+        begin, which, zeros, ones = nodes[d]
+        own = log_estimate(zeros, ones)
+        kids = below if lower is None else np.bincount(lower, total, len(begin))
+        if kids is None:
+            total, weight = own, np.ones(len(begin))
+        else:
+            total = np.logaddexp(own, kids) - np.log(2)
+            weight = np.exp(np.minimum(0, own - np.log(2) - total))
+        lower = nodes[d - 1][1][tree[d].up[begin]] if d else None
+        out.append((begin, which, lower, (ones + 0.5) / (zeros + ones + 1), weight, zeros + ones > 0))
+    return out[::-1], total
+
+
+def descend(found: list[tuple], state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple]:
+    """From the chances mixed so far, the weight that is left and what is predicted above the first level, these
+    at each level. A node that was never reached in training predicts what its parent does."""
+    out = []
+    for _, _, parent, chance, weight, taken in found:
+        mixed, rest, predicted = (x[parent] for x in state) if parent is not None else state
+        state = mixed + rest * weight * chance, rest * (1 - weight), np.where(taken, mixed + rest * chance, predicted)
+        out.append(state)
+    return out
+
+
+def _decisions(level: Level, begin: np.ndarray, j: int) -> np.ndarray:
+    """Numbers of the decisions on bit j: the context and the bits so far."""
+    key = level.keys[begin]
+    return (key >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << j) | (key & np.uint64(255)) >> np.uint64(8 - j)
+
+
+class Top:
+    """The tree down to contexts of TOP - 1 bytes. keys, n: grams of TOP bytes; ids, below: sums of ln weighted
+    probabilities of the deeper nodes by the decision of the last level that they are below."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray, below: np.ndarray) -> None:
+        order = np.argsort(ids)
+        ids, below = ids[order], below[order]
+        parts: list[list[tuple]] = [[] for _ in range(TOP)]
+        if len(keys):
+            tree = levels(keys, n, range(1, TOP + 1))
             for j in range(8):
-                node = (keys >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << j) | (keys & np.uint64(255)) >> np.uint64(8 - j)
-                begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(keys) else np.zeros(0, int)
-                bit = (keys >> np.uint64(7 - j)) & np.uint64(1)
-                both = np.add.reduceat(n, begin) if len(keys) else np.zeros(0)
-                ones = np.add.reduceat(n * bit.astype(float), begin) if len(keys) else np.zeros(0)
-                parts.append((node[begin], both - ones, ones))
-            key, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(key)
-            nodes.append((key[order], zeros[order], ones[order]))
-        # from the leaves: weighted probabilities
-        weigh: list[np.ndarray] = [np.zeros(0)] * len(nodes)
-        parents: list[np.ndarray] = [np.zeros(0, int)] * len(nodes)
-        below = None
-        for d in range(len(nodes) - 1, -1, -1):
-            key, zeros, ones = nodes[d]
-            own = log_estimate(zeros, ones)
-            if below is None:
-                total, weigh[d] = own, np.ones(len(key))
-            else:
-                at = parents[d + 1]
-                kids, left0, left1 = summed(at, below, key), zeros - summed(at, nodes[d + 1][1], key), ones - summed(at, nodes[d + 1][2], key)
-                kids += log_estimate(np.maximum(0, left0), np.maximum(0, left1))
-                total = np.logaddexp(own, kids) - np.log(2)
-                weigh[d] = np.exp(np.minimum(0, own - np.log(2) - total))
-            below = total
-            if d:
-                up = np.uint64((1 << 8 * d) - 1)  # the node's key without the earliest byte of its context
-                parents[d] = np.searchsorted(nodes[d - 1][0], key & up)
-        # from the root: what is predicted where no deeper node is known
+                last = tree[-1]
+                found, _ = weights(tree, j, below[np.searchsorted(ids, _decisions(last, last.nodes(j)[0], j))])
+                k = len(found[0][0])
+                for d, state in enumerate(descend(found, (np.zeros(k), np.ones(k), np.full(k, 0.5)))):
+                    parts[d].append((_decisions(tree[d], found[d][0], j), *state))
         self.levels = []
-        mixed, rest = np.zeros(0), np.ones(0)
-        for d, (key, zeros, ones) in enumerate(nodes):
-            chance = (ones + 0.5) / (zeros + ones + 1)
-            m, r = (mixed[parents[d]], rest[parents[d]]) if d else (np.zeros(len(key)), np.ones(len(key)))
-            predicted = (m + r * chance).astype(np.float32)
-            mixed, rest = m + r * weigh[d] * chance, r * (1 - weigh[d])
-            self.levels.append((Lookup(key), predicted))
-        keys = counts[-1][0]
-        self.whole = Lookup(keys)
-        self.known = self._by_bits(keys).astype(np.float32)
-
-    def _by_bits(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte, bit by bit, each at its deepest known node."""
-        out = np.zeros(len(keys))
-        for j in range(8):
-            low = np.uint64(1 << j) | (keys & np.uint64(255)) >> np.uint64(8 - j)
-            chance, open_ = np.full(len(keys), 0.5), np.arange(len(keys))
-            for d in range(DEPTH, -1, -1):
-                context = (keys[open_] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-                at = self.levels[d][0].find(context << np.uint64(8) | low[open_])
-                hit = at >= 0
-                chance[open_[hit]] = self.levels[d][1][at[hit]]
-                open_ = open_[~hit]
-            bit = (keys >> np.uint64(7 - j)) & np.uint64(1) == 1
-            out += np.log10(np.where(bit, chance, 1 - chance))
+        for part in parts:
+            id_, *state = (np.concatenate(x) for x in zip(*part, strict=True)) if part else (np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
+            order = np.argsort(id_)
+            self.levels.append((id_[order], *(x[order] for x in state)))
+
+    def state(self, level: Level, begin: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the decisions of a level of TOP bytes, as descend() has it; from the deepest known decision."""
+        wanted = _decisions(level, begin, j)
+        out = np.zeros(len(wanted)), np.ones(len(wanted)), np.full(len(wanted), 0.5)
+        for d, (ids, *state) in enumerate(self.levels):
+            if len(ids):
+                id_ = (wanted >> np.uint64(8) & _mask(d)) << np.uint64(8) | wanted & np.uint64(255)
+                at = np.minimum(np.searchsorted(ids, id_), len(ids) - 1)
+                hit = ids[at] == id_
+                for x, own in zip(out, state, strict=True):
+                    x[hit] = own[at[hit]]
         return out
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        at = self.whole.find(keys)
-        out = self.known[at] if len(self.known) else np.zeros(len(keys), np.float32)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            distinct, back = np.unique(keys[miss], return_inverse=True)
-            out[miss] = self._by_bits(distinct)[back]
-        return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+def below_top(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions on contexts of TOP - 1 bytes, and the sums over their children of ln weighted probabilities.
+    keys, n: all grams of some contexts of TOP bytes."""
+    tree, ids, sums = levels(keys, n, range(TOP, DEPTH + 2)), [], []
+    for j in range(8):
+        found, total = weights(tree[1:], j)
+        begin, which, _, _ = tree[0].nodes(j)
+        ids.append(_decisions(tree[0], begin, j))
+        sums.append(np.bincount(which[tree[1].up[found[0][0]]], total, len(begin)))
+    return np.concatenate(ids), np.concatenate(sums)
+
+
+def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
+    """log10 probability of the last byte of each distinct gram; those with n = 0 were not seen in training.
+    keys, n: all grams of some contexts of TOP bytes."""
+    tree = levels(keys, n, range(TOP, DEPTH + 2))
+    out = np.zeros(len(keys))
+    for j in range(8):
+        found, _ = weights(tree[1:], j)
+        begin, which, _, _ = tree[0].nodes(j)
+        first = found[0]
+        state = descend([(*first[:2], which[tree[1].up[first[0]]], *first[3:]), *found[1:]], top.state(tree[0], begin, j))[-1]
+        one = (tree[-1].keys >> np.uint64(7 - j)) & np.uint64(1) == 1
+        chance = state[2][found[-1][1]]
+        out += np.log10(np.where(one, chance, 1 - chance))
+    return out[np.searchsorted(tree[-1].keys, keys)]
+
+
+class Frequent:
+    """log10 probabilities of the most frequent grams."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.lookup, self.values = Lookup(keys), np.append(values, 0.0)
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Each text's sum over the grams held here; its other grams, and how often each occurs in it."""
         keys, begin = grams(texts)
-        return np.add.reduceat(self.log10(keys).astype(float), begin)
+        at = self.lookup.find(keys)
+        miss = np.flatnonzero(at < 0)
+        text, other = np.searchsorted(begin, miss, "right") - 1, keys[miss]
+        order = np.lexsort((other, text))
+        text, other = text[order], other[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (other[1:] != other[:-1]))) if len(text) else np.zeros(0, int)
+        n = np.diff(np.append(first, len(text)))
+        stops = np.searchsorted(text[first], np.arange(1, len(texts)))
+        return np.add.reduceat(self.values[at], begin), np.split(other[first].astype(np.int64), stops), np.split(n, stops)
 
 
 def _cut_in_small_batches(df: DataFrame, name: str) -> DataFrame:
@@ -229,24 +306,77 @@ def counted(texts: DataFrame) -> DataFrame:
     return _cut_in_small_batches(texts.select("text").mapInArrow(run, "token binary, gram long, n long").groupBy("token", "gram").agg(F.sum("n").alias("n")), "counts")
 
 
-def tree(counts: DataFrame, most: tuple[int, ...] = MOST_GRAMS) -> Tree:
-    """The weighted tree of counted n-grams, of a size that `most` bounds."""
-    orders = F.array(*[F.struct(F.lit(d).alias("size"), F.col("gram").bitwiseAND((1 << 8 * d) - 1).alias("key")) for d in range(1, DEPTH + 2)])
-    every = cut(counts.where("gram is not null").select(F.inline(orders), "n").groupBy("size", "key").agg(F.sum("n").alias("n")), "grams")
-    steps = {(r["size"], r["step"]): r["count"] for r in every.groupBy("size", F.floor(4 * F.log2("n")).alias("step")).count().collect()}
-    least, found = -1, []
-    for d in range(1, DEPTH + 2):  # a gram is known only where the shorter ones are
-        own = sorted((s, c) for (size, s), c in steps.items() if size == d)
-        while sum(c for s, c in own if s > least) > most[d - 1]:
-            least += 1
-        kept = every.where((F.col("size") == d) & (F.floor(4 * F.log2("n")) > least)).select("key", "n").toArrow()
-        key, n = kept["key"].to_numpy().astype(np.uint64), kept["n"].to_numpy().astype(float)
-        order = np.argsort(key)
-        found.append((key[order], n[order]))
-    return Tree(found)
-
-
-def score(docs: DataFrame, training: DataFrame, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def _by_contexts(grams: DataFrame, run: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch], kinds: str) -> DataFrame:
+    """run() over rows (gram, ...) that hold whole contexts of TOP bytes."""
+
+    def parts(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def whole(last: bool):
+            nonlocal held, size
+            if not size:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks()
+            context = rows["context"].to_numpy()
+            stop = len(context) if last else int(np.searchsorted(context, context[-1]))
+            if stop:
+                yield run(rows["gram"].to_numpy()[:stop].astype(np.uint64), rows.slice(0, stop))
+            held = rows.slice(stop).to_batches()
+            size = len(context) - stop
+
+        limit = SUBTREE_GRAMS
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= limit:
+                yield from whole(False)
+                limit = max(SUBTREE_GRAMS, 2 * size)
+        yield from whole(True)
+
+    dealt = grams.withColumn("context", F.shiftright("gram", 8).bitwiseAND((1 << 8 * TOP) - 1)).repartition("context").sortWithinPartitions("context")
+    return dealt.mapInArrow(parts, kinds)
+
+
+def top_of(every: DataFrame) -> Top:
+    """The tree's top, from (gram, n) of all counted grams."""
+
+    def run(keys, rows):
+        ids, below = below_top(keys, rows["n"].to_numpy().astype(float))
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(below)], ["id", "below"])
+
+    sums = _by_contexts(every, run, "id long, below double").groupBy("id").agg(F.sum("below").alias("below")).toArrow()
+    short = every.groupBy(F.col("gram").bitwiseAND((1 << 8 * TOP) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    return Top(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(float), sums["id"].to_numpy().astype(np.uint64), sums["below"].to_numpy())
+
+
+def valued(every: DataFrame, top: Broadcast) -> DataFrame:
+    """(gram, n, value) of (gram, n, wanted), where wanted: value is the log10 probability of the gram's last byte."""
+
+    def run(keys, rows):
+        value = log10_of(keys, rows["n"].to_numpy().astype(float), top.value)
+        own = rows.append_column("value", pa.array(value)).filter(rows["wanted"]).select(["gram", "n", "value"]).combine_chunks()
+        return own.to_batches()[0] if own.num_rows else pa.RecordBatch.from_pylist([], own.schema)
+
+    return _by_contexts(every, run, "gram long, n long, value double")
+
+
+def frequent_grams(every: DataFrame, top: Broadcast, most: int) -> Frequent:
+    """Of grams that occur equally often all or none are held."""
+    steps = sorted(((r["n"], r["count"]) for r in every.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()), reverse=True)
+    least, held = None, 0
+    for n, count in steps:
+        held += count
+        if held > most:
+            break
+        least = n
+    wanted = F.lit(False) if least is None else F.col("n") >= least
+    found = valued(every.withColumn("wanted", wanted), top).select("gram", "value").toArrow()
+    return Frequent(found["gram"].to_numpy().astype(np.uint64), found["value"].to_numpy())
+
+
+def score(docs: DataFrame, training: DataFrame, most_tokens: int = MOST_TOKENS, most_grams: int = MOST_GRAMS) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score, score and code_length of docs,
     beside their columns but the text, by a model of the training texts."""
     spark, names = docs.sparkSession, [c for c in docs.columns if c != "text"]
@@ -255,7 +385,9 @@ def score(docs: DataFrame, training: DataFrame, most_tokens: int = MOST_TOKENS)
     n_all, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = vocabulary.where(F.octet_length("token") <= LONGEST_TOKEN).orderBy(F.desc("c"), "token").limit(most_tokens).toArrow()
     known = dict(zip(frequent["token"].to_pylist(), frequent["c"].to_pylist(), strict=True))
-    held = spark.sparkContext.broadcast((tree(counts), known))
+    every = counts.where("gram is not null").select("gram", "n")
+    top = spark.sparkContext.broadcast(top_of(every))
+    held = spark.sparkContext.broadcast((frequent_grams(every, top, most_grams), known))
 
     def run(batches):
         model, known = held.value
@@ -273,16 +405,24 @@ def score(docs: DataFrame, training: DataFrame, most_tokens: int = MOST_TOKENS)
                 n_known.append(len(got))
                 base.append(float(np.sum(got)) + len(other) * nothing)
                 rest.append(other)
-            cols = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(low), pa.float64()), pa.array([len(t) + 1 for t in low], pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+            sums, other, times = model.score(low)
+            cols = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), pa.array([len(t) + 1 for t in low], pa.int64()), pa.array(rest, pa.list_(pa.binary())), pa.array(other, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *cols], [*names, *more])
 
-    more = {"n_tokens": "long", "known_": "long", "base_": "double", "score": "double", "bytes_": "long", "rest_": "array<binary>"}
+    more = {"n_tokens": "long", "known_": "long", "base_": "double", "held_": "double", "bytes_": "long", "rest_": "array<binary>", "grams_": "array<long>", "times_": "array<long>"}
     scored = _cut_in_small_batches(docs.mapInArrow(run, plus(docs.drop("text"), **more)).withColumn("row_", F.monotonically_increasing_id()), "scored")
     held.destroy()  # all that reads it has been written
     # tokens beyond the frequent ones; one that is unknown keeps the log of 0.5 it has
     rare = scored.select("row_", F.explode("rest_").alias("token")).join(vocabulary, "token")
     sums = rare.groupBy("row_").agg(F.count("*").alias("more_"), F.sum(F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))).alias("sum_"))
-    joined = scored.drop("rest_").join(sums, "row_", "left")
+    # grams beyond the frequent ones, with those of the same contexts that were counted
+    other = scored.select("row_", F.inline(F.arrays_zip(F.col("grams_").alias("gram"), F.col("times_").alias("times"))))
+    asked = other.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted"))
+    both = every.select("gram", "n", F.lit(False).alias("wanted")).unionByName(asked).groupBy("gram").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted"))
+    values = cut(valued(both, top).select("gram", "value"), "values")
+    top.destroy()
+    deep = other.join(values, "gram").groupBy("row_").agg(F.sum(F.col("times") * F.col("value")).alias("deep_"))
+    joined = scored.drop("rest_", "grams_", "times_").join(sums, "row_", "left").join(deep, "row_", "left").withColumn("score", F.col("held_") + F.coalesce("deep_", F.lit(0.0)))
     base = F.col("base_") + F.coalesce("sum_", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.5 * (n_distinct + 1))))
     return joined.select(*[F.col(f"`{c}`") for c in names], "n_tokens", (F.col("known_") + F.coalesce("more_", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / F.col("bytes_") / F.lit(float(np.log10(2)))).alias("code_length"))
 
