@@ -312,3 +312,32 @@ def test_context_tree_tells_rare_grams():
     top = context_tree.Top(*np.unique(keys & np.uint64(0xFFFFFF), return_counts=True), *context_tree.below_top(keys, np.full(len(keys), 4.0)))
     values = context_tree.log10_of(np.append(keys, other), np.append(np.full(len(keys), 4.0), np.zeros(1000)), top)
     assert values[: len(keys)].min() > values[len(keys) :].max()
+
+
+def test_quality_rules_reject_random_text(docs):
+    import base64
+    import string
+
+    import zstandard
+
+    z, rng = zstandard.ZstdCompressor(level=3), random.Random(4)
+
+    def wrapped(n):
+        x = base64.b64encode(rng.randbytes(n)).decode()
+        return "\n".join(x[i : i + 76] for i in range(0, len(x), 76)).encode()[:n]
+
+    def words(alphabet, n):
+        x = ""
+        while len(x) < n:
+            x += "".join(rng.choices(alphabet, k=rng.randint(3, 9))) + " "
+        return x[:n].encode()
+
+    keeps = lambda x: quality_rules.in_bands(len(x), *quality_rules.ratios(x, z))
+    printable = "".join(map(chr, range(33, 127)))
+    for n in (128, 160, 200, 300, 700, 1024, 1600, 2500, 4096, 9000, 16384, 40_000):
+        assert sum(keeps(wrapped(n)) + keeps(words(printable, n)) for _ in range(50)) <= (5 if n < 200 else 0), n
+        if n >= 16384:
+            assert not keeps(words("0123456789abcdef", n)) and not keeps(words(string.ascii_lowercase, n))
+    assert not keeps(words(string.ascii_lowercase, 9000)) and keeps(words("0123456789abcdef", 1024))  # the method can't tell it from prose
+    assert keeps(LONG[:6144].encode()) and not keeps((LONG[:6144]).encode() + wrapped(4096))
+    assert quality_rules.ratios(LONG[:4096].encode() + wrapped(2000), z)[1] == pytest.approx(1 / 3)

@@ -2,7 +2,7 @@
 
 A text compresses to a share of its size that depends on its length. Ordinary
 prose stays within a band; repeated text falls below it and random or encoded
-text rises above it. Both the whole text and its fixed chunks are held against
+text rises above it. Both the whole text and its chunks, the last one too, are held against
 the band of their own length.
 
 Defined results: null and empty texts have no words and are not kept, as any
@@ -20,11 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm.common import SPACES, slices, table
 
-#: Bytes from which on the band holds; lowest and highest compressed share.
-WHOLE_BANDS = ((128, 0.40, 1.10), (256, 0.35, 0.95), (1024, 0.28, 0.85), (4096, 0.22, 0.80), (16384, 0.16, 0.80))
-CHUNK, CHUNK_BAND = 2048, (0.25, 0.85)
-#: A text goes if more than this share of its whole chunks lies outside the band.
-BAD_CHUNKS = 0.34
+#: Bytes from which on a lowest compressed share holds.
+LOWEST = ((128, 0.40), (256, 0.35), (1024, 0.28), (4096, 0.22), (16384, 0.16))
+#: Highest share at a number of bytes, with straight lines over its logarithm between: above the 99th percentile of
+#: prose (licenses, manuals and messages in ten languages of Latin, Greek and Cyrillic letters), below the least of
+#: 100 random texts in wrapped base64 or printable words.
+HIGHEST = ((128, 1.035), (144, 0.99), (160, 0.96), (192, 0.94), (224, 0.915), (256, 0.91), (384, 0.86), (512, 0.825), (768, 0.785), (1024, 0.75), (1536, 0.70), (2048, 0.66), (3072, 0.63), (4096, 0.61), (8192, 0.56), (16384, 0.515), (32768, 0.48))
+CHUNK, CHUNK_LOWEST = 2048, 0.25
+#: A text goes if more than this share of its chunks lies outside the band of their length.
+BAD_CHUNKS = 0.25
+_AT, _UP = [float(np.log(n)) for n, _ in HIGHEST], [x for _, x in HIGHEST]
+_CHUNK_HIGHEST = float(np.interp(np.log(CHUNK), _AT, _UP))
 LEVEL = 3
 WINDOW = 8
 _MIX = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
@@ -60,19 +66,36 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def band(n_bytes: int) -> tuple[float, float]:
+    """Lowest and highest compressed share of a text of so many bytes, 128 at least."""
+    low = next(a for n, a in reversed(LOWEST) if n_bytes >= n)
+    return low, float(np.interp(np.log(n_bytes), _AT, _UP))
+
+
 def ratios(text: bytes, z: zstandard.ZstdCompressor) -> tuple[float | None, float | None]:
-    """Compressed share of the whole text; share of its whole chunks outside their band."""
-    if len(text) < WHOLE_BANDS[0][0]:
+    """Compressed share of the whole text; share of its chunks outside their band, if it has a whole one."""
+    if len(text) < LOWEST[0][0]:
         return None, None
     whole = len(z.compress(text)) / len(text)
-    chunks = [len(z.compress(text[i : i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
-    return whole, sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks) / len(chunks) if chunks else None
+    if len(text) < CHUNK:
+        return whole, None
+    bad = []
+    for i in range(0, len(text), CHUNK):
+        chunk = text[i : i + CHUNK]
+        if len(chunk) == CHUNK:
+            low, high = CHUNK_LOWEST, _CHUNK_HIGHEST
+        elif len(chunk) >= LOWEST[0][0]:
+            low, high = band(len(chunk))
+        else:
+            continue
+        bad.append(not low <= len(z.compress(chunk)) / len(chunk) <= high)
+    return whole, sum(bad) / len(bad)
 
 
 def in_bands(n_bytes: int, whole: float | None, bad_chunks: float | None) -> bool:
     if whole is None:
         return True
-    low, high = next((a, b) for n, a, b in reversed(WHOLE_BANDS) if n_bytes >= n)
+    low, high = band(n_bytes)
     return low <= whole <= high and (bad_chunks is None or bad_chunks <= BAD_CHUNKS)
 
 
