@@ -97,3 +97,10 @@ def test_gaps_and_budget(spark):
 
 def test_queries_have_names_of_their_own():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_scenarios_do_not_use_slopes_of_low_confidence(spark):
+    models = spark.sql("SELECT 'meta' AS channel, 'a' AS campaign_type, 10.0D AS avg_spend, 0.2D AS beta, 1.0D AS beta_for_scenario")
+    sims = spark.sql("SELECT 'meta' AS channel, 'a' AS campaign_type, 0 AS sim, 30 AS horizon_days, 100.0D AS revenue")
+    rows = simulate.forecast(models, sims, F.lit(0.5), rollup=False).where("metric = 'revenue'").collect()
+    assert [r["p50"] for r in rows] == [50.0]

@@ -65,8 +65,10 @@ def multiples(models: DataFrame, channel: dict[str, float] | None = None, segmen
 
 def forecast(models: DataFrame, sims: DataFrame, multiple: Column, rollup: bool = True) -> DataFrame:
     """Percentiles of revenue and return at segment, channel and blended grain. models:
-    (channel, campaign_type, avg_spend, beta); sims as from simulate()."""
-    told = models.select("channel", "campaign_type", "avg_spend", "beta", multiple.alias("m")).withColumn("scale", response(F.col("m"), F.col("beta"))).withColumn("daily", F.col("avg_spend") * F.col("m"))
+    (channel, campaign_type, avg_spend, beta), and beta_for_scenario, which goes before
+    beta, if slopes have confidence limits; sims as from simulate()."""
+    beta = "beta_for_scenario" if "beta_for_scenario" in models.columns else "beta"
+    told = models.select("channel", "campaign_type", "avg_spend", F.col(beta).alias("beta"), multiple.alias("m")).withColumn("scale", response(F.col("m"), F.col("beta"))).withColumn("daily", F.col("avg_spend") * F.col("m"))
     scaled = sims.join(told.select("channel", "campaign_type", "scale", "daily"), ["channel", "campaign_type"]).withColumn("revenue", F.col("revenue") * F.col("scale")).withColumn("spend", F.col("daily") * F.col("horizon_days"))
     if rollup:
         sums = scaled.groupingSets([["channel", "campaign_type", "horizon_days", "sim"], ["channel", "horizon_days", "sim"], ["horizon_days", "sim"]], "channel", "campaign_type", "horizon_days", "sim")
