@@ -14,16 +14,22 @@ distances of it and of its fold to a fixed number of bits, lower bounds too, dis
 candidates before their sets are read.
 
 Candidates are not paired within a block. Equal sets are one class; each class is
-first verified with the class at the head of most of its blocks, and what links is
-contracted to components. Blocks that still hold several components get a random
-head each, twice. Only in blocks that stay open are classes of different components
-then paired, under size and Hamming bounds. So copies in
-thousands make links in proportion to their number, and no link between
-components is missed.
+first verified with that head of its blocks which it shares most blocks with, under
+size and Hamming bounds, and what links is contracted. Blocks of more than FULL
+classes that still hold several groups get HEADS random heads each, and what links
+is contracted again. In blocks that stay open and hold at most FULL classes, those
+of different groups are then paired. Fuller blocks come from
+passages that many documents share: their classes get keys anew, from their own
+rarest tokens (any order of tokens is as exact as another, and with common tokens
+last, a passage makes no key unless it is most of a document). So copies in
+thousands and passages in thousands of documents make candidates in proportion to
+their number, and no link between groups is missed.
 
 Defined results: a null or empty text has no shingles, is its own component and
 linked with nothing. Equal rows repeat their result. Rows without an id take part;
-a component of them alone has a null id. Extra columns are ignored.
+a component of them alone has a null id. Several texts of one id are documents of
+their own, and tied sizes or distances are within every bound (bounds are inclusive).
+A text of any length is shingled whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +45,16 @@ from tidecast.llm.components import connected
 from tidecast.llm.quality_rules import spread
 
 WORDS, PERCENT = 5, 80
-NARROW = 2048
-#: Rounds in which open blocks are tried with one random head each, before classes are paired.
-HEAD_ROUNDS = 2
+#: Bits of the sketch by which pairs are bounded at first, and least bits of a class's own.
+NARROW, LEAST_BITS = 512, 2048
+#: Most classes of a block that are paired; fuller ones get keys from rare tokens.
+FULL = 64
+#: Random heads of a fuller block: a class of a group links with one of them, or nearly all do.
+HEADS = 16
+#: Most common tokens that come last in the order of rarity; broadcast. Results don't depend on it.
+MOST_COMMON = 1 << 18
+#: Classes of a block that one task pairs with the others.
+PART = 512
 #: Sizes at which bands end: the least, and the ratio from one to the next (over 100 / PERCENT).
 FIRST_BAND, BAND_RATIO = 32, 1.5
 _MIX = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -96,7 +109,7 @@ def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
 def sketch(tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The sketch of two bits or more a token, and the keys of the pigeonhole blocks."""
     n = len(tokens)
-    own = parity(tokens, max(NARROW, 1 << (2 * n - 1).bit_length()))
+    own = parity(tokens, max(LEAST_BITS, 1 << (2 * n - 1).bit_length()))
     ends = band_ends(n)
     band = len(ends) - 1
     keys = [block_keys(tokens, band, ends[band], n * (100 - percent) // percent + 1, percent)]
@@ -112,8 +125,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, set_a, set_b, w0.., sketch, keys): equal sets have equal (n, set_a, set_b);
-    w0.. are the sketch folded to NARROW bits."""
+    """(doc_id, h, n, set_a, set_b, w0.., sketch, keys): h tells texts of one id apart, equal sets have
+    equal (n, set_a, set_b); w0.. are the sketch folded to NARROW bits."""
     kind = dict(docs.dtypes)["doc_id"]
     narrow = [f"w{i}" for i in range(NARROW // 64)]
 
@@ -123,7 +136,7 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
             for t in texts:
                 own = shingles(t, width)
                 n.append(len(own))
-                bits, blocks = sketch(own, percent) if len(own) else (np.zeros(NARROW // 64, "<i8"), own)
+                bits, blocks = sketch(own, percent) if len(own) else (np.zeros(LEAST_BITS // 64, "<i8"), own)
                 both = np.array([np.bitwise_xor.reduce(own) if len(own) else 0, spread(own ^ np.uint64(77)).sum()], np.uint64)
                 a.append(both[:1].astype(np.int64)[0])
                 b.append(both[1:].astype(np.int64)[0])
@@ -132,15 +145,15 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
                 keys.append(blocks.astype(np.int64))
             folded = np.stack(words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(folded[:, i]) for i in range(len(narrow))), _lists(wide), _lists(keys)],
-                ["doc_id", "n", "set_a", "set_b", *narrow, "sketch", "keys"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(folded[:, i]) for i in range(len(narrow))), _lists(wide), _lists(keys)],
+                ["doc_id", "h", "n", "set_a", "set_b", *narrow, "sketch", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, set_a long, set_b long, {', '.join(f'{w} long' for w in narrow)}, sketch array<long>, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, set_a long, set_b long, {', '.join(f'{w} long' for w in narrow)}, sketch array<long>, keys array<long>")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFrame:
-    """(cls, tokens) of the wanted classes (cls, doc_id, set_a), read again from one text of each."""
+    """(cls, tokens) of the wanted classes (cls, rep, set_a), read again from one text of each."""
 
     def run(batches):
         for batch, texts in slices(batches):
@@ -148,8 +161,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFr
             right = [(np.bitwise_xor.reduce(x) if len(x) else np.uint64(0)).astype(np.int64) == a for x, a in zip(own, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["cls", "tokens"]).filter(pa.array(right))
 
-    picked = wanted.select("cls", "set_a", F.col("doc_id").alias("id_"))
-    joined = docs.select("doc_id", "text").join(picked, F.col("doc_id").eqNullSafe(F.col("id_"))).select("cls", "set_a", "text")
+    picked = wanted.select("cls", "set_a", F.col("rep.doc_id").alias("id_"), F.col("rep.h").alias("h_"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    joined = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("cls", "set_a", "text")
     return joined.mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"])
 
 
@@ -179,7 +193,7 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose token sets are similar enough, written."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "set_a"), "cls")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep", "set_a"), "cls")
     sets = cut(token_sets(docs, wanted, width), "tokens")
     left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
@@ -189,51 +203,133 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
+def jumped(up: DataFrame, times: int = 2) -> DataFrame:
+    """Of links (node, root) from each node to one lesser node: to the node that 2**times such links lead to."""
+    for _ in range(times):
+        last, further = up, up.select(F.col("node").alias("at"), F.col("root").alias("next"))
+        up = cut(up.join(further, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        discard(last)
+    return up
+
+
+def named(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the labels of their columns of nodes in place of the nodes."""
+    for c in columns:
+        rows = rows.join(labels.select(F.col("node").alias(c), F.col("root").alias("to_")), c, "left").withColumn(c, F.coalesce("to_", c)).drop("to_")
+    return rows
+
+
+def merged(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """Labels after their roots have got labels of their own. Written."""
+    return cut(named(labels, up, "root").unionByName(up), "labels")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, cls, root) of the keys under which several roots stand, with `m`, the key's
+    classes, and `lead`, one of them that a hash picks."""
+    dealt = rows.repartition("key")  # both the aggregate and the join use it
+    lead = F.min(F.struct(F.xxhash64("cls", F.lit("lead")).alias("h_"), "cls", "root")).alias("lead")
+    told = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), lead).where("low <> high")
+    return dealt.join(told.select("key", "m", "lead"), "key")
+
+
+def with_heads(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of HEADS classes of each key and its other classes of other roots. A class that
+    is a head of one key is likely that of others too, so that keys of the same classes share pairs."""
+    dealt = rows.select("key", "cls", "root").repartition("key")
+    turn = F.pmod(F.xxhash64("cls", F.lit("turn")), F.lit(HEADS)).alias("turn")
+    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root")).alias("head"))
+    met = dealt.join(heads, "key").where("root <> head.root")
+    return met.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b")).distinct()
+
+
+def rare_keys(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most_common: int = MOST_COMMON) -> DataFrame:
+    """(cls, key) of the wanted classes (cls, rep, set_a): the first tokens of each, common ones last. Of two sets
+    that link, each has at most (1 - t) of its n tokens alone, so the first token that they share is one of these."""
+    sets = cut(token_sets(docs, wanted, width), "common_sets")
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FULL)
+    common = often.orderBy(F.desc("count"), "token").limit(most_common).select("token").toArrow()["token"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(common))
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            tokens = batch.column(1)
+            own = tokens.flatten().to_numpy()
+            sizes = np.diff(tokens.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            last = known[at] == own if len(known) else np.zeros(len(own), bool)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((own, last, of))
+            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = order[place < np.repeat(sizes * (100 - percent) // 100 + 1, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[kept])), pa.array(own[kept])], ["cls", "key"])
+
+    return sets.mapInArrow(run, "cls long, key long")
+
+
+def across(rows: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots under one key of rows (key, cls, root, m), within the bounds.
+    A full block is dealt to several tasks."""
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    rich = cut(rows.select("key", "cls", "root", "m").join(brief, "cls"), "open_blocks")
+    x = rich.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).alias("x")
+    y = rich.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
+    found = cut(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "across")
+    discard(rich)
+    return found
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs."""
     narrow = [f"w{i}" for i in range(NARROW // 64)]
     sketched = cut(sketches(docs, width, percent), "sketches")
     every = cut(sketched.select("doc_id", "n", "set_a", "set_b"), "members")
     held = [F.first(c).alias(c) for c in [*narrow, "sketch", "keys"]]  # equal in equal sets
-    grouped = sketched.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), *held)
+    grouped = sketched.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("rep"), *held)
     keyed = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "keyed")
     discard(sketched)
 
-    # blocks that several classes share, with the class at their head
-    blocks = keyed.select("cls", F.explode("keys").alias("key"))
-    in_block = "OVER (PARTITION BY key)"
-    shared = cut(blocks.selectExpr("key", "cls", f"min(cls) {in_block} AS head", f"max(cls) {in_block} AS last").where("head <> last").select("key", "cls", "head"), "blocks")
+    # blocks that several classes share; a class is its own root so far
+    blocks = keyed.select(F.explode("keys").alias("key"), "cls").withColumn("root", F.col("cls"))
+    shared = cut(in_blocks(blocks).select("key", "cls", "m", F.col("lead.cls").alias("head")), "blocks")
     classes = cut(keyed.drop("keys"), "classes")
     discard(keyed)
     brief = classes.select("cls", "n", *narrow)
 
-    # first each class with the class that heads most of its blocks
-    counted = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("n"))
-    stars = counted.groupBy("cls").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("top")).select((-F.col("top.head")).alias("a"), F.col("cls").alias("b"))
+    def bounded(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(brief.alias("x"), F.col("a") == F.col("x.cls")).join(brief.alias("y"), F.col("b") == F.col("y.cls"))
+        return both.where(may_link("x", "y", percent)).select(*[F.col(c) for c in pairs.columns])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        bounded = pairs.join(brief.alias("x"), F.col("a") == F.col("x.cls")).join(brief.alias("y"), F.col("b") == F.col("y.cls")).where(may_link("x", "y", percent)).select("a", "b")
-        return verified(near_enough(bounded, classes, percent), classes, docs, width, percent)
-
-    links = checked(stars)
-    for turn in range(HEAD_ROUNDS + 1):
-        # blocks that hold several components
-        told = shared.select("key", "cls").join(connected(links).withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        lead = f"min(struct(xxhash64(cls, {turn}) AS h, cls, root)) {in_block} AS lead"
-        last, shared = shared, cut(told.selectExpr("key", "cls", "root", lead, f"min(root) {in_block} AS low", f"max(root) {in_block} AS high").where("low <> high").select("key", "cls", "root", "lead"), "blocks")
-        discard(last)
-        if turn < HEAD_ROUNDS:
-            links = links.unionByName(checked(shared.where("root <> lead.root").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()))
-    rich = cut(shared.select("key", "cls", "root").join(brief, "cls"), "open_blocks")
-    x, y = rich.alias("x"), rich.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
-    rest = verified(near_enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, percent), classes, docs, width, percent)
-
-    discard(shared, rich)
-    final = connected(links.unionByName(rest))
-    named = classes.select("cls", "doc_id", "n", "set_a", "set_b").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(least, "root").select("n", "set_a", "set_b", "component_id")
+        return verified(near_enough(pairs, classes, percent), classes, docs, width, percent)
+
+    # each class with the head that it shares most blocks with; a link leads to the lesser class
+    counted = bounded(shared.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("n_")))
+    best = counted.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), "n_").groupBy("b").agg(F.max_by("a", F.struct("n_", -F.col("a"))).alias("a"))
+    stars = checked(best.select("a", "b"))
+    labels = jumped(cut(stars.select(F.col("b").alias("node"), F.col("a").alias("root")), "labels"))
+
+    # full blocks that hold several groups, with many heads each
+    left = cut(in_blocks(named(shared.select("key", "cls", F.col("cls").alias("root")), labels, "root")).drop("lead"), "blocks")
+    discard(shared)
+    second = checked(bounded(with_heads(left.where(F.col("m") > FULL))))
+    labels = merged(labels, connected(named(second, labels, "a", "b")))
+
+    # blocks that stay open: those of a few classes as they are, the others by rare tokens
+    open_ = cut(in_blocks(named(left.select("key", "cls", F.col("cls").alias("root")), labels, "root")).drop("lead"), "blocks")
+    discard(left)
+    common = open_.where(F.col("m") > FULL).select("cls").distinct().join(classes.select("cls", "rep", "set_a"), "cls")
+    rare = in_blocks(named(rare_keys(docs, common, width, percent).withColumn("root", F.col("cls")), labels, "root")).drop("lead")
+    pairs = across(open_.where(F.col("m") <= FULL), brief, percent).unionByName(across(rare, brief, percent)).distinct()
+    rest = checked(pairs)
+    discard(open_)
+
+    final = merged(labels, connected(named(stars.unionByName(rest), labels, "a", "b")))
+    told = classes.select("cls", "doc_id", "n", "set_a", "set_b").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = told.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = told.join(least, "root").select("n", "set_a", "set_b", "component_id")
     result = every.select("doc_id", "n", "set_a", "set_b").join(component, ["n", "set_a", "set_b"], "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
