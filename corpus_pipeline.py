@@ -2,8 +2,14 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet and read again as the next one's docs. All
-but the last keep the columns of documents. Rows of one id and one text are one
-document to the second stage; extra columns pass through to the last.
+but the last keep the columns of documents.
+
+Defined results: a null or empty text is scored by the classifier as such, links with
+nothing, holds no benchmark passage and no secret, and is packed as its end alone.
+A score equal to the threshold stays. Of a group of near duplicates the row of least
+id stays (rows without an id come last; equal ids: the text of least hash); rows of one
+id and one text are one document. An empty table gives no rows. Texts of any length are
+read whole. Extra columns, of any names, pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -29,11 +35,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of least id."""
-    found = parity_join.near_duplicates(docs)
-    least = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least_")).distinct(), "least")
-    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col("least_")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates, the document of least id. A document is told
+    by its id and text, as several texts may have one id, or none."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), F.length(text).alias("size"), F.col("text").isNull().alias("none"))
+    keyed = docs.select(F.struct("*").alias("doc_"), key.alias("doc_id"), "text")
+    found = parity_join.near_duplicates(keyed.select("doc_id", "text"))
+    least = cut(found.select(F.col("component_id").alias("doc_id")).distinct(), "least")
+    return keyed.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_.*")
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
