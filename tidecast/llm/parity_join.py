@@ -50,7 +50,7 @@ NARROW, LEAST_BITS = 512, 2048
 #: Most classes of a block that are paired; fuller ones get keys from rare tokens.
 FULL = 64
 #: Random heads of a fuller block: a class of a group links with one of them, or nearly all do.
-HEADS = 16
+HEADS = 8
 #: Most common tokens that come last in the order of rarity; broadcast. Results don't depend on it.
 MOST_COMMON = 1 << 18
 #: Classes of a block that one task pairs with the others.
@@ -203,13 +203,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
-def jumped(up: DataFrame, times: int = 2) -> DataFrame:
-    """Of links (node, root) from each node to one lesser node: to the node that 2**times such links lead to."""
-    for _ in range(times):
-        last, further = up, up.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        up = cut(up.join(further, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
-        discard(last)
-    return up
+def jumped(up: DataFrame) -> DataFrame:
+    """Links (node, root) from each node to one lesser node, as links to where all such links end.
+    Each turn doubles the steps, until none leads further. Written."""
+    further = up
+    while True:
+        last = further.select(F.col("node").alias("at"), F.col("root").alias("next"))
+        up = cut(further.select("node", "root").join(last, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "labels")
+        if hasattr(further, "cut_path"):
+            discard(further)
+        if up.where("moved").isEmpty():
+            return up.drop("moved")
+        further = up
 
 
 def named(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -233,13 +238,14 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.join(told.select("key", "m", "lead"), "key")
 
 
-def with_heads(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of HEADS classes of each key and its other classes of other roots. A class that
-    is a head of one key is likely that of others too, so that keys of the same classes share pairs."""
-    dealt = rows.select("key", "cls", "root").repartition("key")
+def with_heads(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of HEADS classes of each key and its other classes of other roots and a size that may
+    link. A class that is a head of one key is likely that of others too, so that keys of the same classes
+    share pairs."""
+    dealt = rows.select("key", "cls", "root", "n").repartition("key")
     turn = F.pmod(F.xxhash64("cls", F.lit("turn")), F.lit(HEADS)).alias("turn")
-    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root")).alias("head"))
-    met = dealt.join(heads, "key").where("root <> head.root")
+    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root", "n")).alias("head"))
+    met = dealt.join(heads, "key").where(f"root <> head.root AND 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
     return met.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b")).distinct()
 
 
@@ -309,12 +315,12 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     counted = bounded(shared.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("n_")))
     best = counted.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), "n_").groupBy("b").agg(F.max_by("a", F.struct("n_", -F.col("a"))).alias("a"))
     stars = checked(best.select("a", "b"))
-    labels = jumped(cut(stars.select(F.col("b").alias("node"), F.col("a").alias("root")), "labels"))
+    labels = jumped(stars.select(F.col("b").alias("node"), F.col("a").alias("root")))
 
     # full blocks that hold several groups, with many heads each
     left = cut(in_blocks(named(shared.select("key", "cls", F.col("cls").alias("root")), labels, "root")).drop("lead"), "blocks")
     discard(shared)
-    second = checked(bounded(with_heads(left.where(F.col("m") > FULL))))
+    second = checked(bounded(with_heads(left.where(F.col("m") > FULL).join(classes.select("cls", "n"), "cls"), percent)))
     labels = merged(labels, connected(named(second, labels, "a", "b")))
 
     # blocks that stay open: those of a few classes as they are, the others by rare tokens
