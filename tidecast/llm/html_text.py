@@ -10,8 +10,11 @@ The trees are fitted here, on pages that `training_pages` makes from a seed with
 known main text, in many layouts; no page of the input is needed for that.
 
 Defined results: null, empty and text-free pages give an empty text. Malformed
-markup is read leniently (unclosed elements end with their parent). <br> is white
-space in its block. Repeated rows repeat their result; extra columns are ignored.
+markup is read leniently: unclosed elements end with their parent, a quote that is
+never closed counts as a plain sign, what follows the page's last > is text, and
+elements more than DEEPEST down hang from the one at that depth. Time follows a
+page's length, whatever its markup. A node as likely kept as dropped is kept. <br> is
+white space in its block. Repeated rows repeat their result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,72 +38,125 @@ RAW = frozenset("script style noscript template iframe svg title textarea".split
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 TAGS = "article main section div p nav header footer aside form ul ol li a button h1 h2 h3 h4 table tr td span b strong em blockquote pre code figure figcaption select label body".split()
 TOKENS = "nav menu header head footer foot side sidebar aside ad ads advert banner promo sponsor cookie notice consent gdpr popup modal comment comments reply disqus form search login subscribe newsletter share social related recommend widget breadcrumb crumbs pagination pager tag tags meta copyright legal main article content post entry body story text page title wrap container column navigation contentinfo complementary".split()
 _TAG_AT, _TOKEN_AT = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enumerate(TOKENS)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENING = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_IN_TAG = re.compile(r">|=[ \t\r\n\f]*+([\"'])")
+#: Elements further down hang from the element of this depth, so that any page has a bounded depth.
+DEEPEST = 256
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def markup(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag in order, with '' for the name of comments
+    and declarations. send(position) goes on from there, past the content of a raw element.
+    Every character is looked at a bounded number of times: a quote that is never closed, or
+    a tag that is never ended, is met once and known from then on."""
+    at, last = 0, source.rfind(">")
+    unclosed: set[str] = set()
+    plain = False  # quotes no longer count
+    while (m := _OPENING.search(source, at)) is not None:
+        start = m.start()
+        if m[1]:
+            end = source.find("-->", m.end() - 2)
+            at = len(source) if end < 0 else end + 3
+            closing, name, attributes = False, "", ""
+        elif start > last:
+            return
+        elif m[3] is None:
+            at = source.find(">", start) + 1
+            closing, name, attributes = False, "", ""
+        else:
+            # a run of name characters may hold what looks like further tags
+            end, seek = -1, m.end()
+            while not plain and (x := _IN_TAG.search(source, seek)) is not None:
+                if x[1] is None:
+                    end = x.start()
+                    break
+                seek = x.end()
+                if x[1] not in unclosed:
+                    close = source.find(x[1], seek)
+                    if close < 0:
+                        unclosed.add(x[1])
+                    else:
+                        seek = close + 1
+            if end < 0:
+                plain = True
+                end = source.find(">", m.end())
+                if end < 0:
+                    return
+            at, closing, name, attributes = end + 1, bool(m[2]), m[3].lower(), source[m.end() : end]
+        skip = yield start, at, closing, name, attributes
+        if skip is not None:
+            at = skip
+            yield start, at, False, "", ""
+
+
 class Page:
     """Elements of a page in order (0: the root) and its text segments (node, block, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.attributes = ["body"], [-1], [""]
+        self.tag, self.parent, self.attributes, self.depth = ["body"], [-1], [""], [0]
         self.segments: list[tuple[int, int, str]] = []
-        stack, block, at = [0], 0, 0
-        for m in _MARKUP.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self.segments.append((stack[-1], block, source[at : m.start()]))
-            at = m.end()
-            if not m[2]:
+        stack, open_, block, at = [0], Counter(), 0, 0
+
+        def close(k: int) -> None:
+            open_.subtract(self.tag[x] for x in stack[k:])
+            del stack[k:]
+
+        found = markup(source)
+        for start, end, closing, name, attributes in found:
+            if start > at:
+                self.segments.append((stack[-1], block, source[at:start]))
+            at = end
+            if not name:
                 continue
-            name = m[2].lower()
             if name not in INLINE:
                 block += 1
-            if m[1]:
-                if name in ("html", "body"):
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+            if closing:
+                if open_[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
                 continue
             if name in ("html", "body"):
                 continue
             if name in RAW or name == "head":
-                if not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                if not attributes.rstrip().endswith("/"):
+                    stop = re.compile(rf"</{name}\s*+>", re.I).search(source, at)
+                    at = stop.end() if stop else len(source)
+                    found.send(at)
                 continue
             if name == "br":
                 self.segments.append((stack[-1], block, " "))
             if name in VOID:
                 continue
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 else ():
                     if self.tag[stack[k]] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if self.tag[stack[k]] not in INLINE:
                         break
-            elif name in SAME:
+            elif name in SAME and any(open_[x] > 0 for x in ALIKE.get(name, (name,))):
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] in SAME[name]:
                         break
-                    if self.tag[stack[k]] == name or (name in ("dt", "dd") and self.tag[stack[k]] in ("dt", "dd")) or (name in ("td", "th") and self.tag[stack[k]] in ("td", "th")):
-                        del stack[k:]
+                    if self.tag[stack[k]] in ALIKE.get(name, (name,)):
+                        close(k)
                         break
+            above = stack[min(len(stack), DEEPEST) - 1]
             self.tag.append(name)
-            self.parent.append(stack[-1])
-            self.attributes.append(m[3])
-            if not m[3].endswith("/"):
+            self.parent.append(above)
+            self.depth.append(self.depth[above] + 1)
+            self.attributes.append(attributes)
+            if not attributes.endswith("/"):
                 stack.append(len(self.tag) - 1)
+                open_[name] += 1
         if at < len(source):
             self.segments.append((stack[-1], block, source[at:]))
 
@@ -109,7 +167,7 @@ class Page:
                 if block != last:
                     out.append([])
                     last = block
-                out[-1].append(html.unescape(text) if "&" in text else text)
+                out[-1].append(html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text)
         blocks = (_SPACE.sub(" ", "".join(b)).strip() for b in out)
         return "\n".join(b for b in blocks if b)
 
@@ -125,18 +183,9 @@ class Forest:
         self.root = own < 0
         self.parent = np.where(self.root, 0, own + shift)
         self.pages, self.size = pages, len(own)
-        depth, known = np.zeros(self.size, np.int64), self.root.copy()
-        self.levels, rest, d = [], np.flatnonzero(~self.root), 0
-        while len(rest):
-            d += 1
-            now = known[self.parent[rest]]
-            level = rest[now]
-            depth[level] = d
-            self.levels.append(level)
-            rest = rest[~now]
-            known = known.copy()
-            known[level] = True
-        self.depth = depth
+        self.depth = np.concatenate([np.array(p.depth) for p in pages])
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(self.depth))[:-1])[1:]
 
     def add_up(self, x: np.ndarray) -> np.ndarray:
         """Each node's sum over its subtree."""
