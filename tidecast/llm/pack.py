@@ -10,9 +10,12 @@
    of its length and takes the slot of that rank. Ranks come from counts by
    (length, salt), so that one common length is ranked in many tasks.
 
-Defined results: a null or empty text is one piece, the end id alone. Repeated
-rows are packed once each. An empty table gives no rows; extra columns are
-ignored.
+Defined results: a null or empty text is one piece, the end id alone. Added tokens
+of the vocabulary, such as '<|endoftext|>', have their own id wherever they stand.
+Repeated rows are packed once each, in any order among themselves; which of several
+pieces of one length gets which place is settled by id, piece and start. Texts of any
+length are cut into as many pieces as it takes. An empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,46 +46,50 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 @lru_cache(1)
 def _tokenizer(path: str):
-    """An encoder over the vocabulary of a byte-level BPE file. It gives the ids that
-    the `tokenizers` library gives for the file, with the strings of special tokens
-    as ordinary text, and is some five times as fast on single words."""
+    """An encoder of `tiktoken` over the vocabulary of a byte-level BPE file, and the ids of
+    its added tokens. Between added tokens it gives the ids that the `tokenizers` library
+    gives for the file, and is some five times as fast on single words."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary, special = (lambda x: (x["model"]["vocab"], {t["content"] for t in x.get("added_tokens", ())}))(json.load(f))
+        vocabulary, special = (lambda x: (x["model"]["vocab"], {t["content"]: t["id"] for t in x.get("added_tokens", ())}))(json.load(f))
     # printable bytes stand for themselves in the file, the others from 256 on
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}), special
 
 
 _words: dict[str, bytes] = {}
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit numbers.
+def _plain_bytes(text: str, encode) -> bytes:
+    """The ids of a text without added tokens. This vocabulary's pre-tokens never cross from a
+    word into the space after it, so words with their leading space are encoded once and remembered."""
+    if _LONG_GAP.search(text):
+        return np.array(encode(text), "<u4").tobytes()
+    out = []
+    for i, x in enumerate(text.split(" ")):
+        word = x if i == 0 else " " + x
+        if (got := _words.get(word)) is None:
+            got = _words[word] = np.array(encode(word), "<u4").tobytes()
+        out.append(got)
+    return b"".join(out)
 
-    This vocabulary's pre-tokens never cross from a word into the space after
-    it, so words with their leading space are encoded once and remembered."""
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, as little-endian unsigned 32-bit numbers. The file's added
+    tokens are found first, and what stands between them is encoded piece by piece."""
     if len(_words) > CACHE:
         _words.clear()
-    tokenizer = _tokenizer(path)
-    whole = [_LONG_GAP.search(t) is not None for t in texts]
-    split = [[t] if odd else [(x if i == 0 else " " + x) for i, x in enumerate(t.split(" "))] for t, odd in zip(texts, whole, strict=True)]
-    for s, odd in zip(split, whole, strict=True):
-        if not odd:
-            for x in s:
-                if x not in _words:
-                    _words[x] = np.array(tokenizer.encode_ordinary(x), "<u4").tobytes()
+    encoder, special = _tokenizer(path)
+    added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     out = []
-    for s, odd in zip(split, whole, strict=True):
-        if odd:
-            out.append(np.array(tokenizer.encode_ordinary(s[0]), "<u4").tobytes())
-        else:
-            out.append(b"".join(map(_words.__getitem__, s)))
+    for t in texts:
+        parts = added.split(t) if added and any(x in t for x in special) else [t]
+        out.append(b"".join(np.array([special[x]], "<u4").tobytes() if k % 2 else _plain_bytes(x, encoder.encode_ordinary) for k, x in enumerate(parts)))
     return out
 
 
