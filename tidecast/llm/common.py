@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +34,13 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests in local mode) a temporary folder
-    is made and set.
+    Only in local mode, as in tests, a temporary folder is made and set where
+    none is named.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidecast-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -89,18 +92,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of Arrow batches whose texts have about `most` bytes together, so
-    that a task's memory follows its longest text and not its row count. Texts
-    come whole, as UTF-8 (null: empty)."""
+    that what Python makes of them follows the longest text and not the row count.
+    Texts come whole, as UTF-8 (null: empty)."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).to_pylist()
-        begin = held = 0
-        for i, x in enumerate(texts):
-            held += len(x or b"")
-            if held >= most or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), [t or b"" for t in texts[begin : i + 1]]
-                begin, held = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(ends):
+            before = ends[begin - 1] if begin else 0
+            stop = min(len(ends), int(np.searchsorted(ends, before + most)) + 1)
+            yield batch.slice(begin, stop - begin), [t or b"" for t in column.slice(begin, stop - begin).cast(pa.large_binary()).to_pylist()]
+            begin = stop
 
 
 def letters(text: bytes) -> bool:
-    """Whether any Unicode letter occurs."""
-    return bool(re.search(r"[^\W\d_]", text.decode("utf-8", "replace")))
+    """Whether any Unicode letter occurs (signs such as ² or ① are none)."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
+def drawn(rate: Column, *key: Column | str) -> Column:
+    """Whether a row is in a sample of that share, by a hash of its key; shares may be as small as 2**-52."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) < rate * float(1 << 53)

@@ -7,12 +7,14 @@ language. Both levels are scored in one gather per byte, since a linear score of
 mean bucket frequencies is a mean of weights.
 
 Defined results: a null text, and one without a letter, gives `und` with score
-0. With no usable label every text is `und`. Rows are independent, so repeated
-rows repeat their result; extra columns are ignored.
+0. With no usable label every text is `und`. Of families or languages with equal
+votes the first by name is taken. Texts of any length are read whole. Rows are
+independent, so repeated rows repeat their result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import letters, plus, remainder, slices, table
+from tidecast.llm.common import drawn, letters, plus, remainder, slices, table
 
 BUCKETS = 1 << 14
-#: Labelled texts that the machines are fitted on: about so many a language, and
-#: at most so many languages (the most frequent). Everything else is scored.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 400, 64
+#: Labelled texts that the machines are fitted on: about so many a language, and of
+#: those at most so many a family for the machines between families. All else is scored.
+SAMPLE_PER_LANGUAGE, SAMPLE_PER_FAMILY = 400, 2000
 
 # Branches of languages by ISO 639-1 code. Codes not listed form a family each.
 FAMILIES = {
@@ -76,27 +78,38 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float =
 
 
 class Model:
-    """machines: (level, positive, negative, column); columns: weights of all machines.
-    x, with a last column of ones, is scaled in place."""
+    """machines: (level, positive, negative); columns of weights: those of all machines.
+    rows: each text's buckets and their shares; y: its language's number. Rows are kept
+    sparse; only those of the two classes of a machine are spread out, while it is fitted."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
         self.langs = sorted(set(langs))
         family = {k: FAMILY_OF.get(k.lower().split("-")[0].split("_")[0], k) for k in self.langs}
         self.families = sorted(set(family.values()))
         self.members = [[i for i, k in enumerate(self.langs) if family[k] == f] for f in self.families]
         own = np.array([self.families.index(family[k]) for k in self.langs], int)
         self.machines, columns = [], []
-        scale = np.ones(BUCKETS, np.float32)
-        if len(x):
-            square = np.einsum("ij,ij->j", x, x)[:-1] / len(x)
-            scale = np.float32(1) / (np.sqrt(np.maximum(0, square - x.mean(axis=0)[:-1] ** 2)) + np.float32(1e-4))
-        scale = (scale / np.sqrt(BUCKETS)).astype(np.float32)
-        x[:, :-1] *= scale
-        pairs = [(0, a, b, own[y]) for a, b in combinations(range(len(self.families)), 2)]
-        pairs += [(1, a, b, y) for m in self.members for a, b in combinations(m, 2)]
-        for level, a, b, of in pairs:
-            rows = np.flatnonzero((of == a) | (of == b))
-            w = fit_machine(x if len(rows) == len(x) else x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))
+        sums, squares = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for u, c in rows:
+            sums[u] += c
+            squares[u] += c.astype(float) ** 2
+        n = max(1, len(rows))
+        scale = (1 / (np.sqrt(np.maximum(0, squares / n - (sums / n) ** 2)) + 1e-4) / np.sqrt(BUCKETS)).astype(np.float32)
+
+        def spread_out(picked: np.ndarray) -> np.ndarray:
+            x = np.zeros((len(picked), BUCKETS + 1), np.float32)
+            x[:, -1] = 1
+            for i, r in enumerate(picked):
+                u, c = rows[r]
+                x[i, u] = c * scale[u]
+            return x
+
+        pairs = [(0, a, b, own[y], SAMPLE_PER_FAMILY) for a, b in combinations(range(len(self.families)), 2)]
+        pairs += [(1, a, b, y, None) for m in self.members for a, b in combinations(m, 2)]
+        for level, a, b, of, most in pairs:
+            # rows stand in the order of a hash: a family's first ones are a sample of its languages
+            picked = np.sort(np.concatenate([np.flatnonzero(of == k)[:most] for k in (a, b)]))
+            w = fit_machine(spread_out(picked), np.where(of[picked] == a, 1, -1).astype(np.float32))
             self.machines.append((level, a, b))
             columns.append(np.append(w[:-1] * scale, w[-1]))
         self.weights = np.array(columns, np.float32).reshape(len(columns), BUCKETS + 1).T.copy() if columns else np.zeros((BUCKETS + 1, 0), np.float32)
@@ -136,28 +149,27 @@ def _features(batches):
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a sample of rows (doc_id, text, lang), drawn by a hash of the id."""
+    """Fit on a sample of rows (doc_id, text, lang), drawn by a hash of id and text. Every language is learned."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # as many as there are languages
     if not counts:
-        return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0, int))
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1_000_000, 1_000_000 * per_language // r["count"] + 1))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < rate[F.col("lang")])
+        return Model([], [], np.zeros(0, int))
+    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    picked = rows.where(drawn(rate[F.col("lang")], "doc_id", "text", F.lit("language")))
     got = picked.select("lang", "text").mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["shares"])))
+    got.sort(key=lambda r: (zlib.crc32(bytes(r["buckets"])), r["lang"], bytes(r["buckets"]), bytes(r["shares"])))
     langs = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), BUCKETS + 1), np.float32)
-    x[:, -1] = 1
-    for i, r in enumerate(got):
+    sparse = []
+    for r in got:
         u, c = np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")
-        x[i, u[u < BUCKETS]] = c[u < BUCKETS]
-    return Model([r["lang"] for r in got], x, np.array([langs.index(r["lang"]) for r in got], int))
+        sparse.append((u[u < BUCKETS], c[u < BUCKETS]))
+    return Model([r["lang"] for r in got], sparse, np.array([langs.index(r["lang"]) for r in got], int))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, text) -> (doc_id, held_out, lang_pred, score), one row each.
 
-    The model is broadcast: at most MOST_LANGUAGES languages of BUCKETS weights."""
+    The model is broadcast: BUCKETS weights for each pair of families, and of languages of a family."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

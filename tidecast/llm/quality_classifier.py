@@ -6,8 +6,10 @@ the pairwise part by the sum-of-squares identity, in time linear in the words.
 
 Defined results: a null or empty text has no words, and is scored by its (zero)
 statistics. With no labels, or labels of one kind only, every score is that
-kind's share (0.5 without any). Repeated rows repeat their result; extra columns
-are ignored, and a table without `n_chars` counts as one with nulls.
+kind's share (0.5 without any). Of several labels of one id the least counts, of
+several rows of one id the sample takes the least text. A score of THRESHOLD itself
+is predicted 1. Texts of any length are read whole. Repeated rows repeat their result;
+extra columns are ignored, and a table without `n_chars` counts as one with nulls.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import SPACES, plus, remainder, slices, table
+from tidecast.llm.common import SPACES, drawn, plus, remainder, slices, table
 
 BUCKETS, FACTORS = 4096, 8
 #: Labelled rows of each kind that the machine is fitted on, about; all rows are scored.
@@ -132,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     rate = {k: min(1.0, per_label / n) for k, n in counts.items()}
-    limit = F.when(F.col("label") == 1, F.lit(int(1e6 * rate.get(1, 0)) + 1)).otherwise(int(1e6 * rate.get(0, 0)) + 1)
-    picked = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < limit).select(F.col("doc_id").alias("labelled"), "label")
-    rows = docs.select("doc_id", "text", F.col("n_chars").cast("long")).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))
+    picked = labels.where(drawn(F.when(F.col("label") == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0)), "doc_id", F.lit("quality"))).select(F.col("doc_id").alias("labelled"), "label")
+    # one row of an id that several rows have, so that the sample stays bounded
+    found = docs.select("doc_id", "text", F.col("n_chars").cast("long")).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "label")).alias("row")).select("row.*")
     got = rows.select("text", "n_chars", F.col("label").cast("int")).mapInArrow(_sampled, "label int, stats binary, buckets binary, values binary").collect()
     got.sort(key=lambda r: (bytes(r["stats"]), bytes(r["buckets"]), r["label"]))
     y = np.array([r["label"] for r in got], np.float32)
