@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.functions.expressions import CUTOFFS, MIN_SPLIT_CUTOFFS, MIN_TRAIN_DAYS, MORE_CUTOFFS, SCALE_COVERAGE, SCALES, TEST_DAYS, pinball
+from tidecast.functions.expressions import CUTOFFS, MIN_SPLIT_CUTOFFS, MIN_TRAIN_DAYS, MORE_CUTOFFS, N_SIMS, SCALE_COVERAGE, SCALES, TEST_DAYS, pinball
 from tidecast.operators import fit, holt_winters
 from tidecast.operators.series import SEGMENT
-from tidecast.operators.simulate import draws, inflation, points
+from tidecast.operators.simulate import simulate
 
 FOLD = (*SEGMENT, "cutoff")
 
@@ -31,49 +31,59 @@ def fold_models(series: DataFrame, folds: DataFrame, method: str) -> DataFrame:
     return base
 
 
-def fold_scores(series: DataFrame, folds: DataFrame, method: str, n_sims: int, scales: tuple[float, ...] = (1.0,)) -> DataFrame:
+def fold_scores(series: DataFrame, folds: DataFrame, method: str, n_sims: int = N_SIMS, scales: tuple[float, ...] = (1.0,)) -> DataFrame:
     """(segment, cutoff, method, scale, actual, p10, p50, p90, ape, pinball, covered). All
     scales share the draws; the scale multiplies them before days are held at 0."""
-    models = fold_models(series, folds, method)
-    days = draws(models, FOLD, TEST_DAYS, n_sims).join(points(models, FOLD, TEST_DAYS), [*FOLD, "k"])
-    each = days.withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
-    value = F.greatest(F.lit(0.0), F.col("point") + F.col("residual") * inflation(F.col("channel")) * F.col("scale"))
-    sums = each.groupBy(*FOLD, "scale", "sim").agg(F.sum(value).alias("revenue"))
+    sums = simulate(fold_models(series, folds, method), FOLD, (TEST_DAYS,), n_sims, scales=scales)
     limits = sums.groupBy(*FOLD, "scale").agg(F.percentile("revenue", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
     after = series.join(folds, list(SEGMENT)).where((F.col("date") > F.col("cutoff")) & (F.datediff("date", "cutoff") <= TEST_DAYS))
     actual = after.groupBy(*FOLD).agg(F.sum("revenue").alias("actual"))
     p = [F.col("p")[i] for i in range(3)]
     loss: Column = sum((pinball(F.col("actual"), q, t) for q, t in zip(p, (0.1, 0.5, 0.9), strict=True)), F.lit(0.0)) / 3
     ape = F.abs(F.col("actual") - p[1]) / F.greatest("actual", F.lit(1.0)) * 100
-    return limits.join(actual, list(FOLD)).select(*FOLD, F.lit(method).alias("method"), "scale", "actual", *[x.alias(n) for x, n in zip(p, ("p10", "p50", "p90"), strict=True)], ape.alias("ape"), loss.alias("pinball"), F.col("actual").between(p[0], p[2]).alias("covered"))
+    percent = [x.alias(n) for x, n in zip(p, ("p10", "p50", "p90"), strict=True)]
+    return limits.join(actual, list(FOLD)).select(*FOLD, F.lit(method).alias("method"), "scale", "actual", *percent, ape.alias("ape"), loss.alias("pinball"), F.col("actual").between(p[0], p[2]).alias("covered"))
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    return scores.groupBy(*SEGMENT, "method", "scale").agg(F.count("*").alias("n_folds"), F.avg("ape").alias("ape"), F.avg("pinball").alias("pinball"), (F.avg(F.col("covered").cast("int")) * 100).alias("coverage"))
+def summary(scores: DataFrame, *more: str) -> DataFrame:
+    return scores.groupBy(*SEGMENT, "method", "scale", *more).agg(F.count("*").alias("n_folds"), F.avg("ape").alias("ape"), F.avg("pinball").alias("pinball"), (F.avg(F.col("covered").cast("int")) * 100).alias("coverage"))
 
 
-def select_method(series: DataFrame, n_sims: int) -> DataFrame:
-    """The method of least loss for each segment; equal or untested, the empirical one."""
+def compare(series: DataFrame, n_sims: int = N_SIMS) -> DataFrame:
+    """Both methods on the same folds, one row a segment and method; segments that can't be tested have nulls."""
     folds = cutoffs(series)
     both = summary(fold_scores(series, folds, "empirical", n_sims)).unionByName(summary(fold_scores(series, folds, "holt_winters", n_sims)))
     every = series.select(*SEGMENT).distinct().withColumn("method", F.explode(F.array(F.lit("empirical"), F.lit("holt_winters"))))
     rank = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy(F.col("pinball").isNull(), "pinball", "method"))
-    return every.join(both, [*SEGMENT, "method"], "left").withColumn("rank", rank).where("rank = 1").drop("rank", "scale")
+    told = every.join(both, [*SEGMENT, "method"], "left").withColumn("winner", rank == 1)
+    return told.select(*SEGMENT, "method", F.coalesce("n_folds", F.lit(0)).alias("n_folds"), "ape", "pinball", "coverage", "winner")
+
+
+def select_method(series: DataFrame, n_sims: int = N_SIMS) -> DataFrame:
+    """The method of least loss for each segment; equal or untested, the empirical one."""
+    return compare(series, n_sims).where("winner").drop("winner")
 
 
-def calibrate(series: DataFrame, n_sims: int, method: str = "empirical") -> DataFrame:
-    """Scale of the residuals: tuned on the older half of the cutoffs, reported on the newer."""
+def calibrate(series: DataFrame, n_sims: int = N_SIMS, chosen_methods: DataFrame | None = None) -> DataFrame:
+    """Scale of the residuals: tuned on the older half of the cutoffs, reported on the newer.
+    With chosen_methods (segment, method) each segment is scored by its own method. A segment
+    with too few cutoffs isn't tuned: its scale is 1, reported on all it has."""
     folds = cutoffs(series, MORE_CUTOFFS)
     place = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("cutoff"))
     total = F.count("*").over(Window.partitionBy(*SEGMENT))
     split = folds.select(*FOLD, place.alias("place"), total.alias("total")).withColumn("older", F.col("place") <= F.floor(F.col("total") / 2))
-    scored = fold_scores(series, folds, method, n_sims, SCALES).join(split, list(FOLD))
-    tuned = summary(scored.where((F.col("total") >= MIN_SPLIT_CUTOFFS) & F.col("older")))
+    if chosen_methods is None:
+        scores = fold_scores(series, folds, "empirical", n_sims, SCALES)
+    else:
+        own = {m: folds.join(chosen_methods.where(F.col("method") == m).select(*SEGMENT), list(SEGMENT), "left_semi") for m in ("empirical", "holt_winters")}
+        scores = fold_scores(series, own["empirical"], "empirical", n_sims, SCALES).unionByName(fold_scores(series, own["holt_winters"], "holt_winters", n_sims, SCALES))
+    scored = scores.join(split, list(FOLD)).withColumn("tuned", F.col("total") >= MIN_SPLIT_CUTOFFS)
+    older = summary(scored.where(F.col("tuned") & F.col("older")))
     fits = F.min(F.when(F.col("coverage") >= SCALE_COVERAGE, F.col("scale")))
     widest = F.max(F.struct("coverage", (-F.col("scale")).alias("s")))
-    chosen = tuned.groupBy(*SEGMENT).agg(fits.alias("fits"), widest.alias("widest")).select(*SEGMENT, F.coalesce("fits", -F.col("widest.s")).alias("chosen"))
-    held = scored.join(chosen, list(SEGMENT), "left").withColumn("chosen", F.coalesce("chosen", F.lit(1.0))).where("scale = chosen").where((F.col("total") < MIN_SPLIT_CUTOFFS) | ~F.col("older"))
-    return summary(held).withColumn("tuned", F.lit(True) & (F.col("n_folds") >= MIN_SPLIT_CUTOFFS // 2))
+    chosen = older.groupBy(*SEGMENT).agg(fits.alias("fits"), widest.alias("widest")).select(*SEGMENT, F.coalesce("fits", -F.col("widest.s")).alias("chosen"))
+    held = scored.join(chosen, list(SEGMENT), "left").withColumn("chosen", F.coalesce("chosen", F.lit(1.0))).where("scale = chosen").where(~F.col("tuned") | ~F.col("older"))
+    return summary(held, "tuned")
 
 
 def portfolio(scores: DataFrame) -> DataFrame:

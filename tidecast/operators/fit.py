@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.expressions import (
-    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, TREND_DAYS, draw, finite, is_holiday,
+    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, draw, finite, is_holiday,
 )
 from tidecast.operators.series import SEGMENT, daily, last_days
 
@@ -72,16 +72,26 @@ def elasticity(series: DataFrame, keys: tuple[str, ...] = SEGMENT, resamples: in
     out = point.select(*keys, "n_obs", F.when(enough, clip(F.col("b"))).otherwise(1.0).alias("beta"), F.when(enough, F.col("a")).otherwise(0.0).alias("alpha"), enough.alias("fitted"))
     if not resamples:
         return out
-    numbered = pairs.where("pair is not null").withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1)
-    picks = numbered.join(out.where("fitted").select(*keys, "n_obs"), list(keys)).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    picked = picks.select(*keys, "sample", draw(F.col("n_obs"), *keys, "sample", "at", F.lit("elasticity"), F.lit(42)).alias("at"))
-    slopes = picked.join(numbered.select(*keys, "at", "pair"), [*keys, "at"]).groupBy(*keys, "sample").agg(F.regr_slope("pair.r", "pair.s").alias("b"))
+    slopes = _resampled(pairs.where("pair is not null"), out.where("fitted").select(*keys), keys, resamples)
     limits = slopes.where("b is not null").groupBy(*keys).agg(F.percentile(clip(F.col("b")), F.array(F.lit(0.1), F.lit(0.9))).alias("ci"))
     joined = out.join(limits, list(keys), "left").withColumn("ci_low", F.coalesce(F.col("ci")[0], F.lit(1.0))).withColumn("ci_high", F.coalesce(F.col("ci")[1], F.lit(1.0)))
     low = ~F.col("fitted") | (F.col("ci_high") - F.col("ci_low") > ELASTICITY_CI_WIDTH)
     return joined.select(*keys, "n_obs", "beta", "alpha", "ci_low", "ci_high", low.alias("low_confidence"), F.when(low, 1.0).otherwise(F.col("beta")).alias("beta_for_scenario"))
 
 
+def _resampled(pairs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], resamples: int) -> DataFrame:
+    """(keys, sample, b): slopes of keyed resamples of each key's pairs (a key has one a day at most).
+    Resamples are dealt to tasks before they get their key's pairs as an array, so drawn pairs
+    are summed where they are drawn and never shuffled."""
+    spark = pairs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"]).alias("pairs"), F.count("*").alias("size"))
+    dealt = wanted.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(parts, *keys, "sample")
+    each = dealt.join(held, list(keys)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)))
+    picked = each.select(*keys, "sample", F.get("pairs", draw(F.col("size"), *keys, "sample", "at", F.lit("elasticity"), F.lit(SEED)).cast("int")).alias("pair"))
+    return picked.groupBy(*keys, "sample").agg(F.regr_slope("pair.r", "pair.s").alias("b"))
+
+
 def campaign_tiers(features: DataFrame) -> DataFrame:
     """Each campaign of a segment by the days from its first to its last: skip, shrinkage, own."""
     span = features.dropna(subset=["channel", "campaign_id", "date"]).groupBy("channel", "campaign_id").agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("n_days"))
@@ -90,11 +100,21 @@ def campaign_tiers(features: DataFrame) -> DataFrame:
     return owners.join(span, ["channel", "campaign_id"]).select(*SEGMENT, "campaign_id", "n_days", tier.alias("tier"))
 
 
-def shrinkage(features: DataFrame) -> DataFrame:
-    """Short campaigns as their segment's model, scaled by the ratio of mean levels."""
-    parents = models(daily(features))
-    child = daily(features, ("channel", "campaign_id")).groupBy("channel", "campaign_id").agg(F.avg("revenue").alias("level"))
-    short = campaign_tiers(features).where("tier = 'shrinkage'").join(child, ["channel", "campaign_id"]).join(parents, list(SEGMENT))
-    scale = F.when(F.col("avg_revenue") > 0, F.col("level") / F.col("avg_revenue")).otherwise(0.0)
-    scaled = short.withColumn("scale", scale)
-    return scaled.select(*SEGMENT, "campaign_id", "n_days", "level", "scale", (F.col("slope") * F.col("scale")).alias("slope"), (F.col("level_at_end") * F.col("scale")).alias("level_at_end"), F.transform("pool", lambda r: r * F.col("scale")).alias("pool"), "dow", "holiday_factor")
+def shrinkage(features: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Campaigns of 3 to 29 days as their segment's model, scaled by the ratio of mean levels;
+    their own mean revenue and spend. parents: models of segments, with method and path if
+    they were chosen; else the empirical ones."""
+    if parents is None:
+        parents = models(daily(features))
+    for name, kind in (("method", "string"), ("path", "array<double>")):
+        if name not in parents.columns:
+            parents = parents.withColumn(name, F.lit("empirical" if name == "method" else None).cast(kind))
+    own = daily(features, ("channel", "campaign_id")).groupBy("channel", "campaign_id").agg(F.avg("revenue").alias("level"), F.avg("spend").alias("own_spend"), F.max("date").alias("own_last"))
+    shape = parents.select(*SEGMENT, "method", "slope", "level_at_end", "pool", "path", "dow", "holiday_factor", F.col("avg_revenue").alias("parent_level"))
+    short = campaign_tiers(features).where("tier = 'shrinkage'").join(own, ["channel", "campaign_id"]).join(shape, list(SEGMENT))
+    scaled = short.withColumn("scale", F.when(F.col("parent_level") > 0, F.col("level") / F.col("parent_level")).otherwise(0.0))
+    times = lambda c: F.transform(c, lambda r: r * F.col("scale")).alias(c)
+    return scaled.select(
+        *SEGMENT, "campaign_id", "method", "n_days", "level", "scale", (F.col("slope") * F.col("scale")).alias("slope"), (F.col("level_at_end") * F.col("scale")).alias("level_at_end"),
+        times("pool"), times("path"), "dow", "holiday_factor", F.col("own_last").alias("last_train_date"), F.col("own_spend").alias("avg_spend"), F.col("level").alias("avg_revenue"),
+    )

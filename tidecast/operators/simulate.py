@@ -7,8 +7,11 @@ result. The horizons of a simulation are nested: one path of days each.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, draw, is_holiday, response
 
@@ -35,22 +38,76 @@ def draws(models: DataFrame, keys: tuple[str, ...], days: int, n_sims: int = N_S
     return each.select(*keys, "sim", "k", F.coalesce(F.when(size > 0, F.get("pool", at.cast("int"))), F.lit(0.0)).alias("residual"))
 
 
-def points(models: DataFrame, keys: tuple[str, ...], days: int) -> DataFrame:
-    """(keys, k, point): trend, not below 0, times weekday and holiday factors."""
-    each = models.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn("date", F.expr("date_add(last_train_date, k)"))
-    season = F.get("dow", F.weekday("date")) * F.when(is_holiday(F.col("date")), F.col("holiday_factor")).otherwise(1.0)
-    point = F.greatest(F.lit(0.0), F.col("level_at_end") + F.col("slope") * F.col("k")) * season
-    if "path" in models.columns:  # a fitted path goes before the trend
-        point = F.coalesce(F.greatest(F.lit(0.0), F.get("path", F.least(F.col("k"), F.size("path")) - 1)), point)
-    return each.select(*keys, "k", point.alias("point"))
+def path_of_points(models: DataFrame, days: int) -> Column:
+    """Days 1 to `days` after training: trend, not below 0, times weekday and holiday factors."""
 
+    def point(k: Column) -> Column:
+        date = F.date_add("last_train_date", k)
+        season = F.get("dow", F.weekday(date)) * F.when(is_holiday(date), F.col("holiday_factor")).otherwise(1.0)
+        trend = F.greatest(F.lit(0.0), F.col("level_at_end") + F.col("slope") * k) * season
+        if "path" in models.columns:  # a fitted path goes before the trend
+            return F.coalesce(F.greatest(F.lit(0.0), F.get("path", F.least(k, F.size("path")) - 1)), trend)
+        return trend
 
-def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None) -> DataFrame:
-    """(keys, sim, horizon_days, revenue): summed days, each not below 0."""
-    days = draws(models, keys, max(horizons), n_sims).join(points(models, keys, max(horizons)), [*keys, "k"])
-    value = F.greatest(F.lit(0.0), F.col("point") + F.col("residual") * (inflation(F.col("channel")) if spread is None else spread))
-    sums = days.groupBy(*keys, "sim").agg(*[F.sum(F.when(F.col("k") <= h, value)).alias(f"h{h}") for h in horizons])
-    return sums.select(*keys, "sim", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon_days"), F.col(f"h{h}").alias("revenue")) for h in horizons])))
+    return F.transform(F.sequence(F.lit(1), F.lit(days)), point)
+
+
+def places(keys: tuple[str, ...], days: int, seed: int) -> Column:
+    """Where a simulation's residuals begin in the pool, as draws() has them: by blocks, or by days in short pools."""
+    size, blocks = F.size("pool"), -(-days // BLOCK)
+    by_block = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: draw(size - (BLOCK - 1), *keys, "sim", k, F.lit("simulate"), F.lit(seed)).cast("int"))
+    by_day = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: draw(size, *keys, "sim", k, F.lit("simulate"), F.lit(seed)).cast("int"))
+    return F.when(size > BLOCK, by_block).when(size > 0, by_day).otherwise(F.array().cast("array<int>"))
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all lists, where each begins, and their lengths."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    return column.flatten().to_numpy(zero_copy_only=False), offsets[:-1], np.diff(offsets)
+
+
+def _paths(batch: pa.RecordBatch, days: int) -> np.ndarray:
+    """The residuals of each row's days."""
+    pool, first, size = _lists(batch.column("pool"))
+    at, begin, _ = _lists(batch.column("at"))
+    out = np.zeros((batch.num_rows, days))
+    for rows, step in ((np.flatnonzero(size > BLOCK), BLOCK), (np.flatnonzero((size > 0) & (size <= BLOCK)), 1)):
+        n = -(-days // step)
+        starts = at[begin[rows][:, None] + np.arange(n)].astype(np.int64) + first[rows][:, None]
+        out[rows] = pool[(starts[:, :, None] + np.arange(step)).reshape(len(rows), n * step)[:, :days]] if len(rows) else 0.0
+    return out
+
+
+def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None, scales: tuple[float, ...] = (), seed: int = SEED) -> DataFrame:
+    """(keys[, scale], sim, horizon_days, revenue): summed days, each not below 0. A simulation is
+    one row, its days are added up in Arrow batches. Scales multiply the draws, which they share."""
+    days, spark = max(horizons), models.sparkSession
+    base = models.select(*keys, "pool", path_of_points(models, days).alias("points"), (inflation(F.col("channel")) if spread is None else spread).alias("spread"))
+    # simulations are dealt to tasks before they get their key's arrays
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sims = models.select(*keys).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).repartition(parts, *keys, "sim")
+    drawn = sims.join(base, list(keys)).select(*keys, "sim", "pool", "points", "spread", places(keys, days, seed).alias("at"))
+    names, factors = [*keys, "sim"], scales or (1.0,)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = batch.column("points").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, days)
+            noise = _paths(batch, days) * batch.column("spread").to_numpy(zero_copy_only=False)[:, None]
+            kept = [batch.column(c) for c in names]
+            for scale in factors:
+                value = np.maximum(0.0, points + noise * scale)
+                for h in horizons:
+                    told = [pa.array(np.full(batch.num_rows, scale))] * bool(scales) + [pa.array(np.full(batch.num_rows, h, np.int32)), pa.array(value[:, :h].sum(1))]
+                    yield pa.RecordBatch.from_arrays([*kept, *told], [f.name for f in schema])
+
+    schema = T.StructType(list(drawn.select(*names).schema.fields))
+    if scales:
+        schema.add("scale", T.DoubleType())
+    schema.add("horizon_days", T.IntegerType()).add("revenue", T.DoubleType())
+    return drawn.mapInArrow(run, schema)
 
 
 def multiples(models: DataFrame, channel: dict[str, float] | None = None, segment: dict[tuple[str, str], float] | None = None) -> Column:
@@ -63,22 +120,47 @@ def multiples(models: DataFrame, channel: dict[str, float] | None = None, segmen
     return out
 
 
+PERCENT = (0.1, 0.5, 0.9)
+ORDER = ["channel", "campaign_type", "campaign_id", "horizon_days", "metric", "p10", "p50", "p90"]
+
+
+def scenario_beta(models: DataFrame) -> str:
+    """The slope of scenarios: 1 for low confidence, where slopes have confidence limits."""
+    return "beta_for_scenario" if "beta_for_scenario" in models.columns else "beta"
+
+
+def percentiles(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of revenue and, where money is spent, return on it from (keys, horizon_days, sim, revenue, spend)."""
+    cut = paths.groupBy(*keys, "horizon_days").agg(F.percentile("revenue", F.array(*map(F.lit, PERCENT))).alias("r"), F.max("spend").alias("spend"))
+    revenue = F.struct(F.lit("revenue").alias("metric"), *[F.col("r")[i].alias(n) for i, n in enumerate(ORDER[-3:])])
+    roas = F.when(F.col("spend") > 0, F.struct(F.lit("roas").alias("metric"), *[(F.col("r")[i] / F.col("spend")).alias(n) for i, n in enumerate(ORDER[-3:])]))
+    rows = cut.select(*keys, "horizon_days", F.inline(F.array_compact(F.array(revenue, roas))))
+    return rows.select(*keys, "horizon_days", "metric", *[F.round(p, 4).alias(p) for p in ORDER[-3:]])
+
+
+def scaled(models: DataFrame, sims: DataFrame, multiple: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Simulated revenue and spend under multiples of spend."""
+    told = models.select(*keys, "avg_spend", F.col(scenario_beta(models)).alias("beta"), multiple.alias("m"))
+    told = told.select(*keys, response(F.col("m"), F.col("beta")).alias("scale"), (F.col("avg_spend") * F.col("m")).alias("daily"))
+    both = sims.join(told, list(keys))
+    return both.withColumn("revenue", F.col("revenue") * F.col("scale")).withColumn("spend", F.col("daily") * F.col("horizon_days"))
+
+
 def forecast(models: DataFrame, sims: DataFrame, multiple: Column, rollup: bool = True) -> DataFrame:
     """Percentiles of revenue and return at segment, channel and blended grain. models:
     (channel, campaign_type, avg_spend, beta), and beta_for_scenario, which goes before
     beta, if slopes have confidence limits; sims as from simulate()."""
-    beta = "beta_for_scenario" if "beta_for_scenario" in models.columns else "beta"
-    told = models.select("channel", "campaign_type", "avg_spend", F.col(beta).alias("beta"), multiple.alias("m")).withColumn("scale", response(F.col("m"), F.col("beta"))).withColumn("daily", F.col("avg_spend") * F.col("m"))
-    scaled = sims.join(told.select("channel", "campaign_type", "scale", "daily"), ["channel", "campaign_type"]).withColumn("revenue", F.col("revenue") * F.col("scale")).withColumn("spend", F.col("daily") * F.col("horizon_days"))
+    moved = scaled(models, sims, multiple, ("channel", "campaign_type"))
     if rollup:
-        sums = scaled.groupingSets([["channel", "campaign_type", "horizon_days", "sim"], ["channel", "horizon_days", "sim"], ["horizon_days", "sim"]], "channel", "campaign_type", "horizon_days", "sim")
+        grains = [["channel", "campaign_type", "horizon_days", "sim"], ["channel", "horizon_days", "sim"], ["horizon_days", "sim"]]
+        sums = moved.groupingSets(grains, "channel", "campaign_type", "horizon_days", "sim")
     else:
-        sums = scaled.groupBy("channel", "campaign_type", "horizon_days", "sim")
+        sums = moved.groupBy("channel", "campaign_type", "horizon_days", "sim")
     paths = sums.agg(F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
     named = paths.withColumn("channel", F.coalesce("channel", F.lit("blended"))).withColumn("campaign_type", F.coalesce("campaign_type", F.lit("")))
-    percent = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    cut = named.groupBy("channel", "campaign_type", "horizon_days").agg(F.percentile("revenue", percent).alias("r"), F.max("spend").alias("spend"))
-    revenue = F.struct(F.lit("revenue").alias("metric"), *[F.col("r")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
-    roas = F.when(F.col("spend") > 0, F.struct(F.lit("roas").alias("metric"), *[(F.col("r")[i] / F.col("spend")).alias(n) for i, n in enumerate(("p10", "p50", "p90"))]))
-    rows = cut.select("channel", "campaign_type", F.lit("").alias("campaign_id"), "horizon_days", F.inline(F.array_compact(F.array(revenue, roas))))
-    return rows.select("channel", "campaign_type", "campaign_id", "horizon_days", "metric", *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
+    return percentiles(named.withColumn("campaign_id", F.lit("")), ORDER[:3]).select(ORDER)
+
+
+def forecast_campaigns(models: DataFrame, sims: DataFrame, multiple: Column) -> DataFrame:
+    """The same of campaigns, which are in no sum: segments hold their revenue already."""
+    return percentiles(scaled(models, sims, multiple, ROLLUP), ORDER[:3]).select(ORDER)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidecast.functions.expressions import GAP_DAYS, OVERSPEND
 
 CAMPAIGN = ("channel", "campaign_id")
-CHECKS = ("unstable_campaign_name", "unstable_campaign_type", "date_coverage_gap", "spend_exceeds_daily_budget", "conversions_exceed_clicks", "negative_spend", "negative_revenue", "zero_revenue_with_spend")
+CHECKS = ("unstable_campaign_name", "unstable_campaign_type", "date_coverage_gap", "spend_exceeds_daily_budget", "conversions_exceed_clicks", "negative_spend", "negative__spend_derived", "negative_revenue", "negative_clicks", "negative_conversions", "negative_impressions", "zero_revenue_with_spend")
+AMOUNTS = ("spend", "revenue", "clicks", "conversions", "impressions")
 
 
 def unstable(raw: DataFrame, column: str) -> DataFrame:
@@ -35,9 +36,12 @@ def conversions_over_clicks(raw: DataFrame) -> DataFrame:
     return found.select(*CAMPAIGN, F.lit("conversions_exceed_clicks").alias("issue"), F.col("n").cast("double").alias("amount"))
 
 
-def negative(raw: DataFrame, columns: tuple[str, ...] = ("spend", "revenue")) -> DataFrame:
-    each = raw.select(*CAMPAIGN, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
-    found = each.where("value < 0").groupBy(*CAMPAIGN, "column").agg(F.count("*").alias("n"))
+def negative(raw: DataFrame, columns: tuple[str, ...] = AMOUNTS) -> DataFrame:
+    """Of the columns that there are. Google's spend is derived from millionths, and named so."""
+    known = [c for c in columns if c in raw.columns]
+    each = raw.select(*CAMPAIGN, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in known])))
+    name = F.when((F.col("channel") == "google") & (F.col("column") == "spend"), "_spend_derived").otherwise(F.col("column"))
+    found = each.where("value < 0").groupBy(*CAMPAIGN, name.alias("column")).agg(F.count("*").alias("n"))
     return found.select(*CAMPAIGN, F.concat(F.lit("negative_"), "column").alias("issue"), F.col("n").cast("double").alias("amount"))
 
 
@@ -60,6 +64,13 @@ def summary(raw: DataFrame) -> DataFrame:
     return names.join(issues(raw).groupBy("issue").count(), "issue", "left").select("issue", F.coalesce("count", F.lit(0)).alias("n_issues"))
 
 
+def channels(raw: DataFrame) -> DataFrame:
+    """Each channel's campaigns, rows and issues."""
+    sizes = raw.groupBy("channel").agg(F.count_distinct("campaign_id").alias("n_campaigns"), F.count("*").alias("n_rows"))
+    found = issues(raw).groupBy("channel").agg(F.count("*").alias("n"))
+    return sizes.join(found, "channel", "left").select("channel", "n_campaigns", "n_rows", F.coalesce("n", F.lit(0)).alias("n_issues"))
+
+
 def examples(raw: DataFrame, most: int = 5) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("channel", "issue").orderBy("campaign_id", "amount"))
     return issues(raw).withColumn("place", place).where(F.col("place") <= most)

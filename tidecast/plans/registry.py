@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import expressions as X
-from tidecast.operators import backtest, coldstart, fit, holt_winters, recommend, series, simulate, stats, validate
+from tidecast.operators import backtest, coldstart, fit, holt_winters, recommend, series, simulate, stats, train, validate
 from tidecast.plans import sql as S
-from tidecast.sources.adaptors import features
+from tidecast.sources.adaptors import SHORT_SQL, features, short_features
 
-SIMS, RESAMPLES = 300, 40
+SIMS, RESAMPLES = X.N_SIMS, X.ELASTICITY_BOOTSTRAPS
 SEG = series.SEGMENT
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +42,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.daily(features(spark, sf_dir))
+    """The dense series, a row a segment and day: held, as fits read it several times."""
+    return series.daily(features(spark, sf_dir)).persist()
 
 
 NORMAL = "channel, campaign_id, campaign_name, campaign_type, conversions, revenue_is_imputed, funnel_stage, round(spend, 4) AS spend, round(revenue, 4) AS revenue"
@@ -146,11 +147,7 @@ def elasticity_scale(spark, sf_dir):
     return rows.withColumn("scale", F.round(X.response(F.col("multiple"), F.col("beta")), 6))
 
 
-BOOT = S.with_(S.DAILY, S.ELASTIC) + f""", num AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY date) - 1 AS spot FROM pair),
-picks AS (SELECT n.channel, n.campaign_type, sample, {S.draw('n_obs', 'n.channel', 'n.campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS pick FROM num n JOIN est e ON e.channel = n.channel AND e.campaign_type = n.campaign_type, (SELECT unnest(range(0, {RESAMPLES})) AS sample) WHERE n_obs >= 10 AND b IS NOT NULL),
-slopes AS (SELECT p.channel, p.campaign_type, sample, regr_slope(r, s) AS b FROM picks p JOIN num n ON n.channel = p.channel AND n.campaign_type = p.campaign_type AND n.spot = p.pick GROUP BY ALL),
-ci AS (SELECT channel, campaign_type, quantile_cont(least(greatest(b, 0), 2), 0.1) AS lo, quantile_cont(least(greatest(b, 0), 2), 0.9) AS hi FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
-boot AS (SELECT e.channel, e.campaign_type, n_obs, beta, coalesce(lo, 1) AS ci_low, coalesce(hi, 1) AS ci_high, n_obs < 10 OR coalesce(hi, 1) - coalesce(lo, 1) > 1 AS low_confidence FROM elastic e LEFT JOIN ci ON ci.channel = e.channel AND ci.campaign_type = e.campaign_type)"""
+BOOT = S.with_(S.DAILY, S.ELASTIC) + ", " + S.boot(RESAMPLES)
 
 
 @query(BOOT + "\nSELECT channel, campaign_type, n_obs, round(beta, 6) AS beta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, low_confidence FROM boot")
@@ -160,8 +157,7 @@ def elasticity_bootstrap_ci(spark, sf_dir):
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir)
-    return fit.models(rows).join(fit.elasticity(rows), list(SEG))
+    return fit.models(_segments(spark, sf_dir))
 
 
 def _forecast(spark: SparkSession, sf_dir: str, **multiples) -> DataFrame:
@@ -174,22 +170,22 @@ def block_bootstrap_draws(spark, sf_dir):
     return simulate.draws(_models(spark, sf_dir), SEG, 90, 20).withColumn("residual", F.round("residual", 4))
 
 
-@query(S.forecast(SIMS, where="campaign_type <> ''"))
+@query(S.forecast(SIMS, RESAMPLES, where="campaign_type <> ''"))
 def forecast_segment(spark, sf_dir):
     return _forecast(spark, sf_dir).where("campaign_type <> ''")
 
 
-@query(S.forecast(SIMS, where="campaign_type = ''"))
+@query(S.forecast(SIMS, RESAMPLES, where="campaign_type = ''"))
 def forecast_rollup(spark, sf_dir):
     return _forecast(spark, sf_dir).where("campaign_type = ''")
 
 
-@query(S.forecast(SIMS, "CASE r.channel WHEN 'meta' THEN 2.0 WHEN 'google' THEN 1.2 ELSE 1 END"))
+@query(S.forecast(SIMS, RESAMPLES, "CASE r.channel WHEN 'meta' THEN 2.0 WHEN 'google' THEN 1.2 ELSE 1 END"))
 def forecast_scenario_channel(spark, sf_dir):
     return _forecast(spark, sf_dir, channel={"meta": 2.0, "google": 1.2})
 
 
-@query(S.forecast(SIMS, "CASE WHEN r.channel = 'meta' AND r.campaign_type = 'ECONOMY' THEN 0.5 WHEN r.channel = 'meta' THEN 1.5 ELSE 1 END"))
+@query(S.forecast(SIMS, RESAMPLES, "CASE WHEN r.channel = 'meta' AND r.campaign_type = 'ECONOMY' THEN 0.5 WHEN r.channel = 'meta' THEN 1.5 ELSE 1 END"))
 def forecast_scenario_segment(spark, sf_dir):
     return _forecast(spark, sf_dir, channel={"meta": 1.5}, segment={("meta", "ECONOMY"): 0.5})
 
@@ -228,21 +224,30 @@ def issue_examples(spark, sf_dir):
 
 @query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features),
 s AS (SELECT channel, coalesce(sum(revenue) FILTER (date > origin - 30), 0) AS a, coalesce(sum(revenue) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS b, coalesce(sum(spend) FILTER (date > origin - 30), 0) AS c, coalesce(sum(spend) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS d FROM features, o GROUP BY channel)
-SELECT channel, round(a, 4) AS now_revenue, round(b, 4) AS then_revenue, round(c, 4) AS now_spend, round(d, 4) AS then_spend, round(CASE WHEN b > 0 THEN (a - b) / b * 100 END, 4) AS revenue_change_pct FROM s""")
+SELECT channel, round(a, 4) AS now_revenue, round(b, 4) AS then_revenue, round(c, 4) AS now_spend, round(d, 4) AS then_spend, round(CASE WHEN b > 0 THEN (a - b) / b * 100 END, 4) AS revenue_change_pct, round(CASE WHEN d > 0 THEN (c - d) / d * 100 END, 4) AS spend_change_pct FROM s""")
 def period_deltas(spark, sf_dir):
     return stats.period_deltas(features(spark, sf_dir))
 
 
-@query(S.with_() + """, s AS (SELECT channel, campaign_id, campaign_name, sum(spend) AS spend, coalesce(sum(revenue), 0) AS revenue FROM features GROUP BY ALL),
-t AS (SELECT channel, count(*) AS n, count(*) FILTER (spend > 0 AND revenue = 0) AS z, coalesce(sum(spend) FILTER (spend > 0 AND revenue = 0), 0) AS w FROM s GROUP BY ALL)
-SELECT channel, n AS n_campaigns, z AS n_zero, round(w, 4) AS wasted_spend, round(z / n, 6) AS zero_share FROM t WHERE z / n >= 0.0""")
-def structural_risk(spark, sf_dir):
+RISK = S.with_() + """, s AS (SELECT channel, campaign_id, campaign_name, sum(spend) AS spend, coalesce(sum(revenue), 0) AS revenue FROM features GROUP BY ALL HAVING sum(spend) > 0),
+t AS (SELECT channel, count(*) AS n, count(*) FILTER (revenue = 0) AS z, coalesce(sum(spend) FILTER (revenue = 0), 0) AS w FROM s GROUP BY ALL)
+SELECT channel, n AS n_campaigns, z AS n_zero, round(w, 4) AS wasted_spend, round(z / n, 6) AS zero_share FROM t WHERE z / n >= {}"""
+
+
+@query(RISK.format(0.0))
+def zero_revenue_shares(spark, sf_dir):
+    """Every channel's share."""
     return stats.structural_risk(features(spark, sf_dir), least=0.0)
 
 
-@query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features), s AS (SELECT channel, campaign_id, sum(revenue) / sum(spend) AS roas FROM features, o WHERE date > origin - 60 GROUP BY ALL HAVING sum(spend) > 0),
+@query(RISK.format(stats.ZERO_SHARE))
+def structural_risk(spark, sf_dir):
+    return stats.structural_risk(features(spark, sf_dir))
+
+
+@query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features), s AS (SELECT channel, campaign_id, campaign_name, sum(revenue) / sum(spend) AS roas FROM features, o WHERE date > origin - 60 GROUP BY ALL HAVING sum(spend) > 0),
 z AS (SELECT *, (roas - avg(roas) OVER w) / nullif(stddev_samp(roas) OVER w, 0) AS z, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY channel))
-SELECT channel, campaign_id, round(roas, 4) AS roas, round(z, 4) AS z_score FROM z WHERE n >= 3 AND abs(z) >= 2 ORDER BY abs(z) DESC, campaign_id LIMIT 10""")
+SELECT channel, campaign_id, campaign_name, round(roas, 4) AS roas, round(z, 4) AS z_score FROM z WHERE n >= 3 AND abs(z) > 2 ORDER BY abs(z) DESC, campaign_id, campaign_name LIMIT 10""")
 def roas_anomalies(spark, sf_dir):
     return stats.roas_anomalies(features(spark, sf_dir))
 
@@ -259,30 +264,54 @@ def pinball(spark, sf_dir):
     return rows.withColumns({n: F.round(X.pinball(F.col("l_quantity"), F.col("l_tax") * 500, t), 4) for n, t in (("p10", 0.1), ("p90", 0.9))})
 
 
-@query()
-def backtest_empirical(spark, sf_dir):
+SCORED = "n_folds, round(ape, 4) AS ape, round(pinball, 4) AS pinball, round(coverage, 4) AS coverage"
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90", "actual", "ape", "pinball", "coverage") if c in df.columns})
+
+
+def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segments(spark, sf_dir)
     return backtest.fold_scores(rows, backtest.cutoffs(rows), "empirical", SIMS)
 
 
-@query()
+@query(S.scores(SIMS) + "\nSELECT channel, campaign_type, cutoff, method, scale, round(actual, 4) AS actual, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, round(ape, 4) AS ape, round(pinball, 4) AS pinball, covered FROM score")
+def backtest_empirical(spark, sf_dir):
+    return _scored(_backtest(spark, sf_dir))
+
+
+@query(S.scores(SIMS) + "\nSELECT count(*) AS n_segments, round(avg(ape), 4) AS mean_ape, round(quantile_cont(ape, 0.5), 4) AS median_ape, round(avg(pinball), 4) AS pinball, round(avg(coverage), 4) AS coverage FROM bysum")
 def backtest_summary(spark, sf_dir):
-    return backtest.portfolio(backtest_empirical(spark, sf_dir))
+    return _scored(backtest.portfolio(_backtest(spark, sf_dir))).withColumns({c: F.round(c, 4) for c in ("mean_ape", "median_ape")})
 
 
 @query()
 def method_selection(spark, sf_dir):
-    return backtest.select_method(_segments(spark, sf_dir), SIMS)
+    return _scored(backtest.select_method(_segments(spark, sf_dir), SIMS))
 
 
 @query()
+def method_comparison(spark, sf_dir):
+    return _scored(backtest.compare(_segments(spark, sf_dir), SIMS))
+
+
+@query(S.scores(SIMS, X.MORE_CUTOFFS, list(X.SCALES)) + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY cutoff) AS place, count(*) OVER (PARTITION BY channel, campaign_type) AS total FROM folds),
+split AS (SELECT *, total >= {X.MIN_SPLIT_CUTOFFS} AS tuned, place <= total // 2 AS older FROM placed),
+older AS (SELECT channel, campaign_type, scale, avg(CAST(covered AS INTEGER)) * 100 AS coverage FROM score JOIN split USING (channel, campaign_type, cutoff) WHERE tuned AND older GROUP BY ALL),
+picked AS (SELECT channel, campaign_type, coalesce(min(scale) FILTER (coverage >= {X.SCALE_COVERAGE}), arg_max(scale, coverage * 1000 - scale)) AS chosen FROM older GROUP BY ALL),
+held AS (SELECT s.*, split.tuned FROM score s JOIN split USING (channel, campaign_type, cutoff) LEFT JOIN picked USING (channel, campaign_type) WHERE scale = coalesce(chosen, 1.0) AND (NOT split.tuned OR NOT split.older))
+SELECT channel, campaign_type, method, scale, tuned, count(*) AS n_folds, round(avg(ape), 4) AS ape, round(avg(pinball), 4) AS pinball, round(avg(CAST(covered AS INTEGER)) * 100, 4) AS coverage FROM held GROUP BY ALL""")
 def calibration_scale(spark, sf_dir):
-    return backtest.calibrate(_segments(spark, sf_dir), SIMS)
+    return _scored(backtest.calibrate(_segments(spark, sf_dir), SIMS))
 
 
-@query()
+@query(S.holt_winters(holt_winters.FIXED))
 def holt_winters_fixed(spark, sf_dir):
-    return holt_winters.fit(_segments(spark, sf_dir), optimise=False)
+    found = holt_winters.fit(_segments(spark, sf_dir), optimise=False)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 2)
+    return found.select(*SEG, "alpha", "beta", "gamma", *[F.round(F.get("path", F.lit(k - 1)), 2).alias(f"day_{k}") for k in (1, 30, 120)], total("path").alias("path_sum"), total("pool").alias("pool_sum"))
 
 
 @query()
@@ -290,14 +319,86 @@ def holt_winters_optimised(spark, sf_dir):
     return holt_winters.fit(_segments(spark, sf_dir))
 
 
-@query()
+def _tiers_sql(source: str) -> str:
+    return f"""WITH {source} SELECT o.channel, o.campaign_type, o.campaign_id, CAST(n_days AS INTEGER) AS n_days, CASE WHEN n_days < 3 THEN 'skip' WHEN n_days < 30 THEN 'shrinkage' ELSE 'own' END AS tier
+FROM (SELECT DISTINCT channel, campaign_type, campaign_id FROM features) o JOIN (SELECT channel, campaign_id, max(date) - min(date) + 1 AS n_days FROM features GROUP BY ALL) s ON s.channel = o.channel AND s.campaign_id = o.campaign_id"""
+
+
+@query(_tiers_sql(SHORT_SQL))
+def campaign_tiers_short(spark, sf_dir):
+    return fit.campaign_tiers(short_features(spark, sf_dir))
+
+
+MODEL = "round(slope{0}, 6) AS slope, round((start + slope * (n - 1)){0}, 4) AS level_at_end, round(holiday_factor, 6) AS holiday_factor, len(pool) AS pool_size, round(list_sum(pool){0}, 2) AS pool_sum"
+
+
+def _model_columns(df: DataFrame, *more) -> DataFrame:
+    total = F.aggregate("pool", F.lit(0.0), lambda s, v: s + v)
+    return df.select(*more, F.round("slope", 6).alias("slope"), F.round("level_at_end", 4).alias("level_at_end"), F.round("holiday_factor", 6).alias("holiday_factor"), F.size("pool").cast("long").alias("pool_size"), F.round(total, 2).alias("pool_sum"))
+
+
+@query(f"""WITH {SHORT_SQL},
+{S.DAILY}, {S.daily("camp", "channel, campaign_id")}, {S.fitted("s", "channel, campaign_type", "seg")},
+tiers AS ({_tiers_sql(SHORT_SQL).split(SHORT_SQL)[1]}),
+recent AS (SELECT channel, campaign_type, avg(revenue) AS parent_level FROM s_last WHERE newest <= 28 GROUP BY ALL),
+own AS (SELECT channel, campaign_id, avg(revenue) AS level, avg(spend) AS own_spend FROM camp GROUP BY ALL),
+short AS (SELECT *, CASE WHEN parent_level > 0 THEN level / parent_level ELSE 0 END AS scale FROM (SELECT * FROM tiers WHERE tier = 'shrinkage') t JOIN own USING (channel, campaign_id) JOIN recent USING (channel, campaign_type) JOIN s_trend USING (channel, campaign_type) JOIN s_holiday USING (channel, campaign_type) JOIN s_pools USING (channel, campaign_type))
+SELECT channel, campaign_type, campaign_id, n_days, round(level, 4) AS level, round(own_spend, 4) AS avg_spend, round(scale, 6) AS scale, {MODEL.format(" * scale")} FROM short""")
 def shrinkage_models(spark, sf_dir):
-    return fit.shrinkage(features(spark, sf_dir))
+    found = fit.shrinkage(short_features(spark, sf_dir))
+    return _model_columns(found, *SEG, "campaign_id", "n_days", F.round("level", 4).alias("level"), F.round("avg_spend", 4).alias("avg_spend"), F.round("scale", 6).alias("scale"))
+
+
+CAMPAIGNS = f"""{S.daily("camp", "channel, campaign_id")},
+owned AS (SELECT DISTINCT channel, campaign_type, campaign_id FROM features),
+long AS (SELECT channel, campaign_type, campaign_id, date, revenue, spend FROM camp JOIN owned USING (channel, campaign_id) JOIN (SELECT channel, campaign_id, count(*) AS n_days FROM camp GROUP BY ALL HAVING count(*) >= {X.MIN_CAMPAIGN_DAYS}) USING (channel, campaign_id)),
+{S.fitted("c", "channel, campaign_type, campaign_id", "long")}"""
+
+
+def _own_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir)
+    owners = fit.campaign_tiers(rows).where("tier = 'own'").select(*SEG, "campaign_id")
+    return owners.join(fit.models(series.daily(rows, series.CAMPAIGN).persist(), series.CAMPAIGN), list(series.CAMPAIGN))
+
+
+@query(S.with_(CAMPAIGNS) + f"SELECT channel, campaign_type, campaign_id, {MODEL.format('')} FROM c_trend JOIN c_holiday USING (channel, campaign_type, campaign_id) JOIN c_pools USING (channel, campaign_type, campaign_id)")
+def campaign_models(spark, sf_dir):
+    return _model_columns(_own_campaigns(spark, sf_dir), *SEG, "campaign_id")
+
+
+@query(S.with_(CAMPAIGNS, S.simulated("c", "channel, campaign_type, campaign_id", 90, SIMS, [30, 60, 90])) + """,
+late AS (SELECT channel, campaign_type, campaign_id, avg(spend) AS avg_spend FROM c_last WHERE newest <= 28 GROUP BY ALL),
+pct AS (SELECT channel, campaign_type, campaign_id, horizon_days, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS r, any_value(avg_spend) * horizon_days AS spend FROM c_sims JOIN late USING (channel, campaign_type, campaign_id) GROUP BY ALL),
+rows_ AS (SELECT channel, campaign_type, campaign_id, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, campaign_id, horizon_days, 'roas', [r[1] / spend, r[2] / spend, r[3] / spend] FROM pct WHERE spend > 0)
+SELECT channel, campaign_type, campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, round(r[1], 4) AS p10, round(r[2], 4) AS p50, round(r[3], 4) AS p90 FROM rows_""")
+def forecast_campaign(spark, sf_dir):
+    """Campaigns with an own fit, by the empirical method."""
+    models = _own_campaigns(spark, sf_dir).withColumn("beta", F.lit(1.0)).persist()
+    return simulate.forecast_campaigns(models, simulate.simulate(models, simulate.ROLLUP, n_sims=SIMS), simulate.multiples(models))
+
+
+@query()
+def trained_models(spark, sf_dir):
+    """Segments and campaigns in one table, campaigns of short histories too."""
+    rows = features(spark, sf_dir)
+    parents = train.segments(_segments(spark, sf_dir), SIMS, RESAMPLES).persist()
+    names = [*SEG, "campaign_id", "method", "is_shrinkage", "slope", "level_at_end", "holiday_factor", "avg_spend", "avg_revenue", "beta", "beta_for_scenario", "low_confidence", "spread"]
+    segments = parents.withColumn("campaign_id", F.lit("")).withColumn("is_shrinkage", F.lit(False)).select(names)
+    return segments.unionByName(train.campaigns(rows, parents, RESAMPLES).select(names))
+
+
+@query()
+def trained_forecast(spark, sf_dir):
+    """Trained models of segments and of campaigns, at all four grains."""
+    rows = features(spark, sf_dir)
+    parents = train.segments(_segments(spark, sf_dir), SIMS, RESAMPLES).persist()
+    return train.trained_forecast(parents, train.campaigns(rows, parents, RESAMPLES).persist(), n_sims=SIMS)
 
 
 def _confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of the segments, a row each: held, as forecasts read them several times."""
     rows = _segments(spark, sf_dir)
-    return fit.models(rows).join(fit.elasticity(rows, resamples=RESAMPLES), list(SEG))
+    return fit.models(rows).join(fit.elasticity(rows, resamples=RESAMPLES), list(SEG)).persist()
 
 
 ELIGIBLE = BOOT + ",\n" + S.RECENT + ",\nelig AS (SELECT b.channel, b.campaign_type, avg_spend, beta FROM boot b JOIN recent r ON r.channel = b.channel AND r.campaign_type = b.campaign_type WHERE NOT low_confidence AND avg_spend >= 5)"
@@ -316,25 +417,46 @@ def reco_pairs(spark, sf_dir):
     return found.select("donor_channel", "donor_type", "receiver_channel", "receiver_type", F.round("shift", 4).alias("shift"), F.round("receiver_multiple", 6).alias("receiver_multiple"))
 
 
-@query()
+PRICED = S.priced(SIMS, RESAMPLES)
+PAIR_SQL = "donor_channel, donor_type, receiver_channel, receiver_type"
+
+
+def _sims(models: DataFrame) -> DataFrame:
+    return simulate.simulate(models, SEG, n_sims=SIMS).persist()
+
+
+@query(PRICED + f"\nSELECT {PAIR_SQL}, round(base, 4) AS base, round(moved, 4) AS moved, round(moved - base, 4) AS revenue_delta, round(CASE WHEN base > 0 THEN (moved - base) / base * 100 END, 6) AS delta_pct, round(base / spend, 6) AS base_roas, round(moved / moved_spend, 6) AS moved_roas FROM search")
 def reco_priced(spark, sf_dir):
+    """All pairs, at the search's number of simulations."""
     models = _confident(spark, sf_dir)
-    return recommend.priced(models, recommend.pairs(models), simulate.simulate(models, SEG, n_sims=SIMS))
+    found = recommend.priced(models, recommend.pairs(models), _sims(models))
+    return found.withColumns({c: F.round(c, 4) for c in ("base", "moved", "revenue_delta")} | {c: F.round(c, 6) for c in ("delta_pct", "base_roas", "moved_roas")})
 
 
-@query()
+@query(PRICED + f"""
+SELECT CAST(place AS INTEGER) AS place, {PAIR_SQL}, round(shift, 2) AS shift_daily, round(d_beta, 2) AS donor_beta, round(d_lo, 2) AS donor_ci_low, round(d_hi, 2) AS donor_ci_high, round(r_beta, 2) AS receiver_beta, round(r_lo, 2) AS receiver_ci_low, round(r_hi, 2) AS receiver_ci_high, 90 AS horizon_days,
+ round(f.base, 2) AS base, round(f.moved, 2) AS moved, round(f.moved - f.base, 2) AS revenue_delta, round(CASE WHEN f.base > 0 THEN (f.moved - f.base) / f.base * 100 END, 1) AS delta_pct, round(f.base / f.spend, 2) AS base_roas, round(f.moved / f.moved_spend, 2) AS moved_roas, 'high' AS confidence
+FROM final f JOIN placed USING ({PAIR_SQL}) JOIN pairs USING ({PAIR_SQL}) WHERE place <= {X.TOP}""")
 def reco_top(spark, sf_dir):
-    return recommend.top(reco_priced(spark, sf_dir))
+    """The best few of the search, priced again on all simulations."""
+    models = _confident(spark, sf_dir)
+    return recommend.finalists(models, recommend.pairs(models), _sims(models))
 
 
-@query()
+RETRO = S.retro(list(X.RETRO_OFFSETS), X.RETRO_MIN_TRAIN, RESAMPLES)
+
+
+@query(RETRO + "\nSELECT cutoff, donor_channel, donor_type, round(donor_roas, 4) AS donor_roas, CAST(donor_rank AS INTEGER) AS donor_rank, receiver_channel, receiver_type, round(receiver_roas, 4) AS receiver_roas, CAST(receiver_rank AS INTEGER) AS receiver_rank, confirmed FROM retro")
 def retro_pairs(spark, sf_dir):
-    return recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES)
+    found = recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES)
+    return found.withColumns({c: F.round(c, 4) for c in ("donor_roas", "receiver_roas")})
 
 
-@query()
+@query(RETRO + """, first AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY donor_rank, receiver_rank) AS place FROM retro)
+SELECT 'grid' AS part, count(*) AS n, count(*) FILTER (confirmed) AS n_confirmed, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (confirmed) / count(*) * 100 END, 1) AS rate_pct FROM retro WHERE confirmed IS NOT NULL
+UNION ALL SELECT 'top_pick', count(*), count(*) FILTER (confirmed), round(CASE WHEN count(*) > 0 THEN count(*) FILTER (confirmed) / count(*) * 100 END, 1) FROM first WHERE place = 1 AND confirmed IS NOT NULL""")
 def retro_summary(spark, sf_dir):
-    return retro_pairs(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"), F.avg(F.col("confirmed").cast("int")).alias("rate"))
+    return recommend.confirmed(recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES).persist())
 
 
 @query(S.with_(S.LEVELS) + ", t AS (SELECT channel, campaign_type, campaign_id, round(day * 90 + 1e-7, 4) AS p50 FROM lev WHERE campaign_id <> '') SELECT * FROM t ORDER BY p50 DESC, channel, campaign_type, campaign_id LIMIT 15")
@@ -355,7 +477,12 @@ def elasticity_summary(spark, sf_dir):
     return found.select(*SEG, *[F.round(c, 2).alias(c) for c in ("beta", "ci_low", "ci_high")], "n_obs", "low_confidence").orderBy("beta", *SEG)
 
 
-@query()
+MOVED = "CASE r.channel WHEN 'meta' THEN 2.0 WHEN 'google' THEN 1.2 ELSE 1 END"
+BOTH = f"base_ AS ({S.forecast(SIMS, RESAMPLES)}), moved_ AS ({S.forecast(SIMS, RESAMPLES, MOVED)})"
+
+
+@query(f"""WITH {BOTH} SELECT b.horizon_days, b.metric, b.p50 AS baseline, m.p50 AS scenario, round(CASE WHEN b.p50 > 0 THEN (m.p50 - b.p50) / b.p50 * 100 END, 2) AS change_pct
+FROM base_ b JOIN moved_ m ON m.horizon_days = b.horizon_days AND m.metric = b.metric AND m.channel = 'blended' WHERE b.channel = 'blended'""")
 def scenario_deltas(spark, sf_dir):
     base, moved = forecast_rollup(spark, sf_dir), forecast_scenario_channel(spark, sf_dir)
     blended = lambda df, n: df.where("channel = 'blended'").select("horizon_days", "metric", F.col("p50").alias(n))
@@ -363,12 +490,28 @@ def scenario_deltas(spark, sf_dir):
     return both.withColumn("change_pct", F.when(F.col("baseline") > 0, F.round((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))
 
 
-@query()
+@query(f"WITH {BOTH} SELECT 'baseline' AS run, * FROM base_ WHERE campaign_type = '' UNION ALL SELECT 'scenario', * FROM moved_ WHERE campaign_type = ''")
+def scenario_table(spark, sf_dir):
+    """Baseline and scenario below each other, with a label."""
+    models = _confident(spark, sf_dir)
+    sims = _sims(models)
+    run = lambda name, **m: simulate.forecast(models, sims, simulate.multiples(models, **m)).where("campaign_type = ''").select(F.lit(name).alias("run"), "*")
+    return run("baseline").unionByName(run("scenario", channel={"meta": 2.0, "google": 1.2}))
+
+
+@query(S.scores(SIMS) + "\nSELECT channel, campaign_type, method, round(ape, 1) AS ape, round(coverage, 1) AS coverage, coverage < 40 OR ape > 150 AS low_reliability FROM bysum")
 def reliability(spark, sf_dir):
-    scored = backtest.summary(backtest_empirical(spark, sf_dir))
-    return scored.select(*SEG, "method", "ape", "coverage", ((F.col("coverage") < 40) | (F.col("ape") > 150)).alias("low_reliability")).orderBy(F.coalesce("coverage", F.lit(999.0)))
+    scored = backtest.summary(_backtest(spark, sf_dir))
+    low = (F.col("coverage") < 40) | (F.col("ape") > 150)
+    return scored.select(*SEG, "method", F.round("ape", 1).alias("ape"), F.round("coverage", 1).alias("coverage"), low.alias("low_reliability")).orderBy(F.coalesce("coverage", F.lit(999.0)), *SEG)
 
 
-@query()
+@query(S.scores(SIMS) + "\nSELECT round(avg(round(coverage, 1)), 4) AS coverage FROM bysum")
 def coverage_mean(spark, sf_dir):
-    return reliability(spark, sf_dir).agg(F.avg("coverage").alias("coverage"))
+    return reliability(spark, sf_dir).agg(F.round(F.avg("coverage"), 4).alias("coverage"))
+
+
+@query(S.with_(S.ISSUES) + """, c AS (SELECT channel, count(DISTINCT campaign_id) AS n_campaigns, count(*) AS n_rows FROM features GROUP BY channel)
+SELECT c.channel, n_campaigns, n_rows, count(iss.issue) AS n_issues FROM c LEFT JOIN iss ON iss.channel = c.channel GROUP BY ALL""")
+def val_channels(spark, sf_dir):
+    return validate.channels(features(spark, sf_dir, extra=True))

@@ -65,21 +65,126 @@ dayv AS (SELECT d.channel, d.campaign_type, d.sim, d.k, greatest(0, point + resi
 sims AS (SELECT {SEG}, sim, h AS horizon_days, sum(v) AS revenue FROM dayv, (SELECT unnest([30, 60, 90]) AS h) WHERE k <= h GROUP BY ALL)"""
 
 
-def forecast(n_sims: int, multiple: str = "1.0", where: str = "true") -> str:
-    return with_(DAILY, WINDOW, TREND, DOW, HOLIDAY, RESIDUAL, ELASTIC, RECENT, paths(n_sims)) + f""", mult AS (SELECT r.channel, r.campaign_type, avg_spend, CAST({multiple} AS DOUBLE) AS m, beta FROM recent r JOIN elastic e ON e.channel = r.channel AND e.campaign_type = r.campaign_type),
+def fitted(p: str, keys: str, source: str) -> str:
+    """Parts p_trend, p_dows, p_holiday and p_pools of the dense series `source` by any keys."""
+    return f"""{p}_last AS (SELECT *, CAST(isodow(date) - 1 AS INTEGER) AS dow, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS x FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date DESC) AS newest FROM {source}) WHERE newest <= 120),
+{p}_clip AS (SELECT {keys}, quantile_cont(revenue, 0.97) AS top FROM {p}_last GROUP BY {keys}),
+{p}_win AS (SELECT l.*, CASE WHEN top > 0 THEN least(greatest(revenue, 0), top) ELSE revenue END AS y FROM {p}_last l JOIN {p}_clip USING ({keys})),
+{p}_fit AS (SELECT {keys}, count(*) AS n, stddev_pop(y) AS sd, avg(y) AS mean, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, max(date) AS last_train_date FROM {p}_win GROUP BY {keys}),
+{p}_trend AS (SELECT {keys}, n, last_train_date, CASE WHEN n >= 2 AND sd > 0 THEN a ELSE 0 END AS slope, CASE WHEN n >= 2 AND sd > 0 THEN b ELSE mean END AS start FROM {p}_fit),
+{p}_all AS (SELECT {keys}, avg(revenue) AS overall, avg(revenue) FILTER ({H.format('date')}) AS on_, avg(revenue) FILTER (NOT {H.format('date')}) AS off_ FROM {source} GROUP BY {keys}),
+{p}_bydow AS (SELECT {keys}, CAST(isodow(date) - 1 AS INTEGER) AS dow, avg(revenue) AS mean FROM {source} GROUP BY {keys}, isodow(date) - 1),
+{p}_week AS (SELECT {keys}, overall, CAST(d.dow AS INTEGER) AS dow FROM {p}_all CROSS JOIN (SELECT unnest(range(0, 7)) AS dow) d),
+{p}_dows AS (SELECT {keys}, dow, CASE WHEN overall > 0 AND mean / overall > 0 THEN mean / overall ELSE 1 END AS factor FROM {p}_week LEFT JOIN {p}_bydow USING ({keys}, dow)),
+{p}_holiday AS (SELECT {keys}, CASE WHEN off_ > 0 AND on_ / off_ > 0 THEN on_ / off_ ELSE 1 END AS holiday_factor FROM {p}_all),
+{p}_resid AS (SELECT {keys}, x, revenue - (start + slope * x) * factor * CASE WHEN {H.format('date')} THEN holiday_factor ELSE 1 END AS residual FROM {p}_last JOIN {p}_trend USING ({keys}) JOIN {p}_dows USING ({keys}, dow) JOIN {p}_holiday USING ({keys})),
+{p}_pools AS (SELECT {keys}, list(residual ORDER BY x) AS pool FROM {p}_resid GROUP BY {keys})"""
+
+
+def simulated(p: str, keys: str, days: int, n_sims: int, horizons: list[int], scales: list[float] | None = None) -> str:
+    """p_sims (keys, scale, sim, horizon_days, revenue) from the parts of fitted(). Pools of BLOCK or
+    fewer residuals are drawn singly."""
+    names = keys.split(", ")
+    block, single = draw("len(pool) - 6", *names, "sim", "block", "'simulate'", "42"), draw("len(pool)", *names, "sim", "block * 7 + j + 1", "'simulate'", "42")
+    return f"""{p}_drawn AS (SELECT {keys}, sim, block * 7 + j + 1 AS k, CASE WHEN len(pool) > 7 THEN pool[CAST({block} + j + 1 AS INTEGER)] ELSE pool[CAST({single} + 1 AS INTEGER)] END AS residual
+ FROM {p}_pools, (SELECT unnest(range(0, {n_sims})) AS sim), (SELECT unnest(range(0, {-(-days // 7)})) AS block), (SELECT unnest(range(0, 7)) AS j) WHERE block * 7 + j + 1 <= {days}),
+{p}_pts AS (SELECT {keys}, k, CAST(last_train_date + CAST(k AS INTEGER) AS DATE) AS d, CAST(isodow(CAST(last_train_date + CAST(k AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow, greatest(0, start + slope * (n - 1) + slope * k) AS base FROM {p}_trend, (SELECT unnest(range(1, {days + 1})) AS k)),
+{p}_point AS (SELECT {keys}, k, base * factor * CASE WHEN {H.format('d')} THEN holiday_factor ELSE 1 END AS point FROM {p}_pts JOIN {p}_dows USING ({keys}, dow) JOIN {p}_holiday USING ({keys})),
+{p}_dayv AS (SELECT {keys}, scale, sim, k, greatest(0, point + residual * scale * CASE channel WHEN 'meta' THEN 1.3 ELSE 1.0 END) AS v FROM {p}_drawn JOIN {p}_point USING ({keys}, k), (SELECT unnest({scales or [1.0]}::DOUBLE[]) AS scale)),
+{p}_sims AS (SELECT {keys}, scale, sim, h AS horizon_days, sum(v) AS revenue FROM {p}_dayv, (SELECT unnest({horizons}) AS h) WHERE k <= h GROUP BY ALL)"""
+
+
+def folds(count: int) -> str:
+    return f"""folds AS (SELECT channel, campaign_type, CAST(b - CAST(i * 30 AS INTEGER) AS DATE) AS cutoff FROM (SELECT channel, campaign_type, min(date) AS a, max(date) AS b FROM seg GROUP BY ALL), (SELECT unnest(range(1, {count + 1})) AS i) WHERE (b - CAST(i * 30 AS INTEGER)) - a + 1 >= 45),
+train AS (SELECT channel, campaign_type, cutoff, date, revenue, spend FROM seg JOIN folds USING (channel, campaign_type) WHERE date <= cutoff),
+actual AS (SELECT channel, campaign_type, cutoff, sum(revenue) AS actual FROM seg JOIN folds USING (channel, campaign_type) WHERE date > cutoff AND date <= cutoff + 30 GROUP BY ALL)"""
+
+
+def scores(n_sims: int, count: int = 3, scales: list[float] | None = None) -> str:
+    keys = "channel, campaign_type, cutoff"
+    return with_(DAILY, folds(count), fitted("bt", keys, "train"), simulated("bt", keys, 30, n_sims, [30], scales)) + f""",
+pct AS (SELECT {keys}, scale, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS p FROM bt_sims GROUP BY ALL),
+score AS (SELECT {keys}, 'empirical' AS method, scale, actual, p[1] AS p10, p[2] AS p50, p[3] AS p90, abs(actual - p[2]) / greatest(actual, 1) * 100 AS ape,
+ (greatest(0.1 * (actual - p[1]), (0.1 - 1) * (actual - p[1])) + greatest(0.5 * (actual - p[2]), (0.5 - 1) * (actual - p[2])) + greatest(0.9 * (actual - p[3]), (0.9 - 1) * (actual - p[3]))) / 3 AS pinball, actual BETWEEN p[1] AND p[3] AS covered FROM pct JOIN actual USING ({keys})),
+bysum AS (SELECT channel, campaign_type, method, scale, count(*) AS n_folds, avg(ape) AS ape, avg(pinball) AS pinball, avg(CAST(covered AS INTEGER)) * 100 AS coverage FROM score GROUP BY ALL)"""
+
+
+def boot(resamples: int) -> str:
+    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY date) - 1 AS spot FROM pair),
+picks AS (SELECT n.channel, n.campaign_type, sample, {draw('n_obs', 'n.channel', 'n.campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS pick FROM num n JOIN est e ON e.channel = n.channel AND e.campaign_type = n.campaign_type, (SELECT unnest(range(0, {resamples})) AS sample) WHERE n_obs >= 10 AND b IS NOT NULL),
+slopes AS (SELECT p.channel, p.campaign_type, sample, regr_slope(r, s) AS b FROM picks p JOIN num n ON n.channel = p.channel AND n.campaign_type = p.campaign_type AND n.spot = p.pick GROUP BY ALL),
+ci AS (SELECT channel, campaign_type, quantile_cont(least(greatest(b, 0), 2), 0.1) AS lo, quantile_cont(least(greatest(b, 0), 2), 0.9) AS hi FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
+boot AS (SELECT e.channel, e.campaign_type, n_obs, beta, coalesce(lo, 1) AS ci_low, coalesce(hi, 1) AS ci_high, n_obs < 10 OR coalesce(hi, 1) - coalesce(lo, 1) > 1 AS low_confidence FROM elastic e LEFT JOIN ci ON ci.channel = e.channel AND ci.campaign_type = e.campaign_type)"""
+
+
+def forecast(n_sims: int, resamples: int, multiple: str = "1.0", where: str = "true") -> str:
+    """Scenarios scale by the slope, or by 1 where its confidence is low."""
+    return with_(DAILY, WINDOW, TREND, DOW, HOLIDAY, RESIDUAL, ELASTIC, RECENT, boot(resamples), paths(n_sims)) + f""", mult AS (SELECT r.channel, r.campaign_type, avg_spend, CAST({multiple} AS DOUBLE) AS m, CASE WHEN low_confidence THEN 1 ELSE beta END AS beta FROM recent r JOIN boot e ON e.channel = r.channel AND e.campaign_type = r.campaign_type),
 resp AS (SELECT channel, campaign_type, avg_spend * m AS daily, CASE WHEN m <= 0 THEN 0 WHEN m = 1 THEN 1 WHEN m < 1 THEN pow(m, beta) ELSE 1 + (pow(m, beta) - 1) / (1 + 0.5 * (pow(m, beta) - 1)) END AS scale FROM mult),
 sc AS (SELECT s.channel, s.campaign_type, s.sim, s.horizon_days, s.revenue * scale AS revenue, daily * s.horizon_days AS spend FROM sims s JOIN resp r ON r.channel = s.channel AND r.campaign_type = s.campaign_type),
 roll AS (SELECT coalesce(channel, 'blended') AS channel, coalesce(campaign_type, '') AS campaign_type, horizon_days, sim, sum(revenue) AS revenue, sum(spend) AS spend FROM sc GROUP BY GROUPING SETS ((channel, campaign_type, horizon_days, sim), (channel, horizon_days, sim), (horizon_days, sim))),
 pct AS (SELECT channel, campaign_type, horizon_days, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS r, max(spend) AS spend FROM roll GROUP BY ALL),
-rows_ AS (SELECT channel, campaign_type, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, horizon_days, 'roas', [x / spend FOR x IN r] FROM pct WHERE spend > 0)
+rows_ AS (SELECT channel, campaign_type, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, horizon_days, 'roas', [r[1] / spend, r[2] / spend, r[3] / spend] FROM pct WHERE spend > 0)
 SELECT channel, campaign_type, '' AS campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, round(r[1], 4) AS p10, round(r[2], 4) AS p50, round(r[3], 4) AS p90 FROM rows_ WHERE {where}"""
 
 
+def priced(n_sims: int, resamples: int) -> str:
+    """search and final: candidate pairs at 500 simulations and at all; placed: their order in the search."""
+    key = "donor_channel, donor_type, receiver_channel, receiver_type"
+
+    def prices(sims: int) -> str:
+        return f"""SELECT {key}, quantile_cont(base, 0.5) AS base, quantile_cont(moved, 0.5) AS moved, max(spend) AS spend, max(moved_spend) AS moved_spend FROM (SELECT {key}, sim, sum(revenue) AS base, sum(revenue * scale) AS moved, sum(avg_spend * 90) AS spend, sum(avg_spend * m * 90) AS moved_spend FROM told JOIN sims USING (channel, campaign_type) WHERE horizon_days = 90 AND sim < {sims} GROUP BY ALL) GROUP BY ALL"""
+
+    return with_(DAILY, WINDOW, TREND, DOW, HOLIDAY, RESIDUAL, ELASTIC, RECENT, boot(resamples), paths(n_sims)) + f""",
+elig AS (SELECT b.channel, b.campaign_type, avg_spend, beta, ci_low, ci_high FROM boot b JOIN recent r ON r.channel = b.channel AND r.campaign_type = b.campaign_type WHERE NOT low_confidence AND avg_spend >= 5),
+lo AS (SELECT * FROM elig ORDER BY beta, channel, campaign_type LIMIT 3), hi AS (SELECT * FROM elig ORDER BY beta DESC, channel, campaign_type LIMIT 3),
+pairs AS (SELECT lo.channel AS donor_channel, lo.campaign_type AS donor_type, hi.channel AS receiver_channel, hi.campaign_type AS receiver_type, lo.avg_spend * 0.2 AS shift, lo.beta AS d_beta, lo.ci_low AS d_lo, lo.ci_high AS d_hi, hi.beta AS r_beta, hi.ci_low AS r_lo, hi.ci_high AS r_hi,
+ CASE WHEN hi.avg_spend > 0 THEN least((hi.avg_spend + lo.avg_spend * 0.2) / hi.avg_spend, 2.5) ELSE 1 END AS receiver_multiple FROM lo, hi WHERE lo.channel <> hi.channel OR lo.campaign_type <> hi.campaign_type),
+sloped AS (SELECT r.channel, r.campaign_type, avg_spend, CASE WHEN low_confidence THEN 1 ELSE beta END AS beta FROM recent r JOIN boot b ON r.channel = b.channel AND r.campaign_type = b.campaign_type),
+mult AS (SELECT {key}, channel, campaign_type, avg_spend, beta, CASE WHEN donor_channel = channel AND donor_type = campaign_type THEN 0.8 WHEN receiver_channel = channel AND receiver_type = campaign_type THEN receiver_multiple ELSE 1 END AS m FROM pairs, sloped),
+told AS (SELECT *, CASE WHEN m <= 0 THEN 0 WHEN m = 1 THEN 1 WHEN m < 1 THEN pow(m, beta) ELSE 1 + (pow(m, beta) - 1) / (1 + 0.5 * (pow(m, beta) - 1)) END AS scale FROM mult),
+search AS ({prices(500)}), final AS ({prices(n_sims)}),
+placed AS (SELECT {key}, row_number() OVER (ORDER BY moved - base DESC NULLS LAST, {key}) AS place FROM search)"""
+
+
+def retro(offsets: list[int], least_days: int, resamples: int) -> str:
+    keys = "cutoff, channel, campaign_type"
+    return with_(DAILY) + f""", cuts AS (SELECT CAST(b - CAST(o AS INTEGER) AS DATE) AS cutoff FROM (SELECT max(date) AS b FROM features), (SELECT unnest({offsets}) AS o)),
+asof AS (SELECT cutoff, channel, campaign_type, date, revenue, spend FROM seg, cuts WHERE date <= cutoff),
+pair AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS spot FROM (SELECT {keys}, date, ln(spend) AS s, ln(revenue) AS r FROM asof WHERE spend > 0 AND revenue > 0)),
+est AS (SELECT {keys}, count(*) AS n_obs, regr_slope(r, s) AS b FROM pair GROUP BY {keys} HAVING count(*) >= 10),
+picks AS (SELECT {keys}, sample, {draw('n_obs', 'cutoff', 'channel', 'campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS spot FROM pair JOIN est USING ({keys}), (SELECT unnest(range(0, {resamples})) AS sample) WHERE b IS NOT NULL),
+slopes AS (SELECT {keys}, sample, regr_slope(r, s) AS b FROM picks JOIN pair USING ({keys}, spot) GROUP BY ALL),
+ci AS (SELECT {keys}, quantile_cont(least(greatest(b, 0), 2), 0.9) - quantile_cont(least(greatest(b, 0), 2), 0.1) AS wide FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
+long AS (SELECT {keys} FROM asof GROUP BY ALL HAVING count(*) >= {least_days}),
+late AS (SELECT {keys}, avg(spend) AS avg_spend FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date DESC) AS newest FROM asof) WHERE newest <= 28 GROUP BY ALL),
+elig AS (SELECT {keys}, least(greatest(b, 0), 2) AS beta FROM est JOIN ci USING ({keys}) JOIN long USING ({keys}) JOIN late USING ({keys}) WHERE wide <= 1 AND avg_spend >= 5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY beta, channel, campaign_type) AS low, row_number() OVER (PARTITION BY cutoff ORDER BY beta DESC, channel, campaign_type) AS high FROM elig),
+real_ AS (SELECT cutoff, channel, campaign_type, CASE WHEN sum(spend) > 0 THEN sum(revenue) / sum(spend) END AS roas FROM features, cuts WHERE date > cutoff AND date <= cutoff + 30 GROUP BY ALL),
+side AS (SELECT {keys}, low, high, roas FROM ranked LEFT JOIN real_ USING ({keys})),
+retro AS (SELECT d.cutoff, d.channel AS donor_channel, d.campaign_type AS donor_type, d.roas AS donor_roas, d.low AS donor_rank, r.channel AS receiver_channel, r.campaign_type AS receiver_type, r.roas AS receiver_roas, r.high AS receiver_rank, r.roas > d.roas AS confirmed
+ FROM side d JOIN side r ON d.cutoff = r.cutoff WHERE d.low <= 3 AND r.high <= 3 AND (d.channel <> r.channel OR d.campaign_type <> r.campaign_type))"""
+
+
+def holt_winters(fixed: tuple[float, float, float]) -> str:
+    """Fixed weights, by recursion over the window's days."""
+    a, b, g = fixed
+    seg = "channel, campaign_type"
+    return (with_(DAILY, WINDOW) + f""", ys AS (SELECT {seg}, list(y ORDER BY x) AS y, list(revenue ORDER BY x) AS raw FROM win GROUP BY ALL HAVING count(*) >= 14),
+step AS (SELECT {seg}, 0 AS t, list_avg(y[1:7]) AS level, (list_avg(y[8:14]) - list_avg(y[1:7])) / 7 AS slope, [y[1] - list_avg(y[1:7]), y[2] - list_avg(y[1:7]), y[3] - list_avg(y[1:7]), y[4] - list_avg(y[1:7]), y[5] - list_avg(y[1:7]), y[6] - list_avg(y[1:7]), y[7] - list_avg(y[1:7])] AS season, CAST(NULL AS DOUBLE) AS fitted FROM ys
+ UNION ALL SELECT {seg}, t + 1, fresh, {b} * (fresh - level) + (1 - {b}) * slope, season[1:t % 7] || [{g} * (v - fresh) + (1 - {g}) * s] || season[t % 7 + 2:7], level + slope + s
+ FROM (SELECT {seg}, t, level, slope, season, season[t % 7 + 1] AS s, y[t + 1] AS v, {a} * (y[t + 1] - season[t % 7 + 1]) + (1 - {a}) * (level + slope) AS fresh FROM step JOIN ys USING ({seg}) WHERE t < len(y))),
+ends AS (SELECT s.channel, s.campaign_type, t, level, slope, season FROM step s JOIN ys USING ({seg}) WHERE t = len(y)),
+ahead AS (SELECT {seg}, k, greatest(0, level + slope * k + season[(t + k - 1) % 7 + 1]) AS p FROM ends, (SELECT unnest(range(1, 121)) AS k)),
+rest AS (SELECT {seg}, sum(raw[t] - fitted) AS pool_sum FROM step JOIN ys USING ({seg}) WHERE t > 0 GROUP BY ALL)
+SELECT {seg}, CAST({a} AS DOUBLE) AS alpha, CAST({b} AS DOUBLE) AS beta, CAST({g} AS DOUBLE) AS gamma, round(max(p) FILTER (k = 1), 2) AS day_1, round(max(p) FILTER (k = 30), 2) AS day_30, round(max(p) FILTER (k = 120), 2) AS day_120, round(sum(p), 2) AS path_sum, round(max(pool_sum), 2) AS pool_sum FROM ahead JOIN rest USING ({seg}) GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 CAMP = "channel, campaign_id"
 ISSUES = f"""iss AS (SELECT {CAMP}, 'unstable_campaign_name' AS issue, CAST(count(DISTINCT campaign_name) AS DOUBLE) AS amount FROM features GROUP BY ALL HAVING count(DISTINCT campaign_name) > 1
 UNION ALL SELECT {CAMP}, 'unstable_campaign_type', count(DISTINCT campaign_type) FROM features GROUP BY {CAMP} HAVING count(DISTINCT campaign_type) > 1
 UNION ALL SELECT {CAMP}, 'date_coverage_gap', max(gap) FROM (SELECT {CAMP}, date - lag(date) OVER (PARTITION BY {CAMP} ORDER BY date) AS gap FROM (SELECT DISTINCT {CAMP}, date FROM features)) GROUP BY {CAMP} HAVING max(gap) > 14
 UNION ALL SELECT {CAMP}, 'spend_exceeds_daily_budget', count(*) FROM features WHERE daily_budget > 0 AND spend > daily_budget * 1.05 GROUP BY {CAMP}
 UNION ALL SELECT {CAMP}, 'conversions_exceed_clicks', count(*) FROM features WHERE channel <> 'meta' AND conversions > clicks GROUP BY {CAMP}
-UNION ALL SELECT {CAMP}, 'negative_spend', count(*) FROM features WHERE spend < 0 GROUP BY {CAMP} UNION ALL SELECT {CAMP}, 'negative_revenue', count(*) FROM features WHERE revenue < 0 GROUP BY {CAMP}
+UNION ALL SELECT {CAMP}, 'negative_' || CASE WHEN channel = 'google' AND col = 'spend' THEN '_spend_derived' ELSE col END, count(*) FROM (SELECT {CAMP}, unnest(['spend', 'revenue', 'clicks', 'conversions', 'impressions']) AS col, unnest([spend, revenue, clicks, conversions, impressions]) AS v FROM features) WHERE v < 0 GROUP BY ALL
 UNION ALL SELECT {CAMP}, 'zero_revenue_with_spend', round(sum(spend), 4) FROM features GROUP BY {CAMP}, campaign_name HAVING sum(spend) > 0 AND coalesce(sum(revenue), 0) = 0)"""

@@ -14,7 +14,7 @@ def features(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame
     joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
     channel = F.when(F.col("l_returnflag") == "A", "bing").when(F.col("l_returnflag") == "N", "google").otherwise("meta")
     name = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("remarketing_"), "p_name")).otherwise(F.col("p_name"))
-    more = [(F.col("l_quantity") * 3).cast("int").alias("clicks"), F.col("p_retailprice").alias("daily_budget"), F.col("l_linenumber").alias("line")] if extra else []
+    more = [(F.col("l_quantity") * 3).cast("int").alias("clicks"), F.col("p_retailprice").alias("daily_budget"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 30).cast("int").alias("impressions")] if extra else []
     rows = joined.select(
         F.to_date("l_shipdate").alias("date"), channel.alias("channel"), F.concat_ws("_", "p_type", "p_brand").alias("campaign_id"), name.alias("campaign_name"), F.col("p_type").alias("campaign_type"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("spend"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
@@ -23,8 +23,20 @@ def features(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame
     return rows.withColumn("funnel_stage", funnel_stage(F.col("campaign_name")))
 
 
+def short_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second fact table, of short histories: users as campaigns of event types."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spend = F.when(F.col("event_id") % 2 == 0, F.col("value") / 4).otherwise(0.0)
+    return events.select(
+        F.to_date("ts").alias("date"), F.col("event_type").alias("channel"), F.col("user_id").cast("string").alias("campaign_id"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("campaign_name"), F.col("event_type").alias("campaign_type"),
+        spend.alias("spend"), F.col("value").alias("revenue"), F.lit(None).cast("double").alias("conversions"), F.lit(False).alias("revenue_is_imputed"), F.lit("prospecting").alias("funnel_stage"),
+    )
+
+
+SHORT_SQL = """features AS (SELECT CAST(ts AS DATE) AS date, event_type AS channel, CAST(user_id AS VARCHAR) AS campaign_id, 'user_' || CAST(user_id AS VARCHAR) AS campaign_name, event_type AS campaign_type,
+ CASE WHEN event_id % 2 = 0 THEN value / 4 ELSE 0 END AS spend, value AS revenue FROM events)"""
 FEATURES_SQL = """features AS (SELECT CAST(l_shipdate AS DATE) AS date, CASE l_returnflag WHEN 'A' THEN 'bing' WHEN 'N' THEN 'google' ELSE 'meta' END AS channel,
  p_type || '_' || p_brand AS campaign_id, CASE WHEN l_linestatus = 'F' THEN 'remarketing_' || p_name ELSE p_name END AS campaign_name, p_type AS campaign_type,
  l_extendedprice * l_tax AS spend, l_extendedprice * (1 - l_discount) AS revenue, CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS DOUBLE) END AS conversions, false AS revenue_is_imputed,
  CASE WHEN l_linestatus = 'F' OR contains(lower(p_name), 'remarketing') OR contains(lower(p_name), 'retarget') OR contains(lower(p_name), '_tm_') THEN 'high_intent' ELSE 'prospecting' END AS funnel_stage,
- CAST(l_quantity * 3 AS INTEGER) AS clicks, p_retailprice AS daily_budget, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+ CAST(l_quantity * 3 AS INTEGER) AS clicks, p_retailprice AS daily_budget, l_linenumber AS line, CAST(l_quantity * 30 AS INTEGER) AS impressions FROM lineitem JOIN part ON l_partkey = p_partkey)"""
