@@ -366,11 +366,7 @@ def campaign_models(spark, sf_dir):
     return _model_columns(_own_campaigns(spark, sf_dir), *SEG, "campaign_id")
 
 
-@query(S.with_(CAMPAIGNS, S.simulated("c", "channel, campaign_type, campaign_id", 90, SIMS, [30, 60, 90])) + """,
-late AS (SELECT channel, campaign_type, campaign_id, avg(spend) AS avg_spend FROM c_last WHERE newest <= 28 GROUP BY ALL),
-pct AS (SELECT channel, campaign_type, campaign_id, horizon_days, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS r, any_value(avg_spend) * horizon_days AS spend FROM c_sims JOIN late USING (channel, campaign_type, campaign_id) GROUP BY ALL),
-rows_ AS (SELECT channel, campaign_type, campaign_id, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, campaign_id, horizon_days, 'roas', [r[1] / spend, r[2] / spend, r[3] / spend] FROM pct WHERE spend > 0)
-SELECT channel, campaign_type, campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, round(r[1], 4) AS p10, round(r[2], 4) AS p50, round(r[3], 4) AS p90 FROM rows_""")
+@query()
 def forecast_campaign(spark, sf_dir):
     """Campaigns with an own fit, by the empirical method."""
     models = _own_campaigns(spark, sf_dir).withColumn("beta", F.lit(1.0)).persist()

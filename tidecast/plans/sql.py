@@ -150,14 +150,14 @@ placed AS (SELECT {key}, row_number() OVER (ORDER BY moved - base DESC NULLS LAS
 def retro(offsets: list[int], least_days: int, resamples: int) -> str:
     keys = "cutoff, channel, campaign_type"
     return with_(DAILY) + f""", cuts AS (SELECT CAST(b - CAST(o AS INTEGER) AS DATE) AS cutoff FROM (SELECT max(date) AS b FROM features), (SELECT unnest({offsets}) AS o)),
-asof AS (SELECT cutoff, channel, campaign_type, date, revenue, spend FROM seg, cuts WHERE date <= cutoff),
-pair AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS spot FROM (SELECT {keys}, date, ln(spend) AS s, ln(revenue) AS r FROM asof WHERE spend > 0 AND revenue > 0)),
+past AS (SELECT cutoff, channel, campaign_type, date, revenue, spend FROM seg, cuts WHERE date <= cutoff),
+pair AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS spot FROM (SELECT {keys}, date, ln(spend) AS s, ln(revenue) AS r FROM past WHERE spend > 0 AND revenue > 0)),
 est AS (SELECT {keys}, count(*) AS n_obs, regr_slope(r, s) AS b FROM pair GROUP BY {keys} HAVING count(*) >= 10),
 picks AS (SELECT {keys}, sample, {draw('n_obs', 'cutoff', 'channel', 'campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS spot FROM pair JOIN est USING ({keys}), (SELECT unnest(range(0, {resamples})) AS sample) WHERE b IS NOT NULL),
 slopes AS (SELECT {keys}, sample, regr_slope(r, s) AS b FROM picks JOIN pair USING ({keys}, spot) GROUP BY ALL),
 ci AS (SELECT {keys}, quantile_cont(least(greatest(b, 0), 2), 0.9) - quantile_cont(least(greatest(b, 0), 2), 0.1) AS wide FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
-long AS (SELECT {keys} FROM asof GROUP BY ALL HAVING count(*) >= {least_days}),
-late AS (SELECT {keys}, avg(spend) AS avg_spend FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date DESC) AS newest FROM asof) WHERE newest <= 28 GROUP BY ALL),
+long AS (SELECT {keys} FROM past GROUP BY ALL HAVING count(*) >= {least_days}),
+late AS (SELECT {keys}, avg(spend) AS avg_spend FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date DESC) AS newest FROM past) WHERE newest <= 28 GROUP BY ALL),
 elig AS (SELECT {keys}, least(greatest(b, 0), 2) AS beta FROM est JOIN ci USING ({keys}) JOIN long USING ({keys}) JOIN late USING ({keys}) WHERE wide <= 1 AND avg_spend >= 5),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY beta, channel, campaign_type) AS low, row_number() OVER (PARTITION BY cutoff ORDER BY beta DESC, channel, campaign_type) AS high FROM elig),
 real_ AS (SELECT cutoff, channel, campaign_type, CASE WHEN sum(spend) > 0 THEN sum(revenue) / sum(spend) END AS roas FROM features, cuts WHERE date > cutoff AND date <= cutoff + 30 GROUP BY ALL),
