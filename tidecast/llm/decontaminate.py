@@ -10,7 +10,11 @@ within a distance, find terms near each other (`near`).
 
 Defined results: a null text or item has no words and no windows. Equal windows
 of several items count for each. Rows of one text share their postings, so
-repeated rows repeat their result; extra columns are ignored.
+repeated rows repeat their result. Postings are kept by a 64-bit hash of the text;
+should two texts have the same, both are compared with every window that either may
+hold, and told apart by a second hash and their length. Texts of any length are read
+whole. Ties in rarity go to the lesser term. Extra columns,
+of any names, pass through.
 """
 
 from __future__ import annotations
@@ -56,8 +60,9 @@ def lookups(phrases: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(row, at, window, size): every place where a phrase stands word by word.
-    texts: (row, words), phrases: (window, phrase)."""
+    """(row, check, at, window, size): every place where a phrase stands word by word.
+    texts: (row, check, words), where equal row and check mean equal words, and
+    phrases: (window, phrase)."""
     wanted = cut(lookups(phrases, texts), "lookups")
     found = index(texts, cut(wanted.select("term").distinct(), "terms"))
     starts = found.join(wanted, "term").select("row", "window", "lists", (F.col("at") - F.col("offset")).alias("at"), "rarity").where("at >= 0")
@@ -65,8 +70,9 @@ def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     met = cut(starts.groupBy("row", "at", "window", "lists").agg(F.size(F.collect_set("rarity")).alias("n")).where("n = lists").select("row", "at", "window"), "met")
     # windows have more words than their two terms: compared where the lists meet
     held = cut(met.select("row").distinct(), "rows")
-    compared = met.join(phrases, "window").join(texts.join(held, "row", "left_semi").dropDuplicates(["row"]), "row")
-    return compared.where(F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase")).select("row", "at", "window", F.size("phrase").alias("size"))
+    compared = met.join(phrases, "window").join(texts.join(held, "row", "left_semi").dropDuplicates(["row", "check"]), "row")
+    there = F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase")
+    return compared.where(there).select("row", "check", "at", "window", F.size("phrase").alias("size"))
 
 
 def near(texts: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
@@ -81,23 +87,35 @@ def near(texts: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
     return met.where((F.abs(F.col("at") - F.col("other")) <= distance) & (F.col("at") != F.col("other"))).select("row", "first", "second", "at", "other")
 
 
+def row_of(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def check_of(text: Column) -> Column:
+    """What tells texts of one 64-bit hash apart: a hash of another seed, and the length."""
+    return F.struct(F.xxhash64(F.lit(WIDTH), text).alias("hash"), F.length(text).alias("size"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add n_words, n_hit, n_items, items_sha256 and contaminated to docs with a text."""
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")  # take the place of columns of these names
     names = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    keyed = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_"))
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), words(F.col("text")).alias("words"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct(*names).alias("doc_"), row_of(text).alias("row_"), check_of(text).alias("check_"), F.size(words(text)).cast("long").alias("words_"))
+    texts = docs.select(row_of(text).alias("row"), check_of(text).alias("check"), words(text).alias("words"))
     every = cut(windows(benchmark, width), "windows")
     phrases = cut(every.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
     found = cut(occurrences(texts, phrases), "occurrences")
-    covered = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("hits_"))
-    items = found.select("row", "window").distinct().join(phrases, "window").join(every, "phrase").select("row", F.col("item_id").cast("string").alias("item")).distinct()
+    places = found.select("row", "check", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct()
+    covered = places.groupBy("row", "check").agg(F.count("*").alias("hits_"))
+    held = found.select("row", "check", "window").distinct().join(phrases, "window").join(every, "phrase")
+    items = held.select("row", "check", F.col("item_id").cast("string").alias("item")).distinct()
     # at most the benchmark's items for a text
-    named = items.groupBy("row").agg(F.count("*").alias("found_"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items_"))
-    sums = cut(covered.join(named, "row").withColumnRenamed("row", "row_"), "sums")
-    joined = keyed.withColumn("words_", F.size(words(F.col("text"))).cast("long")).join(sums, "row_", "left")
+    named = items.groupBy("row", "check").agg(F.count("*").alias("found_"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items_"))
+    sums = cut(covered.join(named, ["row", "check"]).withColumnsRenamed({"row": "row_", "check": "check_"}), "sums")
+    joined = keyed.join(sums, ["row_", "check_"], "left")
     n_hit = F.coalesce("hits_", F.lit(0)).cast("long")
-    return joined.select(*names, F.col("words_").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("found_", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items_", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return joined.select("doc_.*", F.col("words_").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("found_", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items_", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
