@@ -168,6 +168,29 @@ def test_secrets(docs, empty):
     assert secret_scan.required("[0-9a-f]{32,}") == [frozenset()]
 
 
+def test_many_secrets_in_one_text(spark):
+    """Places of matches over several runs, against a plain search; runs end at 256 matches."""
+    rule = next(r for r in secret_scan.RULES if r.kind == "assign")
+    texts = ["é token = abcdefgh12 token=short " * 20_000, *["token=abcdefgh1 " * n for n in (255, 256, 257, 512)]]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in enumerate(texts)], "doc_id long, text string, row_ int, text_ int, rules_ int, spans_0_ int, doc_ int")
+    found = by_id(secret_scan.scan(docs))
+    for i, t in enumerate(texts):
+        plain = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(rule.pattern, t, re.A) if len(m[2]) >= 8]
+        assert found[i]["spans"] == ",".join(plain) and found[i]["n_assign"] == len(plain)
+        assert (found[i]["row_"], found[i]["text_"], found[i]["doc_"]) == (1, 2, 5)
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a 64-bit hash that is the same for all texts, results stay as they are."""
+    docs = spark.createDataFrame([(1, "a b c d", 7), (2, "x y z", 8), (3, "a b c d", 9), (4, "d c b a", 9), (5, None, 9)], "doc_id long, text string, row_ int")
+    items = spark.createDataFrame([("p", "b c"), ("q", "y")], "item_id string, text string")
+    read = lambda: sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["row_"]) for r in decontaminate.contamination(docs, items).collect())
+    before = read()
+    assert before == [(1, 4, 2, 1, 7), (2, 3, 1, 1, 8), (3, 4, 2, 1, 9), (4, 4, 0, 0, 9), (5, 0, 0, 0, 9)]
+    monkeypatch.setattr(decontaminate, "row_of", lambda text: F.length(text) * 0)
+    assert read() == before
+
+
 def test_phrases(spark, docs, empty):
     words = PLAIN.split()
     items = spark.createDataFrame([("a", " ".join(words[20:35])), ("b", "Two, THREE"), ("c", None), ("d", "..."), ("e", " ".join(words[20:35]))], "item_id string, text string")

@@ -7,8 +7,9 @@ intersected by counting, and only the candidates of a rule are searched by its
 expression. A rule without a mandatory trigram (hex) scans every text.
 
 Defined results: a null text is empty; no spans give an empty list, whose hash is
-that of the empty text. Repeated rows repeat their result; extra columns are
-ignored.
+that of the empty text. Matches of several kinds that begin at one place are listed in
+the order of RULES. Texts of any length are searched whole. Repeated rows repeat their
+result; extra columns, of any names, pass through.
 """
 
 from __future__ import annotations
@@ -118,14 +119,21 @@ def required(pattern: str) -> list[frozenset[str]]:
     return sorted((x for x in found if not any(y < x for y in found)), key=sorted)
 
 
+NO_SPANS = "array<struct<start:int,number:int,end:int>>"
+RUN = 256  # matches listed at a time
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches as an array of (start, kind number, end):
-    the parts between them give the places, in code points."""
+    the parts between them give the places, in code points. Matches are listed in
+    runs, as appending to one list copies it for every match."""
     number = [r.kind for r in RULES].index(rule.kind)
     whole, part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
     steps = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), part.alias("part"))
-    none = F.array().cast("array<struct<start:int,number:int,end:int>>")
+
+    def runs_of(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / RUN).cast("int")), lambda i: F.slice(found, i * RUN + 1, F.lit(RUN)))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.char_length(x["gap"])
@@ -133,7 +141,13 @@ def spans_of(text: Column, rule: Rule) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.char_length(x["part"]) >= rule.least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def each_run(state: Column, run: Column) -> Column:
+        own = F.aggregate(run, F.struct(state["at"].alias("at"), F.array().cast(NO_SPANS).alias("found")), step)
+        return F.struct(own["at"].alias("at"), F.concat(state["runs"], F.array(own["found"])).alias("runs"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NO_SPANS}>").alias("runs"))
+    # an array of one, so that the matches have a name and are found once, not for every run
+    return F.transform(F.array(steps), lambda found: F.aggregate(runs_of(found), begin, each_run, lambda s: F.flatten(s["runs"])))[0]
 
 
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -167,11 +181,11 @@ def scan(docs: DataFrame) -> DataFrame:
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
     # rows that have the same text share their candidates
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("text_"), F.xxhash64(text).alias("row_"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_"), text.alias("text_"), F.xxhash64(text).alias("row_"))
     index = postings(docs.select(F.xxhash64(text).alias("row"), text.alias("text")), trigrams)
     found = cut(candidates(index, queries, trigrams).select(F.col("row").alias("row_"), F.col("rules").alias("rules_")), "candidates")  # joined by its real size
     known = rows.join(found, "row_", "left")
-    none = F.array().cast("array<struct<start:int,number:int,end:int>>")
+    none = F.array().cast(NO_SPANS)
     per_rule = []
     for i, rule in enumerate(RULES):
         hits = spans_of(F.col("text_"), rule)
@@ -180,11 +194,11 @@ def scan(docs: DataFrame) -> DataFrame:
         else:
             hits = F.when(F.col("text_").rlike(rule.pattern), hits).otherwise(none)
         per_rule.append(hits.alias(f"spans_{i}_"))
-    searched = known.select(*[F.col(f"`{c}`") for c in names], *per_rule)
+    searched = known.select("doc_", *per_rule)
     base = F.array_sort(F.concat(*[F.col(f"spans_{i}_") for i, r in enumerate(RULES) if r.base]))
     every = F.array_sort(F.concat(*[F.col(f"spans_{i}_") for i in range(len(RULES))]))
     counts = [F.size(f"spans_{i}_").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES) if r.base]
-    return searched.select(*[F.col(f"`{c}`") for c in names], *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
+    return searched.select("doc_.*", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
