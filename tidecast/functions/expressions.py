@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +53,19 @@ def pinball(actual: Column, quantile: Column, tau: float) -> Column:
     return F.greatest(tau * (actual - quantile), (tau - 1) * (actual - quantile))
 
 
-def draw(size: Column, *key: Column) -> Column:
-    """A number from 0 to size - 1 that the key alone decides: the same in any order,
-    on any number of partitions and in other engines."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *key).cast("binary")), 1, 8), 16, 10).cast("long") % size
+# Fixed values of the draws: a step and a factor that mix 32 bits well.
+STEP, MIX, BITS = 2654435769, 73244475, 4294967295
+
+
+def stream(*key: Column) -> Column:
+    """A 32-bit number from the key alone, with which a stream of draws begins."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def drawn(begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Draws of 32 bits: number `at` of the streams that begin so. The same in any order,
+    on any number of partitions and, being plain arithmetic, in other engines."""
+    x = (begin + at * STEP) & BITS
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * MIX) & BITS
+    return x ^ (x >> 16)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.functions.expressions import (
-    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, draw, finite, is_holiday,
+    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, drawn, finite, is_holiday, stream,
 )
 from tidecast.operators.series import SEGMENT, daily, last_days
 
@@ -85,11 +88,31 @@ def _resampled(pairs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], resam
     are summed where they are drawn and never shuffled."""
     spark = pairs.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"]).alias("pairs"), F.count("*").alias("size"))
-    dealt = wanted.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(parts, *keys, "sample")
-    each = dealt.join(held, list(keys)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)))
-    picked = each.select(*keys, "sample", F.get("pairs", draw(F.col("size"), *keys, "sample", "at", F.lit("elasticity"), F.lit(SEED)).cast("int")).alias("pair"))
-    return picked.groupBy(*keys, "sample").agg(F.regr_slope("pair.r", "pair.s").alias("b"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"])
+    held = pairs.groupBy(*keys).agg(lists.alias("pairs")).select(*keys, F.col("pairs.s").alias("s"), F.col("pairs.r").alias("r"))
+    sampled = wanted.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    dealt = sampled.withColumn("begin", stream(*keys, "sample", F.lit("elasticity"), F.lit(SEED))).repartition(parts, *keys, "sample")
+    joined = dealt.join(held, list(keys)).select(*keys, "sample", "begin", "s", "r")
+    names = [*keys, "sample"]
+    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("b", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            begin = batch.column("begin").to_numpy(zero_copy_only=False)
+            slopes = [_slope(s.values.to_numpy(), r.values.to_numpy(), first) for s, r, first in zip(batch.column("s"), batch.column("r"), begin, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(slopes, pa.float64())], [f.name for f in schema])
+
+    return joined.mapInArrow(run, schema)
+
+
+def _slope(s: np.ndarray, r: np.ndarray, begin: int) -> float | None:
+    """The slope of r on s over as many drawn pairs; none if all have one s."""
+    at = drawn(begin, np.arange(len(s))) % len(s)
+    x, y = s[at], r[at]
+    if x.min() == x.max():
+        return None
+    x = x - x.mean()
+    return float(x @ (y - y.mean()) / (x @ x))
 
 
 def campaign_tiers(features: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, draw, is_holiday, response
+from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, drawn, is_holiday, response, stream
 
 ROLLUP = ("channel", "campaign_type", "campaign_id")
 
@@ -25,19 +25,6 @@ def inflation(channel: Column) -> Column:
     return out
 
 
-def draws(models: DataFrame, keys: tuple[str, ...], days: int, n_sims: int = N_SIMS, seed: int = SEED) -> DataFrame:
-    """(keys, sim, k, residual) for days k from 1. Pools over BLOCK long give runs of
-    BLOCK days, shorter ones single days, empty ones 0."""
-    blocks = -(-days // BLOCK)
-    size = F.size("pool")
-    paths = models.select(*keys, "pool").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    start = F.when(size > BLOCK, draw(size - (BLOCK - 1), *keys, "sim", "block", F.lit("simulate"), F.lit(seed))).otherwise(F.lit(None))
-    each = paths.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).withColumn("k", F.col("block") * BLOCK + F.col("j") + 1).where(F.col("k") <= days)
-    single = draw(size, *keys, "sim", "k", F.lit("simulate"), F.lit(seed))
-    at = F.when(size > BLOCK, F.col("start") + F.col("j")).when(size > 0, single)
-    return each.select(*keys, "sim", "k", F.coalesce(F.when(size > 0, F.get("pool", at.cast("int"))), F.lit(0.0)).alias("residual"))
-
-
 def path_of_points(models: DataFrame, days: int) -> Column:
     """Days 1 to `days` after training: trend, not below 0, times weekday and holiday factors."""
 
@@ -52,14 +39,6 @@ def path_of_points(models: DataFrame, days: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(days)), point)
 
 
-def places(keys: tuple[str, ...], days: int, seed: int) -> Column:
-    """Where a simulation's residuals begin in the pool, as draws() has them: by blocks, or by days in short pools."""
-    size, blocks = F.size("pool"), -(-days // BLOCK)
-    by_block = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: draw(size - (BLOCK - 1), *keys, "sim", k, F.lit("simulate"), F.lit(seed)).cast("int"))
-    by_day = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: draw(size, *keys, "sim", k, F.lit("simulate"), F.lit(seed)).cast("int"))
-    return F.when(size > BLOCK, by_block).when(size > 0, by_day).otherwise(F.array().cast("array<int>"))
-
-
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of all lists, where each begins, and their lengths."""
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -68,26 +47,53 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _paths(batch: pa.RecordBatch, days: int) -> np.ndarray:
-    """The residuals of each row's days."""
+    """The residuals of each row's days. Pools over BLOCK long give runs of BLOCK days,
+    shorter ones single days, empty ones 0."""
     pool, first, size = _lists(batch.column("pool"))
-    at, begin, _ = _lists(batch.column("at"))
+    begin = batch.column("begin").to_numpy(zero_copy_only=False)
     out = np.zeros((batch.num_rows, days))
     for rows, step in ((np.flatnonzero(size > BLOCK), BLOCK), (np.flatnonzero((size > 0) & (size <= BLOCK)), 1)):
+        if not len(rows):
+            continue
         n = -(-days // step)
-        starts = at[begin[rows][:, None] + np.arange(n)].astype(np.int64) + first[rows][:, None]
-        out[rows] = pool[(starts[:, :, None] + np.arange(step)).reshape(len(rows), n * step)[:, :days]] if len(rows) else 0.0
+        at = drawn(begin[rows][:, None], np.arange(n)) % (size[rows][:, None] - (step - 1))
+        starts = at + first[rows][:, None]
+        out[rows] = pool[(starts[:, :, None] + np.arange(step)).reshape(len(rows), n * step)[:, :days]]
     return out
 
 
+def _dealt(models: DataFrame, keys: tuple[str, ...], n_sims: int, seed: int) -> DataFrame:
+    """(keys, sim, begin): simulations with the beginnings of their draws, dealt to tasks
+    before they get their key's arrays."""
+    spark = models.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sims = models.select(*keys).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
+    return sims.withColumn("begin", stream(*keys, "sim", F.lit("simulate"), F.lit(seed))).repartition(parts, *keys, "sim")
+
+
+def draws(models: DataFrame, keys: tuple[str, ...], days: int, n_sims: int = N_SIMS, seed: int = SEED) -> DataFrame:
+    """(keys, sim, k, residual) for days k from 1."""
+    joined = _dealt(models, keys, n_sims, seed).join(models.select(*keys, "pool"), list(keys)).select(*keys, "sim", "pool", "begin")
+    names = [*keys, "sim"]
+    schema = T.StructType(list(joined.select(*names).schema.fields))
+    schema.add("residuals", T.ArrayType(T.DoubleType()))
+
+    def run(batches):
+        for batch in batches:
+            paths = _paths(batch, days)
+            lists = pa.ListArray.from_arrays(np.arange(0, paths.size + 1, days, dtype=np.int32), pa.array(paths.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [f.name for f in schema])
+
+    each = joined.mapInArrow(run, schema).select(*names, F.posexplode("residuals").alias("at", "residual"))
+    return each.select(*names, (F.col("at") + 1).alias("k"), "residual")
+
+
 def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None, scales: tuple[float, ...] = (), seed: int = SEED) -> DataFrame:
     """(keys[, scale], sim, horizon_days, revenue): summed days, each not below 0. A simulation is
     one row, its days are added up in Arrow batches. Scales multiply the draws, which they share."""
-    days, spark = max(horizons), models.sparkSession
+    days = max(horizons)
     base = models.select(*keys, "pool", path_of_points(models, days).alias("points"), (inflation(F.col("channel")) if spread is None else spread).alias("spread"))
-    # simulations are dealt to tasks before they get their key's arrays
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sims = models.select(*keys).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).repartition(parts, *keys, "sim")
-    drawn = sims.join(base, list(keys)).select(*keys, "sim", "pool", "points", "spread", places(keys, days, seed).alias("at"))
+    drawn_of = _dealt(models, keys, n_sims, seed).join(base, list(keys)).select(*keys, "sim", "pool", "points", "spread", "begin")
     names, factors = [*keys, "sim"], scales or (1.0,)
 
     def run(batches):
@@ -103,11 +109,11 @@ def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...]
                     told = [pa.array(np.full(batch.num_rows, scale))] * bool(scales) + [pa.array(np.full(batch.num_rows, h, np.int32)), pa.array(value[:, :h].sum(1))]
                     yield pa.RecordBatch.from_arrays([*kept, *told], [f.name for f in schema])
 
-    schema = T.StructType(list(drawn.select(*names).schema.fields))
+    schema = T.StructType(list(drawn_of.select(*names).schema.fields))
     if scales:
         schema.add("scale", T.DoubleType())
     schema.add("horizon_days", T.IntegerType()).add("revenue", T.DoubleType())
-    return drawn.mapInArrow(run, schema)
+    return drawn_of.mapInArrow(run, schema)
 
 
 def multiples(models: DataFrame, channel: dict[str, float] | None = None, segment: dict[tuple[str, str], float] | None = None) -> Column:

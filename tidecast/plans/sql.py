@@ -51,12 +51,16 @@ vals AS (SELECT channel, campaign_type, campaign_id, horizon_days, 'revenue' AS
 SELECT channel, campaign_type, campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, v AS p10, v AS p50, v AS p90 FROM vals"""
 
 
-def draw(size: str, *key: str) -> str:
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 8) AS BIGINT) % ({size}))"
+def draw(size: str, at: str, *key: str) -> str:
+    """Number `at` of the key's stream of draws, from 0 to size - 1."""
+    x = f"((CAST('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 8) AS BIGINT) + CAST({at} AS BIGINT) * 2654435769) & 4294967295)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+    return f"(xor({x}, {x} >> 16) % ({size}))"
 
 
 def paths(n_sims: int) -> str:
-    start = draw("len(pool) - 6", "channel", "campaign_type", "sim", "block", "'simulate'", "42")
+    start = draw("len(pool) - 6", "block", "channel", "campaign_type", "sim", "'simulate'", "42")
     return f"""pools AS (SELECT {SEG}, list(residual ORDER BY x) AS pool FROM resid GROUP BY {SEG}),
 drawn AS (SELECT {SEG}, sim, block * 7 + j + 1 AS k, pool[CAST({start} + j + 1 AS INTEGER)] AS residual FROM pools, (SELECT unnest(range(0, {n_sims})) AS sim), (SELECT unnest(range(0, 13)) AS block), (SELECT unnest(range(0, 7)) AS j) WHERE block * 7 + j + 1 <= 90),
 pts AS (SELECT t.channel, t.campaign_type, k, CAST(last_train_date + CAST(k AS INTEGER) AS DATE) AS d, greatest(0, start + slope * (n - 1) + slope * k) AS base FROM trend t, (SELECT unnest(range(1, 91)) AS k)),
@@ -85,7 +89,7 @@ def simulated(p: str, keys: str, days: int, n_sims: int, horizons: list[int], sc
     """p_sims (keys, scale, sim, horizon_days, revenue) from the parts of fitted(). Pools of BLOCK or
     fewer residuals are drawn singly."""
     names = keys.split(", ")
-    block, single = draw("len(pool) - 6", *names, "sim", "block", "'simulate'", "42"), draw("len(pool)", *names, "sim", "block * 7 + j + 1", "'simulate'", "42")
+    block, single = draw("len(pool) - 6", "block", *names, "sim", "'simulate'", "42"), draw("len(pool)", "block * 7 + j", *names, "sim", "'simulate'", "42")
     return f"""{p}_drawn AS (SELECT {keys}, sim, block * 7 + j + 1 AS k, CASE WHEN len(pool) > 7 THEN pool[CAST({block} + j + 1 AS INTEGER)] ELSE pool[CAST({single} + 1 AS INTEGER)] END AS residual
  FROM {p}_pools, (SELECT unnest(range(0, {n_sims})) AS sim), (SELECT unnest(range(0, {-(-days // 7)})) AS block), (SELECT unnest(range(0, 7)) AS j) WHERE block * 7 + j + 1 <= {days}),
 {p}_pts AS (SELECT {keys}, k, CAST(last_train_date + CAST(k AS INTEGER) AS DATE) AS d, CAST(isodow(CAST(last_train_date + CAST(k AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow, greatest(0, start + slope * (n - 1) + slope * k) AS base FROM {p}_trend, (SELECT unnest(range(1, {days + 1})) AS k)),
@@ -111,7 +115,7 @@ bysum AS (SELECT channel, campaign_type, method, scale, count(*) AS n_folds, avg
 
 def boot(resamples: int) -> str:
     return f"""num AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY date) - 1 AS spot FROM pair),
-picks AS (SELECT n.channel, n.campaign_type, sample, {draw('n_obs', 'n.channel', 'n.campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS pick FROM num n JOIN est e ON e.channel = n.channel AND e.campaign_type = n.campaign_type, (SELECT unnest(range(0, {resamples})) AS sample) WHERE n_obs >= 10 AND b IS NOT NULL),
+picks AS (SELECT n.channel, n.campaign_type, sample, {draw('n_obs', 'spot', 'n.channel', 'n.campaign_type', 'sample', "'elasticity'", '42')} AS pick FROM num n JOIN est e ON e.channel = n.channel AND e.campaign_type = n.campaign_type, (SELECT unnest(range(0, {resamples})) AS sample) WHERE n_obs >= 10 AND b IS NOT NULL),
 slopes AS (SELECT p.channel, p.campaign_type, sample, regr_slope(r, s) AS b FROM picks p JOIN num n ON n.channel = p.channel AND n.campaign_type = p.campaign_type AND n.spot = p.pick GROUP BY ALL),
 ci AS (SELECT channel, campaign_type, quantile_cont(least(greatest(b, 0), 2), 0.1) AS lo, quantile_cont(least(greatest(b, 0), 2), 0.9) AS hi FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
 boot AS (SELECT e.channel, e.campaign_type, n_obs, beta, coalesce(lo, 1) AS ci_low, coalesce(hi, 1) AS ci_high, n_obs < 10 OR coalesce(hi, 1) - coalesce(lo, 1) > 1 AS low_confidence FROM elastic e LEFT JOIN ci ON ci.channel = e.channel AND ci.campaign_type = e.campaign_type)"""
@@ -153,7 +157,7 @@ def retro(offsets: list[int], least_days: int, resamples: int) -> str:
 past AS (SELECT cutoff, channel, campaign_type, date, revenue, spend FROM seg, cuts WHERE date <= cutoff),
 pair AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS spot FROM (SELECT {keys}, date, ln(spend) AS s, ln(revenue) AS r FROM past WHERE spend > 0 AND revenue > 0)),
 est AS (SELECT {keys}, count(*) AS n_obs, regr_slope(r, s) AS b FROM pair GROUP BY {keys} HAVING count(*) >= 10),
-picks AS (SELECT {keys}, sample, {draw('n_obs', 'cutoff', 'channel', 'campaign_type', 'sample', 'spot', "'elasticity'", '42')} AS spot FROM pair JOIN est USING ({keys}), (SELECT unnest(range(0, {resamples})) AS sample) WHERE b IS NOT NULL),
+picks AS (SELECT {keys}, sample, {draw('n_obs', 'spot', 'cutoff', 'channel', 'campaign_type', 'sample', "'elasticity'", '42')} AS spot FROM pair JOIN est USING ({keys}), (SELECT unnest(range(0, {resamples})) AS sample) WHERE b IS NOT NULL),
 slopes AS (SELECT {keys}, sample, regr_slope(r, s) AS b FROM picks JOIN pair USING ({keys}, spot) GROUP BY ALL),
 ci AS (SELECT {keys}, quantile_cont(least(greatest(b, 0), 2), 0.9) - quantile_cont(least(greatest(b, 0), 2), 0.1) AS wide FROM slopes WHERE b IS NOT NULL GROUP BY ALL),
 long AS (SELECT {keys} FROM past GROUP BY ALL HAVING count(*) >= {least_days}),
