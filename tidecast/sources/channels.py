@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +73,29 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return features
 
 
+def write_models(models: DataFrame, path: str) -> None:
+    models.write.mode("overwrite").parquet(path)
+
+
 def read_models(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A written models table, or an empty one where none can be read."""
+    """A written models table, or an empty one where there is none or its files are no Parquet:
+    forecasts then start cold. Footers are read here, so that a broken file is found now."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  missing or not Parquet: forecasts start cold
+        spark.read.parquet(path)
+    except AnalysisException:  # no such path, or no schema to be found
+        return spark.createDataFrame([], schema)
+    except Py4JJavaError as error:
+        if "FAILED_READ_FILE" not in str(error) and "CANNOT_READ_FILE_FOOTER" not in str(error):
+            raise
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_models_json(models: DataFrame, path: str) -> None:
+    """A line for each model, with its key as one text."""
+    names = ("channel", "campaign_type", "campaign_id")
+    key = F.concat_ws("/", *[F.nullif(F.col(c), F.lit("")) for c in names if c in models.columns])
+    models.select(key.alias("key"), *[c for c in models.columns if c not in names]).write.mode("overwrite").json(path)
 
 
 def write_forecast(forecast: DataFrame, path: str) -> None:
@@ -86,3 +105,16 @@ def write_forecast(forecast: DataFrame, path: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def write_report(spark: SparkSession, path: str, parts: dict[str, DataFrame], values: dict[str, object] | None = None) -> None:
+    """One JSON object of named numbers or texts and lists of rows. For reports of a few hundred rows:
+    each part becomes one value."""
+    whole = spark.range(1).select(*[F.lit(v).alias(k) for k, v in (values or {}).items()])
+    for name, rows in parts.items():
+        whole = whole.crossJoin(F.broadcast(rows.agg(F.collect_list(F.struct("*")).alias(name))))  # one row
+    whole.write.mode("overwrite").json(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
