@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import expressions as X
-from tidecast.operators import backtest, coldstart, fit, holt_winters, recommend, series, simulate, stats, train, validate
+from tidecast.operators import backtest, coldstart, fit, holt_winters, narrative, recommend, requests, series, simulate, stats, train, validate
 from tidecast.plans import sql as S
-from tidecast.sources.adaptors import SHORT_SQL, features, short_features
+from tidecast.sources.adaptors import RAW_SQL, SHORT_SQL, features, platform_rows, short_features
+from tidecast.sources.channels import RAW, normalised
 
 SIMS, RESAMPLES = X.N_SIMS, X.ELASTICITY_BOOTSTRAPS
 SEG = series.SEGMENT
@@ -511,3 +512,59 @@ def coverage_mean(spark, sf_dir):
 SELECT c.channel, n_campaigns, n_rows, count(iss.issue) AS n_issues FROM c LEFT JOIN iss ON iss.channel = c.channel GROUP BY ALL""")
 def val_channels(spark, sf_dir):
     return validate.channels(features(spark, sf_dir, extra=True))
+
+
+@query(S.with_() + "SELECT channel, campaign_id, count(*) AS n_days_over, round(max((spend - daily_budget) / daily_budget * 100), 1) AS max_overspend_pct FROM features WHERE daily_budget > 0 AND spend > daily_budget * 1.05 GROUP BY ALL")
+def val_overspend(spark, sf_dir):
+    """How often and how far campaigns spend more than their daily budget."""
+    found = validate.over_budget(features(spark, sf_dir, extra=True))
+    return found.select("channel", "campaign_id", F.col("amount").cast("long").alias("n_days_over"), "max_overspend_pct")
+
+
+@query("WITH " + RAW_SQL)
+def platform_union(spark, sf_dir):
+    """Rows as each platform exports them, in the columns of the fact table, with clicks and budgets."""
+    more = ("clicks", "impressions", "daily_budget")
+    frames = [normalised(platform_rows(spark, sf_dir, c), c, more) for c in RAW]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2]).withColumns({c: F.round(c, 6) for c in ("spend", "revenue")})
+
+
+@query(f"WITH {BOTH} SELECT 'baseline' AS run, * FROM base_ WHERE channel = 'google' AND horizon_days <= 60 UNION ALL SELECT 'scenario', * FROM moved_ WHERE channel = 'google' AND horizon_days <= 60")
+def request_forecast(spark, sf_dir):
+    """A request for one channel and two horizons, with budgets moved."""
+    models = _confident(spark, sf_dir)
+    return requests.forecast(models, _sims(models), channel="google", horizons=(30, 60), budgets={"meta": 2.0, "google": 1.2})
+
+
+@query()
+def top_recommendation_forecast(spark, sf_dir):
+    """Blended forecasts before and after the best recommendation."""
+    models = _confident(spark, sf_dir)
+    sims = _sims(models)
+    return requests.top_recommendation(models, sims, recommend.finalists(models, recommend.pairs(models), sims))
+
+
+MONEY = "'$' || format('{{:,}}', CAST(round({}) AS BIGINT))"
+NARRATIVE = S.with_(S.ISSUES) + f""", o AS (SELECT max(date) AS origin FROM features),
+d AS (SELECT channel, coalesce(sum(revenue) FILTER (date > origin - 30), 0) AS a, coalesce(sum(revenue) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS b FROM features, o GROUP BY channel),
+e AS (SELECT channel, round(a, 4) AS a, round(b, 4) AS b, round((a - b) / b * 100, 4) AS pct FROM d WHERE b > 0),
+r AS (SELECT channel, campaign_id, campaign_name, sum(revenue) / sum(spend) AS roas FROM features, o WHERE date > origin - 60 GROUP BY ALL HAVING sum(spend) > 0),
+q AS (SELECT *, (roas - avg(roas) OVER w) / nullif(stddev_samp(roas) OVER w, 0) AS z, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY channel)),
+y AS (SELECT channel, campaign_id, campaign_name, round(roas, 4) AS roas, round(z, 4) AS z FROM q WHERE n >= 3 AND abs(z) > 2),
+yy AS (SELECT *, row_number() OVER (ORDER BY abs(z) DESC, channel, campaign_id, campaign_name) AS place FROM y),
+k AS (SELECT issue, count(*) AS n FROM iss GROUP BY issue),
+kk AS (SELECT sum(n) AS n, string_agg(issue || ' ' || n, ', ' ORDER BY n DESC, issue || ' ' || n) AS names FROM k),
+told AS (SELECT 1 AS part, row_number() OVER (ORDER BY pct DESC, channel) AS place, channel || ': revenue ' || CASE WHEN pct >= 0 THEN 'rose' ELSE 'fell' END || ' ' || printf('%.1f', abs(pct)) || ' % in the last 30 days, to ' || {MONEY.format("a")} || ' from ' || {MONEY.format("b")} || '.' AS statement,
+ CASE WHEN pct < -15 THEN 'Revenue of ' || channel || ' fell by more than 15 % against the period before.' END AS risk FROM e
+UNION ALL SELECT 4, place, 'Campaign ' || campaign_name || ' returns ' || printf('%.2f', roas) || ', far ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' the others of ' || channel || ' (z ' || printf('%.2f', z) || ').', CASE WHEN z < -2 THEN 'Campaign ' || campaign_name || ' returns far too little.' END FROM yy WHERE place <= 5
+UNION ALL SELECT 7, 1, 'Checks of ' || (SELECT count(*) FROM (SELECT DISTINCT channel, campaign_id FROM features)) || ' campaigns found ' || n || ' issues: ' || names || '. A daily budget is an average, so that single days may pass it.', NULL FROM kk WHERE n > 0)
+SELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM told"""
+
+
+@query(NARRATIVE)
+def narrative_statements(spark, sf_dir):
+    """What can be said of the facts alone; forecasts add their own statements."""
+    rows = features(spark, sf_dir, extra=True)
+    n_campaigns = rows.select("channel", "campaign_id").distinct().count()
+    parts = [narrative.changes(stats.period_deltas(rows)), narrative.outliers(stats.roas_anomalies(rows)), narrative.idle_money(stats.structural_risk(rows)), narrative.checks(validate.summary(rows), n_campaigns)]
+    return narrative.statements(spark, *parts)

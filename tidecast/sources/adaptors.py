@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.expressions import funnel_stage
+from tidecast.sources.channels import RAW
 
 
 def features(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
@@ -23,6 +24,14 @@ def features(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame
     return rows.withColumn("funnel_stage", funnel_stage(F.col("campaign_name")))
 
 
+def platform_rows(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
+    """A channel's facts as its platform exports them: its names, all text, Google's money in millionths."""
+    rows = features(spark, sf_dir, extra=True).where(F.col("channel") == channel).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    if channel == "google":
+        rows = rows.withColumn("spend", F.round(F.col("spend") * 1e6).cast("long"))
+    return rows.select(*[F.col(ours).cast("string").alias(theirs) for ours, theirs in RAW[channel].items()])
+
+
 def short_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second fact table, of short histories: users as campaigns of event types."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -40,3 +49,7 @@ FEATURES_SQL = """features AS (SELECT CAST(l_shipdate AS DATE) AS date, CASE l_r
  l_extendedprice * l_tax AS spend, l_extendedprice * (1 - l_discount) AS revenue, CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS DOUBLE) END AS conversions, false AS revenue_is_imputed,
  CASE WHEN l_linestatus = 'F' OR contains(lower(p_name), 'remarketing') OR contains(lower(p_name), 'retarget') OR contains(lower(p_name), '_tm_') THEN 'high_intent' ELSE 'prospecting' END AS funnel_stage,
  CAST(l_quantity * 3 AS INTEGER) AS clicks, p_retailprice AS daily_budget, l_linenumber AS line, CAST(l_quantity * 30 AS INTEGER) AS impressions FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+RAW_SQL = FEATURES_SQL + """
+SELECT date, channel, campaign_id, campaign_name, CASE WHEN channel = 'meta' THEN regexp_replace(campaign_name, '_Campaign_[0-9]+$', '') ELSE campaign_type END AS campaign_type,
+ round(CASE WHEN channel = 'google' THEN round(spend * 1e6) / 1e6 ELSE spend END, 6) AS spend, round(revenue, 6) AS revenue, conversions, revenue_is_imputed, funnel_stage,
+ CAST(clicks AS DOUBLE) AS clicks, CAST(impressions AS DOUBLE) AS impressions, CAST(daily_budget AS DOUBLE) AS daily_budget FROM features"""
