@@ -78,12 +78,18 @@ def calibrate(series: DataFrame, n_sims: int = N_SIMS, chosen_methods: DataFrame
         own = {m: folds.join(chosen_methods.where(F.col("method") == m).select(*SEGMENT), list(SEGMENT), "left_semi") for m in ("empirical", "holt_winters")}
         scores = fold_scores(series, own["empirical"], "empirical", n_sims, SCALES).unionByName(fold_scores(series, own["holt_winters"], "holt_winters", n_sims, SCALES))
     scored = scores.join(split, list(FOLD)).withColumn("tuned", F.col("total") >= MIN_SPLIT_CUTOFFS)
-    older = summary(scored.where(F.col("tuned") & F.col("older")))
-    fits = F.min(F.when(F.col("coverage") >= SCALE_COVERAGE, F.col("scale")))
-    widest = F.max(F.struct("coverage", (-F.col("scale")).alias("s")))
-    chosen = older.groupBy(*SEGMENT).agg(fits.alias("fits"), widest.alias("widest")).select(*SEGMENT, F.coalesce("fits", -F.col("widest.s")).alias("chosen"))
-    held = scored.join(chosen, list(SEGMENT), "left").withColumn("chosen", F.coalesce("chosen", F.lit(1.0))).where("scale = chosen").where(~F.col("tuned") | ~F.col("older"))
-    return summary(held, "tuned")
+    # both halves in one pass, as the scores come from a long plan; then a row for each scale of a segment
+    tuning, held = F.col("tuned") & F.col("older"), ~F.col("tuned") | ~F.col("older")
+    share = lambda which: F.avg(F.when(which, F.col("covered").cast("int"))) * 100
+    means = [F.count_if(held).alias("n_folds"), *[F.avg(F.when(held, F.col(c))).alias(c) for c in ("ape", "pinball")], share(held).alias("coverage")]
+    halves = scored.groupBy(*SEGMENT, "method", "scale", "tuned").agg(share(tuning).alias("older_coverage"), *means)
+    fits = F.min(F.when(F.col("older_coverage") >= SCALE_COVERAGE, F.col("scale"))).alias("fits")
+    widest = F.max(F.when(F.col("older_coverage").isNotNull(), F.struct("older_coverage", (-F.col("scale")).alias("s")))).alias("widest")
+    row = ["method", "scale", "tuned", "n_folds", "ape", "pinball", "coverage"]
+    told = halves.groupBy(*SEGMENT).agg(fits, widest, F.collect_list(F.struct(*row)).alias("scales"))
+    chosen = F.coalesce("fits", -F.col("widest.s"), F.lit(1.0))
+    own = told.select(*SEGMENT, F.inline(F.filter("scales", lambda r: (r["scale"] == chosen) & (r["n_folds"] > 0))))
+    return own.select(*SEGMENT, *row)
 
 
 def portfolio(scores: DataFrame) -> DataFrame:
