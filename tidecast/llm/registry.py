@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import context_tree, decontaminate, html_text, language_id, pack, parity_join, quality_classifier, quality_rules, secret_scan, token_rollup
+from tidecast.llm import context_tree, decontaminate, filter_audit, html_text, language_id, lexical_search, online_pack, pack, parity_join, quality_classifier, quality_rules, secret_scan, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         parity_join.op8_ngram_jaccard_join,
         decontaminate.op9_decontamination,
         context_tree.op10_lm_scoring,
+        online_pack.op11_sum_of_squares_packing,
+        filter_audit.op12_filter_audit,
+        lexical_search.op13_ranked_search,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secret_scan.OP2_SQL, "op4_token_counts": token_rollup.OP4_SQL, "op8_ngram_jaccard_join": parity_join.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {
+        "op2_secret_scan": secret_scan.OP2_SQL,
+        "op4_token_counts": token_rollup.OP4_SQL,
+        "op8_ngram_jaccard_join": parity_join.OP8_SQL,
+        "op9_decontamination": decontaminate.OP9_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_ranked_search": lexical_search.OP13_SQL,
+    }
