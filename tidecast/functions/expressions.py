@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,9 +60,15 @@ def pinball(actual: Column, quantile: Column, tau: float) -> Column:
 STEP, MIX, BITS = 2654435769, 73244475, 4294967295
 
 
-def stream(*key: Column) -> Column:
-    """A 32-bit number from the key alone, with which a stream of draws begins."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *key).cast("binary")), 1, 8), 16, 10).cast("long")
+def streams(key: str, numbers: Iterable[int], *purpose: str | int) -> np.ndarray:
+    """32-bit numbers from key, number and purpose alone, with which streams of draws begin."""
+    end = "".join(f"|{p}" for p in purpose)
+    return np.array([int.from_bytes(hashlib.md5(f"{key}|{n}{end}".encode()).digest()[:4], "big") for n in numbers], np.int64)
+
+
+def key_text(*keys: str) -> Column:
+    """A key's columns as one text, as draws are keyed by it."""
+    return F.concat_ws("|", *keys)
 
 
 def drawn(begin: np.ndarray, at: np.ndarray) -> np.ndarray:

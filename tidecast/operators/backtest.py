@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.expressions import CUTOFFS, MIN_SPLIT_CUTOFFS, MIN_TRAIN_DAYS, MORE_CUTOFFS, N_SIMS, SCALE_COVERAGE, SCALES, TEST_DAYS, pinball
-from tidecast.operators import fit, holt_winters
+from tidecast.operators.methods import DEFAULT, METHODS, FitMethod, fitted_by
 from tidecast.operators.series import SEGMENT
-from tidecast.operators.simulate import simulate
+from tidecast.operators.simulate import simulated_percentiles
 
 FOLD = (*SEGMENT, "cutoff")
 
@@ -22,49 +22,49 @@ def cutoffs(series: DataFrame, count: int = CUTOFFS) -> DataFrame:
     return each.where(enough).select(*SEGMENT, "cutoff")
 
 
-def fold_models(series: DataFrame, folds: DataFrame, method: str) -> DataFrame:
-    train = series.join(folds, list(SEGMENT)).where(F.col("date") <= F.col("cutoff")).select(*FOLD, "date", "revenue", "spend")
-    base = fit.models(train, FOLD)
-    if method == "holt_winters":
-        found = holt_winters.fit(train, FOLD).select(*FOLD, "path", F.col("pool").alias("own_pool"))
-        base = base.join(found, list(FOLD)).withColumn("pool", F.col("own_pool")).drop("own_pool")
-    return base
+def all_methods(keys: DataFrame, methods: dict[str, FitMethod] | None = None) -> DataFrame:
+    """Each row of keys with each method's name."""
+    return keys.withColumn("method", F.explode(F.array(*map(F.lit, methods or METHODS))))
 
 
-def fold_scores(series: DataFrame, folds: DataFrame, method: str, n_sims: int = N_SIMS, scales: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """(segment, cutoff, method, scale, actual, p10, p50, p90, ape, pinball, covered). All
-    scales share the draws; the scale multiplies them before days are held at 0."""
-    sums = simulate(fold_models(series, folds, method), FOLD, (TEST_DAYS,), n_sims, scales=scales)
-    limits = sums.groupBy(*FOLD, "scale").agg(F.percentile("revenue", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    after = series.join(folds, list(SEGMENT)).where((F.col("date") > F.col("cutoff")) & (F.datediff("date", "cutoff") <= TEST_DAYS))
+def fold_scores(series: DataFrame, folds: DataFrame, n_sims: int = N_SIMS, scales: tuple[float, ...] = (1.0,), methods: dict[str, FitMethod] | None = None) -> DataFrame:
+    """(segment, cutoff, method, scale, actual, p10, p50, p90, ape, pinball, covered).
+
+    folds: (segment, cutoff, method), one job for any number of methods. Methods and scales
+    share a fold's draws; percentiles are taken where the draws are made."""
+    wide = series.join(folds.select(*FOLD).distinct(), list(SEGMENT)).where(F.datediff("date", "cutoff") <= TEST_DAYS)
+    train = wide.where(F.col("date") <= F.col("cutoff")).select(*FOLD, "date", "revenue", "spend")
+    found = fitted_by(train, folds, FOLD, methods)
+    limits = simulated_percentiles(found, (*FOLD, "method"), (TEST_DAYS,), n_sims, scales=scales, by=FOLD)
+    after = wide.where(F.col("date") > F.col("cutoff"))
     actual = after.groupBy(*FOLD).agg(F.sum("revenue").alias("actual"))
     p = [F.col("p")[i] for i in range(3)]
     loss: Column = sum((pinball(F.col("actual"), q, t) for q, t in zip(p, (0.1, 0.5, 0.9), strict=True)), F.lit(0.0)) / 3
     ape = F.abs(F.col("actual") - p[1]) / F.greatest("actual", F.lit(1.0)) * 100
     percent = [x.alias(n) for x, n in zip(p, ("p10", "p50", "p90"), strict=True)]
-    return limits.join(actual, list(FOLD)).select(*FOLD, F.lit(method).alias("method"), "scale", "actual", *percent, ape.alias("ape"), loss.alias("pinball"), F.col("actual").between(p[0], p[2]).alias("covered"))
+    return limits.join(actual, list(FOLD)).select(*FOLD, "method", "scale", "actual", *percent, ape.alias("ape"), loss.alias("pinball"), F.col("actual").between(p[0], p[2]).alias("covered"))
 
 
 def summary(scores: DataFrame, *more: str) -> DataFrame:
     return scores.groupBy(*SEGMENT, "method", "scale", *more).agg(F.count("*").alias("n_folds"), F.avg("ape").alias("ape"), F.avg("pinball").alias("pinball"), (F.avg(F.col("covered").cast("int")) * 100).alias("coverage"))
 
 
-def compare(series: DataFrame, n_sims: int = N_SIMS) -> DataFrame:
-    """Both methods on the same folds, one row a segment and method; segments that can't be tested have nulls."""
-    folds = cutoffs(series)
-    both = summary(fold_scores(series, folds, "empirical", n_sims)).unionByName(summary(fold_scores(series, folds, "holt_winters", n_sims)))
-    every = series.select(*SEGMENT).distinct().withColumn("method", F.explode(F.array(F.lit("empirical"), F.lit("holt_winters"))))
-    rank = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy(F.col("pinball").isNull(), "pinball", "method"))
-    told = every.join(both, [*SEGMENT, "method"], "left").withColumn("winner", rank == 1)
+def compare(series: DataFrame, n_sims: int = N_SIMS, methods: dict[str, FitMethod] | None = None) -> DataFrame:
+    """All methods on the same folds, one row a segment and method; segments that can't be tested have nulls."""
+    scored = summary(fold_scores(series, all_methods(cutoffs(series), methods), n_sims, methods=methods))
+    every = all_methods(series.select(*SEGMENT).distinct(), methods)
+    order = [F.col("pinball").isNull(), F.col("pinball"), F.col("method") != DEFAULT, F.col("method")]
+    rank = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy(*order))
+    told = every.join(scored, [*SEGMENT, "method"], "left").withColumn("winner", rank == 1)
     return told.select(*SEGMENT, "method", F.coalesce("n_folds", F.lit(0)).alias("n_folds"), "ape", "pinball", "coverage", "winner")
 
 
-def select_method(series: DataFrame, n_sims: int = N_SIMS) -> DataFrame:
-    """The method of least loss for each segment; equal or untested, the empirical one."""
-    return compare(series, n_sims).where("winner").drop("winner")
+def select_method(series: DataFrame, n_sims: int = N_SIMS, methods: dict[str, FitMethod] | None = None) -> DataFrame:
+    """The method of least loss for each segment; equal or untested, the default one."""
+    return compare(series, n_sims, methods).where("winner").drop("winner")
 
 
-def calibrate(series: DataFrame, n_sims: int = N_SIMS, chosen_methods: DataFrame | None = None) -> DataFrame:
+def calibrate(series: DataFrame, n_sims: int = N_SIMS, chosen_methods: DataFrame | None = None, methods: dict[str, FitMethod] | None = None) -> DataFrame:
     """Scale of the residuals: tuned on the older half of the cutoffs, reported on the newer.
     With chosen_methods (segment, method) each segment is scored by its own method. A segment
     with too few cutoffs isn't tuned: its scale is 1, reported on all it has."""
@@ -72,11 +72,8 @@ def calibrate(series: DataFrame, n_sims: int = N_SIMS, chosen_methods: DataFrame
     place = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("cutoff"))
     total = F.count("*").over(Window.partitionBy(*SEGMENT))
     split = folds.select(*FOLD, place.alias("place"), total.alias("total")).withColumn("older", F.col("place") <= F.floor(F.col("total") / 2))
-    if chosen_methods is None:
-        scores = fold_scores(series, folds, "empirical", n_sims, SCALES)
-    else:
-        own = {m: folds.join(chosen_methods.where(F.col("method") == m).select(*SEGMENT), list(SEGMENT), "left_semi") for m in ("empirical", "holt_winters")}
-        scores = fold_scores(series, own["empirical"], "empirical", n_sims, SCALES).unionByName(fold_scores(series, own["holt_winters"], "holt_winters", n_sims, SCALES))
+    own = folds.withColumn("method", F.lit(DEFAULT)) if chosen_methods is None else folds.join(chosen_methods.select(*SEGMENT, "method"), list(SEGMENT))
+    scores = fold_scores(series, own, n_sims, SCALES, methods)
     scored = scores.join(split, list(FOLD)).withColumn("tuned", F.col("total") >= MIN_SPLIT_CUTOFFS)
     # both halves in one pass, as the scores come from a long plan; then a row for each scale of a segment
     tuning, held = F.col("tuned") & F.col("older"), ~F.col("tuned") | ~F.col("older")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.expressions import (
-    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, drawn, finite, is_holiday, stream,
+    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, drawn, finite, is_holiday, key_text, streams,
 )
 from tidecast.operators.series import SEGMENT, daily, last_days
 
@@ -55,7 +55,9 @@ def residuals(series: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
 
 
 def models(series: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
-    """One row a key: trend, weekday factors, holiday factor, ordered residuals, averages."""
+    """One row a key: trend, weekday factors, holiday factor, ordered residuals, averages.
+    The series is dealt by key once; all parts are sums, windows and joins by the same keys."""
+    series = series.repartition(*keys)
     pool = residuals(series, keys).where(finite(F.col("residual"))).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "residual"))), lambda s: s["residual"]).alias("pool"))  # TREND_DAYS at most
     dow = weekday_factors(series, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dow", "factor"))), lambda s: s["factor"]).alias("dow"))
     recent = last_days(series, keys, RUN_RATE_DAYS).groupBy(*keys).agg(F.avg("spend").alias("avg_spend"), F.avg("revenue").alias("avg_revenue"))
@@ -75,44 +77,50 @@ def elasticity(series: DataFrame, keys: tuple[str, ...] = SEGMENT, resamples: in
     out = point.select(*keys, "n_obs", F.when(enough, clip(F.col("b"))).otherwise(1.0).alias("beta"), F.when(enough, F.col("a")).otherwise(0.0).alias("alpha"), enough.alias("fitted"))
     if not resamples:
         return out
-    slopes = _resampled(pairs.where("pair is not null"), out.where("fitted").select(*keys), keys, resamples)
-    limits = slopes.where("b is not null").groupBy(*keys).agg(F.percentile(clip(F.col("b")), F.array(F.lit(0.1), F.lit(0.9))).alias("ci"))
+    limits = _resampled(pairs.where("pair is not null"), out.where("fitted").select(*keys), keys, resamples)
     joined = out.join(limits, list(keys), "left").withColumn("ci_low", F.coalesce(F.col("ci")[0], F.lit(1.0))).withColumn("ci_high", F.coalesce(F.col("ci")[1], F.lit(1.0)))
     low = ~F.col("fitted") | (F.col("ci_high") - F.col("ci_low") > ELASTICITY_CI_WIDTH)
     return joined.select(*keys, "n_obs", "beta", "alpha", "ci_low", "ci_high", low.alias("low_confidence"), F.when(low, 1.0).otherwise(F.col("beta")).alias("beta_for_scenario"))
 
 
+#: Resamples of a key that are drawn at a time.
+RESAMPLE_BLOCK = 50
+
+
 def _resampled(pairs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], resamples: int) -> DataFrame:
-    """(keys, sample, b): slopes of keyed resamples of each key's pairs (a key has one a day at most).
-    Resamples are dealt to tasks before they get their key's pairs as an array, so drawn pairs
-    are summed where they are drawn and never shuffled."""
+    """(keys, ci): P10 and P90 of the slopes of keyed resamples of each key's pairs, of which it
+    has one a day at most. A key is one row with its pairs: resamples are drawn, fitted and cut
+    to percentiles where they are, and never shuffled."""
     spark = pairs.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists = F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"])
-    held = pairs.groupBy(*keys).agg(lists.alias("pairs")).select(*keys, F.col("pairs.s").alias("s"), F.col("pairs.r").alias("r"))
-    sampled = wanted.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    dealt = sampled.withColumn("begin", stream(*keys, "sample", F.lit("elasticity"), F.lit(SEED))).repartition(parts, *keys, "sample")
-    joined = dealt.join(held, list(keys)).select(*keys, "sample", "begin", "s", "r")
-    names = [*keys, "sample"]
-    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("b", T.DoubleType())])
+    held = pairs.join(wanted, list(keys), "left_semi").groupBy(*keys).agg(lists.alias("pairs"))
+    names = list(keys)
+    base = held.select(*names, F.col("pairs.s").alias("s"), F.col("pairs.r").alias("r"), key_text(*keys).alias("key_")).repartition(parts, *names)
+    schema = T.StructType([*base.select(*names).schema.fields, T.StructField("ci", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            begin = batch.column("begin").to_numpy(zero_copy_only=False)
-            slopes = [_slope(s.values.to_numpy(), r.values.to_numpy(), first) for s, r, first in zip(batch.column("s"), batch.column("r"), begin, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(slopes, pa.float64())], [f.name for f in schema])
+            limits = []
+            for i in range(batch.num_rows):
+                s, r = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("s", "r"))
+                begin = streams(batch.column("key_")[i].as_py(), range(resamples), "elasticity", SEED)
+                b = np.concatenate([_slopes(s, r, begin[k : k + RESAMPLE_BLOCK]) for k in range(0, resamples, RESAMPLE_BLOCK)])
+                b = np.clip(b[~np.isnan(b)], 0.0, ELASTICITY_MOST)
+                limits.append(np.quantile(b, (0.1, 0.9)).tolist() if len(b) else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(limits, pa.list_(pa.float64()))], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
-def _slope(s: np.ndarray, r: np.ndarray, begin: int) -> float | None:
-    """The slope of r on s over as many drawn pairs; none if all have one s."""
-    at = drawn(begin, np.arange(len(s))) % len(s)
+def _slopes(s: np.ndarray, r: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The slopes of r on s over as many drawn pairs, a resample each; nan if all have one s."""
+    at = drawn(begin[:, None], np.arange(len(s))) % len(s)
     x, y = s[at], r[at]
-    if x.min() == x.max():
-        return None
-    x = x - x.mean()
-    return float(x @ (y - y.mean()) / (x @ x))
+    same = x.min(1) == x.max(1)
+    x = x - x.mean(1, keepdims=True)
+    y = y - y.mean(1, keepdims=True)
+    return np.where(same, np.nan, (x * y).sum(1) / np.where(same, 1.0, (x * x).sum(1)))
 
 
 def campaign_tiers(features: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, drawn, is_holiday, response, stream
+from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, drawn, is_holiday, key_text, response, streams
 
 ROLLUP = ("channel", "campaign_type", "campaign_id")
 
@@ -33,87 +33,112 @@ def path_of_points(models: DataFrame, days: int) -> Column:
         season = F.get("dow", F.weekday(date)) * F.when(is_holiday(date), F.col("holiday_factor")).otherwise(1.0)
         trend = F.greatest(F.lit(0.0), F.col("level_at_end") + F.col("slope") * k) * season
         if "path" in models.columns:  # a fitted path goes before the trend
-            return F.coalesce(F.greatest(F.lit(0.0), F.get("path", F.least(k, F.size("path")) - 1)), trend)
+            fitted = F.greatest(F.lit(0.0), F.get("path", F.least(k, F.size("path")) - 1))
+            return F.when(F.size("path") > 0, fitted).otherwise(trend)  # greatest() passes over nulls
         return trend
 
     return F.transform(F.sequence(F.lit(1), F.lit(days)), point)
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of all lists, where each begins, and their lengths."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    return column.flatten().to_numpy(zero_copy_only=False), offsets[:-1], np.diff(offsets)
+#: Simulations of a key that are made at a time, where all of its own aren't needed together.
+SIM_BLOCK = 250
+PERCENT = (0.1, 0.5, 0.9)
 
 
-def _paths(batch: pa.RecordBatch, days: int) -> np.ndarray:
-    """The residuals of each row's days. Pools over BLOCK long give runs of BLOCK days,
+def _paths(begin: np.ndarray, pool: np.ndarray, days: int) -> np.ndarray:
+    """The residuals of each simulation's days. Pools over BLOCK long give runs of BLOCK days,
     shorter ones single days, empty ones 0."""
-    pool, first, size = _lists(batch.column("pool"))
-    begin = batch.column("begin").to_numpy(zero_copy_only=False)
-    out = np.zeros((batch.num_rows, days))
-    for rows, step in ((np.flatnonzero(size > BLOCK), BLOCK), (np.flatnonzero((size > 0) & (size <= BLOCK)), 1)):
-        if not len(rows):
-            continue
-        n = -(-days // step)
-        at = drawn(begin[rows][:, None], np.arange(n)) % (size[rows][:, None] - (step - 1))
-        starts = at + first[rows][:, None]
-        out[rows] = pool[(starts[:, :, None] + np.arange(step)).reshape(len(rows), n * step)[:, :days]]
-    return out
+    if not len(pool):
+        return np.zeros((len(begin), days))
+    step = BLOCK if len(pool) > BLOCK else 1
+    n = -(-days // step)
+    starts = drawn(begin[:, None], np.arange(n)) % (len(pool) - (step - 1))
+    return pool[(starts[:, :, None] + np.arange(step)).reshape(len(begin), n * step)[:, :days]]
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row a key, or a key and block, spread over the tasks; with its pool and points
+    each is under 2 KB, and no simulation is ever joined to them."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys)
 
 
-def _dealt(models: DataFrame, keys: tuple[str, ...], n_sims: int, seed: int) -> DataFrame:
-    """(keys, sim, begin): simulations with the beginnings of their draws, dealt to tasks
-    before they get their key's arrays."""
-    spark = models.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sims = models.select(*keys).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    return sims.withColumn("begin", stream(*keys, "sim", F.lit("simulate"), F.lit(seed))).repartition(parts, *keys, "sim")
+def _values(column: pa.Array, row: int) -> np.ndarray:
+    values = column[row].values
+    return np.zeros(0) if values is None else values.to_numpy(zero_copy_only=False).astype(float)
 
 
 def draws(models: DataFrame, keys: tuple[str, ...], days: int, n_sims: int = N_SIMS, seed: int = SEED) -> DataFrame:
     """(keys, sim, k, residual) for days k from 1."""
-    joined = _dealt(models, keys, n_sims, seed).join(models.select(*keys, "pool"), list(keys)).select(*keys, "sim", "pool", "begin")
-    names = [*keys, "sim"]
-    schema = T.StructType(list(joined.select(*names).schema.fields))
-    schema.add("residuals", T.ArrayType(T.DoubleType()))
+    names = list(keys)
+    base = _dealt(models.select(*names, "pool", key_text(*keys).alias("key_")), *names)
+    schema = T.StructType([*base.select(*names).schema.fields, *T._parse_datatype_string("sim int, residuals array<double>").fields])
 
     def run(batches):
         for batch in batches:
-            paths = _paths(batch, days)
-            lists = pa.ListArray.from_arrays(np.arange(0, paths.size + 1, days, dtype=np.int32), pa.array(paths.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [f.name for f in schema])
+            for i in range(batch.num_rows):
+                begin = streams(batch.column("key_")[i].as_py(), range(n_sims), "simulate", seed)
+                paths = _paths(begin, _values(batch.column("pool"), i), days)
+                lists = pa.ListArray.from_arrays(np.arange(0, paths.size + 1, days, dtype=np.int32), pa.array(paths.ravel()))
+                same = pa.array(np.full(n_sims, i, np.int32))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in names], pa.array(np.arange(n_sims, dtype=np.int32)), lists], schema.names)
+
+    each = base.mapInArrow(run, schema).select(*names, "sim", F.posexplode("residuals").alias("at", "residual"))
+    return each.select(*names, "sim", (F.col("at") + 1).alias("k"), "residual")
 
-    each = joined.mapInArrow(run, schema).select(*names, F.posexplode("residuals").alias("at", "residual"))
-    return each.select(*names, (F.col("at") + 1).alias("k"), "residual")
 
+def _ready(models: DataFrame, keys: tuple[str, ...], days: int, spread: Column | None, by: tuple[str, ...]) -> DataFrame:
+    """What the simulations of a key need. by: the columns that key its draws."""
+    points = path_of_points(models, days).alias("points_")
+    return models.select(*keys, F.col("pool").alias("pool_"), points, (inflation(F.col("channel")) if spread is None else spread).alias("spread_"), key_text(*by).alias("key_"))
 
-def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None, scales: tuple[float, ...] = (), seed: int = SEED) -> DataFrame:
-    """(keys[, scale], sim, horizon_days, revenue): summed days, each not below 0. A simulation is
-    one row, its days are added up in Arrow batches. Scales multiply the draws, which they share."""
-    days = max(horizons)
-    base = models.select(*keys, "pool", path_of_points(models, days).alias("points"), (inflation(F.col("channel")) if spread is None else spread).alias("spread"))
-    drawn_of = _dealt(models, keys, n_sims, seed).join(base, list(keys)).select(*keys, "sim", "pool", "points", "spread", "begin")
-    names, factors = [*keys, "sim"], scales or (1.0,)
+
+def simulate(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None, seed: int = SEED) -> DataFrame:
+    """(keys, sim, horizon_days, revenue): summed days, each not below 0, for sums over keys."""
+    days, names = max(horizons), list(keys)
+    blocks = _ready(models, keys, days, spread, keys).withColumn("first_", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1), F.lit(SIM_BLOCK))))
+    base = _dealt(blocks, *names, "first_")
+    schema = T.StructType([*base.select(*names).schema.fields, *T._parse_datatype_string("sim int, horizon_days int, revenue double").fields])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                first = batch.column("first_")[i].as_py()
+                sims = range(first, min(n_sims, first + SIM_BLOCK))
+                begin = streams(batch.column("key_")[i].as_py(), sims, "simulate", seed)
+                value = np.maximum(0.0, _values(batch.column("points_"), i) + _paths(begin, _values(batch.column("pool_"), i), days) * batch.column("spread_")[i].as_py())
+                n = len(sims) * len(horizons)
+                same = pa.array(np.full(n, i, np.int32))
+                sums = np.concatenate([value[:, :h].sum(1) for h in horizons])
+                told = [pa.array(np.tile(np.array(sims, np.int32), len(horizons))), pa.array(np.repeat(np.array(horizons, np.int32), len(sims))), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in names], *told], schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
+def simulated_percentiles(models: DataFrame, keys: tuple[str, ...], horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None, scales: tuple[float, ...] = (1.0,), by: tuple[str, ...] | None = None, seed: int = SEED) -> DataFrame:
+    """(keys, scale, horizon_days, p): percentiles of a key's own simulations, taken where they are
+    made: nothing is shuffled after them. Scales multiply the draws, which they share, before
+    days are held at 0. by: the columns that key the draws, where keys that differ share them."""
+    days, names = max(horizons), list(keys)
+    base = _dealt(_ready(models, keys, days, spread, by or keys), *names)
+    schema = T.StructType([*base.select(*names).schema.fields, *T._parse_datatype_string("scale double, horizon_days int, p array<double>").fields])
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = batch.column("points").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, days)
-            noise = _paths(batch, days) * batch.column("spread").to_numpy(zero_copy_only=False)[:, None]
-            kept = [batch.column(c) for c in names]
-            for scale in factors:
-                value = np.maximum(0.0, points + noise * scale)
-                for h in horizons:
-                    told = [pa.array(np.full(batch.num_rows, scale))] * bool(scales) + [pa.array(np.full(batch.num_rows, h, np.int32)), pa.array(value[:, :h].sum(1))]
-                    yield pa.RecordBatch.from_arrays([*kept, *told], [f.name for f in schema])
-
-    schema = T.StructType(list(drawn_of.select(*names).schema.fields))
-    if scales:
-        schema.add("scale", T.DoubleType())
-    schema.add("horizon_days", T.IntegerType()).add("revenue", T.DoubleType())
-    return drawn_of.mapInArrow(run, schema)
+            for i in range(batch.num_rows):
+                begin = streams(batch.column("key_")[i].as_py(), range(n_sims), "simulate", seed)
+                noise = _paths(begin, _values(batch.column("pool_"), i), days) * batch.column("spread_")[i].as_py()
+                points, rows = _values(batch.column("points_"), i), []
+                for scale in scales:
+                    value = np.maximum(0.0, points + noise * scale)
+                    rows += [(scale, h, np.quantile(value[:, :h].sum(1), PERCENT).tolist()) for h in horizons]
+                scale, horizon, p = zip(*rows, strict=True)
+                same = pa.array(np.full(len(rows), i, np.int32))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in names], pa.array(scale, pa.float64()), pa.array(horizon, pa.int32()), pa.array(p, pa.list_(pa.float64()))], schema.names)
+
+    return base.mapInArrow(run, schema)
 
 
 def multiples(models: DataFrame, channel: dict[str, float] | None = None, segment: dict[tuple[str, str], float] | None = None) -> Column:
@@ -126,7 +151,6 @@ def multiples(models: DataFrame, channel: dict[str, float] | None = None, segmen
     return out
 
 
-PERCENT = (0.1, 0.5, 0.9)
 ORDER = ["channel", "campaign_type", "campaign_id", "horizon_days", "metric", "p10", "p50", "p90"]
 
 
@@ -135,13 +159,18 @@ def scenario_beta(models: DataFrame) -> str:
     return "beta_for_scenario" if "beta_for_scenario" in models.columns else "beta"
 
 
-def percentiles(paths: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of revenue and, where money is spent, return on it from (keys, horizon_days, sim, revenue, spend)."""
-    cut = paths.groupBy(*keys, "horizon_days").agg(F.percentile("revenue", F.array(*map(F.lit, PERCENT))).alias("r"), F.max("spend").alias("spend"))
+def _told(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of revenue and, where money is spent, return on it from (keys, horizon_days, r, spend)."""
     revenue = F.struct(F.lit("revenue").alias("metric"), *[F.col("r")[i].alias(n) for i, n in enumerate(ORDER[-3:])])
     roas = F.when(F.col("spend") > 0, F.struct(F.lit("roas").alias("metric"), *[(F.col("r")[i] / F.col("spend")).alias(n) for i, n in enumerate(ORDER[-3:])]))
-    rows = cut.select(*keys, "horizon_days", F.inline(F.array_compact(F.array(revenue, roas))))
-    return rows.select(*keys, "horizon_days", "metric", *[F.round(p, 4).alias(p) for p in ORDER[-3:]])
+    each = rows.select(*keys, "horizon_days", F.inline(F.array_compact(F.array(revenue, roas))))
+    return each.select(*keys, "horizon_days", "metric", *[F.round(p, 4).alias(p) for p in ORDER[-3:]])
+
+
+def percentiles(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of revenue and return from (keys, horizon_days, sim, revenue, spend)."""
+    cut = paths.groupBy(*keys, "horizon_days").agg(F.percentile("revenue", F.array(*map(F.lit, PERCENT))).alias("r"), F.max("spend").alias("spend"))
+    return _told(cut, keys)
 
 
 def scaled(models: DataFrame, sims: DataFrame, multiple: Column, keys: tuple[str, ...]) -> DataFrame:
@@ -167,6 +196,10 @@ def forecast(models: DataFrame, sims: DataFrame, multiple: Column, rollup: bool
     return percentiles(named.withColumn("campaign_id", F.lit("")), ORDER[:3]).select(ORDER)
 
 
-def forecast_campaigns(models: DataFrame, sims: DataFrame, multiple: Column) -> DataFrame:
-    """The same of campaigns, which are in no sum: segments hold their revenue already."""
-    return percentiles(scaled(models, sims, multiple, ROLLUP), ORDER[:3]).select(ORDER)
+def forecast_campaigns(models: DataFrame, multiple: Column, horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, spread: Column | None = None) -> DataFrame:
+    """The same of campaigns, which are in no sum: segments hold their revenue already. A
+    multiple of spend scales all simulations of a key alike, so percentiles are scaled."""
+    limits = simulated_percentiles(models, ROLLUP, horizons, n_sims, spread)
+    told = models.select(*ROLLUP, response(multiple, F.col(scenario_beta(models))).alias("factor"), (F.col("avg_spend") * multiple).alias("daily"))
+    both = limits.join(told, list(ROLLUP)).select(*ROLLUP, "horizon_days", F.transform("p", lambda v: v * F.col("factor")).alias("r"), (F.col("daily") * F.col("horizon_days")).alias("spend"))
+    return _told(both, ORDER[:3]).select(ORDER)

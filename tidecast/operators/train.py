@@ -1,88 +1,80 @@
-"""Training: the methods' contest, calibrated spread, and models of segments and campaigns in one table."""
+"""Training: the methods' contest, calibrated spread, and models of segments and campaigns.
+
+A run goes through stage tables: series, contest, calibration, elasticities, models. Each is
+written and read back, so that no stage plans or runs what went before it a second time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.expressions import ELASTICITY_BOOTSTRAPS, HORIZONS, N_SIMS
-from tidecast.operators import backtest, fit, holt_winters
+from tidecast.operators import backtest, fit
+from tidecast.operators.methods import DEFAULT, FitMethod, fitted_by
 from tidecast.operators.series import CAMPAIGN, SEGMENT, daily
 from tidecast.operators.simulate import ROLLUP, forecast, forecast_campaigns, inflation, multiples, simulate
-
-#: A fit method by its name: a function from (series, keys) to models as fit.models() has them.
-FitMethod = Callable[[DataFrame, tuple[str, ...]], DataFrame]
-METHODS: dict[str, FitMethod] = {}
-
-
-def fit_method(name: str) -> Callable[[FitMethod], FitMethod]:
-    """Register a function as the fit method of that name."""
-
-    def add(f: FitMethod) -> FitMethod:
-        METHODS[name] = f
-        return f
-
-    return add
+from tidecast.sources.store import Stages
 
 
-@fit_method("empirical")
-def empirical(series: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
-    return fit.models(series, keys).withColumn("path", F.lit(None).cast("array<double>"))
+@dataclass(frozen=True)
+class Trained:
+    """Written tables of a run: the contest's winners, models of segments and of campaigns."""
 
+    contest: DataFrame
+    segments: DataFrame
+    campaigns: DataFrame
 
-@fit_method("holt_winters")
-def with_path(series: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
-    """Keys with too few days for a path keep the empirical fit."""
-    found = holt_winters.fit(series, keys).select(*keys, "path", F.col("pool").alias("own_pool"))
-    both = fit.models(series, keys).join(found, list(keys), "left")
-    return both.withColumn("pool", F.coalesce("own_pool", "pool")).drop("own_pool")
 
+def train(features: DataFrame, stages: Stages, n_sims: int = N_SIMS, resamples: int = ELASTICITY_BOOTSTRAPS, methods: dict[str, FitMethod] | None = None) -> Trained:
+    """Models of all segments and campaigns of a fact table."""
+    series = stages.keep("segment-series", daily(features))
+    contest = stages.keep("contest", backtest.select_method(series, n_sims, methods))
+    parents = stages.keep("segments", segments(series, contest, stages, n_sims, resamples, methods))
+    return Trained(contest, parents, stages.keep("campaigns", campaigns(features, parents, stages, resamples, methods)))
 
-def fitted_by(series: DataFrame, methods: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Models of every key by its own method. methods: (keys, method)."""
-    parts = []
-    for name, method in METHODS.items():
-        own = series.join(methods.where(F.col("method") == name).select(*keys), list(keys), "left_semi")
-        parts.append(method(own, keys).withColumn("method", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
-
-def segments(series: DataFrame, n_sims: int = N_SIMS, resamples: int = ELASTICITY_BOOTSTRAPS) -> DataFrame:
+def segments(series: DataFrame, contest: DataFrame, stages: Stages, n_sims: int = N_SIMS, resamples: int = ELASTICITY_BOOTSTRAPS, methods: dict[str, FitMethod] | None = None) -> DataFrame:
     """Models of all segments: winning method, calibrated spread, elasticity with limits."""
-    chosen = backtest.select_method(series, n_sims).select(*SEGMENT, "method").persist()  # a row a segment, read five times
-    scale = backtest.calibrate(series, n_sims, chosen).select(*SEGMENT, F.col("scale").alias("calibration_scale"), F.col("coverage").alias("held_out_coverage"), "tuned")
-    own = fitted_by(series, chosen, SEGMENT).join(fit.elasticity(series, resamples=resamples), list(SEGMENT))
+    chosen = contest.select(*SEGMENT, "method")
+    scale = backtest.calibrate(series, n_sims, chosen, methods).select(*SEGMENT, F.col("scale").alias("calibration_scale"), F.col("coverage").alias("held_out_coverage"), "tuned")
+    scale = stages.keep("calibration", scale)
+    elastic = stages.keep("segment-elasticity", fit.elasticity(series, resamples=resamples))
+    own = fitted_by(series, chosen, SEGMENT, methods).join(elastic, list(SEGMENT))
     told = own.join(scale, list(SEGMENT), "left").withColumn("calibration_scale", F.coalesce("calibration_scale", F.lit(1.0)))
     return told.withColumn("spread", inflation(F.col("channel")) * F.col("calibration_scale"))
 
 
-def campaigns(features: DataFrame, parents: DataFrame, resamples: int = ELASTICITY_BOOTSTRAPS) -> DataFrame:
+def campaigns(features: DataFrame, parents: DataFrame, stages: Stages, resamples: int = ELASTICITY_BOOTSTRAPS, methods: dict[str, FitMethod] | None = None) -> DataFrame:
     """Models of campaigns of three days or more: an own fit by the segment's method from 30
     days on, else the segment's model, scaled. parents: from segments(). Their spread is the
-    channel's alone, not calibrated."""
-    tiers = fit.campaign_tiers(features).where("tier <> 'skip'")
-    series = daily(features, CAMPAIGN)
-    known = parents.select(*SEGMENT, "method")
-    # an id in two segments is fitted once by either one's method
-    long = tiers.where("tier = 'own'").join(known, list(SEGMENT), "left").select(*CAMPAIGN, F.coalesce("method", F.lit("empirical")).alias("method")).distinct()
-    fits = fitted_by(series, long, CAMPAIGN)
-    own = tiers.where("tier = 'own'").join(known, list(SEGMENT), "left").withColumn("method", F.coalesce("method", F.lit("empirical"))).join(fits, [*CAMPAIGN, "method"])
+    channel's alone, not calibrated. An id in two segments has one series: it is fitted once by
+    either one's method, and its elasticity holds in both."""
+    tiers = stages.keep("tiers", fit.campaign_tiers(features).where("tier <> 'skip'"))
+    series = stages.keep("campaign-series", daily(features, CAMPAIGN))
+    elastic = stages.keep("campaign-elasticity", fit.elasticity(series, CAMPAIGN, resamples))
+    owned = tiers.where("tier = 'own'").join(parents.select(*SEGMENT, "method"), list(SEGMENT), "left").withColumn("method", F.coalesce("method", F.lit(DEFAULT)))
+    fits = stages.keep("campaign-fits", fitted_by(series, owned.select(*CAMPAIGN, "method").distinct(), CAMPAIGN, methods))
+    own = owned.join(fits, [*CAMPAIGN, "method"])
     shrunk = fit.shrinkage(features, parents).drop("level", "scale")
-    elastic = fit.elasticity(series, CAMPAIGN, resamples)
     names = [*ROLLUP, "method", "n_days", "slope", "level_at_end", "dow", "holiday_factor", "pool", "path", "last_train_date", "avg_spend", "avg_revenue"]
     both = own.select(*names, F.lit(False).alias("is_shrinkage")).unionByName(shrunk.select(*names, F.lit(True).alias("is_shrinkage")))
     return both.join(elastic, list(CAMPAIGN)).withColumn("spread", inflation(F.col("channel")))
 
 
-def trained_forecast(segment_models: DataFrame, campaign_models: DataFrame | None, horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, **multiple) -> DataFrame:
-    """Forecasts at segment, channel and blended grain and, with campaign models, of campaigns."""
-    spread = F.col("spread")
-    out = forecast(segment_models, simulate(segment_models, SEGMENT, horizons, n_sims, spread), multiples(segment_models, **multiple))
-    if campaign_models is None:
-        return out
-    return out.unionByName(forecast_campaigns(campaign_models, simulate(campaign_models, ROLLUP, horizons, n_sims, spread), multiples(campaign_models, **multiple)))
+MODEL = [*ROLLUP, "method", "is_shrinkage", "slope", "level_at_end", "holiday_factor", "avg_spend", "avg_revenue", "beta", "beta_for_scenario", "low_confidence", "spread"]
+
+
+def one_table(trained: Trained) -> DataFrame:
+    """All models, a segment's with campaign_id ''."""
+    parents = trained.segments.withColumn("campaign_id", F.lit("")).withColumn("is_shrinkage", F.lit(False))
+    return parents.select(MODEL).unionByName(trained.campaigns.select(MODEL))
+
+
+def trained_forecast(trained: Trained, horizons: tuple[int, ...] = HORIZONS, n_sims: int = N_SIMS, **multiple) -> DataFrame:
+    """Forecasts at segment, channel, blended and campaign grain."""
+    spread, models, own = F.col("spread"), trained.segments, trained.campaigns
+    out = forecast(models, simulate(models, SEGMENT, horizons, n_sims, spread), multiples(models, **multiple))
+    return out.unionByName(forecast_campaigns(own, multiples(own, **multiple), horizons, n_sims, spread))

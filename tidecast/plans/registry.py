@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import expressions as X
-from tidecast.operators import backtest, coldstart, fit, holt_winters, narrative, recommend, requests, series, simulate, stats, train, validate
+from tidecast.operators import backtest, coldstart, fit, holt_winters, methods, narrative, recommend, requests, series, simulate, stats, train, validate
 from tidecast.plans import sql as S
 from tidecast.sources.adaptors import RAW_SQL, SHORT_SQL, features, platform_rows, short_features
 from tidecast.sources.channels import RAW, normalised
+from tidecast.sources.store import Stages
 
 SIMS, RESAMPLES = X.N_SIMS, X.ELASTICITY_BOOTSTRAPS
 SEG = series.SEGMENT
@@ -43,8 +44,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense series, a row a segment and day: held, as fits read it several times."""
-    return series.daily(features(spark, sf_dir)).persist()
+    """The dense series, a row a segment and day: written, as fits read it several times."""
+    return Stages(spark).keep("series", series.daily(features(spark, sf_dir)))
 
 
 NORMAL = "channel, campaign_id, campaign_name, campaign_type, conversions, revenue_is_imputed, funnel_stage, round(spend, 4) AS spend, round(revenue, 4) AS revenue"
@@ -274,7 +275,7 @@ def _scored(df: DataFrame) -> DataFrame:
 
 def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segments(spark, sf_dir)
-    return backtest.fold_scores(rows, backtest.cutoffs(rows), "empirical", SIMS)
+    return backtest.fold_scores(rows, backtest.cutoffs(rows).withColumn("method", F.lit(methods.DEFAULT)), SIMS)
 
 
 @query(S.scores(SIMS) + "\nSELECT channel, campaign_type, cutoff, method, scale, round(actual, 4) AS actual, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, round(ape, 4) AS ape, round(pinball, 4) AS pinball, covered FROM score")
@@ -359,7 +360,7 @@ long AS (SELECT channel, campaign_type, campaign_id, date, revenue, spend FROM c
 def _own_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
     owners = fit.campaign_tiers(rows).where("tier = 'own'").select(*SEG, "campaign_id")
-    return owners.join(fit.models(series.daily(rows, series.CAMPAIGN).persist(), series.CAMPAIGN), list(series.CAMPAIGN))
+    return owners.join(fit.models(Stages(spark).keep("series", series.daily(rows, series.CAMPAIGN)), series.CAMPAIGN), list(series.CAMPAIGN))
 
 
 @query(S.with_(CAMPAIGNS) + f"SELECT channel, campaign_type, campaign_id, {MODEL.format('')} FROM c_trend JOIN c_holiday USING (channel, campaign_type, campaign_id) JOIN c_pools USING (channel, campaign_type, campaign_id)")
@@ -370,32 +371,26 @@ def campaign_models(spark, sf_dir):
 @query()
 def forecast_campaign(spark, sf_dir):
     """Campaigns with an own fit, by the empirical method."""
-    models = _own_campaigns(spark, sf_dir).withColumn("beta", F.lit(1.0)).persist()
-    return simulate.forecast_campaigns(models, simulate.simulate(models, simulate.ROLLUP, n_sims=SIMS), simulate.multiples(models))
+    models = _own_campaigns(spark, sf_dir).withColumn("beta", F.lit(1.0))
+    return simulate.forecast_campaigns(models, F.lit(1.0), n_sims=SIMS)
 
 
 @query()
 def trained_models(spark, sf_dir):
     """Segments and campaigns in one table, campaigns of short histories too."""
-    rows = features(spark, sf_dir)
-    parents = train.segments(_segments(spark, sf_dir), SIMS, RESAMPLES).persist()
-    names = [*SEG, "campaign_id", "method", "is_shrinkage", "slope", "level_at_end", "holiday_factor", "avg_spend", "avg_revenue", "beta", "beta_for_scenario", "low_confidence", "spread"]
-    segments = parents.withColumn("campaign_id", F.lit("")).withColumn("is_shrinkage", F.lit(False)).select(names)
-    return segments.unionByName(train.campaigns(rows, parents, RESAMPLES).select(names))
+    return train.one_table(train.train(features(spark, sf_dir), Stages(spark), SIMS, RESAMPLES))
 
 
 @query()
 def trained_forecast(spark, sf_dir):
     """Trained models of segments and of campaigns, at all four grains."""
-    rows = features(spark, sf_dir)
-    parents = train.segments(_segments(spark, sf_dir), SIMS, RESAMPLES).persist()
-    return train.trained_forecast(parents, train.campaigns(rows, parents, RESAMPLES).persist(), n_sims=SIMS)
+    return train.trained_forecast(train.train(features(spark, sf_dir), Stages(spark), SIMS, RESAMPLES), n_sims=SIMS)
 
 
 def _confident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of the segments, a row each: held, as forecasts read them several times."""
+    """Models of the segments, a row each: written, as forecasts read them several times."""
     rows = _segments(spark, sf_dir)
-    return fit.models(rows).join(fit.elasticity(rows, resamples=RESAMPLES), list(SEG)).persist()
+    return Stages(spark).keep("models", fit.models(rows).join(fit.elasticity(rows, resamples=RESAMPLES), list(SEG)))
 
 
 ELIGIBLE = BOOT + ",\n" + S.RECENT + ",\nelig AS (SELECT b.channel, b.campaign_type, avg_spend, beta FROM boot b JOIN recent r ON r.channel = b.channel AND r.campaign_type = b.campaign_type WHERE NOT low_confidence AND avg_spend >= 5)"
@@ -419,7 +414,7 @@ PAIR_SQL = "donor_channel, donor_type, receiver_channel, receiver_type"
 
 
 def _sims(models: DataFrame) -> DataFrame:
-    return simulate.simulate(models, SEG, n_sims=SIMS).persist()
+    return Stages(models.sparkSession).keep("simulations", simulate.simulate(models, SEG, n_sims=SIMS))
 
 
 @query(PRICED + f"\nSELECT {PAIR_SQL}, round(base, 4) AS base, round(moved, 4) AS moved, round(moved - base, 4) AS revenue_delta, round(CASE WHEN base > 0 THEN (moved - base) / base * 100 END, 6) AS delta_pct, round(base / spend, 6) AS base_roas, round(moved / moved_spend, 6) AS moved_roas FROM search")
@@ -453,7 +448,8 @@ def retro_pairs(spark, sf_dir):
 SELECT 'grid' AS part, count(*) AS n, count(*) FILTER (confirmed) AS n_confirmed, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (confirmed) / count(*) * 100 END, 1) AS rate_pct FROM retro WHERE confirmed IS NOT NULL
 UNION ALL SELECT 'top_pick', count(*), count(*) FILTER (confirmed), round(CASE WHEN count(*) > 0 THEN count(*) FILTER (confirmed) / count(*) * 100 END, 1) FROM first WHERE place = 1 AND confirmed IS NOT NULL""")
 def retro_summary(spark, sf_dir):
-    return recommend.confirmed(recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES).persist())
+    found = recommend.retrospective(features(spark, sf_dir), X.RETRO_OFFSETS, X.RETRO_MIN_TRAIN, RESAMPLES)
+    return recommend.confirmed(Stages(spark).keep("pairs", found))
 
 
 @query(S.with_(S.LEVELS) + ", t AS (SELECT channel, campaign_type, campaign_id, round(day * 90 + 1e-7, 4) AS p50 FROM lev WHERE campaign_id <> '') SELECT * FROM t ORDER BY p50 DESC, channel, campaign_type, campaign_id LIMIT 15")
