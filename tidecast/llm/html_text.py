@@ -11,8 +11,11 @@ known main text, in many layouts; no page of the input is needed for that.
 
 Defined results: null, empty and text-free pages give an empty text. Malformed
 markup is read leniently: unclosed elements end with their parent, a quote that is
-never closed counts as a plain sign, what follows the page's last > is text, and
-elements more than DEEPEST down hang from the one at that depth. Time follows a
+never closed counts as a plain sign, and what follows the page's last > is text. The end of
+a head is optional: text in it, but for its title, counts as text. svg, noscript and template
+are dropped with all they hold and end with their parent at the latest; script, style, title,
+textarea and iframe, and comments, run to the end of the page if they are never closed, as
+HTML has it. None of these parts a block in two. Elements may lie at any depth. Time follows a
 page's length, whatever its markup. A node as likely kept as dropped is kept. <br> is
 white space in its block. Repeated rows repeat their result; extra columns are ignored.
 """
@@ -34,7 +37,8 @@ from tidecast.llm.common import slices, table
 
 # HTML element names by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg title textarea".split())
+RAW = frozenset("script style iframe title textarea".split())
+HIDDEN = frozenset("noscript template svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -45,8 +49,6 @@ _TAG_AT, _TOKEN_AT = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enume
 
 _OPENING = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
 _IN_TAG = re.compile(r">|=[ \t\r\n\f]*+([\"'])")
-#: Elements further down hang from the element of this depth, so that any page has a bounded depth.
-DEEPEST = 256
 _LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -104,60 +106,64 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.attributes, self.depth = ["body"], [-1], [""], [0]
         self.segments: list[tuple[int, int, str]] = []
-        stack, open_, block, at = [0], Counter(), 0, 0
+        # open elements: their nodes, with no node in what is hidden, and their names
+        stack, names, open_, block, at = [0], ["body"], Counter(), 0, 0
 
         def close(k: int) -> None:
-            open_.subtract(self.tag[x] for x in stack[k:])
-            del stack[k:]
+            open_.subtract(names[k:])
+            del stack[k:], names[k:]
 
         found = markup(source)
         for start, end, closing, name, attributes in found:
-            if start > at:
+            if start > at and stack[-1] >= 0:
                 self.segments.append((stack[-1], block, source[at:start]))
             at = end
             if not name:
                 continue
-            if name not in INLINE:
+            if name not in INLINE and name not in RAW and name not in HIDDEN and stack[-1] >= 0:
                 block += 1
             if closing:
                 if open_[name] > 0:
-                    close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if names[k] == name))
                 continue
-            if name in ("html", "body"):
+            if name in ("html", "head", "body"):
                 continue
-            if name in RAW or name == "head":
+            if name in RAW:
                 if not attributes.rstrip().endswith("/"):
                     stop = re.compile(rf"</{name}\s*+>", re.I).search(source, at)
                     at = stop.end() if stop else len(source)
                     found.send(at)
                 continue
-            if name == "br":
+            if name == "br" and stack[-1] >= 0:
                 self.segments.append((stack[-1], block, " "))
             if name in VOID:
                 continue
             if name in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 else ():
-                    if self.tag[stack[k]] == "p":
+                    if names[k] == "p":
                         close(k)
                         break
-                    if self.tag[stack[k]] not in INLINE:
+                    if names[k] not in INLINE:
                         break
             elif name in SAME and any(open_[x] > 0 for x in ALIKE.get(name, (name,))):
                 for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in SAME[name]:
+                    if names[k] in SAME[name]:
                         break
-                    if self.tag[stack[k]] in ALIKE.get(name, (name,)):
+                    if names[k] in ALIKE.get(name, (name,)):
                         close(k)
                         break
-            above = stack[min(len(stack), DEEPEST) - 1]
-            self.tag.append(name)
-            self.parent.append(above)
-            self.depth.append(self.depth[above] + 1)
-            self.attributes.append(attributes)
+            node = -1
+            if name not in HIDDEN and stack[-1] >= 0:
+                node = len(self.tag)
+                self.tag.append(name)
+                self.parent.append(stack[-1])
+                self.depth.append(self.depth[stack[-1]] + 1)
+                self.attributes.append(attributes)
             if not attributes.endswith("/"):
-                stack.append(len(self.tag) - 1)
+                stack.append(node)
+                names.append(name)
                 open_[name] += 1
-        if at < len(source):
+        if at < len(source) and stack[-1] >= 0:
             self.segments.append((stack[-1], block, source[at:]))
 
     def text(self, kept: np.ndarray) -> str:
