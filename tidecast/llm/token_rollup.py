@@ -11,7 +11,12 @@ is written anew. One writer at a time may commit a given id.
 
 Defined results: a null text has no tokens but is a document; null sources and
 languages are keys of their own; keys whose documents and tokens come to zero are
-left out; an empty batch commits and adds nothing; repeated rows count each time.
+left out; an empty batch commits and adds nothing; repeated rows count each time. Texts of
+any length are counted whole. Sums have no order, so there are no ties. Extra columns, of any
+names, are ignored.
+
+A compacted store knows the ids of the batches that went into it, so that committing one of
+them again does nothing there either.
 """
 
 from __future__ import annotations
@@ -89,30 +94,47 @@ class Rollup:
             raise ValueError(f"not a batch id: {batch!r}")
         return f"{self.path}/batch={batch}"
 
+    def _absorbed(self, batch: str) -> str:
+        """The marker of a batch that went into a compacted one."""
+        return f"{self.path}/_absorbed/{batch}"
+
+    def committed(self, batch: str) -> bool:
+        return exists(self.spark, f"{self._folder(batch)}/_SUCCESS") or exists(self.spark, self._absorbed(batch))
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Store (source, lang, tokenizer, n_docs, n_tokens) changes; False if that id is there."""
-        if exists(self.spark, f"{self._folder(batch)}/_SUCCESS"):
+        if self.committed(batch):
             return False
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(self._folder(batch))
         return True
 
+    def _found(self, pattern: str) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        return [x.getPath() for x in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+
     def batches(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(x.getPath().getParent().toString() for x in found)
+        """The folders of the committed batches."""
+        return sorted(x.getParent().toString() for x in self._found("batch=*/_SUCCESS"))
 
-    def totals(self) -> DataFrame:
-        stored = self.batches()
+    def totals(self, stored: list[str] | None = None) -> DataFrame:
+        stored = self.batches() if stored is None else stored
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
         rows = self.spark.read.schema(schema).parquet(*stored) if stored else self.spark.createDataFrame([], schema)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self, into: str) -> "Rollup":
-        """All batches so far as one of a new store, for readers that needn't know them apart."""
-        new = Rollup(self.spark, into)
-        new.commit("compacted", self.totals())
+        """All batches so far as one of a new store, which refuses their ids from then on. The ids
+        are marked before the sums are committed: a compaction that is lost can be run again."""
+        new, stored = Rollup(self.spark, into), self.batches()
+        if new.batches():
+            raise ValueError(f"{into} holds batches already")
+        ids = [x.rsplit("/batch=", 1)[1] for x in stored] + [x.getName() for x in self._found("_absorbed/*")]
+        for batch in ids:
+            marker = self.spark._jvm.org.apache.hadoop.fs.Path(new._absorbed(batch))
+            marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(marker, True).close()
+        new.commit(f"compacted-{uuid.uuid4().hex}", self.totals(stored))
         return new
 
 
