@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm.common import SPACES, slices, table
 
-#: Bytes from which on a lowest compressed share holds.
+#: Lowest share at a number of bytes, with straight lines over its logarithm between.
 LOWEST = ((128, 0.40), (256, 0.35), (1024, 0.28), (4096, 0.22), (16384, 0.16))
 #: Highest share at a number of bytes, with straight lines over its logarithm between: above the 99th percentile of
 #: prose (licenses, manuals and messages in ten languages of Latin, Greek and Cyrillic letters), below the least of
@@ -29,8 +29,8 @@ HIGHEST = ((128, 1.035), (144, 0.99), (160, 0.96), (192, 0.94), (224, 0.915), (2
 CHUNK, CHUNK_LOWEST = 2048, 0.25
 #: A text goes if more than this share of its chunks lies outside the band of their length.
 BAD_CHUNKS = 0.25
+_LOW_AT, _LOW = [float(np.log(n)) for n, _ in LOWEST], [x for _, x in LOWEST]
 _AT, _UP = [float(np.log(n)) for n, _ in HIGHEST], [x for _, x in HIGHEST]
-_CHUNK_HIGHEST = float(np.interp(np.log(CHUNK), _AT, _UP))
 LEVEL = 3
 WINDOW = 8
 _MIX = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
@@ -68,8 +68,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def band(n_bytes: int) -> tuple[float, float]:
     """Lowest and highest compressed share of a text of so many bytes, 128 at least."""
-    low = next(a for n, a in reversed(LOWEST) if n_bytes >= n)
-    return low, float(np.interp(np.log(n_bytes), _AT, _UP))
+    return float(np.interp(np.log(n_bytes), _LOW_AT, _LOW)), float(np.interp(np.log(n_bytes), _AT, _UP))
 
 
 def ratios(text: bytes, z: zstandard.ZstdCompressor) -> tuple[float | None, float | None]:
@@ -80,15 +79,13 @@ def ratios(text: bytes, z: zstandard.ZstdCompressor) -> tuple[float | None, floa
     if len(text) < CHUNK:
         return whole, None
     bad = []
-    for i in range(0, len(text), CHUNK):
-        chunk = text[i : i + CHUNK]
-        if len(chunk) == CHUNK:
-            low, high = CHUNK_LOWEST, _CHUNK_HIGHEST
-        elif len(chunk) >= LOWEST[0][0]:
-            low, high = band(len(chunk))
-        else:
-            continue
-        bad.append(not low <= len(z.compress(chunk)) / len(chunk) <= high)
+    begins = list(range(0, len(text), CHUNK))
+    if len(text) - begins[-1] < LOWEST[0][0]:
+        begins.pop()  # a tail too short for a band is judged with the chunk before it
+    for begin, end in zip(begins, [*begins[1:], len(text)], strict=True):
+        low, high = band(end - begin)
+        low = CHUNK_LOWEST if end - begin >= CHUNK else low
+        bad.append(not low <= len(z.compress(text[begin:end])) / (end - begin) <= high)
     return whole, sum(bad) / len(bad)
 
 
