@@ -7,8 +7,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import coldstart, narrative, requests
+from tidecast.operators import coldstart, narrative, requests, validate
 from tidecast.sources import channels
+from tidecast.sources.store import Snapshots
 from tidecast.streaming import live
 
 
@@ -76,19 +77,61 @@ def test_streams_sum_as_batches_do(spark, tmp_path):
 
 
 def test_stream_keeps_models_fresh(spark, tmp_path):
-    folder, history, models = (str(tmp_path / n) for n in ("facts", "history", "models"))
-    facts(spark, "2026-01-01", 10, 50).coalesce(1).write.mode("append").parquet(folder)
-
-    def turn():
-        live.upserts(live.read(spark, folder), history, models).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-
-    turn()
-    assert {r["level"] for r in live.current(spark, models).collect()} == {50.0}
-    facts(spark, "2026-03-01", 10, 80).coalesce(1).write.mode("append").parquet(folder)
-    turn()
-    whole = coldstart.upsert(live.current(spark, str(tmp_path / "none")), spark.read.parquet(folder))
-    assert sorted(live.current(spark, models).collect()) == sorted(whole.collect())
-    assert live.current(spark, models, before=0).isEmpty()
+    """Batches are added to the state and equal the whole table's result: late rows, new keys, null keys,
+    and days that leave the window as the newest day moves on."""
+    folder, state = (str(tmp_path / n) for n in ("facts", "state"))
+    gone = tmp_path / "gone"
+    batches = [
+        facts(spark, "2026-01-01", 10, 50),
+        facts(spark, "2026-03-01", 10, 80).unionByName(facts(spark, "2026-01-05", 2, 20)),  # late ones too
+        facts(spark, "2026-03-20", 3, 11).withColumns({"campaign_id": F.lit("c2"), "campaign_type": F.lit("VIDEO")}).unionByName(facts(spark, "2026-03-21", 1, 5, None)),
+        facts(spark, "2026-04-12", 1, 7).withColumn("revenue", F.lit(None).cast("double")).unionByName(facts(spark, "2026-02-01", 1, 9).withColumn("date", F.lit(None).cast("date"))),
+    ]
+    every = None
+    for number, rows in enumerate(batches):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        live.upserts(live.read(spark, folder), state).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        every = rows if every is None else every.unionByName(rows)
+        want = coldstart.upsert(spark.createDataFrame([], live.MODELS), every)
+        take = lambda df: sorted(((r["channel"], r["campaign_type"], r["campaign_id"], round(r["level"], 9)) for r in df.collect()))
+        assert take(live.current(spark, state)) == take(want), number
+        # the rows of a batch are never read again
+        for f in (tmp_path / "facts").glob("*.parquet"):
+            gone.mkdir(exist_ok=True)
+            f.rename(gone / f"{number}-{f.name}")
+        assert not list((tmp_path / "state").glob("batch=*"))
+    recent = spark.read.parquet(f"{state}/version=3/recent")
+    assert recent.agg(F.min("date")).first()[0] > dt.date(2026, 4, 12) - dt.timedelta(28)
+    assert live.current(spark, state, before=0).isEmpty()
+
+
+def test_raw_files_become_a_report(spark, tmp_path):
+    (tmp_path / "bing_stats.csv").write_text("TimePeriod,CampaignId,CampaignName,CampaignType,Spend,Revenue,Clicks,Conversions,Impressions,DailyBudget\n2026-01-01,1,a,Search,20,0,3,5,9,10\n2026-01-02,1,b,Search,1,0,3,1,9,10\nno date,1,b,Search,1,0,3,1,9,10\n2026-01-03,1,b,Search,x,0,3,1,9,10\n2026-01-04,1,b\n2026-01-05,1,b,Search,1,0,3,1,9,10,extra\n")
+    (tmp_path / "google_ads.csv").write_text("more,segments_date,campaign_id,campaign_name,campaign_advertising_channel_type,metrics_cost_micros,metrics_conversions_value,metrics_clicks,metrics_conversions,metrics_impressions,campaign_budget_amount\nm,2026-01-01,007,g,SEARCH,-2000000,5,1,1,2,\n")
+    (tmp_path / "meta_ads.csv").write_text("date_start,campaign_id,campaign_name,spend,conversion\n2026-01-01,9,Prospecting_Campaign_1,5,6\n")
+    found = channels.load_raw(spark, str(tmp_path))
+    told = {(r["channel"], r["issue"]): (r["n_campaigns"], r["n_rows"], r["n_rejects"], r["n_issues"]) for r in validate.report(found).collect()}
+    assert told == {("bing", "unstable_campaign_name"): (1, 2, 4, 1), ("bing", "spend_exceeds_daily_budget"): (1, 2, 4, 1), ("bing", "conversions_exceed_clicks"): (1, 2, 4, 1), ("bing", "zero_revenue_with_spend"): (1, 2, 4, 2), ("google", "negative__spend_derived"): (1, 1, 0, 1), ("meta", None): (1, 1, 0, None)}
+    google = found.where("channel = 'google'").first()
+    assert google["campaign_id"] == "007" and google["spend"] == -2.0 and google["daily_budget"] is None and google["clicks"] == 1.0
+    values = validate.unstable_values(found.where("channel = 'bing'"), "campaign_name").first()
+    assert values["values"] == ["a", "b"] and values["amount"] == 2.0
+    with pytest.raises(ValueError, match="conversion"):
+        (tmp_path / "meta_ads.csv").write_text("date_start,campaign_id,campaign_name,spend\n")
+        channels.load_raw(spark, str(tmp_path))
+
+
+def test_tables_are_written_and_read(spark, tmp_path):
+    rows = facts(spark, "2026-01-01", 3, 50)
+    channels.write_features(rows, str(tmp_path / "facts"))
+    assert sorted(channels.read_features(spark, str(tmp_path / "facts")).collect()) == sorted(rows.collect())
+    channels.write_features(rows.limit(0), str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="no rows"):
+        channels.read_features(spark, str(tmp_path / "none"))
+    channels.write_forecast(coldstart.forecast(rows), str(tmp_path / "csv"))
+    (one,) = (tmp_path / "csv").glob("part-*.csv")
+    lines = one.read_text().splitlines()
+    assert lines[0] == ",".join(coldstart.FORECAST) and len(lines) == 1 + coldstart.forecast(rows).count()
 
 
 def test_models_and_reports_are_written(spark, tmp_path):
@@ -121,7 +164,26 @@ def test_requests(spark):
     both = requests.forecast(models, sims, budgets={"meta": 0.25})
     assert [r["p50"] for r in both.where("run = 'scenario' and channel = 'meta' and campaign_type = 'a' and metric = 'revenue' and horizon_days = 30").collect()] == [50.0]
     assert requests.deltas(both).where("metric = 'revenue' and horizon_days = 30").first()["change_pct"] == -25.0
-    top = spark.sql("SELECT 1 AS place, 'meta' AS donor_channel, 'a' AS donor_type, 'bing' AS receiver_channel, 'b' AS receiver_type, 2.0D AS shift_daily")
+    top = spark.sql("SELECT 1 AS place, 'meta' AS donor_channel, 'a' AS donor_type, 'bing' AS receiver_channel, 'b' AS receiver_type, 2.0D AS shift_daily, 0.25D AS donor_multiple, 2.5D AS receiver_multiple")
     moved = requests.top_recommendation(models, sims, top)
     assert {r["channel"] for r in moved.collect()} == {"blended"} and {r["run"] for r in moved.collect()} == {"baseline", "scenario"}
-    assert requests.top_recommendation(models, sims, top.limit(0)).where("run = 'scenario'").isEmpty()
+    # half of meta's 100 is left (0.25 to the power 0.5); 2.5 of bing's saturate: 1 + 1.5 / (1 + 0.5 * 1.5)
+    assert moved.where("run = 'scenario' and metric = 'revenue' and horizon_days = 30").first()["p50"] == pytest.approx(50 + 100 * (1 + 1.5 / 1.75), abs=1e-3)
+    assert requests.top_recommendation(models, sims, top.limit(0)).isEmpty()
+
+
+def test_requests_read_the_newest_version(spark, tmp_path):
+    held = Snapshots(spark, str(tmp_path / "service"))
+    with pytest.raises(LookupError):
+        requests.answer(held)
+    row = "SELECT 'meta' AS channel, 'a' AS campaign_type, 10.0D AS avg_spend, 1.0D AS beta, array(0.0D) AS pool, {}D AS level_at_end, 0.0D AS slope, array_repeat(1.0D, 7) AS dow, 1.0D AS holiday_factor, date'2026-02-01' AS last_train_date"
+    first = requests.refresh(held, spark.sql(row.format("5.0")), 4)
+    asked = requests.answer(held, channel="meta", horizons=(30,)).where("metric = 'revenue' and campaign_type = 'a'")
+    assert asked.first()["p50"] == 150.0
+    assert requests.refresh(held, spark.sql(row.format("6.0")), 4) == first + 1
+    assert requests.answer(held, channel="meta", horizons=(30,)).where("metric = 'revenue' and campaign_type = 'a'").first()["p50"] == 180.0
+    assert asked.first()["p50"] == 150.0  # a request under way keeps its version
+    with pytest.raises(LookupError):
+        requests.answer(held, most_seconds=-1)
+    held.expire()
+    assert held.versions() == [first + 1] and spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -65,8 +65,45 @@ def upsert(models: DataFrame, features: DataFrame, grain: str = "row") -> DataFr
     """Models with their levels refreshed from features: known keys keep slope, factors
     and residuals, new keys start cold, keys without rows stay as they are.
     models: channel, campaign_type, campaign_id, method, slope, level."""
+    return refreshed(models, levels(features, grain))
+
+
+def refreshed(models: DataFrame, now: DataFrame) -> DataFrame:
+    """Models with the levels `now` (from levels(): keys and revenue)."""
     keys = [*SEGMENT, "campaign_id"]
-    now = levels(features, grain).select(*keys, F.col("revenue").alias("now"))
-    both = models.join(now, keys, "full")
+    both = models.join(now.select(*keys, F.col("revenue").alias("now")), keys, "full")
     keeps = (F.col("method") == "holt_winters") | F.col("now").isNull()
     return both.select(*keys, F.coalesce("method", F.lit("empirical")).alias("method"), F.coalesce("slope", F.lit(0.0)).alias("slope"), F.when(keeps, F.col("level")).otherwise(F.col("now")).alias("level"))
+
+
+#: The state from which levels follow: sums and counts of all rows of a key, and of its recent days.
+SUMS = ("revenue", "n_revenue", "spend", "n_spend", "n_rows")
+STATE_KEYS = (*SEGMENT, "campaign_id")
+
+
+def day_sums(features: DataFrame) -> DataFrame:
+    """(keys, date, sums): the rows of a batch, added up. Keys and dates may be null."""
+    money = [x for c in ("revenue", "spend") for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(c), F.count(c).alias(f"n_{c}"))]
+    return features.groupBy(*STATE_KEYS, "date").agg(*money, F.count("*").alias("n_rows"))
+
+
+def added(state: DataFrame | None, more: DataFrame, *keys: str) -> DataFrame:
+    """Sums by key of what is held and what has come."""
+    both = more.select(*keys, *SUMS) if state is None else state.unionByName(more.select(*keys, *SUMS))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def levels_of(totals: DataFrame, recent: DataFrame) -> DataFrame:
+    """levels() by rows, from totals (STATE_KEYS, sums) of all time and recent (STATE_KEYS, date,
+    sums) of the last RUN_RATE_DAYS days alone."""
+
+    def rates(keys: list[str]) -> DataFrame:
+        every = totals.dropna(subset=keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+        late = recent.dropna(subset=keys).groupBy(*keys).agg(*[F.sum(c).alias(f"late_{c}") for c in SUMS])
+        mean = lambda c: F.coalesce(F.try_divide(f"late_{c}", f"late_n_{c}"), F.try_divide(c, f"n_{c}"), F.lit(0.0)).alias(c)
+        return every.join(late, keys, "left").select(*keys, mean("revenue"), mean("spend"), F.coalesce(F.col("late_n_rows") == 0, F.lit(True)).alias("is_stale"))
+
+    segments = rates([*SEGMENT]).select(*SEGMENT, F.lit("").alias("campaign_id"), "revenue", "spend", "is_stale")
+    owners = totals.select(*STATE_KEYS).dropna().distinct()
+    campaigns = owners.join(rates(["channel", "campaign_id"]), ["channel", "campaign_id"])
+    return segments.unionByName(campaigns.select(*segments.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.expressions import (
-    CLIP_PERCENTILE, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TREND_DAYS, drawn, finite, is_holiday, key_text, streams,
+    CLIP_PERCENTILE, ELASTICITY_BOOTSTRAPS, ELASTICITY_CI_WIDTH, ELASTICITY_MIN_PAIRS, ELASTICITY_MOST, MIN_CAMPAIGN_DAYS, MIN_SHRINKAGE_DAYS, RUN_RATE_DAYS, SEED, TEST_DAYS, TREND_DAYS, drawn, finite, is_holiday, key_text, streams,
 )
 from tidecast.operators.series import SEGMENT, daily, last_days
 
@@ -77,7 +77,11 @@ def elasticity(series: DataFrame, keys: tuple[str, ...] = SEGMENT, resamples: in
     out = point.select(*keys, "n_obs", F.when(enough, clip(F.col("b"))).otherwise(1.0).alias("beta"), F.when(enough, F.col("a")).otherwise(0.0).alias("alpha"), enough.alias("fitted"))
     if not resamples:
         return out
-    limits = _resampled(pairs.where("pair is not null"), out.where("fitted").select(*keys), keys, resamples)
+    # a key is one row with its pairs, of which it has one a day at most
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"])
+    held = pairs.where("pair is not null").join(out.where("fitted").select(*keys), list(keys), "left_semi").groupBy(*keys).agg(lists.alias("pairs"))
+    marked = held.select(*keys, "pairs", F.array(F.struct(key_text(*keys).alias("key"), F.size("pairs").alias("n"))).alias("marks"))
+    limits = _resampled(marked, keys, resamples).select(*keys, F.col("limits")[0]["ci"].alias("ci"))
     joined = out.join(limits, list(keys), "left").withColumn("ci_low", F.coalesce(F.col("ci")[0], F.lit(1.0))).withColumn("ci_high", F.coalesce(F.col("ci")[1], F.lit(1.0)))
     low = ~F.col("fitted") | (F.col("ci_high") - F.col("ci_low") > ELASTICITY_CI_WIDTH)
     return joined.select(*keys, "n_obs", "beta", "alpha", "ci_low", "ci_high", low.alias("low_confidence"), F.when(low, 1.0).otherwise(F.col("beta")).alias("beta_for_scenario"))
@@ -87,28 +91,30 @@ def elasticity(series: DataFrame, keys: tuple[str, ...] = SEGMENT, resamples: in
 RESAMPLE_BLOCK = 50
 
 
-def _resampled(pairs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], resamples: int) -> DataFrame:
-    """(keys, ci): P10 and P90 of the slopes of keyed resamples of each key's pairs, of which it
-    has one a day at most. A key is one row with its pairs: resamples are drawn, fitted and cut
-    to percentiles where they are, and never shuffled."""
-    spark = pairs.sparkSession
+def _resampled(marked: DataFrame, keys: tuple[str, ...], resamples: int) -> DataFrame:
+    """(keys, limits): P10 and P90 of the slopes of keyed resamples of a key's first pairs, for
+    each of its marks. marked: (keys, pairs, marks), pairs by date and marks of (key, n): draws
+    are keyed by `key`, among the first n pairs. Resamples are drawn, fitted and cut to
+    percentiles where the key's row is, and never shuffled."""
+    spark = marked.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lists = F.transform(F.array_sort(F.collect_list(F.struct("date", "pair"))), lambda x: x["pair"])
-    held = pairs.join(wanted, list(keys), "left_semi").groupBy(*keys).agg(lists.alias("pairs"))
     names = list(keys)
-    base = held.select(*names, F.col("pairs.s").alias("s"), F.col("pairs.r").alias("r"), key_text(*keys).alias("key_")).repartition(parts, *names)
-    schema = T.StructType([*base.select(*names).schema.fields, T.StructField("ci", T.ArrayType(T.DoubleType()))])
+    base = marked.select(*names, F.col("pairs.s").alias("s"), F.col("pairs.r").alias("r"), "marks").repartition(parts, *names)
+    schema = T.StructType([*base.select(*names).schema.fields, *T._parse_datatype_string("limits array<struct<key: string, ci: array<double>>>").fields])
+
+    def limits(s: np.ndarray, r: np.ndarray, key: str) -> list[float] | None:
+        begin = streams(key, range(resamples), "elasticity", SEED)
+        b = np.concatenate([_slopes(s, r, begin[k : k + RESAMPLE_BLOCK]) for k in range(0, resamples, RESAMPLE_BLOCK)])
+        b = np.clip(b[~np.isnan(b)], 0.0, ELASTICITY_MOST)
+        return np.quantile(b, (0.1, 0.9)).tolist() if len(b) else None
 
     def run(batches):
         for batch in batches:
-            limits = []
+            told = []
             for i in range(batch.num_rows):
                 s, r = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("s", "r"))
-                begin = streams(batch.column("key_")[i].as_py(), range(resamples), "elasticity", SEED)
-                b = np.concatenate([_slopes(s, r, begin[k : k + RESAMPLE_BLOCK]) for k in range(0, resamples, RESAMPLE_BLOCK)])
-                b = np.clip(b[~np.isnan(b)], 0.0, ELASTICITY_MOST)
-                limits.append(np.quantile(b, (0.1, 0.9)).tolist() if len(b) else None)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(limits, pa.list_(pa.float64()))], schema.names)
+                told.append([{"key": m["key"], "ci": limits(s[: m["n"]], r[: m["n"]], m["key"])} for m in batch.column("marks")[i].as_py()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(told, pa.list_(pa.struct([("key", pa.string()), ("ci", pa.list_(pa.float64()))])))], schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -123,6 +129,40 @@ def _slopes(s: np.ndarray, r: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.where(same, np.nan, (x * y).sum(1) / np.where(same, 1.0, (x * x).sum(1)))
 
 
+def elasticity_at(series: DataFrame, offsets: tuple[int, ...], last: DataFrame, keys: tuple[str, ...] = SEGMENT, resamples: int = ELASTICITY_BOOTSTRAPS, ahead: int = TEST_DAYS) -> DataFrame:
+    """What was known of each key at each cutoff, and what came after: (cutoff, keys, n_days, n_obs,
+    beta, ci_low, ci_high, low_confidence, avg_spend, roas_after). last: one row with `b`, the day
+    from which cutoffs lie `offsets` back.
+
+    Sums of regression run along each dense series, so a cutoff is a lookup of one of its days
+    and the series is never repeated; resamples draw among the first pairs of one array."""
+    both = (F.col("spend") > 0) & (F.col("revenue") > 0)
+    s, r = F.when(both, F.ln("spend")), F.when(both, F.ln("revenue"))
+    ordered = Window.partitionBy(*keys).orderBy("date")
+    so_far, next_days = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(1, ahead)
+    sums = {"n": F.count(s), "x": F.sum(s), "y": F.sum(r), "xx": F.sum(s * s), "xy": F.sum(s * r)}
+    days = series.select(
+        *keys, "date", F.row_number().over(ordered).alias("n_days"), *[v.over(so_far).alias(f"{k}_") for k, v in sums.items()],
+        F.avg("spend").over(ordered.rowsBetween(1 - RUN_RATE_DAYS, 0)).alias("avg_spend"), F.sum("spend").over(next_days).alias("s_after"), F.sum("revenue").over(next_days).alias("r_after"),
+    )
+    span = series.groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("end")).crossJoin(F.broadcast(last))  # one row
+    marks = span.withColumn("cutoff", F.explode(F.array(*[F.date_sub("b", o) for o in offsets]))).where("cutoff >= first").select(*keys, "cutoff", "end", F.least("cutoff", "end").alias("date"))
+    at = marks.join(days, [*keys, "date"])
+    spread, n = F.col("n_") * F.col("xx_") - F.col("x_") * F.col("x_"), F.col("n_")
+    slope = F.when(spread > 1e-9 * n * F.col("xx_"), (n * F.col("xy_") - F.col("x_") * F.col("y_")) / spread)
+    fitted = (n >= ELASTICITY_MIN_PAIRS) & slope.isNotNull()
+    # days after the cutoff are those after the looked-up one, where the series goes on beyond it
+    after = F.when((F.col("end") > F.col("cutoff")) & (F.col("s_after") > 0), F.col("r_after") / F.col("s_after"))
+    point = at.select("cutoff", *keys, "n_days", n.alias("n_obs"), F.when(fitted, F.least(F.greatest(slope, F.lit(0.0)), F.lit(ELASTICITY_MOST))).otherwise(1.0).alias("beta"), fitted.alias("fitted"), "avg_spend", after.alias("roas_after"), key_text("cutoff", *keys).alias("key"))
+    lists = F.transform(F.array_sort(F.collect_list(F.when(both, F.struct("date", s.alias("s"), r.alias("r"))))), lambda v: F.struct(v["s"].alias("s"), v["r"].alias("r")))
+    held = series.groupBy(*keys).agg(lists.alias("pairs"))
+    wanted = point.where("fitted").groupBy(*keys).agg(F.collect_list(F.struct("key", F.col("n_obs").cast("int").alias("n"))).alias("marks"))
+    limits = _resampled(held.join(wanted, list(keys)), keys, resamples).select(F.inline("limits"))
+    told = point.join(limits, "key", "left").withColumns({"ci_low": F.coalesce(F.col("ci")[0], F.lit(1.0)), "ci_high": F.coalesce(F.col("ci")[1], F.lit(1.0))})
+    low = ~F.col("fitted") | (F.col("ci_high") - F.col("ci_low") > ELASTICITY_CI_WIDTH)
+    return told.select("cutoff", *keys, "n_days", "n_obs", "beta", "ci_low", "ci_high", low.alias("low_confidence"), "avg_spend", "roas_after")
+
+
 def campaign_tiers(features: DataFrame) -> DataFrame:
     """Each campaign of a segment by the days from its first to its last: skip, shrinkage, own."""
     span = features.dropna(subset=["channel", "campaign_id", "date"]).groupBy("channel", "campaign_id").agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("n_days"))
@@ -131,12 +171,10 @@ def campaign_tiers(features: DataFrame) -> DataFrame:
     return owners.join(span, ["channel", "campaign_id"]).select(*SEGMENT, "campaign_id", "n_days", tier.alias("tier"))
 
 
-def shrinkage(features: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+def shrinkage(features: DataFrame, parents: DataFrame) -> DataFrame:
     """Campaigns of 3 to 29 days as their segment's model, scaled by the ratio of mean levels;
-    their own mean revenue and spend. parents: models of segments, with method and path if
-    they were chosen; else the empirical ones."""
-    if parents is None:
-        parents = models(daily(features))
+    their own mean revenue and spend. parents: models of segments, best written before, with
+    method and path if they were chosen; else the empirical ones."""
     for name, kind in (("method", "string"), ("path", "array<double>")):
         if name not in parents.columns:
             parents = parents.withColumn(name, F.lit("empirical" if name == "method" else None).cast(kind))

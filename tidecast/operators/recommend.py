@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.functions.expressions import MIN_DONOR_SPEND, MOST_RECEIVER, N_SIMS, POOL, SEARCH_SIMS, SHIFT, TEST_DAYS, TOP, response
+from tidecast.functions.expressions import MIN_DONOR_SPEND, MOST_RECEIVER, N_SIMS, POOL, SEARCH_SIMS, SHIFT, TOP, response
 from tidecast.operators import fit
-from tidecast.operators.series import SEGMENT, daily, last_days
+from tidecast.operators.series import SEGMENT, daily
 from tidecast.operators.simulate import scenario_beta
 
 
@@ -26,6 +26,7 @@ def pairs(models: DataFrame) -> DataFrame:
     return apart.select("*", shift.alias("shift"), F.lit(1 - SHIFT).alias("donor_multiple"), multiple.alias("receiver_multiple"), (multiple < MOST_RECEIVER).alias("spend_conserved"))
 
 
+MULTIPLES = ("donor_multiple", "receiver_multiple")
 PAIR = ("donor_channel", "donor_type", "receiver_channel", "receiver_type")
 
 
@@ -60,10 +61,10 @@ def finalists(models: DataFrame, candidates: DataFrame, sims: DataFrame, horizon
     again = priced(models, chosen, sims, horizon, N_SIMS)
     slopes = models.select(*SEGMENT, "beta", "ci_low", "ci_high")
     side = lambda p: slopes.select(F.col("channel").alias(f"{p}_channel"), F.col("campaign_type").alias(f"{p}_type"), *[F.round(c, 2).alias(f"{p}_{c}") for c in ("beta", "ci_low", "ci_high")])
-    told = again.join(chosen.select(*PAIR, "place", F.round("shift", 2).alias("shift_daily")), list(PAIR)).join(side("donor"), list(PAIR[:2])).join(side("receiver"), list(PAIR[2:]))
+    told = again.join(chosen.select(*PAIR, "place", F.round("shift", 2).alias("shift_daily"), *MULTIPLES), list(PAIR)).join(side("donor"), list(PAIR[:2])).join(side("receiver"), list(PAIR[2:]))
     return told.select(
         "place", *PAIR, "shift_daily", *[f"{p}_{c}" for p in ("donor", "receiver") for c in ("beta", "ci_low", "ci_high")], F.lit(horizon).alias("horizon_days"), F.round("base", 2).alias("base"), F.round("moved", 2).alias("moved"),
-        F.round("revenue_delta", 2).alias("revenue_delta"), F.round("delta_pct", 1).alias("delta_pct"), F.round("base_roas", 2).alias("base_roas"), F.round("moved_roas", 2).alias("moved_roas"), F.lit("high").alias("confidence"),
+        F.round("revenue_delta", 2).alias("revenue_delta"), F.round("delta_pct", 1).alias("delta_pct"), F.round("base_roas", 2).alias("base_roas"), F.round("moved_roas", 2).alias("moved_roas"), F.lit("high").alias("confidence"), *MULTIPLES,
     )
 
 
@@ -76,17 +77,10 @@ def confirmed(pairs: DataFrame) -> DataFrame:
 
 def retrospective(features: DataFrame, offsets: tuple[int, ...], least_days: int, resamples: int) -> DataFrame:
     """At past cutoffs, whether receivers went on to return more than donors."""
-    cutoffs = features.agg(F.max("date").alias("b")).select("b", F.explode(F.array(*map(F.lit, offsets))).alias("back")).select("b", F.expr("date_sub(b, back)").alias("cutoff"))
-    keys = ("cutoff", *SEGMENT)
-    asof = daily(features).crossJoin(F.broadcast(cutoffs.select("cutoff"))).where(F.col("date") <= F.col("cutoff"))  # a few cutoffs
-    long = asof.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least_days)
-    spend = last_days(asof, keys, 28).groupBy(*keys).agg(F.avg("spend").alias("avg_spend"))
-    models = fit.elasticity(asof, keys, resamples).join(long, list(keys)).join(spend, list(keys))
-    own = eligible(models)
-    low = own.withColumn("r", F.row_number().over(Window.partitionBy("cutoff").orderBy("beta", *SEGMENT))).where(F.col("r") <= POOL)
-    high = own.withColumn("r", F.row_number().over(Window.partitionBy("cutoff").orderBy(F.desc("beta"), *SEGMENT))).where(F.col("r") <= POOL)
-    after = features.crossJoin(F.broadcast(cutoffs)).where((F.col("date") > F.col("cutoff")) & (F.datediff("date", "cutoff") <= TEST_DAYS))
-    real = after.groupBy("cutoff", *SEGMENT).agg(F.sum("spend").alias("s"), F.sum("revenue").alias("v")).select("cutoff", *SEGMENT, F.when(F.col("s") > 0, F.col("v") / F.col("s")).alias("roas"))
-    name = lambda df, p: df.join(real, ["cutoff", *SEGMENT], "left").select("cutoff", F.col("channel").alias(f"{p}_channel"), F.col("campaign_type").alias(f"{p}_type"), F.col("roas").alias(f"{p}_roas"), F.col("r").alias(f"{p}_rank"))
-    both = name(low, "donor").join(name(high, "receiver"), "cutoff").where((F.col("donor_channel") != F.col("receiver_channel")) | (F.col("donor_type") != F.col("receiver_type")))
+    last = features.agg(F.max("date").alias("b"))
+    own = eligible(fit.elasticity_at(daily(features), offsets, last, SEGMENT, resamples).where(F.col("n_days") >= least_days))
+    place = lambda order: F.row_number().over(Window.partitionBy("cutoff").orderBy(order, *SEGMENT))
+    ranked = own.withColumns({"low": place(F.asc("beta")), "high": place(F.desc("beta"))})
+    side = lambda p, rank: ranked.where(F.col(rank) <= POOL).select("cutoff", F.col("channel").alias(f"{p}_channel"), F.col("campaign_type").alias(f"{p}_type"), F.col("roas_after").alias(f"{p}_roas"), F.col(rank).alias(f"{p}_rank"))
+    both = side("donor", "low").join(side("receiver", "high"), "cutoff").where((F.col("donor_channel") != F.col("receiver_channel")) | (F.col("donor_type") != F.col("receiver_type")))
     return both.withColumn("confirmed", F.col("receiver_roas") > F.col("donor_roas"))

@@ -1,7 +1,8 @@
 """What a service answers, as frames: health, forecasts on request, the best recommendation.
 
-models and sims are as in simulate.forecast(); hold them (persist, or written tables)
-between requests. A filter that no row meets gives no rows.
+models and sims are as in simulate.forecast(): written tables, or those of the newest
+version in a store of snapshots, which refresh() adds to and answer() reads. A filter that no
+row meets gives no rows.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.expressions import N_SIMS
 from tidecast.operators import simulate
-from tidecast.operators.recommend import PAIR
 from tidecast.operators.series import SEGMENT
+from tidecast.sources.store import Snapshots
 
 
 def health(models: DataFrame) -> DataFrame:
@@ -46,11 +48,27 @@ def deltas(rows: DataFrame) -> DataFrame:
 
 
 def top_recommendation(models: DataFrame, sims: DataFrame, recommendations: DataFrame) -> DataFrame:
-    """Blended rows before and after the first recommendation; the baseline alone where there is none.
-    recommendations: the pair's columns, place and shift_daily."""
-    best = recommendations.orderBy("place").limit(1).select(*PAIR, "shift_daily")
-    sides = best.select(F.inline(F.array(*[F.struct(F.col(f"{p}_channel").alias("channel"), F.col(f"{p}_type").alias("campaign_type"), (sign * F.col("shift_daily")).alias("shift")) for p, sign in (("donor", -1), ("receiver", 1))])))
+    """Blended rows before and after the first recommendation, by the multiples of spend that it was
+    priced with; no row at all where there is none. recommendations: the pair's columns, place,
+    donor_multiple and receiver_multiple."""
+    best = recommendations.orderBy("place").limit(1)
+    sides = best.select(F.inline(F.array(*[F.struct(F.col(f"{p}_channel").alias("channel"), F.col(f"{p}_type").alias("campaign_type"), F.col(f"{p}_multiple").alias("multiple")) for p in ("donor", "receiver")])))
     told = models.join(F.broadcast(sides), list(SEGMENT), "left")  # two rows at most
-    multiple = F.when(F.col("avg_spend") > 0, F.greatest(F.lit(0.0), F.col("avg_spend") + F.coalesce("shift", F.lit(0.0))) / F.col("avg_spend")).otherwise(F.lit(1.0))
-    moved = simulate.forecast(told, sims, multiple).crossJoin(F.broadcast(best.select("shift_daily"))).drop("shift_daily")  # one row or none
-    return _run("baseline", simulate.forecast(models, sims, F.lit(1.0))).unionByName(_run("scenario", moved)).where("channel = 'blended'")
+    moved = simulate.forecast(told, sims, F.coalesce("multiple", F.lit(1.0)))
+    rows = _run("baseline", simulate.forecast(models, sims, F.lit(1.0))).unionByName(_run("scenario", moved)).where("channel = 'blended'")
+    return rows.crossJoin(F.broadcast(best.select(F.lit(True).alias("available")))).drop("available")  # one row or none
+
+
+def refresh(snapshots: Snapshots, models: DataFrame, n_sims: int = N_SIMS) -> int:
+    """Publish models and their simulations as a new version, which requests read from then on."""
+    spread = {"spread": F.col("spread")} if "spread" in models.columns else {}
+    return snapshots.publish(models=models, simulations=simulate.simulate(models, SEGMENT, n_sims=n_sims, **spread))
+
+
+def answer(snapshots: Snapshots, most_seconds: float | None = None, **asked) -> DataFrame:
+    """forecast() from the newest version; LookupError where it is older than most_seconds, or there is
+    none. Both tables are of one version, and nothing is held between requests."""
+    found = snapshots.versions()
+    version = found[-1] if found else None
+    models = snapshots.read("models", version, most_seconds)
+    return forecast(models, snapshots.read("simulations", version), **asked)

@@ -17,6 +17,13 @@ def unstable(raw: DataFrame, column: str) -> DataFrame:
     return found.where("n > 1").select(*CAMPAIGN, F.lit(f"unstable_{column}").alias("issue"), F.col("n").cast("double").alias("amount"))
 
 
+def unstable_values(raw: DataFrame, column: str) -> DataFrame:
+    """unstable(), with the values themselves, in the order of their first day (then by name)."""
+    first = raw.dropna(subset=["campaign_id", column]).groupBy(*CAMPAIGN, column).agg(F.min("date").alias("first"))
+    found = first.groupBy(*CAMPAIGN).agg(F.array_sort(F.collect_list(F.struct(F.col("first").isNull().alias("undated"), "first", F.col(column).alias("value")))).alias("seen")).where(F.size("seen") > 1)
+    return found.select(*CAMPAIGN, F.lit(f"unstable_{column}").alias("issue"), F.size("seen").cast("double").alias("amount"), F.col("seen.value").alias("values"))
+
+
 def date_gaps(raw: DataFrame) -> DataFrame:
     days = raw.dropna(subset=["campaign_id", "date"]).select(*CAMPAIGN, "date").distinct()
     gap = days.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*CAMPAIGN).orderBy("date"))))
@@ -71,6 +78,17 @@ def channels(raw: DataFrame) -> DataFrame:
     return sizes.join(found, "channel", "left").select("channel", "n_campaigns", "n_rows", F.coalesce("n", F.lit(0)).alias("n_issues"))
 
 
+def report(every: DataFrame) -> DataFrame:
+    """(channel, n_campaigns, n_rows, n_rejects, issue, n_issues): each platform's raw rows and what the checks
+    find in those that could be read; one row with a null issue where they find nothing. every: checked()
+    rows of all platforms, written before, as each check reads them. A platform without campaign types
+    isn't checked for them."""
+    read = every.where("not reject")
+    sizes = every.groupBy("channel").agg(F.count_distinct(F.when(~F.col("reject"), F.col("campaign_id"))).alias("n_campaigns"), F.count_if(~F.col("reject")).alias("n_rows"), F.count_if("reject").alias("n_rejects"))
+    found = issues(read).where("channel <> 'meta' or issue <> 'unstable_campaign_type'").groupBy("channel", "issue").agg(F.count("*").alias("n_issues"))
+    return sizes.join(found, "channel", "left")
+
+
 def examples(raw: DataFrame, most: int = 5) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("channel", "issue").orderBy("campaign_id", "amount"))
     return issues(raw).withColumn("place", place).where(F.col("place") <= most)

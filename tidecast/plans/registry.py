@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidecast.functions import expressions as X
 from tidecast.operators import backtest, coldstart, fit, holt_winters, methods, narrative, recommend, requests, series, simulate, stats, train, validate
 from tidecast.plans import sql as S
-from tidecast.sources.adaptors import RAW_SQL, SHORT_SQL, features, platform_rows, short_features
+from tidecast.sources import channels
+from tidecast.sources.adaptors import FAULTY_SQL, RAW_SQL, SHORT_SQL, faulty_features, features, platform_lines, platform_rows, short_features
 from tidecast.sources.channels import RAW, normalised
 from tidecast.sources.store import Stages
 
@@ -198,22 +199,44 @@ def campaign_tiers(spark, sf_dir):
     return fit.campaign_tiers(features(spark, sf_dir))
 
 
-def _issue(name: str, check: Callable[[DataFrame], DataFrame], where: str) -> None:
+def _issue(name: str, check: Callable[[DataFrame], DataFrame], where: str, faults: bool = True) -> None:
+    """faults: over rows with faults, which the plain ones don't have."""
+
     def run(spark, sf_dir):
-        return check(features(spark, sf_dir, extra=True)).select("channel", "campaign_id", "issue", "amount")
+        rows = faulty_features(spark, sf_dir) if faults else features(spark, sf_dir, extra=True)
+        return check(rows).select("channel", "campaign_id", "issue", "amount")
 
     run.__name__ = name
-    query(S.with_(S.ISSUES) + f"SELECT channel, campaign_id, issue, amount FROM iss WHERE {where}")(run)
+    start = f"WITH {FAULTY_SQL},\n{S.ISSUES}\n" if faults else S.with_(S.ISSUES)
+    query(start + f"SELECT channel, campaign_id, issue, amount FROM iss WHERE {where}")(run)
 
 
-_issue("val_name_stability", lambda r: validate.unstable(r, "campaign_name"), "issue = 'unstable_campaign_name'")
-_issue("val_date_gaps", validate.date_gaps, "issue = 'date_coverage_gap'")
-_issue("val_budget_exceeded", validate.over_budget, "issue = 'spend_exceeds_daily_budget'")
+_issue("val_date_gaps", validate.date_gaps, "issue = 'date_coverage_gap'", faults=False)
+_issue("val_budget_exceeded", validate.over_budget, "issue = 'spend_exceeds_daily_budget'", faults=False)
 _issue("val_conv_gt_clicks", validate.conversions_over_clicks, "issue = 'conversions_exceed_clicks'")
 _issue("val_negative", validate.negative, "issue LIKE 'negative%'")
 _issue("val_zero_revenue", validate.zero_revenue, "issue = 'zero_revenue_with_spend'")
 
 
+@query(S.with_() + """, s AS (SELECT channel, campaign_id, campaign_name, min(date) AS first FROM features GROUP BY ALL)
+SELECT channel, campaign_id, 'unstable_campaign_name' AS issue, CAST(count(*) AS DOUBLE) AS amount, string_agg(campaign_name, ' | ' ORDER BY first, campaign_name) AS names FROM s GROUP BY channel, campaign_id HAVING count(*) > 1""")
+def val_name_stability(spark, sf_dir):
+    """Campaigns of several names, with these, in the order of their first day."""
+    found = validate.unstable_values(features(spark, sf_dir, extra=True), "campaign_name")
+    return found.select("channel", "campaign_id", "issue", "amount", F.array_join("values", " | ").alias("names"))
+
+
+@query(f"""WITH {FAULTY_SQL.replace("features AS (SELECT * REPLACE", "lines AS (SELECT * REPLACE", 1)}, told AS (SELECT *, line = 4 AND clicks % 30 = 0 AS reject FROM lines),
+features AS (SELECT * FROM told WHERE NOT reject), {S.ISSUES},
+r AS (SELECT channel, count(DISTINCT campaign_id) FILTER (NOT reject) AS n_campaigns, count(*) FILTER (NOT reject) AS n_rows, count(*) FILTER (reject) AS n_rejects FROM told GROUP BY channel)
+SELECT r.channel, n_campaigns, n_rows, n_rejects, issue, count(*) AS n_issues FROM r JOIN iss ON iss.channel = r.channel WHERE r.channel <> 'meta' OR issue <> 'unstable_campaign_type' GROUP BY ALL""")
+def val_raw_report(spark, sf_dir):
+    """Text lines as platforms export them, some of them broken, to the report of each channel."""
+    lines = {c: platform_lines(spark, sf_dir, c) for c in RAW}
+    rows = channels.together([channels.parsed(rows, c, header) for c, (header, rows) in lines.items()])
+    return validate.report(Stages(spark).keep("raw", rows))
+
+
 @query(S.with_(S.ISSUES) + f"SELECT k.issue, count(iss.issue) AS n_issues FROM (SELECT unnest({list(validate.CHECKS)}) AS issue) k LEFT JOIN iss ON iss.issue = k.issue GROUP BY ALL")
 def val_summary(spark, sf_dir):
     return validate.summary(features(spark, sf_dir, extra=True))
@@ -242,9 +265,9 @@ def zero_revenue_shares(spark, sf_dir):
     return stats.structural_risk(features(spark, sf_dir), least=0.0)
 
 
-@query(RISK.format(stats.ZERO_SHARE))
+@query(RISK.format(stats.ZERO_SHARE).replace(S.with_().rstrip(), "WITH " + FAULTY_SQL, 1))
 def structural_risk(spark, sf_dir):
-    return stats.structural_risk(features(spark, sf_dir))
+    return stats.structural_risk(faulty_features(spark, sf_dir))
 
 
 @query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features), s AS (SELECT channel, campaign_id, campaign_name, sum(revenue) / sum(spend) AS roas FROM features, o WHERE date > origin - 60 GROUP BY ALL HAVING sum(spend) > 0),
@@ -345,10 +368,12 @@ tiers AS ({_tiers_sql(SHORT_SQL).split(SHORT_SQL)[1]}),
 recent AS (SELECT channel, campaign_type, avg(revenue) AS parent_level FROM s_last WHERE newest <= 28 GROUP BY ALL),
 own AS (SELECT channel, campaign_id, avg(revenue) AS level, avg(spend) AS own_spend FROM camp GROUP BY ALL),
 short AS (SELECT *, CASE WHEN parent_level > 0 THEN level / parent_level ELSE 0 END AS scale FROM (SELECT * FROM tiers WHERE tier = 'shrinkage') t JOIN own USING (channel, campaign_id) JOIN recent USING (channel, campaign_type) JOIN s_trend USING (channel, campaign_type) JOIN s_holiday USING (channel, campaign_type) JOIN s_pools USING (channel, campaign_type))
-SELECT channel, campaign_type, campaign_id, n_days, round(level, 4) AS level, round(own_spend, 4) AS avg_spend, round(scale, 6) AS scale, {MODEL.format(" * scale")} FROM short""")
+SELECT channel, campaign_type, campaign_id, n_days, round(level + 1e-7, 4) AS level, round(own_spend + 1e-7, 4) AS avg_spend, round(scale, 6) AS scale, {MODEL.format(" * scale")} FROM short""")
 def shrinkage_models(spark, sf_dir):
-    found = fit.shrinkage(short_features(spark, sf_dir))
-    return _model_columns(found, *SEG, "campaign_id", "n_days", F.round("level", 4).alias("level"), F.round("avg_spend", 4).alias("avg_spend"), F.round("scale", 6).alias("scale"))
+    rows, stages = short_features(spark, sf_dir), Stages(spark)
+    parents = stages.keep("models", fit.models(stages.keep("series", series.daily(rows))))
+    found = fit.shrinkage(rows, parents)
+    return _model_columns(found, *SEG, "campaign_id", "n_days", *[F.round(F.col(c) + coldstart.TIE, 4).alias(c) for c in ("level", "avg_spend")], F.round("scale", 6).alias("scale"))
 
 
 CAMPAIGNS = f"""{S.daily("camp", "channel, campaign_id")},
@@ -432,7 +457,7 @@ FROM final f JOIN placed USING ({PAIR_SQL}) JOIN pairs USING ({PAIR_SQL}) WHERE
 def reco_top(spark, sf_dir):
     """The best few of the search, priced again on all simulations."""
     models = _confident(spark, sf_dir)
-    return recommend.finalists(models, recommend.pairs(models), _sims(models))
+    return recommend.finalists(models, recommend.pairs(models), _sims(models)).drop(*recommend.MULTIPLES)
 
 
 RETRO = S.retro(list(X.RETRO_OFFSETS), X.RETRO_MIN_TRAIN, RESAMPLES)
@@ -532,7 +557,13 @@ def request_forecast(spark, sf_dir):
     return requests.forecast(models, _sims(models), channel="google", horizons=(30, 60), budgets={"meta": 2.0, "google": 1.2})
 
 
-@query()
+SIDE = "r.channel = (SELECT {0}_channel FROM pick) AND r.campaign_type = (SELECT {0}_type FROM pick)"
+ADVISED = f"CASE WHEN {SIDE.format('donor')} THEN 0.8 WHEN {SIDE.format('receiver')} THEN (SELECT receiver_multiple FROM pick) ELSE 1 END"
+
+
+@query(f"""WITH pick AS ({PRICED} SELECT {PAIR_SQL}, receiver_multiple FROM placed JOIN pairs USING ({PAIR_SQL}) WHERE place = 1),
+base_ AS ({S.forecast(SIMS, RESAMPLES)}), moved_ AS ({S.forecast(SIMS, RESAMPLES, ADVISED)})
+SELECT 'baseline' AS run, * FROM base_ WHERE channel = 'blended' AND EXISTS (FROM pick) UNION ALL SELECT 'scenario', * FROM moved_ WHERE channel = 'blended' AND EXISTS (FROM pick)""")
 def top_recommendation_forecast(spark, sf_dir):
     """Blended forecasts before and after the best recommendation."""
     models = _confident(spark, sf_dir)

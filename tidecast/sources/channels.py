@@ -41,8 +41,9 @@ def require(df: DataFrame, columns: list[str], source: str) -> DataFrame:
     return df
 
 
-def normalised(raw: DataFrame, channel: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The platform's rows in the columns of the fact table; `extra` keeps clicks and the like."""
+def normalised(raw: DataFrame, channel: str, extra: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
+    """The platform's rows in the columns of the fact table; `extra` keeps clicks and the like as
+    numbers, `kept` further columns as they are."""
     names = RAW[channel]
     require(raw, [names[c] for c in (*NEEDED, *extra) if c in names], channel)
     number = {c: F.nanvl(F.col(names[c]).cast("double"), F.lit(None)) for c in ("spend", "revenue", "conversions", *extra) if c in names}
@@ -52,10 +53,57 @@ def normalised(raw: DataFrame, channel: str, extra: tuple[str, ...] = ()) -> Dat
     kind = F.col(names["campaign_type"]).cast("string") if "campaign_type" in names else type_of_name(name)
     return raw.select(
         F.to_date(F.col(names["date"])).alias("date"), F.lit(channel).alias("channel"), F.col(names["campaign_id"]).cast("string").alias("campaign_id"), name.alias("campaign_name"), kind.alias("campaign_type"),
-        number["spend"].alias("spend"), number["revenue"].alias("revenue"), number.get("conversions", F.lit(None).cast("double")).alias("conversions"), F.lit(False).alias("revenue_is_imputed"), funnel_stage(name).alias("funnel_stage"), *[number[c].alias(c) for c in extra],
+        number["spend"].alias("spend"), number["revenue"].alias("revenue"), number.get("conversions", F.lit(None).cast("double")).alias("conversions"), F.lit(False).alias("revenue_is_imputed"), funnel_stage(name).alias("funnel_stage"), *[number[c].alias(c) for c in extra], *kept,
     )
 
 
+#: What raw checks need beside the columns of the fact table.
+MORE = ("clicks", "impressions", "daily_budget")
+BROKEN = "_broken_line"
+
+
+def checked(raw: DataFrame, channel: str) -> DataFrame:
+    """Raw rows of text, with BROKEN, in the columns of the fact table and MORE, and `reject`: a line
+    with a field too many or too few, or a number or date that is none. A channel without a column of MORE has nulls there."""
+    names = RAW[channel]
+    there = tuple(c for c in MORE if names.get(c) in raw.columns)
+    numbers = [names[c] for c in ("spend", "revenue", "conversions", *there) if c in names]
+    wrong = F.col(BROKEN).isNotNull()
+    for c in numbers:
+        wrong |= F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()
+    wrong |= F.col(names["date"]).isNotNull() & F.try_to_date(F.col(names["date"])).isNull()
+    safe = raw.withColumn("reject", wrong).withColumns({c: F.col(c).try_cast("double") for c in numbers}).withColumn(names["date"], F.try_to_date(F.col(names["date"])))
+    rows = normalised(safe, channel, there, ("reject",))
+    return rows.withColumns({c: F.lit(None).cast("double") for c in MORE if c not in there})
+
+
+def parsed(lines: DataFrame, channel: str, header: list[str]) -> DataFrame:
+    """checked() rows of CSV lines (value) without their header."""
+    schema = ", ".join(f"`{c}` string" for c in (*header, BROKEN))
+    return checked(lines.select(F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("row")).select("row.*"), channel)
+
+
+def load_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """All three platforms' CSV files of a folder as checked() rows, each read by its own header."""
+    found = []
+    # a pruned read would not notice that a line has too few fields or too many
+    reader = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, columnPruning=False)
+    for channel in RAW:
+        path = find_file(spark, folder, channel)
+        header = spark.read.csv(path, header=True).columns
+        require(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in header)), [v for k, v in RAW[channel].items() if k in NEEDED], channel)
+        schema = ", ".join(f"`{c}` string" for c in (*header, BROKEN))
+        found.append(checked(reader.schema(schema).csv(path), channel))
+    return together(found)
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """All three platforms' CSV files of a folder. Ids are read as text."""
     frames = [normalised(spark.read.csv(find_file(spark, folder, c), header=True), c) for c in RAW]

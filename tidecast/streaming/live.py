@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidecast.functions.expressions import RUN_RATE_DAYS
 from tidecast.operators import coldstart
 from tidecast.operators.series import SEGMENT
 from tidecast.sources.channels import FEATURES
+from tidecast.sources.store import Stages
 
 DELAY = "2 days"
 MODELS = "channel string, campaign_type string, campaign_id string, method string, slope double, level double"
@@ -45,31 +47,46 @@ def sliding_rates(stream: DataFrame, days: int = 28, keys: tuple[str, ...] = SEG
     return mean.select(*keys, F.date_sub(F.col("span.end").cast("date"), 1).alias("date"), "revenue", "spend")
 
 
-def upserts(stream: DataFrame, history: str, models: str) -> DataStreamWriter:
-    """Each batch goes into `history`, and `models` are refreshed from all of it.
+def upserts(stream: DataFrame, state: str) -> DataStreamWriter:
+    """Each batch is added to the state, and models are refreshed from the state alone.
 
-    A batch writes its own folder of history, anew if it is run again, so that a repeated
-    batch counts once. Models are written beside the old ones, whose place they
-    take as the newest version; see current().
+    A version of the state is a row a key with sums of all time, and a row a key and day of the
+    last RUN_RATE_DAYS days. A batch reads its own rows and the version before it, never the rows
+    of other batches. Rows of any day count, late ones too: of an old day they only add to the sums of all time. Version n comes
+    from version n - 1 or the newest before it, so that a batch that is run again counts once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        facts = spark.read.schema(FEATURES).parquet(f"{history}/batch=*")
-        fresh = coldstart.upsert(current(spark, models, number), facts)
-        fresh.write.mode("overwrite").parquet(f"{models}/version={number}")
+        before = _newest(spark, state, number)
+        held = {n: spark.read.parquet(f"{state}/version={before}/{n}") if before is not None else None for n in ("totals", "recent")}
+        run = Stages(spark, f"{state}/batch={number}")
+        fresh = run.keep("sums", coldstart.day_sums(rows))
+        totals = run.keep("totals", coldstart.added(held["totals"], fresh, *coldstart.STATE_KEYS))
+        days = run.keep("days", coldstart.added(held["recent"], fresh.where("date is not null"), *coldstart.STATE_KEYS, "date"))
+        origin = days.agg(F.max("date").alias("origin"))  # one row
+        recent = run.keep("recent", days.crossJoin(F.broadcast(origin)).where(F.col("date") > F.date_sub("origin", RUN_RATE_DAYS)).drop("origin"))
+        models = coldstart.refreshed(current(spark, state, number), coldstart.levels_of(totals, recent))
+        at = f"{state}/version={number}"
+        for name, df in (("totals", totals), ("recent", recent), ("models", models)):
+            df.write.mode("overwrite").parquet(f"{at}/{name}")
+        run.release()
 
     return stream.writeStream.foreachBatch(batch)
 
 
-def current(spark: SparkSession, models: str, before: int | None = None) -> DataFrame:
-    """The newest finished version of the models (of those before a number), or none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{models}/version=*/_SUCCESS")
+def _newest(spark: SparkSession, state: str, before: int | None) -> int | None:
+    """The newest version whose last table is finished (of those before a number)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/version=*/models/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    versions = [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
-    known = [v for v in versions if before is None or v < before]
-    return spark.read.schema(MODELS).parquet(f"{models}/version={max(known)}") if known else spark.createDataFrame([], MODELS)
+    versions = [int(x.getPath().getParent().getParent().getName().split("=")[1]) for x in found]
+    return max((v for v in versions if before is None or v < before), default=None)
+
+
+def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
+    """The models of the newest finished version (of those before a number), or none."""
+    version = _newest(spark, state, before)
+    return spark.createDataFrame([], MODELS) if version is None else spark.read.schema(MODELS).parquet(f"{state}/version={version}/models")
 
 
 def view(stream: DataFrame, name: str | None = None) -> str:
