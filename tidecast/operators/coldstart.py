@@ -14,9 +14,22 @@ TIE = 1e-7
 FORECAST = ["channel", "campaign_type", "campaign_id", "horizon_days", "metric", "p10", "p50", "p90"]
 
 
+#: What levels follow from: sums and counts of a key's rows, of all and (late_) of the recent ones.
+SUMS = ("revenue", "n_revenue", "spend", "n_spend", "n_rows")
+STATE_KEYS = (*SEGMENT, "campaign_id")
+
+
 def levels(features: DataFrame, grain: str = "row") -> DataFrame:
     """Daily revenue and spend of segments (campaign_id '') and campaigns. A campaign's
-    run rate doesn't depend on its type, so one id in two types shares a level."""
+    run rate doesn't depend on its type, so one id in two types shares a level.
+    By rows, one aggregate by segment and campaign serves all grains."""
+    if grain == "row":
+        origin = features.agg(F.max("date").alias("origin"))  # one row
+        late = F.coalesce(F.col("date") > F.date_sub("origin", RUN_RATE_DAYS), F.lit(False))
+        rows = features.crossJoin(F.broadcast(origin)).withColumn("late", late)
+        of = {"": F.lit(True), "late_": F.col("late")}
+        sums = [x for p, w in of.items() for x in (*(y for c in ("revenue", "spend") for y in (F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0.0)).alias(p + c), F.count(F.when(w, F.col(c))).alias(f"{p}n_{c}"))), F.count_if(w).alias(f"{p}n_rows"))]
+        return levels_of(rows.groupBy(*STATE_KEYS).agg(*sums))
     segments = run_rates(features, SEGMENT, RUN_RATE_DAYS, grain).select(*SEGMENT, F.lit("").alias("campaign_id"), "revenue", "spend", "is_stale")
     rates = run_rates(features, ("channel", "campaign_id"), RUN_RATE_DAYS, grain)
     owners = features.select(*SEGMENT, "campaign_id").dropna().distinct()
@@ -24,6 +37,20 @@ def levels(features: DataFrame, grain: str = "row") -> DataFrame:
     return segments.unionByName(campaigns)
 
 
+def levels_of(sums: DataFrame) -> DataFrame:
+    """levels() by rows, from rows of sums that add up: (STATE_KEYS, SUMS, late_ SUMS)."""
+
+    def rates(*keys: str, **more) -> DataFrame:
+        total = [F.sum(p + c).alias(p + c) for p in ("", "late_") for c in SUMS]
+        every = sums.dropna(subset=list(keys)).groupBy(*keys).agg(*total, *[v.alias(k) for k, v in more.items()])
+        mean = lambda c: F.coalesce(F.try_divide(f"late_{c}", f"late_n_{c}"), F.try_divide(c, f"n_{c}"), F.lit(0.0)).alias(c)
+        return every.select(*keys, *more, mean("revenue"), mean("spend"), (F.col("late_n_rows") == 0).alias("is_stale"))
+
+    campaigns = rates("channel", "campaign_id", types=F.collect_set("campaign_type")).withColumn("campaign_type", F.explode("types"))
+    names = [*STATE_KEYS, "revenue", "spend", "is_stale"]
+    return rates(*SEGMENT).withColumn("campaign_id", F.lit("")).select(names).unionByName(campaigns.select(names))
+
+
 def expected_day(level: F.Column, parent: F.Column | None = None) -> F.Column:
     """Revenue of a simulated day: the level and the one residual that a cold model has.
     A campaign's residual is its parent's, scaled by their levels."""
@@ -76,11 +103,6 @@ def refreshed(models: DataFrame, now: DataFrame) -> DataFrame:
     return both.select(*keys, F.coalesce("method", F.lit("empirical")).alias("method"), F.coalesce("slope", F.lit(0.0)).alias("slope"), F.when(keeps, F.col("level")).otherwise(F.col("now")).alias("level"))
 
 
-#: The state from which levels follow: sums and counts of all rows of a key, and of its recent days.
-SUMS = ("revenue", "n_revenue", "spend", "n_spend", "n_rows")
-STATE_KEYS = (*SEGMENT, "campaign_id")
-
-
 def day_sums(features: DataFrame) -> DataFrame:
     """(keys, date, sums): the rows of a batch, added up. Keys and dates may be null."""
     money = [x for c in ("revenue", "spend") for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(c), F.count(c).alias(f"n_{c}"))]
@@ -93,17 +115,9 @@ def added(state: DataFrame | None, more: DataFrame, *keys: str) -> DataFrame:
     return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def levels_of(totals: DataFrame, recent: DataFrame) -> DataFrame:
-    """levels() by rows, from totals (STATE_KEYS, sums) of all time and recent (STATE_KEYS, date,
-    sums) of the last RUN_RATE_DAYS days alone."""
-
-    def rates(keys: list[str]) -> DataFrame:
-        every = totals.dropna(subset=keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
-        late = recent.dropna(subset=keys).groupBy(*keys).agg(*[F.sum(c).alias(f"late_{c}") for c in SUMS])
-        mean = lambda c: F.coalesce(F.try_divide(f"late_{c}", f"late_n_{c}"), F.try_divide(c, f"n_{c}"), F.lit(0.0)).alias(c)
-        return every.join(late, keys, "left").select(*keys, mean("revenue"), mean("spend"), F.coalesce(F.col("late_n_rows") == 0, F.lit(True)).alias("is_stale"))
-
-    segments = rates([*SEGMENT]).select(*SEGMENT, F.lit("").alias("campaign_id"), "revenue", "spend", "is_stale")
-    owners = totals.select(*STATE_KEYS).dropna().distinct()
-    campaigns = owners.join(rates(["channel", "campaign_id"]), ["channel", "campaign_id"])
-    return segments.unionByName(campaigns.select(*segments.columns))
+def state_sums(totals: DataFrame, recent: DataFrame) -> DataFrame:
+    """What levels_of() reads, from totals (STATE_KEYS, SUMS) of all time and recent (STATE_KEYS, date,
+    SUMS) of the last RUN_RATE_DAYS days alone."""
+    none = {c: F.lit(0).cast("double" if c in ("revenue", "spend") else "long") for c in SUMS}
+    ever = totals.select(*STATE_KEYS, *SUMS, *[v.alias(f"late_{c}") for c, v in none.items()])
+    return ever.unionByName(recent.select(*STATE_KEYS, *[v.alias(c) for c, v in none.items()], *[F.col(c).alias(f"late_{c}") for c in SUMS]))

@@ -66,7 +66,7 @@ def upserts(stream: DataFrame, state: str) -> DataStreamWriter:
         days = run.keep("days", coldstart.added(held["recent"], fresh.where("date is not null"), *coldstart.STATE_KEYS, "date"))
         origin = days.agg(F.max("date").alias("origin"))  # one row
         recent = run.keep("recent", days.crossJoin(F.broadcast(origin)).where(F.col("date") > F.date_sub("origin", RUN_RATE_DAYS)).drop("origin"))
-        models = coldstart.refreshed(current(spark, state, number), coldstart.levels_of(totals, recent))
+        models = coldstart.refreshed(current(spark, state, number), coldstart.levels_of(coldstart.state_sums(totals, recent)))
         at = f"{state}/version={number}"
         for name, df in (("totals", totals), ("recent", recent), ("models", models)):
             df.write.mode("overwrite").parquet(f"{at}/{name}")
