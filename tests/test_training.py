@@ -158,3 +158,31 @@ def test_snapshots(spark, tmp_path):
     assert held.expire(after_seconds=3600) == [] and held.expire() == [1]
     assert held.versions() == [3] and not (tmp_path / "models" / "v=2").exists()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_elasticities_at_cutoffs_are_those_of_what_was_known(spark):
+    """Against fits of each shortened series; cutoffs before, within and after a series."""
+    daily = series.daily(facts(spark)).withColumn("date", F.when(F.col("channel") == "meta", F.date_sub("date", 40)).otherwise(F.col("date")))
+    stages = Stages(spark)
+    daily = stages.keep("series", daily)
+    last = daily.agg(F.max("date").alias("b"))
+    offsets = (10, 60, 205, 240)
+    got = {(r["cutoff"], r["channel"], r["campaign_type"]): r for r in fit.elasticity_at(daily, offsets, last, resamples=12).collect()}
+    end = last.first()["b"]
+    seen = set()
+    for back in offsets:
+        cutoff = end - dt.timedelta(back)
+        known = daily.where(F.col("date") <= F.lit(cutoff)).withColumn("cutoff", F.lit(cutoff))
+        for r in fit.elasticity(known, ("cutoff", *series.SEGMENT), 12).collect():
+            k = (cutoff, r["channel"], r["campaign_type"])
+            seen.add(k)
+            assert got[k]["n_obs"] == r["n_obs"] and got[k]["low_confidence"] == r["low_confidence"], k
+            for c in ("beta", "ci_low", "ci_high"):
+                assert got[k][c] == pytest.approx(r[c], abs=1e-8), (k, c)
+        for r in daily.where((F.col("date") > F.lit(cutoff)) & (F.col("date") <= F.date_add(F.lit(cutoff), 30))).groupBy(*series.SEGMENT).agg((F.sum("revenue") / F.sum("spend")).alias("roas")).collect():
+            k = (cutoff, r["channel"], r["campaign_type"])
+            assert k not in got or got[k]["roas_after"] == pytest.approx(r["roas"])
+        for r in known.groupBy(*series.SEGMENT).agg(F.count("*").alias("n")).collect():
+            assert got[cutoff, r["channel"], r["campaign_type"]]["n_days"] == r["n"]
+    assert got.keys() == seen and any(r["roas_after"] is None for r in got.values())
+    stages.release()
