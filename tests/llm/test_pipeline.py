@@ -99,3 +99,15 @@ def test_run_is_its_stages_in_turn(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(map(key, got), key=repr) == sorted(map(key, docs.collect()), key=repr)
     assert sum(r["length"] for r in got) and max(r["offset"] + r["length"] for r in got) <= pack.WIDTH
+
+
+def test_run_without_labels_and_benchmark(spark, docs, sf_dir, tmp_path):
+    """Nothing to learn from and nothing to find: only near duplicates and secrets go."""
+    at = str(tmp_path)
+    docs.write.parquet(f"{at}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
+    once = [r for r in rows(corpus_pipeline.one_of_each(spark, docs, at)) if not (r[1] or "").startswith("token = ")]
+    got = corpus_pipeline.run(spark, at).collect()
+    starts = [r["doc_id"] for r in got if r["start"] == 0]
+    assert sorted(starts, key=repr) == sorted((r[0] for r in once), key=repr)
