@@ -45,7 +45,7 @@ def test_other_parts(spark):
     idle = spark.sql("SELECT 'bing' AS channel, 4 AS n_campaigns, 1 AS n_zero, 1234.0D AS wasted_spend, 0.25D AS zero_share")
     assert "1 of 4 campaigns with spend (25.0 %)" in narrative.idle_money(idle).first()["statement"]
     found = spark.sql("SELECT * FROM VALUES ('gap', 2L), ('zero', 5L), ('none', 0L) AS t(issue, n_issues)")
-    assert "7 issues: zero 5, gap 2." in narrative.checks(found, 9).first()["statement"]
+    assert "7 issues: zero 5, gap 2." in narrative.checks(found, spark.sql("SELECT 9L AS n_campaigns")).first()["statement"]
     moved = spark.sql("SELECT * FROM VALUES (30, 'revenue', 100.0D, 110.0D, 10.0D), (30, 'roas', 1.0D, 2.0D, 100.0D), (60, 'revenue', 0.0D, 1.0D, NULL) AS t(horizon_days, metric, baseline, scenario, change_pct)")
     assert [r["statement"] for r in narrative.scenarios(moved).collect()] == ["In the scenario, revenue of 30 days changes by +10.0 % ($100 to $110)."]
     one = "SELECT {} AS place, 'a' AS donor_channel, 'x' AS donor_type, 'b' AS receiver_channel, 'y' AS receiver_type, 12.4D AS shift_daily, 90 AS horizon_days, 100.0D AS base, 120.0D AS moved, {}D AS revenue_delta, 20.0D AS delta_pct, 1.0D AS base_roas, 1.2D AS moved_roas, 'high' AS confidence"

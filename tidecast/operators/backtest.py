@@ -49,6 +49,16 @@ def summary(scores: DataFrame, *more: str) -> DataFrame:
     return scores.groupBy(*SEGMENT, "method", "scale", *more).agg(F.count("*").alias("n_folds"), F.avg("ape").alias("ape"), F.avg("pinball").alias("pinball"), (F.avg(F.col("covered").cast("int")) * 100).alias("coverage"))
 
 
+LOW_COVERAGE, HIGH_APE = 40, 150  # fixed values: forecasts beyond them aren't relied on
+
+
+def reliability(scores: DataFrame) -> DataFrame:
+    """(segment, method, ape, coverage, low_reliability) of tested segments, the worst covered first."""
+    low = (F.col("coverage") < LOW_COVERAGE) | (F.col("ape") > HIGH_APE)
+    told = summary(scores).select(*SEGMENT, "method", F.round("ape", 1).alias("ape"), F.round("coverage", 1).alias("coverage"), low.alias("low_reliability"))
+    return told.orderBy(F.coalesce("coverage", F.lit(999.0)), *SEGMENT)
+
+
 def compare(series: DataFrame, n_sims: int = N_SIMS, methods: dict[str, FitMethod] | None = None) -> DataFrame:
     """All methods on the same folds, one row a segment and method; segments that can't be tested have nulls."""
     scored = summary(fold_scores(series, all_methods(cutoffs(series), methods), n_sims, methods=methods))

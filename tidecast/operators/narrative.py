@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidecast.operators import stats, validate
 from tidecast.operators.stats import PERIOD, Z
 
 # Thresholds of the statements.
@@ -87,11 +88,11 @@ def idle_money(risk: DataFrame) -> DataFrame:
     return _rows(risk, 6, [F.col("zero_share").desc(), F.col("channel")], said, F.concat(F.lit("Trust forecasts of "), _name("channel"), F.lit(" only once its campaigns without revenue are explained.")))
 
 
-def checks(summary: DataFrame, n_campaigns: int) -> DataFrame:
-    """summary: (issue, n_issues), as from validate.summary."""
+def checks(summary: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """summary: (issue, n_issues), as from validate.summary; campaigns: one row, (n_campaigns)."""
     found = summary.where("n_issues > 0").select(F.struct((-F.col("n_issues")).alias("order"), F.concat("issue", F.lit(" "), F.col("n_issues").cast("string")).alias("name")).alias("s"), "n_issues")
-    told = found.agg(F.sum("n_issues").alias("n"), F.array_sort(F.collect_list("s")).alias("s")).where("n > 0")
-    return _rows(told, 7, [], F.concat(F.lit("Checks of "), F.lit(str(n_campaigns)), F.lit(" campaigns found "), F.col("n").cast("string"), F.lit(" issues: "), F.array_join(F.col("s.name"), ", "), F.lit(". A daily budget is an average, so that single days may pass it.")))
+    told = found.agg(F.sum("n_issues").alias("n"), F.array_sort(F.collect_list("s")).alias("s")).where("n > 0").crossJoin(F.broadcast(campaigns))  # one row
+    return _rows(told, 7, [], F.concat(F.lit("Checks of "), F.col("n_campaigns").cast("string"), F.lit(" campaigns found "), F.col("n").cast("string"), F.lit(" issues: "), F.array_join(F.col("s.name"), ", "), F.lit(". A daily budget is an average, so that single days may pass it.")))
 
 
 def advice(recommendations: DataFrame) -> DataFrame:
@@ -117,6 +118,29 @@ def statements(spark: SparkSession, *parts: DataFrame) -> DataFrame:
     return every.unionByName(_rows(none, 10, [], F.lit("There is too little history to tell changes or outliers.")))
 
 
+def gather(facts: DataFrame, **forecasts: DataFrame) -> dict[str, DataFrame]:
+    """Every statistic behind a report, by name, in one call.
+
+    Those of the facts are made here, each of which reads facts, so give a written table.
+    Those of forecasts come from the caller, as many as there are: slopes (fit.elasticity),
+    unreliable (backtest.reliability), advice (recommend.finalists), scenarios (simulate.moved)."""
+    unknown = set(forecasts) - set(TELLERS)
+    if unknown:
+        raise ValueError(f"no part of a report: {', '.join(sorted(unknown))}")
+    campaigns = facts.select("channel", "campaign_id").distinct().agg(F.count("*").alias("n_campaigns"))
+    own = {"changes": stats.period_deltas(facts), "outliers": stats.roas_anomalies(facts), "idle_money": stats.structural_risk(facts)}
+    return own | forecasts | {"checks": validate.summary(facts), "campaigns": campaigns}
+
+
+TELLERS = {"changes": changes, "slopes": slopes, "outliers": outliers, "unreliable": unreliable, "idle_money": idle_money, "advice": advice, "scenarios": scenarios}
+
+
+def tell(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:
+    """The statements of all that was gathered."""
+    parts = [TELLERS[name](rows) for name, rows in found.items() if name in TELLERS]
+    return statements(spark, *parts, checks(found["checks"], found["campaigns"]))
+
+
 def report(told: DataFrame, writer: Callable[[list[dict]], tuple[str, list[str]]] | None = None) -> dict:
     """Text, risks and where they come from. A report is a few dozen rows. `writer` makes them of the
     statements, a language model's client for instance; if it fails, the statements stand as they are."""

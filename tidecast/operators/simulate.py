@@ -203,3 +203,10 @@ def forecast_campaigns(models: DataFrame, multiple: Column, horizons: tuple[int,
     told = models.select(*ROLLUP, response(multiple, F.col(scenario_beta(models))).alias("factor"), (F.col("avg_spend") * multiple).alias("daily"))
     both = limits.join(told, list(ROLLUP)).select(*ROLLUP, "horizon_days", F.transform("p", lambda v: v * F.col("factor")).alias("r"), (F.col("daily") * F.col("horizon_days")).alias("spend"))
     return _told(both, ORDER[:3]).select(ORDER)
+
+
+def moved(base: DataFrame, scenario: DataFrame) -> DataFrame:
+    """(horizon_days, metric, baseline, scenario, change_pct): blended medians of two forecasts."""
+    blended = lambda df, name: df.where("channel = 'blended'").select("horizon_days", "metric", F.col("p50").alias(name))
+    both = blended(base, "baseline").join(blended(scenario, "scenario"), ["horizon_days", "metric"])
+    return both.withColumn("change_pct", F.when(F.col("baseline") > 0, F.round((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))

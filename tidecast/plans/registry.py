@@ -496,16 +496,20 @@ def elasticity_summary(spark, sf_dir):
 
 
 MOVED = "CASE r.channel WHEN 'meta' THEN 2.0 WHEN 'google' THEN 1.2 ELSE 1 END"
+def _moved(models: DataFrame, sims: DataFrame) -> DataFrame:
+    """What the scenario of MOVED changes, both runs of the same simulations."""
+    run = lambda **m: simulate.forecast(models, sims, simulate.multiples(models, **m))
+    return simulate.moved(run(), run(channel={"meta": 2.0, "google": 1.2}))
+
+
 BOTH = f"base_ AS ({S.forecast(SIMS, RESAMPLES)}), moved_ AS ({S.forecast(SIMS, RESAMPLES, MOVED)})"
 
 
 @query(f"""WITH {BOTH} SELECT b.horizon_days, b.metric, b.p50 AS baseline, m.p50 AS scenario, round(CASE WHEN b.p50 > 0 THEN (m.p50 - b.p50) / b.p50 * 100 END, 2) AS change_pct
 FROM base_ b JOIN moved_ m ON m.horizon_days = b.horizon_days AND m.metric = b.metric AND m.channel = 'blended' WHERE b.channel = 'blended'""")
 def scenario_deltas(spark, sf_dir):
-    base, moved = forecast_rollup(spark, sf_dir), forecast_scenario_channel(spark, sf_dir)
-    blended = lambda df, n: df.where("channel = 'blended'").select("horizon_days", "metric", F.col("p50").alias(n))
-    both = blended(base, "baseline").join(blended(moved, "scenario"), ["horizon_days", "metric"])
-    return both.withColumn("change_pct", F.when(F.col("baseline") > 0, F.round((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))
+    models = _confident(spark, sf_dir)
+    return _moved(models, _sims(models))
 
 
 @query(f"WITH {BOTH} SELECT 'baseline' AS run, * FROM base_ WHERE campaign_type = '' UNION ALL SELECT 'scenario', * FROM moved_ WHERE campaign_type = ''")
@@ -519,9 +523,7 @@ def scenario_table(spark, sf_dir):
 
 @query(S.scores(SIMS) + "\nSELECT channel, campaign_type, method, round(ape, 1) AS ape, round(coverage, 1) AS coverage, coverage < 40 OR ape > 150 AS low_reliability FROM bysum")
 def reliability(spark, sf_dir):
-    scored = backtest.summary(_backtest(spark, sf_dir))
-    low = (F.col("coverage") < 40) | (F.col("ape") > 150)
-    return scored.select(*SEG, "method", F.round("ape", 1).alias("ape"), F.round("coverage", 1).alias("coverage"), low.alias("low_reliability")).orderBy(F.coalesce("coverage", F.lit(999.0)), *SEG)
+    return backtest.reliability(_backtest(spark, sf_dir))
 
 
 @query(S.scores(SIMS) + "\nSELECT round(avg(round(coverage, 1)), 4) AS coverage FROM bysum")
@@ -571,7 +573,7 @@ def top_recommendation_forecast(spark, sf_dir):
     return requests.top_recommendation(models, sims, recommend.finalists(models, recommend.pairs(models), sims))
 
 
-MONEY = "'$' || format('{{:,}}', CAST(round({}) AS BIGINT))"
+MONEY = "'$' || format('{{:,}}', CAST(round_even({}, 0) AS BIGINT))"
 NARRATIVE = S.with_(S.ISSUES) + f""", o AS (SELECT max(date) AS origin FROM features),
 d AS (SELECT channel, coalesce(sum(revenue) FILTER (date > origin - 30), 0) AS a, coalesce(sum(revenue) FILTER (date > origin - 60 AND date <= origin - 30), 0) AS b FROM features, o GROUP BY channel),
 e AS (SELECT channel, round(a, 4) AS a, round(b, 4) AS b, round((a - b) / b * 100, 4) AS pct FROM d WHERE b > 0),
@@ -584,14 +586,53 @@ kk AS (SELECT sum(n) AS n, string_agg(issue || ' ' || n, ', ' ORDER BY n DESC, i
 told AS (SELECT 1 AS part, row_number() OVER (ORDER BY pct DESC, channel) AS place, channel || ': revenue ' || CASE WHEN pct >= 0 THEN 'rose' ELSE 'fell' END || ' ' || printf('%.1f', abs(pct)) || ' % in the last 30 days, to ' || {MONEY.format("a")} || ' from ' || {MONEY.format("b")} || '.' AS statement,
  CASE WHEN pct < -15 THEN 'Revenue of ' || channel || ' fell by more than 15 % against the period before.' END AS risk FROM e
 UNION ALL SELECT 4, place, 'Campaign ' || campaign_name || ' returns ' || printf('%.2f', roas) || ', far ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' the others of ' || channel || ' (z ' || printf('%.2f', z) || ').', CASE WHEN z < -2 THEN 'Campaign ' || campaign_name || ' returns far too little.' END FROM yy WHERE place <= 5
-UNION ALL SELECT 7, 1, 'Checks of ' || (SELECT count(*) FROM (SELECT DISTINCT channel, campaign_id FROM features)) || ' campaigns found ' || n || ' issues: ' || names || '. A daily budget is an average, so that single days may pass it.', NULL FROM kk WHERE n > 0)
-SELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM told"""
+UNION ALL SELECT 7, 1, 'Checks of ' || (SELECT count(*) FROM (SELECT DISTINCT channel, campaign_id FROM features)) || ' campaigns found ' || n || ' issues: ' || names || '. A daily budget is an average, so that single days may pass it.', NULL FROM kk WHERE n > 0)"""
+TOLD = "\nSELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM told"
 
 
-@query(NARRATIVE)
+@query(NARRATIVE + TOLD)
 def narrative_statements(spark, sf_dir):
     """What can be said of the facts alone; forecasts add their own statements."""
-    rows = features(spark, sf_dir, extra=True)
-    n_campaigns = rows.select("channel", "campaign_id").distinct().count()
-    parts = [narrative.changes(stats.period_deltas(rows)), narrative.outliers(stats.roas_anomalies(rows)), narrative.idle_money(stats.structural_risk(rows)), narrative.checks(validate.summary(rows), n_campaigns)]
-    return narrative.statements(spark, *parts)
+    facts = Stages(spark).keep("facts", features(spark, sf_dir, extra=True))
+    return narrative.tell(spark, narrative.gather(facts))
+
+
+MOVE = "donor_channel || '/' || donor_type || ' to ' || receiver_channel || '/' || receiver_type"
+CHANGE = "printf('%+.1f', round({}, 1)) || ' %'"
+REPORT = NARRATIVE + f""",
+el AS ({BOOT} SELECT channel || '/' || campaign_type AS name, channel, campaign_type, round(beta, 2) AS shown, beta, low_confidence FROM boot),
+up AS (SELECT * FROM el WHERE NOT low_confidence AND beta >= 0.8 ORDER BY beta DESC, channel, campaign_type LIMIT 1),
+down AS (SELECT * FROM el WHERE NOT low_confidence AND beta < 0.5 ORDER BY beta, channel, campaign_type LIMIT 1),
+unsure AS (SELECT count(*) AS n FROM el WHERE low_confidence),
+low AS ({S.scores(SIMS)} SELECT channel || '/' || campaign_type AS name, coalesce(round(coverage, 1), 999) AS c FROM bysum WHERE coverage < 40 OR ape > 150),
+lows AS (SELECT count(*) AS n, array_to_string(list_slice(list(name ORDER BY c, name), 1, 5), ', ') AS names FROM low),
+idle AS (SELECT *, row_number() OVER (ORDER BY zero_share DESC, channel) AS place FROM ({RISK.format(stats.ZERO_SHARE)})),
+rec AS ({SQL["reco_top"]}),
+recs AS (SELECT * REPLACE (row_number() OVER (ORDER BY revenue_delta DESC NULLS LAST, place) AS place) FROM rec),
+moves AS ({SQL["scenario_deltas"]}),
+more AS (SELECT 2 AS part, 1 AS place, 'More money goes furthest in ' || name || ' (slope ' || printf('%.2f', shown) || ').' AS statement, NULL AS risk FROM up
+UNION ALL SELECT 2, 2, 'More money earns ever less in ' || name || ' (slope ' || printf('%.2f', shown) || ').', NULL FROM down
+UNION ALL SELECT 3, 1, NULL, n || ' segments have no sure slope; how they respond to a budget is a guess.' FROM unsure WHERE n > 0
+UNION ALL SELECT 5, 1, 'Past forecasts missed in ' || n || ' segments, so their ranges are rough: ' || names || '.', n || ' segments failed their backtest: ' || names || '.' FROM lows WHERE n > 0
+UNION ALL SELECT 6, place, channel || ': ' || n_zero || ' of ' || n_campaigns || ' campaigns with spend (' || printf('%.1f', zero_share * 100) || ' %) never earned, for ' || {MONEY.format("wasted_spend")} || '.',
+ 'Trust forecasts of ' || channel || ' only once its campaigns without revenue are explained.' FROM idle
+UNION ALL SELECT 8, place, CASE WHEN place > 1 THEN 'Or from ' || {MOVE} || ' (' || {CHANGE.format("delta_pct")} || ').' ELSE 'Move ' || {MONEY.format("shift_daily")} || ' a day from ' || {MOVE} || ': revenue of ' || horizon_days || ' days ' || {CHANGE.format("delta_pct")}
+ || ' (' || {MONEY.format("base")} || ' to ' || {MONEY.format("moved")} || '), return ' || printf('%.2f', base_roas) || ' to ' || printf('%.2f', moved_roas) || ', confidence ' || confidence || '.' END, NULL FROM recs WHERE place <= 4
+UNION ALL SELECT 9, row_number() OVER (ORDER BY horizon_days), 'In the scenario, revenue of ' || horizon_days || ' days changes by ' || {CHANGE.format("change_pct")} || ' (' || {MONEY.format("baseline")} || ' to ' || {MONEY.format("scenario")} || ').', NULL
+ FROM moves WHERE metric = 'revenue' AND change_pct IS NOT NULL)
+SELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM (FROM told UNION ALL FROM more)"""
+
+
+@query(REPORT)
+def narrative_report(spark, sf_dir):
+    """The whole report: facts, series, models and simulations are written once, below all nine parts."""
+    stages = Stages(spark)
+    facts = stages.keep("facts", features(spark, sf_dir, extra=True))
+    rows = stages.keep("series", series.daily(facts))
+    slopes = stages.keep("slopes", fit.elasticity(rows, resamples=RESAMPLES))
+    models = stages.keep("models", fit.models(rows).join(slopes, list(SEG)))
+    sims = stages.keep("simulations", simulate.simulate(models, SEG, n_sims=SIMS))
+    scores = backtest.fold_scores(rows, backtest.cutoffs(rows).withColumn("method", F.lit(methods.DEFAULT)), SIMS)
+    advised = recommend.finalists(models, recommend.pairs(models), sims)
+    found = narrative.gather(facts, slopes=slopes, unreliable=stages.keep("reliability", backtest.reliability(scores)), advice=advised, scenarios=_moved(models, sims))
+    return stages.keep("report", narrative.tell(spark, found))
