@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import coldstart, narrative, requests, validate
+from tidecast.operators import coldstart, narrative, reports, requests, validate
 from tidecast.sources import channels
 from tidecast.sources.store import Snapshots
 from tidecast.streaming import live
@@ -64,6 +64,53 @@ def test_report_and_its_writers(spark):
     assert failed["source"] == "template_fallback" and failed["risk_flags"] == ["Mind."] and failed["text"].startswith("One. Two. [")
 
 
+def test_gather_and_tell(spark):
+    rows = facts(spark, "2026-01-01", 60, 50).withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(2.0)})
+    slopes = spark.sql("SELECT 'google' AS channel, 'SEARCH' AS campaign_type, 0.9D AS beta, false AS low_confidence")
+    found = narrative.gather(rows, slopes=slopes)
+    told = narrative.tell(spark, found).orderBy("part", "place").collect()
+    assert [r["part"] for r in told] == [1, 2, 7] and told[0]["statement"].startswith("google: revenue rose 0.0 %")
+    assert told[2]["statement"].startswith("Checks of 1 campaigns found ")
+    nothing = narrative.tell(spark, narrative.gather(rows.limit(0)))
+    assert [r["part"] for r in nothing.collect()] == [10]
+    with pytest.raises(ValueError, match="weather"):
+        narrative.gather(rows, weather=slopes)
+
+
+def object_of(rows, path):
+    channels.write_json(rows, path)
+    (only,) = [line for p in Path(path).glob("*.json") for line in p.read_text().splitlines()]
+    return json.loads(only)
+
+
+def test_the_five_reports(spark, tmp_path):
+    at = iter(str(tmp_path / str(i)) for i in range(9))
+    score = "SELECT * FROM VALUES ('bing', 'b', 'x', 3L, 9.0D, 2.0D, 80.0D, true), ('bing', 'b', 'y', 3L, 8.0D, 3.0D, 70.0D, false), ('bing', 'a', 'x', 0L, NULL, NULL, NULL, true), ('bing', 'a', 'y', 0L, NULL, NULL, NULL, false) AS t(channel, campaign_type, method, n_folds, ape, pinball, coverage, winner)"
+    got = object_of(reports.backtested(spark.sql(score)), next(at))
+    assert [(s["campaign_type"], s["winner"], len(s["methods"])) for s in got["segments"]] == [("a", "x", 2), ("b", "x", 2)]
+    assert got["wins"] == [{"method": "x", "n_segments": 2}, {"method": "y", "n_segments": 0}]
+
+    scaled = spark.sql("SELECT * FROM VALUES ('meta', 'b', 'x', 1.2D, true, 10.0D, 80.0D), ('bing', 'c', 'x', 1.0D, false, 20.0D, 90.0D) AS t(channel, campaign_type, method, scale, tuned, ape, coverage)")
+    got = object_of(reports.trained(scaled), next(at))
+    assert (got["n_segments"], got["n_tuned"], got["mean_ape"], got["mean_coverage"]) == (2, 1, 15.0, 85.0) and got["segments"][0]["channel"] == "bing"
+    assert object_of(reports.trained(scaled.limit(0)), next(at))["segments"] == []
+
+    rows = facts(spark, "2026-01-01", 60, 50).withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(2.0)})
+    got = object_of(reports.validation(rows.unionByName(facts(spark, "2026-01-01", 3, -1, channel="bing").withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(99.0)}))), next(at))
+    assert got["total_campaigns"] == 2 and got["total_issues"] == sum(c["n_issues"] for c in got["checks"]) == sum(c["n_issues"] for c in got["channels"]) > 0
+    counts = [(-c["n_issues"], c["issue"]) for c in got["checks"]]
+    assert counts == sorted(counts) and {c["issue"] for c in got["checks"]} == set(validate.CHECKS) and got["examples"][0]["channel"] == "bing"
+
+    pair = "SELECT * FROM VALUES (DATE'2026-02-01', 2, 1, false), (DATE'2026-02-01', 1, 1, true), (DATE'2026-01-01', 1, 1, CAST(NULL AS BOOLEAN)) AS t(cutoff, donor_rank, receiver_rank, confirmed)"
+    pairs = spark.sql(pair).withColumns({f"{p}_{c}": F.lit(v) for p in ("donor", "receiver") for c, v in (("channel", "bing"), ("type", "a"), ("roas", 1.0))})
+    got = object_of(reports.in_retrospect(pairs), next(at))
+    assert [c["cutoff"] for c in got["cutoffs"]] == ["2026-01-01", "2026-02-01"] and [p["donor_rank"] for p in got["cutoffs"][1]["pairs"]] == [1, 2]
+    assert [(s["part"], s["n"], s["n_confirmed"]) for s in got["summary"]] == [("grid", 2, 1), ("top_pick", 1, 1)]
+
+    got = object_of(reports.insights(narrative.gather(rows)), next(at))
+    assert got["source"] == "template" and got["text"].startswith("google: revenue rose") and got["changes"][0]["channel"] == "google" and got["campaigns"] == [{"n_campaigns": 1}]
+
+
 def test_streams_sum_as_batches_do(spark, tmp_path):
     folder = str(tmp_path / "facts")
     rows = facts(spark, "2026-01-01", 40, 50).unionByName(facts(spark, "2026-01-01", 5, 7)).unionByName(facts(spark, "2026-01-03", 1, 9, None))

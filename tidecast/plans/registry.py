@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import expressions as X
-from tidecast.operators import backtest, coldstart, fit, holt_winters, methods, narrative, recommend, requests, series, simulate, stats, train, validate
+from tidecast.operators import backtest, coldstart, fit, holt_winters, methods, narrative, recommend, reports, requests, series, simulate, stats, train, validate
 from tidecast.plans import sql as S
 from tidecast.sources import channels
-from tidecast.sources.adaptors import FAULTY_SQL, RAW_SQL, SHORT_SQL, faulty_features, features, platform_lines, platform_rows, short_features
+from tidecast.sources.adaptors import FAULTY_SQL, FEATURES_SQL, RAW_SQL, SHORT_SQL, faulty_features, features, platform_lines, platform_rows, short_features
 from tidecast.sources.channels import RAW, normalised
 from tidecast.sources.store import Stages
 
@@ -623,11 +623,10 @@ UNION ALL SELECT 9, row_number() OVER (ORDER BY horizon_days), 'In the scenario,
 SELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM (FROM told UNION ALL FROM more)"""
 
 
-@query(REPORT)
-def narrative_report(spark, sf_dir):
-    """The whole report: facts, series, models and simulations are written once, below all nine parts."""
+def _report(spark: SparkSession, facts: DataFrame) -> DataFrame:
+    """Facts, series, models and simulations are written once, below all nine parts."""
     stages = Stages(spark)
-    facts = stages.keep("facts", features(spark, sf_dir, extra=True))
+    facts = stages.keep("facts", facts)
     rows = stages.keep("series", series.daily(facts))
     slopes = stages.keep("slopes", fit.elasticity(rows, resamples=RESAMPLES))
     models = stages.keep("models", fit.models(rows).join(slopes, list(SEG)))
@@ -636,3 +635,50 @@ def narrative_report(spark, sf_dir):
     advised = recommend.finalists(models, recommend.pairs(models), sims)
     found = narrative.gather(facts, slopes=slopes, unreliable=stages.keep("reliability", backtest.reliability(scores)), advice=advised, scenarios=_moved(models, sims))
     return stages.keep("report", narrative.tell(spark, found))
+
+
+@query(REPORT)
+def narrative_report(spark, sf_dir):
+    """The whole report."""
+    return _report(spark, features(spark, sf_dir, extra=True))
+
+
+@query(REPORT.replace(FEATURES_SQL, FAULTY_SQL))
+def narrative_faulty(spark, sf_dir):
+    """The whole report of facts with faults, of which more parts have something to tell."""
+    return _report(spark, faulty_features(spark, sf_dir))
+
+
+VALIDATION = S.with_(S.ISSUES) + """, c AS (SELECT channel, count(DISTINCT campaign_id) AS n_campaigns, count(*) AS n_rows FROM features GROUP BY channel),
+cc AS (SELECT c.channel, n_campaigns, n_rows, count(iss.issue) AS n_issues FROM c LEFT JOIN iss ON iss.channel = c.channel GROUP BY ALL),
+k AS (SELECT k.issue, count(iss.issue) AS n_issues FROM (SELECT unnest({checks}) AS issue) k LEFT JOIN iss ON iss.issue = k.issue GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY channel, issue ORDER BY campaign_id, amount) AS place FROM iss)
+SELECT CAST((SELECT sum(n_campaigns) FROM cc) AS BIGINT) AS total_campaigns, CAST((SELECT sum(n_issues) FROM cc) AS BIGINT) AS total_issues,
+ (SELECT CAST(to_json(list({{'channel': channel, 'n_campaigns': n_campaigns, 'n_rows': n_rows, 'n_issues': n_issues}} ORDER BY channel)) AS VARCHAR) FROM cc) AS channels,
+ (SELECT CAST(to_json(list({{'issue': issue, 'n_issues': n_issues}} ORDER BY n_issues DESC, issue)) AS VARCHAR) FROM k) AS checks,
+ (SELECT CAST(to_json(list({{'channel': channel, 'issue': issue, 'place': place, 'campaign_id': campaign_id}} ORDER BY channel, issue, place)) AS VARCHAR) FROM x WHERE place <= 5) AS examples"""
+
+
+@query(VALIDATION.format(checks=list(validate.CHECKS)).replace(FEATURES_SQL, FAULTY_SQL))
+def validation_report(spark, sf_dir):
+    """The validation report of facts with faults as one object; its lists are JSON texts."""
+    found = reports.validation(Stages(spark).keep("facts", faulty_features(spark, sf_dir)))
+    lists = [F.to_json(c).alias(c) for c in ("channels", "checks")]
+    shown = F.transform("examples", lambda x: F.struct(*[x[c].alias(c) for c in ("channel", "issue", "place", "campaign_id")]))
+    return found.select("total_campaigns", "total_issues", *lists, F.to_json(shown).alias("examples"))
+
+
+SLOPES = f"""WITH el AS ({BOOT} SELECT channel || '/' || campaign_type AS name, channel, campaign_type, beta, low_confidence FROM boot),
+up AS (SELECT * FROM el WHERE NOT low_confidence AND beta >= 0.8 ORDER BY beta DESC, channel, campaign_type LIMIT 1),
+down AS (SELECT * FROM el WHERE NOT low_confidence AND beta < 0.5 ORDER BY beta, channel, campaign_type LIMIT 1),
+unsure AS (SELECT count(*) AS n FROM el WHERE low_confidence)
+SELECT 2 AS part, 1 AS place, 'More money goes furthest in ' || name || ' (slope ' || printf('%.2f', round(beta, 2)) || ').' AS statement, CAST(NULL AS VARCHAR) AS risk FROM up
+UNION ALL SELECT 2, 2, 'More money earns ever less in ' || name || ' (slope ' || printf('%.2f', round(beta, 2)) || ').', NULL FROM down
+UNION ALL SELECT 3, 1, NULL, n || ' segments have no sure slope; how they respond to a budget is a guess.' FROM unsure WHERE n > 0"""
+
+
+@query(SLOPES.replace(FEATURES_SQL, SHORT_SQL))
+def narrative_slopes(spark, sf_dir):
+    """What slopes tell where series are short, so that they differ and many are unsure."""
+    rows = Stages(spark).keep("series", series.daily(short_features(spark, sf_dir)))
+    return narrative.slopes(Stages(spark).keep("slopes", fit.elasticity(rows, resamples=RESAMPLES)))
