@@ -96,7 +96,8 @@ def test_the_five_reports(spark, tmp_path):
     assert object_of(reports.trained(scaled.limit(0)), next(at))["segments"] == []
 
     rows = facts(spark, "2026-01-01", 60, 50).withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(2.0)})
-    got = object_of(reports.validation(rows.unionByName(facts(spark, "2026-01-01", 3, -1, channel="bing").withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(99.0)}))), next(at))
+    both = rows.unionByName(facts(spark, "2026-01-01", 3, -1, channel="bing").withColumns({"clicks": F.lit(5), "impressions": F.lit(50), "daily_budget": F.lit(99.0)}))
+    got = object_of(reports.validation(both, validate.issues(both)), next(at))
     assert got["total_campaigns"] == 2 and got["total_issues"] == sum(c["n_issues"] for c in got["checks"]) == sum(c["n_issues"] for c in got["channels"]) > 0
     counts = [(-c["n_issues"], c["issue"]) for c in got["checks"]]
     assert counts == sorted(counts) and {c["issue"] for c in got["checks"]} == set(validate.CHECKS) and got["examples"][0]["channel"] == "bing"

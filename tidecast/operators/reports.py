@@ -48,13 +48,13 @@ def trained(calibrated: DataFrame) -> DataFrame:
     return beside(means, listed(calibrated, "segments", *SEGMENT))
 
 
-def validation(facts: DataFrame, most: int = 5) -> DataFrame:
+def validation(facts: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
     """(total_campaigns, total_issues, channels, checks, examples): checks by count, the most frequent first.
-    Each check reads facts, so give a written table."""
-    sizes = validate.channels(facts)
+    found: validate.issues(facts), written before, as it is read for each list."""
+    sizes = validate.channels(facts, found)
     totals = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_campaigns", "total_campaigns"), ("n_issues", "total_issues"))])
-    checks = listed(validate.summary(facts), "checks", -F.col("n_issues"), "issue")
-    return beside(totals, listed(sizes, "channels", "channel"), checks, listed(validate.examples(facts, most), "examples", "channel", "issue", "place"))
+    checks = listed(validate.summary(facts, found), "checks", -F.col("n_issues"), "issue")
+    return beside(totals, listed(sizes, "channels", "channel"), checks, listed(validate.examples(facts, most, found), "examples", "channel", "issue", "place"))
 
 
 def in_retrospect(pairs: DataFrame) -> DataFrame:

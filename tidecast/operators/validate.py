@@ -65,17 +65,17 @@ def issues(raw: DataFrame) -> DataFrame:
     return out
 
 
-def summary(raw: DataFrame) -> DataFrame:
-    """Issues by check, zeros included."""
+def summary(raw: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Issues by check, zeros included. found: issues(raw), where they are written already."""
     names = raw.sparkSession.createDataFrame([(c,) for c in CHECKS], "issue string")
-    return names.join(issues(raw).groupBy("issue").count(), "issue", "left").select("issue", F.coalesce("count", F.lit(0)).alias("n_issues"))
+    return names.join((issues(raw) if found is None else found).groupBy("issue").count(), "issue", "left").select("issue", F.coalesce("count", F.lit(0)).alias("n_issues"))
 
 
-def channels(raw: DataFrame) -> DataFrame:
+def channels(raw: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Each channel's campaigns, rows and issues."""
     sizes = raw.groupBy("channel").agg(F.count_distinct("campaign_id").alias("n_campaigns"), F.count("*").alias("n_rows"))
-    found = issues(raw).groupBy("channel").agg(F.count("*").alias("n"))
-    return sizes.join(found, "channel", "left").select("channel", "n_campaigns", "n_rows", F.coalesce("n", F.lit(0)).alias("n_issues"))
+    counts = (issues(raw) if found is None else found).groupBy("channel").agg(F.count("*").alias("n"))
+    return sizes.join(counts, "channel", "left").select("channel", "n_campaigns", "n_rows", F.coalesce("n", F.lit(0)).alias("n_issues"))
 
 
 def report(every: DataFrame) -> DataFrame:
@@ -89,6 +89,6 @@ def report(every: DataFrame) -> DataFrame:
     return sizes.join(found, "channel", "left")
 
 
-def examples(raw: DataFrame, most: int = 5) -> DataFrame:
+def examples(raw: DataFrame, most: int = 5, found: DataFrame | None = None) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("channel", "issue").orderBy("campaign_id", "amount"))
-    return issues(raw).withColumn("place", place).where(F.col("place") <= most)
+    return (issues(raw) if found is None else found).withColumn("place", place).where(F.col("place") <= most)

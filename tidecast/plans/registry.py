@@ -662,7 +662,9 @@ SELECT CAST((SELECT sum(n_campaigns) FROM cc) AS BIGINT) AS total_campaigns, CAS
 @query(VALIDATION.format(checks=list(validate.CHECKS)).replace(FEATURES_SQL, FAULTY_SQL))
 def validation_report(spark, sf_dir):
     """The validation report of facts with faults as one object; its lists are JSON texts."""
-    found = reports.validation(Stages(spark).keep("facts", faulty_features(spark, sf_dir)))
+    stages = Stages(spark)
+    facts = stages.keep("facts", faulty_features(spark, sf_dir))
+    found = reports.validation(facts, stages.keep("issues", validate.issues(facts)))
     lists = [F.to_json(c).alias(c) for c in ("channels", "checks")]
     shown = F.transform("examples", lambda x: F.struct(*[x[c].alias(c) for c in ("channel", "issue", "place", "campaign_id")]))
     return found.select("total_campaigns", "total_issues", *lists, F.to_json(shown).alias("examples"))
