@@ -49,6 +49,10 @@ def smoothed_fixed(series: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFr
     return _with_path(series, keys, False)
 
 
+#: A contest whose fits don't search, so that SQL can hold it to account.
+FIXED_METHODS: dict[str, FitMethod] = {DEFAULT: empirical, "holt_winters_fixed": smoothed_fixed}
+
+
 def fitted_by(series: DataFrame, wanted: DataFrame, keys: tuple[str, ...], methods: dict[str, FitMethod] | None = None) -> DataFrame:
     """Models of keys by the methods wanted for them. wanted: (keys, method), a key as often as it has methods."""
     out = None

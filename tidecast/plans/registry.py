@@ -321,17 +321,57 @@ def method_comparison(spark, sf_dir):
     return _scored(backtest.compare(_segments(spark, sf_dir), SIMS))
 
 
-@query(S.scores(SIMS, X.MORE_CUTOFFS, list(X.SCALES)) + f""",
-placed AS (SELECT *, row_number() OVER (PARTITION BY channel, campaign_type ORDER BY cutoff) AS place, count(*) OVER (PARTITION BY channel, campaign_type) AS total FROM folds),
-split AS (SELECT *, total >= {X.MIN_SPLIT_CUTOFFS} AS tuned, place <= total // 2 AS older FROM placed),
-older AS (SELECT channel, campaign_type, scale, avg(CAST(covered AS INTEGER)) * 100 AS coverage FROM score JOIN split USING (channel, campaign_type, cutoff) WHERE tuned AND older GROUP BY ALL),
-picked AS (SELECT channel, campaign_type, coalesce(min(scale) FILTER (coverage >= {X.SCALE_COVERAGE}), arg_max(scale, coverage * 1000 - scale)) AS chosen FROM older GROUP BY ALL),
-held AS (SELECT s.*, split.tuned FROM score s JOIN split USING (channel, campaign_type, cutoff) LEFT JOIN picked USING (channel, campaign_type) WHERE scale = coalesce(chosen, 1.0) AND (NOT split.tuned OR NOT split.older))
-SELECT channel, campaign_type, method, scale, tuned, count(*) AS n_folds, round(avg(ape), 4) AS ape, round(avg(pinball), 4) AS pinball, round(avg(CAST(covered AS INTEGER)) * 100, 4) AS coverage FROM held GROUP BY ALL""")
+@query(S.contest(SIMS, holt_winters.FIXED) + """
+SELECT channel, campaign_type, method, coalesce(n_folds, 0) AS n_folds, round(ape, 4) AS ape, round(pinball, 4) AS pinball, round(coverage, 4) AS coverage, winner FROM ranked""")
+def contest_fixed(spark, sf_dir):
+    """The empirical method against Holt-Winters of fixed weights, on the same folds."""
+    return _scored(backtest.compare(_segments(spark, sf_dir), SIMS, methods.FIXED_METHODS))
+
+
+CALIBRATED = "\nSELECT channel, campaign_type, method, scale, tuned, n_folds, ape, pinball, coverage FROM calibration"
+TUNING = (X.MIN_SPLIT_CUTOFFS, X.SCALE_COVERAGE)
+WINNERS = S.calibrated_winners(SIMS, holt_winters.FIXED, X.MORE_CUTOFFS, list(X.SCALES), *TUNING)
+
+
+@query(S.scores(SIMS, X.MORE_CUTOFFS, list(X.SCALES)) + ",\n" + S.calibrated("score", *TUNING) + CALIBRATED)
 def calibration_scale(spark, sf_dir):
     return _scored(backtest.calibrate(_segments(spark, sf_dir), SIMS))
 
 
+@query(WINNERS + CALIBRATED)
+def calibration_chosen(spark, sf_dir):
+    """Each segment is calibrated by the method that won its contest."""
+    rows, run = _segments(spark, sf_dir), Stages(spark)
+    won = run.keep("contest", backtest.select_method(rows, SIMS, methods.FIXED_METHODS))
+    return _scored(backtest.calibrate(rows, SIMS, won, methods.FIXED_METHODS))
+
+
+def _trained_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments trained by contest and calibration, of the two methods that SQL can say."""
+    rows, run = _segments(spark, sf_dir), Stages(spark)
+    won = run.keep("contest", backtest.select_method(rows, SIMS, methods.FIXED_METHODS))
+    return run.keep("segments", train.segments(rows, won, run, SIMS, RESAMPLES, methods.FIXED_METHODS))
+
+
+TRAINED = S.trained(WINNERS, holt_winters.FIXED, RESAMPLES)
+TRAINED_ROUNDED = ("slope", "level_at_end", "holiday_factor", "avg_spend", "avg_revenue", "beta")
+TRAINED_PLAIN = ("method", "low_confidence", "calibration_scale", "tuned", "held_out_coverage", "spread")
+
+
+@query(TRAINED + "\nSELECT channel, campaign_type, " + ", ".join((*TRAINED_PLAIN[:4], "round(held_out_coverage, 4) AS held_out_coverage", "round(spread, 4) AS spread", *(f"round({c}, 4) AS {c}" for c in TRAINED_ROUNDED))) + " FROM model")
+def trained_segments(spark, sf_dir):
+    rounded = {c: F.round(c, 4) for c in ("held_out_coverage", "spread", *TRAINED_ROUNDED)}
+    return _trained_segments(spark, sf_dir).withColumns(rounded).select(*SEG, *TRAINED_PLAIN, *TRAINED_ROUNDED)
+
+
+@query(S.trained_rollup(TRAINED, SIMS))
+def trained_rollup(spark, sf_dir):
+    """Trained segments, channels and all: the winning method's path, the calibrated spread."""
+    models = _trained_segments(spark, sf_dir)
+    sims = simulate.simulate(models, SEG, X.HORIZONS, SIMS, F.col("spread"))
+    return simulate.forecast(models, sims, simulate.multiples(models))
+
+
 @query(S.holt_winters(holt_winters.FIXED))
 def holt_winters_fixed(spark, sf_dir):
     found = holt_winters.fit(_segments(spark, sf_dir), optimise=False)

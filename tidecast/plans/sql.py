@@ -39,6 +39,13 @@ lev AS (SELECT channel, campaign_type, '' AS campaign_id, revenue, spend, CASE W
  FROM (SELECT DISTINCT channel, campaign_type, campaign_id FROM features) o JOIN camp_rate c ON c.channel = o.channel AND c.campaign_id = o.campaign_id JOIN seg_rate s ON s.channel = o.channel AND s.campaign_type = o.campaign_type)"""
 
 
+#: Sums of segments, channels and all from part `sc`, and the rows of a forecast.
+ROLLED = """roll AS (SELECT coalesce(channel, 'blended') AS channel, coalesce(campaign_type, '') AS campaign_type, horizon_days, sim, sum(revenue) AS revenue, sum(spend) AS spend FROM sc GROUP BY GROUPING SETS ((channel, campaign_type, horizon_days, sim), (channel, horizon_days, sim), (horizon_days, sim))),
+pct AS (SELECT channel, campaign_type, horizon_days, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS r, max(spend) AS spend FROM roll GROUP BY ALL),
+rows_ AS (SELECT channel, campaign_type, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, horizon_days, 'roas', [r[1] / spend, r[2] / spend, r[3] / spend] FROM pct WHERE spend > 0)"""
+ROLLED_ROWS = "\nSELECT channel, campaign_type, '' AS campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, round(r[1], 4) AS p10, round(r[2], 4) AS p50, round(r[3], 4) AS p90 FROM "
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join((FEATURES_SQL, *parts)) + "\n"
 
@@ -85,15 +92,19 @@ def fitted(p: str, keys: str, source: str) -> str:
 {p}_pools AS (SELECT {keys}, list(residual ORDER BY x) AS pool FROM {p}_resid GROUP BY {keys})"""
 
 
+def pointed(p: str, keys: str, days: int) -> str:
+    """p_point (keys, k, point): trend, weekday and holiday of the parts of fitted()."""
+    return f"""{p}_pts AS (SELECT {keys}, k, CAST(last_train_date + CAST(k AS INTEGER) AS DATE) AS d, CAST(isodow(CAST(last_train_date + CAST(k AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow, greatest(0, start + slope * (n - 1) + slope * k) AS base FROM {p}_trend, (SELECT unnest(range(1, {days + 1})) AS k)),
+{p}_point AS (SELECT {keys}, k, base * factor * CASE WHEN {H.format('d')} THEN holiday_factor ELSE 1 END AS point FROM {p}_pts JOIN {p}_dows USING ({keys}, dow) JOIN {p}_holiday USING ({keys}))"""
+
+
 def simulated(p: str, keys: str, days: int, n_sims: int, horizons: list[int], scales: list[float] | None = None) -> str:
-    """p_sims (keys, scale, sim, horizon_days, revenue) from the parts of fitted(). Pools of BLOCK or
+    """p_sims (keys, scale, sim, horizon_days, revenue) from p_pools and p_point. Pools of BLOCK or
     fewer residuals are drawn singly."""
     names = keys.split(", ")
     block, single = draw("len(pool) - 6", "block", *names, "sim", "'simulate'", "42"), draw("len(pool)", "block * 7 + j", *names, "sim", "'simulate'", "42")
     return f"""{p}_drawn AS (SELECT {keys}, sim, block * 7 + j + 1 AS k, CASE WHEN len(pool) > 7 THEN pool[CAST({block} + j + 1 AS INTEGER)] ELSE pool[CAST({single} + 1 AS INTEGER)] END AS residual
  FROM {p}_pools, (SELECT unnest(range(0, {n_sims})) AS sim), (SELECT unnest(range(0, {-(-days // 7)})) AS block), (SELECT unnest(range(0, 7)) AS j) WHERE block * 7 + j + 1 <= {days}),
-{p}_pts AS (SELECT {keys}, k, CAST(last_train_date + CAST(k AS INTEGER) AS DATE) AS d, CAST(isodow(CAST(last_train_date + CAST(k AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow, greatest(0, start + slope * (n - 1) + slope * k) AS base FROM {p}_trend, (SELECT unnest(range(1, {days + 1})) AS k)),
-{p}_point AS (SELECT {keys}, k, base * factor * CASE WHEN {H.format('d')} THEN holiday_factor ELSE 1 END AS point FROM {p}_pts JOIN {p}_dows USING ({keys}, dow) JOIN {p}_holiday USING ({keys})),
 {p}_dayv AS (SELECT {keys}, scale, sim, k, greatest(0, point + residual * scale * CASE channel WHEN 'meta' THEN 1.3 ELSE 1.0 END) AS v FROM {p}_drawn JOIN {p}_point USING ({keys}, k), (SELECT unnest({scales or [1.0]}::DOUBLE[]) AS scale)),
 {p}_sims AS (SELECT {keys}, scale, sim, h AS horizon_days, sum(v) AS revenue FROM {p}_dayv, (SELECT unnest({horizons}) AS h) WHERE k <= h GROUP BY ALL)"""
 
@@ -104,13 +115,113 @@ train AS (SELECT channel, campaign_type, cutoff, date, revenue, spend FROM seg J
 actual AS (SELECT channel, campaign_type, cutoff, sum(revenue) AS actual FROM seg JOIN folds USING (channel, campaign_type) WHERE date > cutoff AND date <= cutoff + 30 GROUP BY ALL)"""
 
 
+FOLD = f"{SEG}, cutoff"
+METHODS = {"empirical": "bt", "holt_winters_fixed": "hw"}
+
+
+def fold_fits(count: int = 3) -> str:
+    return ",\n".join((folds(count), fitted("bt", FOLD, "train"), pointed("bt", FOLD, 30)))
+
+
+def scored(name: str, source: str) -> str:
+    """Part `name`, a row a fold, method and scale, from simulations with a method."""
+    loss = " + ".join(f"greatest({q} * (actual - p[{i}]), ({q} - 1) * (actual - p[{i}]))" for i, q in enumerate((0.1, 0.5, 0.9), 1))
+    return f"""{name}_pct AS (SELECT {FOLD}, method, scale, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS p FROM ({source}) GROUP BY ALL),
+{name} AS (SELECT {FOLD}, method, scale, actual, p[1] AS p10, p[2] AS p50, p[3] AS p90, abs(actual - p[2]) / greatest(actual, 1) * 100 AS ape,
+ ({loss}) / 3 AS pinball, actual BETWEEN p[1] AND p[3] AS covered FROM {name}_pct JOIN actual USING ({FOLD}))"""
+
+
+def sums(name: str, source: str) -> str:
+    means = "avg(ape) AS ape, avg(pinball) AS pinball, avg(CAST(covered AS INTEGER)) * 100 AS coverage"
+    return f"{name} AS (SELECT {SEG}, method, scale, count(*) AS n_folds, {means} FROM {source} GROUP BY ALL)"
+
+
 def scores(n_sims: int, count: int = 3, scales: list[float] | None = None) -> str:
-    keys = "channel, campaign_type, cutoff"
-    return with_(DAILY, folds(count), fitted("bt", keys, "train"), simulated("bt", keys, 30, n_sims, [30], scales)) + f""",
-pct AS (SELECT {keys}, scale, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS p FROM bt_sims GROUP BY ALL),
-score AS (SELECT {keys}, 'empirical' AS method, scale, actual, p[1] AS p10, p[2] AS p50, p[3] AS p90, abs(actual - p[2]) / greatest(actual, 1) * 100 AS ape,
- (greatest(0.1 * (actual - p[1]), (0.1 - 1) * (actual - p[1])) + greatest(0.5 * (actual - p[2]), (0.5 - 1) * (actual - p[2])) + greatest(0.9 * (actual - p[3]), (0.9 - 1) * (actual - p[3]))) / 3 AS pinball, actual BETWEEN p[1] AND p[3] AS covered FROM pct JOIN actual USING ({keys})),
-bysum AS (SELECT channel, campaign_type, method, scale, count(*) AS n_folds, avg(ape) AS ape, avg(pinball) AS pinball, avg(CAST(covered AS INTEGER)) * 100 AS coverage FROM score GROUP BY ALL)"""
+    sims = simulated("bt", FOLD, 30, n_sims, [30], scales)
+    return with_(DAILY, fold_fits(count), sims, scored("score", "SELECT *, 'empirical' AS method FROM bt_sims"), sums("bysum", "score")).rstrip()
+
+
+def calibrated(score: str, tuned_from: int, least_coverage: float) -> str:
+    """Part `calibration`: the scale of each segment, from part `score` with all scales."""
+    held = "WHERE scale = coalesce(chosen, 1.0) AND (NOT split.tuned OR NOT split.older)"
+    means = "round(avg(ape), 4) AS ape, round(avg(pinball), 4) AS pinball, round(avg(CAST(covered AS INTEGER)) * 100, 4) AS coverage"
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {SEG} ORDER BY cutoff) AS place, count(*) OVER (PARTITION BY {SEG}) AS total FROM folds),
+split AS (SELECT *, total >= {tuned_from} AS tuned, place <= total // 2 AS older FROM placed),
+older AS (SELECT {SEG}, scale, avg(CAST(covered AS INTEGER)) * 100 AS coverage FROM {score} JOIN split USING ({FOLD}) WHERE tuned AND older GROUP BY ALL),
+picked AS (SELECT {SEG}, coalesce(min(scale) FILTER (coverage >= {least_coverage}), arg_max(scale, coverage * 1000 - scale)) AS chosen FROM older GROUP BY ALL),
+held AS (SELECT s.*, split.tuned FROM {score} s JOIN split USING ({FOLD}) LEFT JOIN picked USING ({SEG}) {held}),
+calibration AS (SELECT {SEG}, method, scale, tuned, count(*) AS n_folds, {means} FROM held GROUP BY ALL)"""
+
+
+def smoothed(p: str, keys: str, window: str, fixed: tuple[float, float, float]) -> str:
+    """Parts p_path (keys, k, p), the next 120 days, and p_pools, by Holt-Winters of fixed weights: a
+    recursion over the days of `window`, whose statement must begin WITH RECURSIVE."""
+    a, b, g = fixed
+    season = ", ".join(f"y[{i}] - list_avg(y[1:7])" for i in range(1, 8))
+    fresh = f"{a} * (y[t + 1] - season[t % 7 + 1]) + (1 - {a}) * (level + slope) AS fresh"
+    return f"""{p}_ys AS (SELECT {keys}, list(y ORDER BY x) AS y, list(revenue ORDER BY x) AS raw FROM {window} GROUP BY ALL HAVING count(*) >= 14),
+{p}_step AS (SELECT {keys}, 0 AS t, list_avg(y[1:7]) AS level, (list_avg(y[8:14]) - list_avg(y[1:7])) / 7 AS slope, [{season}] AS season, CAST(NULL AS DOUBLE) AS fitted FROM {p}_ys
+ UNION ALL SELECT {keys}, t + 1, fresh, {b} * (fresh - level) + (1 - {b}) * slope, season[1:t % 7] || [{g} * (v - fresh) + (1 - {g}) * s] || season[t % 7 + 2:7], level + slope + s
+ FROM (SELECT {keys}, t, level, slope, season, season[t % 7 + 1] AS s, y[t + 1] AS v, {fresh} FROM {p}_step JOIN {p}_ys USING ({keys}) WHERE t < len(y))),
+{p}_ends AS (SELECT {keys}, t, level, slope, season FROM {p}_step JOIN {p}_ys USING ({keys}) WHERE t = len(y)),
+{p}_path AS (SELECT {keys}, k, greatest(0, level + slope * k + season[(t + k - 1) % 7 + 1]) AS p FROM {p}_ends, (SELECT unnest(range(1, 121)) AS k)),
+{p}_pools AS (SELECT {keys}, list(raw[t] - fitted ORDER BY t) AS pool FROM {p}_step JOIN {p}_ys USING ({keys}) WHERE t > 0 GROUP BY ALL)"""
+
+
+def chosen(name: str, keys: str, days: int, parts: dict[str, str]) -> str:
+    """Parts name_pools and name_point: those of the method that part `won` has for a segment."""
+    pools = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS method, pool FROM {p}_pools" for m, p in parts.items())
+    points = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS method, k, point FROM {p}_point" for m, p in parts.items())
+    own = f"JOIN won USING ({SEG}, method)"
+    return f"""{name}_pools AS (SELECT {keys}, method, pool FROM ({pools}) {own}),
+{name}_point AS (SELECT {keys}, k, point FROM ({points}) {own} WHERE k <= {days})"""
+
+
+def contest(n_sims: int, fixed: tuple[float, float, float], count: int = 3, scales: list[float] | None = None) -> str:
+    """Part `ranked`: both methods of every segment on the same folds, the three newest; `won`: the
+    winners, at scale 1. Part `trial` has all `count` cutoffs and scales."""
+    both = " UNION ALL ".join(f"SELECT *, '{m}' AS method FROM {p}_sims" for m, p in METHODS.items())
+    every = f"SELECT DISTINCT {SEG}, method FROM seg, (SELECT unnest({list(METHODS)}) AS method)"
+    parts = (
+        DAILY,
+        fold_fits(count),
+        smoothed("hw", FOLD, "bt_win", fixed),
+        f"hw_point AS (SELECT {FOLD}, k, p AS point FROM hw_path)",
+        *(simulated(p, FOLD, 30, n_sims, [30], scales) for p in METHODS.values()),
+        scored("trial", both),
+        f"newest AS (SELECT * FROM trial JOIN (SELECT {SEG}, max(date) AS b FROM seg GROUP BY ALL) USING ({SEG}) WHERE cutoff >= b - 90 AND scale = 1)",
+        sums("trials", "newest"),
+        f"ranked AS (SELECT {SEG}, method, n_folds, ape, pinball, coverage, row_number() OVER (PARTITION BY {SEG} ORDER BY pinball IS NULL, pinball, method <> 'empirical', method) = 1 AS winner FROM ({every}) LEFT JOIN trials USING ({SEG}, method))",
+        f"won AS (SELECT {SEG}, method FROM ranked WHERE winner)",
+    )
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+
+
+def calibrated_winners(n_sims: int, fixed: tuple[float, float, float], count: int, scales: list[float], tuned_from: int, least_coverage: float) -> str:
+    """Part `calibration` of the contest's winners, each by its own method."""
+    own = f"own AS (SELECT trial.* FROM trial JOIN won USING ({SEG}, method))"
+    return ",\n".join((contest(n_sims, fixed, count, scales), own, calibrated("own", tuned_from, least_coverage)))
+
+
+def trained(calibration: str, fixed: tuple[float, float, float], resamples: int) -> str:
+    """Part `model`: segments by their winners, with spread and elasticity; f_ and g_ are all days' fits."""
+    return f"""{calibration},
+{fitted("f", SEG, "seg")},
+{pointed("f", SEG, 90)},
+{smoothed("g", SEG, "f_win", fixed)},
+g_point AS (SELECT {SEG}, k, p AS point FROM g_path),
+{ELASTIC},
+{RECENT},
+{boot(resamples)},
+model AS (SELECT channel, campaign_type, w.method, slope, start + slope * (n - 1) AS level_at_end, holiday_factor, avg_spend, avg_revenue, beta, low_confidence, coalesce(scale, 1.0) AS calibration_scale, tuned, c.coverage AS held_out_coverage, coalesce(scale, 1.0) * CASE channel WHEN 'meta' THEN 1.3 ELSE 1.0 END AS spread
+ FROM won w JOIN f_trend USING ({SEG}) JOIN f_holiday USING ({SEG}) JOIN recent USING ({SEG}) JOIN boot USING ({SEG}) LEFT JOIN calibration c USING ({SEG}))"""
+
+
+def trained_rollup(models: str, n_sims: int) -> str:
+    """Forecasts of trained segments, of channels and of all, at their present spend."""
+    own = f"fin_pools AS (SELECT {SEG}, list_transform(pool, lambda r: r * calibration_scale) AS pool FROM all_pools JOIN model USING ({SEG})), fin_point AS (SELECT * FROM all_point)"
+    spent = f"sc AS (SELECT {SEG}, sim, horizon_days, revenue, avg_spend * horizon_days AS spend FROM fin_sims JOIN model USING ({SEG}))"
+    return ",\n".join((models, chosen("all", SEG, 90, {"empirical": "f", "holt_winters_fixed": "g"}), own, simulated("fin", SEG, 90, n_sims, [30, 60, 90]), spent, ROLLED)) + ROLLED_ROWS + "rows_"
 
 
 def boot(resamples: int) -> str:
@@ -126,10 +237,7 @@ def forecast(n_sims: int, resamples: int, multiple: str = "1.0", where: str = "t
     return with_(DAILY, WINDOW, TREND, DOW, HOLIDAY, RESIDUAL, ELASTIC, RECENT, boot(resamples), paths(n_sims)) + f""", mult AS (SELECT r.channel, r.campaign_type, avg_spend, CAST({multiple} AS DOUBLE) AS m, CASE WHEN low_confidence THEN 1 ELSE beta END AS beta FROM recent r JOIN boot e ON e.channel = r.channel AND e.campaign_type = r.campaign_type),
 resp AS (SELECT channel, campaign_type, avg_spend * m AS daily, CASE WHEN m <= 0 THEN 0 WHEN m = 1 THEN 1 WHEN m < 1 THEN pow(m, beta) ELSE 1 + (pow(m, beta) - 1) / (1 + 0.5 * (pow(m, beta) - 1)) END AS scale FROM mult),
 sc AS (SELECT s.channel, s.campaign_type, s.sim, s.horizon_days, s.revenue * scale AS revenue, daily * s.horizon_days AS spend FROM sims s JOIN resp r ON r.channel = s.channel AND r.campaign_type = s.campaign_type),
-roll AS (SELECT coalesce(channel, 'blended') AS channel, coalesce(campaign_type, '') AS campaign_type, horizon_days, sim, sum(revenue) AS revenue, sum(spend) AS spend FROM sc GROUP BY GROUPING SETS ((channel, campaign_type, horizon_days, sim), (channel, horizon_days, sim), (horizon_days, sim))),
-pct AS (SELECT channel, campaign_type, horizon_days, quantile_cont(revenue, [0.1, 0.5, 0.9]) AS r, max(spend) AS spend FROM roll GROUP BY ALL),
-rows_ AS (SELECT channel, campaign_type, horizon_days, 'revenue' AS metric, r FROM pct UNION ALL SELECT channel, campaign_type, horizon_days, 'roas', [r[1] / spend, r[2] / spend, r[3] / spend] FROM pct WHERE spend > 0)
-SELECT channel, campaign_type, '' AS campaign_id, CAST(horizon_days AS INTEGER) AS horizon_days, metric, round(r[1], 4) AS p10, round(r[2], 4) AS p50, round(r[3], 4) AS p90 FROM rows_ WHERE {where}"""
+{ROLLED}{ROLLED_ROWS}rows_ WHERE {where}"""
 
 
 def priced(n_sims: int, resamples: int) -> str:
@@ -171,17 +279,10 @@ retro AS (SELECT d.cutoff, d.channel AS donor_channel, d.campaign_type AS donor_
 
 
 def holt_winters(fixed: tuple[float, float, float]) -> str:
-    """Fixed weights, by recursion over the window's days."""
-    a, b, g = fixed
-    seg = "channel, campaign_type"
-    return (with_(DAILY, WINDOW) + f""", ys AS (SELECT {seg}, list(y ORDER BY x) AS y, list(revenue ORDER BY x) AS raw FROM win GROUP BY ALL HAVING count(*) >= 14),
-step AS (SELECT {seg}, 0 AS t, list_avg(y[1:7]) AS level, (list_avg(y[8:14]) - list_avg(y[1:7])) / 7 AS slope, [y[1] - list_avg(y[1:7]), y[2] - list_avg(y[1:7]), y[3] - list_avg(y[1:7]), y[4] - list_avg(y[1:7]), y[5] - list_avg(y[1:7]), y[6] - list_avg(y[1:7]), y[7] - list_avg(y[1:7])] AS season, CAST(NULL AS DOUBLE) AS fitted FROM ys
- UNION ALL SELECT {seg}, t + 1, fresh, {b} * (fresh - level) + (1 - {b}) * slope, season[1:t % 7] || [{g} * (v - fresh) + (1 - {g}) * s] || season[t % 7 + 2:7], level + slope + s
- FROM (SELECT {seg}, t, level, slope, season, season[t % 7 + 1] AS s, y[t + 1] AS v, {a} * (y[t + 1] - season[t % 7 + 1]) + (1 - {a}) * (level + slope) AS fresh FROM step JOIN ys USING ({seg}) WHERE t < len(y))),
-ends AS (SELECT s.channel, s.campaign_type, t, level, slope, season FROM step s JOIN ys USING ({seg}) WHERE t = len(y)),
-ahead AS (SELECT {seg}, k, greatest(0, level + slope * k + season[(t + k - 1) % 7 + 1]) AS p FROM ends, (SELECT unnest(range(1, 121)) AS k)),
-rest AS (SELECT {seg}, sum(raw[t] - fitted) AS pool_sum FROM step JOIN ys USING ({seg}) WHERE t > 0 GROUP BY ALL)
-SELECT {seg}, CAST({a} AS DOUBLE) AS alpha, CAST({b} AS DOUBLE) AS beta, CAST({g} AS DOUBLE) AS gamma, round(max(p) FILTER (k = 1), 2) AS day_1, round(max(p) FILTER (k = 30), 2) AS day_30, round(max(p) FILTER (k = 120), 2) AS day_120, round(sum(p), 2) AS path_sum, round(max(pool_sum), 2) AS pool_sum FROM ahead JOIN rest USING ({seg}) GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)
+    weights = ", ".join(f"CAST({w} AS DOUBLE) AS {n}" for w, n in zip(fixed, ("alpha", "beta", "gamma"), strict=True))
+    days = ", ".join(f"round(max(p) FILTER (k = {k}), 2) AS day_{k}" for k in (1, 30, 120))
+    chain = with_(DAILY, WINDOW, smoothed("hw", SEG, "win", fixed)).replace("WITH ", "WITH RECURSIVE ", 1)
+    return chain + f"SELECT {SEG}, {weights}, {days}, round(sum(p), 2) AS path_sum, round(max(list_sum(pool)), 2) AS pool_sum FROM hw_path JOIN hw_pools USING ({SEG}) GROUP BY ALL"
 
 
 CAMP = "channel, campaign_id"
