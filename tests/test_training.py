@@ -186,3 +186,33 @@ def test_elasticities_at_cutoffs_are_those_of_what_was_known(spark):
             assert got[cutoff, r["channel"], r["campaign_type"]]["n_days"] == r["n"]
     assert got.keys() == seen and any(r["roas_after"] is None for r in got.values())
     stages.release()
+
+
+def test_trained_segments_forecast_by_their_winners(spark, tmp_path):
+    """Against loops: the winner's path and residuals, spread by the calibrated scale."""
+    stages, n_sims = Stages(spark, str(tmp_path / "run")), 50
+    daily = stages.keep("series", series.daily(facts(spark)))
+    won = stages.keep("contest", backtest.select_method(daily, n_sims, methods.FIXED_METHODS))
+    models = stages.keep("segments", train.segments(daily, won, stages, n_sims, 20, methods.FIXED_METHODS))
+    scales = {(r["channel"], r["campaign_type"]): r["scale"] for r in backtest.calibrate(daily, n_sims, won, methods.FIXED_METHODS).collect()}
+    by_method = {name: {(r["channel"], r["campaign_type"]): r for r in fitted(daily).collect()} for name, fitted in methods.FIXED_METHODS.items()}
+    sims = simulate.simulate(models, series.SEGMENT, (30,), n_sims, F.col("spread"))
+    told = {(r["channel"], r["campaign_type"]): r for r in simulate.forecast(models, sims, simulate.multiples(models)).where("metric = 'revenue'").collect()}
+    chosen = {(r["channel"], r["campaign_type"]): r["method"] for r in won.collect()}
+    assert len(chosen) == 4 and set(scales.values()) <= set(X.SCALES)
+    total = np.zeros(n_sims)
+    for key, name in chosen.items():
+        row = by_method[name][key]
+        ahead = [row["last_train_date"] + dt.timedelta(k) for k in range(1, 31)]
+        trend = [max(0, row["level_at_end"] + row["slope"] * k) * row["dow"][d.weekday()] * (row["holiday_factor"] if (11, 20) <= (d.month, d.day) <= (12, 31) else 1) for k, d in enumerate(ahead, 1)]
+        points, pool = np.array(trend if name == "empirical" else row["path"][:30]), np.array(row["pool"])
+        sums = np.zeros(n_sims)
+        for sim in range(n_sims):
+            begin = X.streams("|".join(key), [sim], "simulate", X.SEED)
+            at = X.drawn(begin, np.arange(-(-30 // X.BLOCK))) % (len(pool) - X.BLOCK + 1)
+            noise = np.concatenate([pool[a : a + X.BLOCK] for a in at])[:30]
+            sums[sim] = np.maximum(0, points + noise * scales[key] * X.CHANNEL_INFLATION.get(key[0], 1.0)).sum()
+        total += sums
+        assert [told[key][p] for p in ("p10", "p50", "p90")] == pytest.approx(np.quantile(sums, simulate.PERCENT).tolist(), abs=1e-3)
+    assert [told["blended", ""][p] for p in ("p10", "p50", "p90")] == pytest.approx(np.quantile(total, simulate.PERCENT).tolist(), abs=1e-3)
+    stages.release()
