@@ -7,7 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import coldstart, narrative, reports, requests, validate
+from tidecast.functions.expressions import rounded
+from tidecast.operators import coldstart, narrative, reports, requests, simulate, validate
 from tidecast.sources import channels
 from tidecast.sources.store import Snapshots
 from tidecast.streaming import live
@@ -54,6 +55,20 @@ def test_other_parts(spark):
     assert len(got) == 4 and got[0]["statement"].startswith("Move $12 a day from a/x to b/y: revenue of 90 days +20.0 %") and got[3]["statement"] == "Or from a/x to b/y (+20.0 %)."
 
 
+def test_numbers_are_written_as_sql_writes_them(spark):
+    """Halves of exact values go to even, and a small loss keeps its sign when it rounds to zero."""
+    idle = spark.sql("SELECT 'bing' AS channel, 16 AS n_campaigns, 5 AS n_zero, 1234.0D AS wasted_spend, 0.3125D AS zero_share")
+    assert "(31.2 %)" in narrative.idle_money(idle).first()["statement"]
+    found = spark.sql("SELECT 'bing' AS channel, '2' AS campaign_id, 'y' AS campaign_name, 1234.125D AS roas, 2.5D AS z_score")
+    assert "returns 1234.12," in narrative.outliers(found).first()["statement"]
+    forecast = lambda p50: spark.sql(f"SELECT 'blended' AS channel, 30 AS horizon_days, 'revenue' AS metric, {p50}D AS p50")
+    moved = simulate.moved(forecast(1000000.0), forecast(999990.0))
+    assert str(moved.first()["change_pct"]) == "-0.0"
+    assert "changes by -0.0 % (" in narrative.scenarios(moved).first()["statement"]
+    told = spark.sql("SELECT -0.03D AS loss, 0.03D AS gain, -0.25D AS half").select(*[rounded(F.col(c), 1) for c in ("loss", "gain", "half")]).first()
+    assert [str(v) for v in told] == ["-0.0", "0.0", "-0.3"]
+
+
 def test_report_and_its_writers(spark):
     empty = narrative.statements(spark)
     assert narrative.report(empty)["text"].startswith("There is too little history")

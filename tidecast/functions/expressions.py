@@ -45,6 +45,12 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """round(), with the sign of what rounds to zero: a small loss is -0.0, as in SQL."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def response(multiple: Column, beta: Column, gamma: float = HILL_GAMMA) -> Column:
     """How revenue follows a multiple of spend: a power below 1, saturating above."""
     power = F.pow(multiple, beta)

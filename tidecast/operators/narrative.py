@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidecast.functions.expressions import rounded
 from tidecast.operators import stats, validate
 from tidecast.operators.stats import PERIOD, Z
 
@@ -32,8 +33,19 @@ def _money(column: str) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.col(column), 0))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """As printf writes it: of the number's exact value, halves to even (31.25: 31.2), and with the sign of what
+    rounds to zero. format_string rounds the number's shortest text instead (31.3)."""
+    return F.translate(F.format_number(x.cast("double"), digits), ",", "")
+
+
 def _number(column: str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(column).cast("double"))
+    return _fixed(F.col(column), digits)
+
+
+def _change(column: str) -> Column:
+    text = _fixed(rounded(F.col(column), 1), 1)
+    return F.concat(F.when(text.startswith("-"), "").otherwise("+"), text, F.lit(" %"))
 
 
 def _rows(df: DataFrame, part: int, order: list[Column], statement: Column, risk: Column | None = None) -> DataFrame:
@@ -46,7 +58,7 @@ def changes(deltas: DataFrame) -> DataFrame:
     """deltas: as from stats.period_deltas; the largest rise first."""
     pct = F.col("revenue_change_pct")
     way = F.when(pct >= 0, "rose").otherwise("fell")
-    said = F.concat(_name("channel"), F.lit(": revenue "), way, F.lit(" "), F.format_string("%.1f", F.abs(pct)), F.lit(f" % in the last {PERIOD} days, to "), _money("now_revenue"), F.lit(" from "), _money("then_revenue"), F.lit("."))
+    said = F.concat(_name("channel"), F.lit(": revenue "), way, F.lit(" "), _fixed(F.abs(pct), 1), F.lit(f" % in the last {PERIOD} days, to "), _money("now_revenue"), F.lit(" from "), _money("then_revenue"), F.lit("."))
     risk = F.when(pct < DECLINE, F.concat(F.lit("Revenue of "), _name("channel"), F.lit(f" fell by more than {-DECLINE:.0f} % against the period before.")))
     return _rows(deltas.where(pct.isNotNull()), 1, [F.coalesce(pct, F.lit(0.0)).desc(), F.col("channel")], said, risk)
 
@@ -83,7 +95,7 @@ def unreliable(reliability: DataFrame) -> DataFrame:
 
 
 def idle_money(risk: DataFrame) -> DataFrame:
-    share = F.format_string("%.1f", F.col("zero_share") * 100)
+    share = _fixed(F.col("zero_share") * 100, 1)
     said = F.concat(_name("channel"), F.lit(": "), F.col("n_zero").cast("string"), F.lit(" of "), F.col("n_campaigns").cast("string"), F.lit(" campaigns with spend ("), share, F.lit(" %) never earned, for "), _money("wasted_spend"), F.lit("."))
     return _rows(risk, 6, [F.col("zero_share").desc(), F.col("channel")], said, F.concat(F.lit("Trust forecasts of "), _name("channel"), F.lit(" only once its campaigns without revenue are explained.")))
 
@@ -98,7 +110,7 @@ def checks(summary: DataFrame, campaigns: DataFrame) -> DataFrame:
 def advice(recommendations: DataFrame) -> DataFrame:
     """recommendations: as from recommend.finalists; the first in full, the next three in short."""
     placed = recommendations.withColumn("at", F.row_number().over(Window.orderBy(F.desc_nulls_last("revenue_delta"), "place")))
-    change = F.concat(F.format_string("%+.1f", F.col("delta_pct")), F.lit(" %"))
+    change = _change("delta_pct")
     move = F.concat(_name("donor_channel", "donor_type"), F.lit(" to "), _name("receiver_channel", "receiver_type"))
     first = F.concat(F.lit("Move "), _money("shift_daily"), F.lit(" a day from "), move, F.lit(": revenue of "), F.col("horizon_days").cast("string"), F.lit(" days "), change, F.lit(" ("), _money("base"), F.lit(" to "), _money("moved"), F.lit("), return "), _number("base_roas", 2), F.lit(" to "), _number("moved_roas", 2), F.lit(", confidence "), F.col("confidence"), F.lit("."))
     other = F.concat(F.lit("Or from "), move, F.lit(" ("), change, F.lit(")."))
@@ -107,7 +119,7 @@ def advice(recommendations: DataFrame) -> DataFrame:
 
 def scenarios(moved: DataFrame) -> DataFrame:
     """moved: (horizon_days, metric, baseline, scenario, change_pct); revenue is told."""
-    said = F.concat(F.lit("In the scenario, revenue of "), F.col("horizon_days").cast("string"), F.lit(" days changes by "), F.format_string("%+.1f", F.col("change_pct")), F.lit(" % ("), _money("baseline"), F.lit(" to "), _money("scenario"), F.lit(")."))
+    said = F.concat(F.lit("In the scenario, revenue of "), F.col("horizon_days").cast("string"), F.lit(" days changes by "), _change("change_pct"), F.lit(" ("), _money("baseline"), F.lit(" to "), _money("scenario"), F.lit(")."))
     return _rows(moved.where("metric = 'revenue' and change_pct is not null"), 9, [F.col("horizon_days")], said)
 
 

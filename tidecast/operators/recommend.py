@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.functions.expressions import MIN_DONOR_SPEND, MOST_RECEIVER, N_SIMS, POOL, SEARCH_SIMS, SHIFT, TOP, response
+from tidecast.functions.expressions import MIN_DONOR_SPEND, MOST_RECEIVER, N_SIMS, POOL, SEARCH_SIMS, SHIFT, TOP, response, rounded
 from tidecast.operators import fit
 from tidecast.operators.series import SEGMENT, daily
 from tidecast.operators.simulate import scenario_beta
@@ -64,7 +64,7 @@ def finalists(models: DataFrame, candidates: DataFrame, sims: DataFrame, horizon
     told = again.join(chosen.select(*PAIR, "place", F.round("shift", 2).alias("shift_daily"), *MULTIPLES), list(PAIR)).join(side("donor"), list(PAIR[:2])).join(side("receiver"), list(PAIR[2:]))
     return told.select(
         "place", *PAIR, "shift_daily", *[f"{p}_{c}" for p in ("donor", "receiver") for c in ("beta", "ci_low", "ci_high")], F.lit(horizon).alias("horizon_days"), F.round("base", 2).alias("base"), F.round("moved", 2).alias("moved"),
-        F.round("revenue_delta", 2).alias("revenue_delta"), F.round("delta_pct", 1).alias("delta_pct"), F.round("base_roas", 2).alias("base_roas"), F.round("moved_roas", 2).alias("moved_roas"), F.lit("high").alias("confidence"), *MULTIPLES,
+        rounded(F.col("revenue_delta"), 2).alias("revenue_delta"), rounded(F.col("delta_pct"), 1).alias("delta_pct"), F.round("base_roas", 2).alias("base_roas"), F.round("moved_roas", 2).alias("moved_roas"), F.lit("high").alias("confidence"), *MULTIPLES,
     )
 
 

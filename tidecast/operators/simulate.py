@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, drawn, is_holiday, key_text, response, streams
+from tidecast.functions.expressions import BLOCK, CHANNEL_INFLATION, HORIZONS, N_SIMS, SEED, drawn, is_holiday, key_text, response, rounded, streams
 
 ROLLUP = ("channel", "campaign_type", "campaign_id")
 
@@ -209,4 +209,4 @@ def moved(base: DataFrame, scenario: DataFrame) -> DataFrame:
     """(horizon_days, metric, baseline, scenario, change_pct): blended medians of two forecasts."""
     blended = lambda df, name: df.where("channel = 'blended'").select("horizon_days", "metric", F.col("p50").alias(name))
     both = blended(base, "baseline").join(blended(scenario, "scenario"), ["horizon_days", "metric"])
-    return both.withColumn("change_pct", F.when(F.col("baseline") > 0, F.round((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))
+    return both.withColumn("change_pct", F.when(F.col("baseline") > 0, rounded((F.col("scenario") - F.col("baseline")) / F.col("baseline") * 100, 2)))
