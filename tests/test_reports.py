@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.expressions import rounded
 from tidecast.operators import coldstart, narrative, reports, requests, simulate, validate
-from tidecast.sources import channels
+from tidecast.plans import registry
+from tidecast.sources import adaptors, channels
 from tidecast.sources.store import Snapshots
 from tidecast.streaming import live
 
@@ -69,6 +70,14 @@ def test_numbers_are_written_as_sql_writes_them(spark):
     assert [str(v) for v in told] == ["-0.0", "0.0", "-0.3"]
 
 
+def test_parts_are_not_broadcast(spark):
+    """They grow with the tables, and all queries of facts join them; each check would hold them on the driver anew."""
+    plan = adaptors.features(spark, "/root/testdata/sf0.001", extra=True)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    plan = registry.val_channels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan  # facts are joined once, not by each check
+
+
 def test_report_and_its_writers(spark):
     empty = narrative.statements(spark)
     assert narrative.report(empty)["text"].startswith("There is too little history")

@@ -49,6 +49,11 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Stages(spark).keep("series", series.daily(features(spark, sf_dir)))
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table with clicks and budgets: written, as each check reads it."""
+    return Stages(spark).keep("facts", features(spark, sf_dir, extra=True))
+
+
 NORMAL = "channel, campaign_id, campaign_name, campaign_type, conversions, revenue_is_imputed, funnel_stage, round(spend, 4) AS spend, round(revenue, 4) AS revenue"
 
 
@@ -239,12 +244,12 @@ def val_raw_report(spark, sf_dir):
 
 @query(S.with_(S.ISSUES) + f"SELECT k.issue, count(iss.issue) AS n_issues FROM (SELECT unnest({list(validate.CHECKS)}) AS issue) k LEFT JOIN iss ON iss.issue = k.issue GROUP BY ALL")
 def val_summary(spark, sf_dir):
-    return validate.summary(features(spark, sf_dir, extra=True))
+    return validate.summary(_facts(spark, sf_dir))
 
 
 @query(S.with_(S.ISSUES) + "SELECT channel, campaign_id, issue, amount, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY channel, issue ORDER BY campaign_id, amount) AS place FROM iss) WHERE place <= 5")
 def issue_examples(spark, sf_dir):
-    return validate.examples(features(spark, sf_dir, extra=True))
+    return validate.examples(_facts(spark, sf_dir))
 
 
 @query(S.with_() + """, o AS (SELECT max(date) AS origin FROM features),
@@ -574,7 +579,7 @@ def coverage_mean(spark, sf_dir):
 @query(S.with_(S.ISSUES) + """, c AS (SELECT channel, count(DISTINCT campaign_id) AS n_campaigns, count(*) AS n_rows FROM features GROUP BY channel)
 SELECT c.channel, n_campaigns, n_rows, count(iss.issue) AS n_issues FROM c LEFT JOIN iss ON iss.channel = c.channel GROUP BY ALL""")
 def val_channels(spark, sf_dir):
-    return validate.channels(features(spark, sf_dir, extra=True))
+    return validate.channels(_facts(spark, sf_dir))
 
 
 @query(S.with_() + "SELECT channel, campaign_id, count(*) AS n_days_over, round(max((spend - daily_budget) / daily_budget * 100), 1) AS max_overspend_pct FROM features WHERE daily_budget > 0 AND spend > daily_budget * 1.05 GROUP BY ALL")
@@ -633,7 +638,7 @@ TOLD = "\nSELECT part, CAST(place AS INTEGER) AS place, statement, risk FROM tol
 @query(NARRATIVE + TOLD)
 def narrative_statements(spark, sf_dir):
     """What can be said of the facts alone; forecasts add their own statements."""
-    facts = Stages(spark).keep("facts", features(spark, sf_dir, extra=True))
+    facts = _facts(spark, sf_dir)
     return narrative.tell(spark, narrative.gather(facts))
 
 

@@ -12,7 +12,8 @@ from tidecast.sources.channels import RAW
 def features(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_brand", "p_name", "p_retailprice")
-    joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
+    # parts grow with the tables and unpack to many times their files' size: never broadcast
+    joined = lines.join(parts.hint("shuffle_hash"), lines["l_partkey"] == parts["p_partkey"])
     channel = F.when(F.col("l_returnflag") == "A", "bing").when(F.col("l_returnflag") == "N", "google").otherwise("meta")
     name = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("remarketing_"), "p_name")).otherwise(F.col("p_name"))
     more = [(F.col("l_quantity") * 3).cast("int").alias("clicks"), F.col("p_retailprice").alias("daily_budget"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 30).cast("int").alias("impressions")] if extra else []
