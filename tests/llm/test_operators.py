@@ -69,6 +69,16 @@ def test_links_are_followed_to_their_end(spark):
     assert sorted(tuple(r) for r in parity_join.jumped(up).collect()) == [*((i + 1, 0) for i in range(40)), (100, 99)]
 
 
+def test_heads_meet_only_classes_within_the_bounds(spark):
+    """Classes that share a block but differ in more bits than links may make no pairs."""
+    words = [f"w{i}" for i in range(parity_join.NARROW // 64)]
+    own = ", ".join(f"(0L - CASE WHEN id < 50 THEN 0L ELSE id % 2 END) AS {w}" for w in words)  # 50 alike, 50 half of them far
+    rows = spark.sql(f"SELECT 7L AS key, id AS cls, id AS root, 100L AS n, {own} FROM range(100)")
+    pairs = [tuple(r) for r in parity_join.with_heads(rows, parity_join.PERCENT).collect()]
+    far = lambda c: c >= 50 and c % 2
+    assert pairs and all(bool(far(a)) == bool(far(b)) for a, b in pairs)
+
+
 def test_passages_in_many_documents_lose_no_link(spark, monkeypatch):
     """Blocks over FULL, of a common passage and of near copies in a chain, against all pairs."""
     monkeypatch.setattr(parity_join, "FULL", 4)

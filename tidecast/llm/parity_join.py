@@ -239,14 +239,16 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def with_heads(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of HEADS classes of each key and its other classes of other roots and a size that may
-    link. A class that is a head of one key is likely that of others too, so that keys of the same classes
-    share pairs."""
-    dealt = rows.select("key", "cls", "root", "n").repartition("key")
+    """Pairs (a, b) of HEADS classes of each key and its other classes of other roots, within the bounds, which
+    the join itself tests: classes that share a passage alone make no pair. A class that is a head of one key
+    is likely that of others too, so that keys of the same classes share pairs."""
+    bounds = ["n", *[f"w{i}" for i in range(NARROW // 64)]]
+    dealt = rows.select("key", "cls", "root", *bounds).repartition("key")
     turn = F.pmod(F.xxhash64("cls", F.lit("turn")), F.lit(HEADS)).alias("turn")
-    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root", "n")).alias("head"))
-    met = dealt.join(heads, "key").where(f"root <> head.root AND 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
-    return met.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b")).distinct()
+    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root", *bounds)).alias("head")).select("key", "head.*")
+    x, y = dealt.alias("x"), heads.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
+    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def rare_keys(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most_common: int = MOST_COMMON) -> DataFrame:
@@ -320,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     # full blocks that hold several groups, with many heads each
     left = cut(in_blocks(named(shared.select("key", "cls", F.col("cls").alias("root")), labels, "root")).drop("lead"), "blocks")
     discard(shared)
-    second = checked(bounded(with_heads(left.where(F.col("m") > FULL).join(classes.select("cls", "n"), "cls"), percent)))
+    second = checked(with_heads(left.where(F.col("m") > FULL).join(brief, "cls"), percent))
     labels = merged(labels, connected(named(second, labels, "a", "b")))
 
     # blocks that stay open: those of a few classes as they are, the others by rare tokens
