@@ -91,6 +91,20 @@ def test_a_third_method_takes_part_and_wins(spark):
     assert {r["method"] for r in backtest.calibrate(daily, 20, spark.createDataFrame(won).select(*series.SEGMENT, "method"), three).collect()} == {"oracle"}
 
 
+def test_training_reads_its_facts_once(spark, tmp_path):
+    """All stages go on from sums by day, which don't grow with the rows of a fact table."""
+    rows, read = facts(spark), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    trained = train.train(rows.mapInArrow(counted, rows.schema), Stages(spark, str(tmp_path / "run")), n_sims=10, resamples=5, methods={methods.DEFAULT: methods.empirical})
+    assert read.value == rows.count()
+    assert trained.campaigns.count() == 8
+
+
 def test_training_run(spark, tmp_path):
     stages = Stages(spark, str(tmp_path / "run"))
     trained = train.train(facts(spark), stages, n_sims=40, resamples=20)

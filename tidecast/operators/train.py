@@ -28,8 +28,15 @@ class Trained:
     campaigns: DataFrame
 
 
+def by_day(features: DataFrame) -> DataFrame:
+    """Revenue and spend of each campaign of a segment and day, nulls as groups of their own: what training
+    reads of a fact table. It grows with campaigns and days, not with rows."""
+    return features.groupBy(*ROLLUP, "date").agg(F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
+
+
 def train(features: DataFrame, stages: Stages, n_sims: int = N_SIMS, resamples: int = ELASTICITY_BOOTSTRAPS, methods: dict[str, FitMethod] | None = None) -> Trained:
     """Models of all segments and campaigns of a fact table."""
+    features = stages.keep("by-day", by_day(features))  # stages below read it eight times
     series = stages.keep("segment-series", daily(features))
     contest = stages.keep("contest", backtest.select_method(series, n_sims, methods))
     parents = stages.keep("segments", segments(series, contest, stages, n_sims, resamples, methods))
