@@ -30,8 +30,9 @@ def _carried(docs: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     machine = quality_classifier.trained(spark, sf_dir, quality_classifier.with_n_chars(docs))
-    scored = quality_classifier.score(_carried(docs), machine)
-    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select("doc_.*")
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    score = quality_classifier.score_of(spark, machine, F.col("text"), n_chars)
+    return docs.where(score >= quality_classifier.THRESHOLD)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

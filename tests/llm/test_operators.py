@@ -310,6 +310,20 @@ def test_quality_classifier(spark, docs, empty):
     assert nothing.score([b"x"], [None])[0] == 0.5
 
 
+def test_scores_alone_come_back_from_python(spark, docs):
+    """Texts go to Python once, without the other columns, and nothing but scores comes back; words kept are few."""
+    machine = quality_classifier.fit(docs.select("doc_id", "text", "n_chars"), spark.createDataFrame([], "doc_id long, label int"))
+    scored = quality_classifier.score(docs.select(F.struct("*").alias("doc_"), "text", "n_chars"), machine)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert scored.columns == ["doc_", "text", "n_chars", "score"]
+    texts, n_chars = zip(*[((r["text"] or "").encode(), r["n_chars"]) for r in scored.collect()])
+    assert [r["score"] for r in scored.collect()] == pytest.approx(list(machine.score(list(texts), list(n_chars))))
+    quality_classifier.buckets([b"w%d" % i for i in range(200_000)])
+    quality_classifier.buckets([b"one"])
+    assert len(quality_classifier._bucket) == 1
+
+
 def test_factor_machine_against_all_pairs():
     """Machine.score against the sum over all pairs of features."""
     rng = np.random.default_rng(0)

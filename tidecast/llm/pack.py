@@ -33,8 +33,8 @@ from tidecast.llm.common import cut, plus, slices, table
 
 WIDTH = 2048
 END_ID = 0
-#: Words kept with their ids by each Python worker.
-CACHE = 300_000
+#: Words kept with their ids by each Python worker. More take longer, as they leave the CPU's caches.
+CACHE = 50_000
 #: A space between white space, or between white space and the end: there the
 #: text's pieces can't be tokenized one by one.
 _LONG_GAP = re.compile(r"\s (?=\s|$)|\s\s\Z")

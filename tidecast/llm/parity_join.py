@@ -58,7 +58,6 @@ PART = 512
 #: Sizes at which bands end: the least, and the ratio from one to the next (over 100 / PERCENT).
 FIRST_BAND, BAND_RATIO = 32, 1.5
 _MIX = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_hashes: dict[bytes, int] = {}
 
 
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
@@ -66,12 +65,7 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    for w in words:
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1)
     long = min(width, len(words))
     total = np.full(n, long, np.uint64)

@@ -15,13 +15,14 @@ extra columns are ignored, and a table without `n_chars` counts as one with null
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import SPACES, drawn, plus, remainder, slices, table
+from tidecast.llm.common import SPACES, drawn, remainder, slices, table
 
 BUCKETS, FACTORS = 4096, 8
 #: Labelled rows of each kind that the machine is fitted on, about; all rows are scored.
@@ -43,11 +44,13 @@ def statistics(text: bytes, words: list[bytes], n_chars: int | None) -> np.ndarr
     return np.append(share, more).astype(np.float32)
 
 
+#: Words kept with their buckets by each Python worker. More take longer, as they leave the CPU's caches.
+CACHE = 50_000
 _bucket: dict[bytes, int] = {}
 
 
 def buckets(words: list[bytes]) -> list[int]:
-    if len(_bucket) > 500_000:
+    if len(_bucket) > CACHE:
         _bucket.clear()
     out = []
     for w in words:
@@ -150,17 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     return Machine(stats, words, y, weight)
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """Add `score` to docs, which have text and n_chars. The machine is broadcast: its size is fixed."""
-    held = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
+def score_of(spark: SparkSession, machine: Machine, text: Column, n_chars: Column) -> Column:
+    """The score of a text. The machine is broadcast: its size is fixed. Texts alone go to Python, and
+    scores alone come back."""
+    held = spark.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for both in columns:
+            batch = pa.RecordBatch.from_arrays(list(both), ["text", "n_chars"])
+            yield pa.array(np.concatenate([np.zeros(0), *(held.value.score(texts, part.column(1).to_pylist()) for part, texts in slices([batch]))]), pa.float64())
 
-    def run(batches):
-        for batch, texts in slices(batches):
-            n_chars = batch.column(batch.schema.get_field_index("n_chars")).cast(pa.int64()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(texts, n_chars), pa.float64())], [*names, "score"])
+    return run(text, n_chars.cast("long"))
 
-    return docs.mapInArrow(run, plus(docs, score="double"))
+
+def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """Add `score` to docs, which have text and n_chars."""
+    return docs.withColumn("score", score_of(docs.sparkSession, machine, F.col("text"), F.col("n_chars")))
 
 
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Machine:
