@@ -79,6 +79,36 @@ def test_heads_meet_only_classes_within_the_bounds(spark):
     assert pairs and all(bool(far(a)) == bool(far(b)) for a, b in pairs)
 
 
+def rows_made(df):
+    """The most rows that any join or generator of a collected DataFrame has made."""
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.finalPhysicalPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if ("Join" in name or "Generate" in name) and node.metrics().contains("numOutputRows"):
+                found.append(node.metrics().apply("numOutputRows").value())
+    return max(found)
+
+
+def test_classes_that_share_many_keys_meet_heads_once(spark):
+    """Rows follow the keys of classes, or their pairs with heads, and not the keys that each pair shares."""
+    words = ", ".join(f"0L AS w{i}" for i in range(parity_join.NARROW // 64))
+    rows = spark.sql(f"SELECT k.id AS key, c.id AS cls, c.id AS root, 100L AS n, {words} FROM range(50) k CROSS JOIN range(100) c").cache()
+    assert rows.count() == 5000
+    pairs = parity_join.with_heads(rows, parity_join.PERCENT)
+    got = [tuple(r) for r in pairs.collect()]
+    heads = [c for c in range(100) if sum(c in p for p in got) == 99]
+    assert len(heads) == parity_join.HEADS and len(got) == len(set(got)) == 8 * 92 + 28
+    assert rows_made(pairs) == 5000
+    rows.unpersist()
+
+
 def test_passages_in_many_documents_lose_no_link(spark, monkeypatch):
     """Blocks over FULL, of a common passage and of near copies in a chain, against all pairs."""
     monkeypatch.setattr(parity_join, "FULL", 4)

@@ -161,10 +161,14 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFr
     return joined.mapInArrow(run, "cls long, tokens array<long>").dropDuplicates(["cls"])
 
 
-def may_link(x: str, y: str, percent: int = PERCENT) -> Column:
-    """Size and Hamming bounds of a pair of classes, as rows x and y."""
+def bounds_of(x: str, y: str, percent: int) -> str:
+    """Size and Hamming bounds of a pair of classes, as rows or structs x and y."""
     differ = " + ".join(f"bit_count({x}.w{i} ^ {y}.w{i})" for i in range(NARROW // 64))
-    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
+def may_link(x: str, y: str, percent: int = PERCENT) -> Column:
+    return F.expr(bounds_of(x, y, percent))
 
 
 def folded(words: Column) -> Column:
@@ -235,14 +239,18 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def with_heads(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of HEADS classes of each key and its other classes of other roots, within the bounds, which
     the join itself tests: classes that share a passage alone make no pair. A class that is a head of one key
-    is likely that of others too, so that keys of the same classes share pairs."""
+    is likely that of others too. A row meets all heads of its key as one array, and a class has those of all its
+    keys in one before pairs are made, so that two classes make one pair, however many keys they share."""
     bounds = ["n", *[f"w{i}" for i in range(NARROW // 64)]]
     dealt = rows.select("key", "cls", "root", *bounds).repartition("key")
     turn = F.pmod(F.xxhash64("cls", F.lit("turn")), F.lit(HEADS)).alias("turn")
-    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root", *bounds)).alias("head")).select("key", "head.*")
-    x, y = dealt.alias("x"), heads.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
-    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    heads = dealt.groupBy("key", turn).agg(F.min(F.struct(F.xxhash64("cls", F.lit("head")).alias("h_"), "cls", "root", *bounds)).alias("head"))
+    held = heads.groupBy("key").agg(F.sort_array(F.collect_list("head")).alias("heads"))
+    x, y = dealt.alias("x"), held.alias("y")
+    near = F.expr(f"filter(y.heads, h -> h.root <> x.root AND {bounds_of('h', 'x', percent)}).cls")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.size(near) > 0)).select("x.cls", near.alias("near"))
+    told = met.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+    return told.select("cls", F.explode("near").alias("head")).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
 
 def rare_keys(docs: DataFrame, wanted: DataFrame, width: int, percent: int, most_common: int = MOST_COMMON) -> DataFrame:
